@@ -16,7 +16,7 @@ from quarry.operators.ordered import quantiles
 def _long_from_wide(row: DataFrame, cols: list[str], fields: list[str]) -> DataFrame:
     """One-row frame with struct columns c -> rows (column, *fields)."""
     stacked = row.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), *[F.col(f"{c}.{f}").alias(f) for f in fields]) for c in cols
+        F.struct(F.lit(c).alias("column_name"), *[F.col(f"{c}.{f}").alias(f) for f in fields]) for c in cols
     ])).alias("r"))
     return stacked.select("r.*")
 
@@ -26,12 +26,12 @@ def profile_columns(df: DataFrame) -> DataFrame:
     """(column, position, data_type, non_null, rows)."""
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     row = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(c)).alias(c) for c in df.columns])
-    long = row.unpivot("_rows", df.columns, "column", "non_null")
+    long = row.unpivot("_rows", df.columns, "column_name", "non_null")
     meta = df.sparkSession.createDataFrame(
-        [(c, i, types[c]) for i, c in enumerate(df.columns)], "column string, position int, data_type string")
+        [(c, i, types[c]) for i, c in enumerate(df.columns)], "column_name string, position int, data_type string")
     # meta is one row per column of the schema: bounded by the schema width
-    return long.join(F.broadcast(meta), "column").select(
-        "column", "position", "data_type", F.col("non_null").cast("bigint").alias("non_null"),
+    return long.join(F.broadcast(meta), "column_name").select(
+        "column_name", "position", "data_type", F.col("non_null").cast("bigint").alias("non_null"),
         F.col("_rows").cast("bigint").alias("rows"))
 
 
@@ -40,8 +40,8 @@ def null_rates(df: DataFrame, only_missing: bool = False) -> DataFrame:
     """(column, null_count, null_pct) in one pass; optionally only columns with nulls."""
     row = df.agg(F.count(F.lit(1)).alias("_rows"),
                  *[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
-    long = row.unpivot("_rows", df.columns, "column", "null_count")
-    out = long.select("column", F.col("null_count").cast("bigint").alias("null_count"),
+    long = row.unpivot("_rows", df.columns, "column_name", "null_count")
+    out = long.select("column_name", F.col("null_count").cast("bigint").alias("null_count"),
                       (F.try_divide(F.col("null_count") * 100.0, F.col("_rows"))).alias("null_pct"))
     return out.where(F.col("null_count") > 0) if only_missing else out
 
@@ -54,13 +54,13 @@ def describe_numeric(df: DataFrame, cols: list[str], method: str = "exact") -> D
     exact quantile operator over the unpivoted long table (column as group).
     """
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        [], cols, "column", "value")
-    base = long.groupBy("column").agg(
+        [], cols, "column_name", "value")
+    base = long.groupBy("column_name").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    qs = quantiles(long, "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, by=["column"], method=method)
-    return base.join(qs, "column", "left").select(
-        "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    qs = quantiles(long, "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, by=["column_name"], method=method)
+    return base.join(qs, "column_name", "left").select(
+        "column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 # P4
@@ -72,13 +72,13 @@ def cardinality(df: DataFrame, cols: list[str], n: int = 10) -> DataFrame:
     approach: rank within column over the deduplicated values only.
     """
     long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
-        [], cols, "column", "value").where(F.col("value").isNotNull())
-    distinct_vals = long.groupBy("column", "value").agg(F.lit(1).alias("_one"))
-    card = distinct_vals.groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
-    firsts = top_n_per_group(distinct_vals, ["column"], "value", n)
-    heads = firsts.groupBy("column").agg(
+        [], cols, "column_name", "value").where(F.col("value").isNotNull())
+    distinct_vals = long.groupBy("column_name", "value").agg(F.lit(1).alias("_one"))
+    card = distinct_vals.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
+    firsts = top_n_per_group(distinct_vals, ["column_name"], "value", n)
+    heads = firsts.groupBy("column_name").agg(
         F.array_sort(F.collect_list("value")).alias("first_values"))
-    return card.join(heads, "column").select("column", F.col("n_distinct").cast("bigint").alias("n_distinct"),
+    return card.join(heads, "column_name").select("column_name", F.col("n_distinct").cast("bigint").alias("n_distinct"),
                                              F.array_join("first_values", ",").alias("first_values"))
 
 
@@ -102,10 +102,10 @@ def top_n_per_group(df: DataFrame, by: list[str], order: str, n: int, salts: int
 
 
 # P5
-def value_range(items: dict[str, tuple[DataFrame, str]]) -> DataFrame:
-    """(name, min_value, max_value) one row per (table, column), as text."""
-    parts = [df.agg(F.lit(name).alias("name"), F.min(c).cast("string").alias("min_value"),
-                    F.max(c).cast("string").alias("max_value")) for name, (df, c) in items.items()]
+def value_range(items: dict[str, tuple[DataFrame, str]], fmt: str = "yyyy-MM-dd HH:mm:ss") -> DataFrame:
+    """(name, min_value, max_value) one row per (table, column), formatted as text."""
+    parts = [df.agg(F.lit(name).alias("name"), F.date_format(F.min(c), fmt).alias("min_value"),
+                    F.date_format(F.max(c), fmt).alias("max_value")) for name, (df, c) in items.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
