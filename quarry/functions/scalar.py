@@ -5,6 +5,8 @@ All are JVM-side column expressions (whole-stage codegen, no Python workers).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,7 +153,7 @@ def normalize_feature_name(c: ColumnLike, sep: str = ".", rules: dict[str, int]
     """
     c = col(c)
     fam = F.split_part(c, F.lit(sep), F.lit(1))
-    parts = F.split(c, F.lit(sep), -1)
+    parts = F.split(c, re.escape(sep), -1)  # split takes a regex
 
     def first_n(n: int) -> Column:
         return F.array_join(F.slice(parts, 1, n), sep)
