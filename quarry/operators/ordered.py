@@ -102,7 +102,8 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str]
         ]
     picked = ranked.groupBy(*by).agg(*aggs)
     return picked.select(*by, *[
-        (F.col(f"_lo_{n}") + F.col(f"_f_{n}") * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))).alias(n)
+        # lo*(1-f) + hi*f: the same floating-point form as DuckDB quantile_cont and Spark percentile
+        (F.col(f"_lo_{n}") * (F.lit(1.0) - F.col(f"_f_{n}")) + F.col(f"_hi_{n}") * F.col(f"_f_{n}")).alias(n)
         for n in probs])
 
 

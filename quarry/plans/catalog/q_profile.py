@@ -45,11 +45,11 @@ def p2b(spark, sf):
 
 @register("p3_describe_numeric", " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, "
-    f"min({c})::double AS min, quantile_cont({c}, 0.25) AS p25, quantile_cont({c}, 0.5) AS p50, "
-    f"quantile_cont({c}, 0.75) AS p75, max({c})::double AS max FROM lineitem" for c in DESCRIBE_COLS))
+    f"min({c})::double AS min, round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50, "
+    f"round(quantile_cont({c}, 0.75), 6) AS p75, max({c})::double AS max FROM lineitem" for c in DESCRIBE_COLS))
 def p3(spark, sf):
     out = P.describe_numeric(Tables(spark, sf).lineitem, DESCRIBE_COLS)
-    return out.withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
+    return out.withColumns({c: F.round(c, 6) for c in ["mean", "std", "p25", "p50", "p75"]})
 
 
 @register("p4_cardinality", " UNION ALL ".join(
