@@ -56,3 +56,246 @@ def time_to_acquisition(exposures: DataFrame, installs: DataFrame, checkouts: Da
                  F.count_if(F.col("acquired_type") == "direct").alias("direct"),
                  F.avg("day_to_acq").alias("mean_days"),
                  F.count_if(F.col("day_to_acq") < 0).alias("negative"))
+
+
+# B3
+def contact_frequency(df: DataFrame, key: str, name: str = "contact_times") -> DataFrame:
+    """Distribution of contacts per user: (contact_times, n_users, max_contact_times)."""
+    per_user = df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+    dist = per_user.groupBy(name).agg(F.count(F.lit(1)).alias("n_users"))
+    mx = per_user.agg(F.max(name).alias("m"))
+    return with_scalar(dist, mx, "_m").withColumn(f"max_{name}", F.col("_m.m")).drop("_m")
+
+
+# B4
+def propensity_base(exposures: DataFrame, installs: DataFrame, checkouts: DataFrame,
+                    user: str, ts: str, device: str, converted: Column | None = None) -> DataFrame:
+    """First exposure per user (ties kept) with weekday/hour/contact count, plus
+    installed and converted flags from the other two tables."""
+    from quarry.operators.joins import flag_member
+    counted = group_broadcast(exposures, user, {"contact_times": F.count(F.lit(1))})
+    first = keep_group_min(counted, user, ts)
+    base = first.select(user, ts, F.weekday(ts).alias("ad_dow"), F.hour(ts).alias("ad_hour"), "contact_times")
+    base = flag_member(base, installs.select(user), user, "installed")
+    ck = checkouts if converted is None else checkouts.where(converted)
+    buyers = installs.select(user, device).join(ck.select(device), device).select(user)
+    return flag_member(base, buyers, user, "converted")
+
+
+# B5
+def window_label(base: DataFrame, ev: DataFrame, key: str, base_ts: str, ev_ts: str, amount: str,
+                 months: int = 24, threshold: float = 3.0, name: str = "label") -> DataFrame:
+    """Sum of ``amount`` in (base_ts, base_ts + months]; label = sum >= threshold; absent -> 0."""
+    from quarry.operators.joins import join_within_months
+    j = join_within_months(base.select(key, base_ts), ev.select(key, ev_ts, amount), key, base_ts, ev_ts, months)
+    sums = j.groupBy(key).agg(F.sum(amount).alias("window_total"))
+    out = base.select(key).join(sums, key, "left").fillna({"window_total": 0})
+    return out.withColumn(name, (F.col("window_total") >= threshold).cast("int"))
+
+
+# B6
+def lagged_encoding(feat: DataFrame, target: DataFrame, keysets: dict[str, list[str]], value: str,
+                    default: float = -1.0) -> DataFrame:
+    """Target encodings from the feature period: mean and population variance
+    of ``value`` per key set, left joined onto the target-period rows."""
+    out = target
+    for name, keys in keysets.items():
+        enc = feat.groupBy(*keys).agg(F.avg(value).alias(f"mean_{name}"), F.var_pop(value).alias(f"var_{name}"))
+        out = out.join(enc, keys, "left").fillna({f"mean_{name}": default, f"var_{name}": default})
+    return out
+
+
+# B7
+def provider_features(claims: DataFrame, provider: str, claim: str, member: str, charge: str,
+                      score: str | None = None) -> DataFrame:
+    """Seven provider columns (+ mean score) from two aggregation levels."""
+    per_claim = claims.groupBy(provider, claim).agg(F.count(F.lit(1)).alias("_lines"), F.sum(charge).alias("_cost"))
+    per_member = claims.groupBy(provider, member).agg(F.count(F.lit(1)).alias("_lines"), F.sum(charge).alias("_cost"))
+    top = claims.groupBy(provider).agg(
+        F.count_distinct(member).alias("unique_members"), F.count_distinct(claim).alias("unique_claims"),
+        *([F.avg(score).alias("mean_score")] if score else []))
+    c = per_claim.groupBy(provider).agg(F.avg("_lines").alias("procedures_per_claim"), F.avg("_cost").alias("cost_per_claim"))
+    m = per_member.groupBy(provider).agg(F.avg("_lines").alias("procedures_per_member"), F.avg("_cost").alias("cost_per_member"))
+    out = top.join(c, provider).join(m, provider)
+    return out.withColumn("claims_per_member", F.col("unique_claims") / F.col("unique_members"))
+
+
+# B8
+def claim_flags(claims: DataFrame, claim: str, code_cols: dict[str, str], order: list[str],
+                last_cols: list[str]) -> DataFrame:
+    """Long features per claim: ``prefix_code`` = 1 for every non-null code, and
+    the claim's last row values (``last_<col>``) under a total order."""
+    stacked = None
+    for col_name, prefix in code_cols.items():
+        part = claims.select(claim, F.concat(F.lit(prefix + "_"), F.col(col_name).cast("string")).alias("feature")).where(
+            F.col(col_name).isNotNull())
+        stacked = part if stacked is None else stacked.unionByName(part)
+    flags = stacked.distinct().withColumn("value", F.lit(1.0))
+    last = keep_one(claims.select(claim, *order, *[c for c in last_cols if c not in order]), [claim], order, "last")
+    lasts = last.select(claim, *[c for c in last_cols]).unpivot(claim, last_cols, "feature", "value").select(
+        claim, F.concat(F.lit("last_"), F.col("feature")).alias("feature"), F.col("value").cast("double").alias("value"))
+    return flags.unionByName(lasts)
+
+
+# B9
+def patient_features(resources: DataFrame, observations: DataFrame, key: str, as_of: str) -> DataFrame:
+    """Long (key, feature, value) patient features with counter semantics (C14).
+
+    ``resources``: (key, date, item) with item = '<system>_<code>';
+    ``observations``: (key, date, code, interpretation, value, seq) where seq
+    orders entries inside a date. Only dates before ``as_of`` count.
+    Features: item and system counts; hospital_visits, res_days, res_recency,
+    last_<item>; code, code_interpretation and interpretation counts;
+    lab_visits, obs_days, obs_recency, last_<code>, last_<code>_val. Values
+    for the same feature add up and only positive totals are kept.
+    """
+    cut = F.to_date(F.lit(as_of))
+    r = resources.where(F.col("date") < cut)
+    o = observations.where(F.col("date") < cut)
+
+    def count_of(df, feat):
+        return df.groupBy(key, feat.alias("feature")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+
+    def span(df, visits, days, recency):
+        s = df.groupBy(key).agg(F.count_distinct("date").alias("_v"), F.min("date").alias("_lo"), F.max("date").alias("_hi"))
+        return s.select(key, F.explode(F.array(
+            F.struct(F.lit(visits).alias("feature"), F.col("_v").cast("double").alias("value")),
+            F.struct(F.lit(days).alias("feature"), F.datediff("_hi", "_lo").cast("double").alias("value")),
+            F.struct(F.lit(recency).alias("feature"), F.datediff(cut, "_hi").cast("double").alias("value")))).alias("f")
+        ).select(key, "f.feature", "f.value"), s.select(key, F.col("_hi").alias("date"))
+
+    res_span, res_last_day = span(r, "hospital_visits", "res_days", "res_recency")
+    obs_span, obs_last_day = span(o, "lab_visits", "obs_days", "obs_recency")
+    r_last = r.join(res_last_day, [key, "date"])
+    o_last = o.join(obs_last_day, [key, "date"])
+    interp = o.where(F.col("interpretation").isNotNull())
+    last_vals = (o_last.where(F.col("value").isNotNull()).groupBy(key, "code")
+                 .agg(F.max_by("value", "seq").alias("value"))
+                 .select(key, F.concat(F.lit("last_"), F.col("code"), F.lit("_val")).alias("feature"),
+                         F.col("value").cast("double").alias("value")))
+    parts = [
+        count_of(r, F.split_part("item", F.lit("_"), F.lit(1))),
+        count_of(r, F.col("item")),
+        res_span,
+        count_of(r_last, F.concat(F.lit("last_"), F.col("item"))),
+        count_of(o, F.col("code")),
+        count_of(interp, F.concat(F.col("code"), F.lit("_"), F.col("interpretation"))),
+        count_of(interp, F.col("interpretation")),
+        obs_span,
+        count_of(o_last, F.concat(F.lit("last_"), F.col("code"))),
+        last_vals,
+    ]
+    allf = parts[0]
+    for p in parts[1:]:
+        allf = allf.unionByName(p)
+    return allf.groupBy(key, "feature").agg(F.sum("value").alias("value")).where(F.col("value") > 0)
+
+
+# B10
+def label_window(df: DataFrame, col: str, start: str, end: str, name: str = "target") -> DataFrame:
+    """Blank date -> 0; date inside [start, end] -> 1; any other date -> row excluded."""
+    txt = F.trim(F.col(col).cast("string"))
+    d = F.to_date(F.try_to_timestamp(txt, F.lit("yyyy-MM-dd")))
+    inside = (d >= F.to_date(F.lit(start))) & (d <= F.to_date(F.lit(end)))
+    blank = F.col(col).isNull() | (txt == "")
+    return df.where(blank | inside).withColumn(name, F.when(blank, 0).otherwise(1))
+
+
+# B11
+def group_features(members: DataFrame, claims: DataFrame, coverage: DataFrame, preds: DataFrame,
+                   member: str, group: str, slice_date: str, high_cost: float = 8000.0) -> DataFrame:
+    """Group features at a slice date.
+
+    ``members``: (member, group); ``claims``: (member, date, amount);
+    ``coverage``: (member, start_date, end_date); ``preds``: (member, pred).
+    Windows are [slice - 12 months, slice) and [slice - 4 months, slice).
+    A member month is a month in the 12-month window whose first day is
+    covered. Counts of covered members are taken at the slice date and
+    12 months earlier; trend = (end - begin) / member_months;
+    cost_fraction_last_4_month = allowed_4 / (allowed_12 + 1).
+    """
+    s = F.to_date(F.lit(slice_date))
+    w12, w4 = F.add_months(s, -12), F.add_months(s, -4)
+    c = claims.where((F.col("date") >= w12) & (F.col("date") < s))
+    per_member = c.groupBy(member).agg(
+        F.sum("amount").alias("allowed_12"),
+        F.sum(F.when(F.col("date") >= w4, F.col("amount")).otherwise(0.0)).alias("allowed_4"))
+    m = members.select(member, group).distinct()
+    mm = m.join(per_member, member, "left").fillna({"allowed_12": 0.0, "allowed_4": 0.0})
+    # each coverage interval expands to the month starts it covers (bounded by its length)
+    months = coverage.select(member, F.explode(F.sequence(
+        F.trunc("start_date", "MM"),
+        F.trunc("end_date", "MM"), F.expr("INTERVAL 1 MONTH"))).alias("month"), "start_date", "end_date")
+    months = months.where((F.col("month") >= F.col("start_date")) & (F.col("month") <= F.col("end_date"))
+                          & (F.col("month") >= w12) & (F.col("month") < s)).select(member, "month").distinct()
+    mmonths = months.join(m, member).groupBy(group).agg(F.count(F.lit(1)).alias("member_months"))
+
+    def covered_at(d):
+        return (coverage.where((F.col("start_date") <= d) & (F.col("end_date") >= d)).select(member).distinct()
+                .join(m, member).groupBy(group).agg(F.count(F.lit(1)).alias("n")))
+
+    begin = covered_at(w12).withColumnRenamed("n", "members_begin")
+    end = covered_at(s).withColumnRenamed("n", "members_end")
+    pm = m.join(preds, member, "left")
+    pstats = pm.groupBy(group).agg(F.avg("pred").alias("mean_pred"), F.stddev_samp("pred").alias("std_pred"))
+    pmed = quantiles(pm, "pred", {"median_pred": 0.5}, by=[group])
+    base = mm.groupBy(group).agg(
+        F.count(F.lit(1)).alias("members"), F.sum("allowed_12").alias("allowed_12"), F.sum("allowed_4").alias("allowed_4"),
+        F.avg((F.col("allowed_12") > high_cost).cast("double")).alias("share_high_cost"))
+    out = (base.join(mmonths, group, "left").join(begin, group, "left").join(end, group, "left")
+           .join(pstats, group, "left").join(pmed, group, "left")
+           .fillna({"member_months": 0, "members_begin": 0, "members_end": 0}))
+    return out.withColumns({
+        "pmpm": safe_div("allowed_12", "member_months"),
+        "trend": safe_div(F.col("members_end") - F.col("members_begin"), F.col("member_months")),
+        "cost_fraction_last_4_month": F.col("allowed_4") / (F.col("allowed_12") + 1.0)})
+
+
+# B12
+def rollup_contributions(contrib: DataFrame, preds: DataFrame, name_map: DataFrame, bucket_map: DataFrame,
+                         member: str = "member", feature: str = "feature", value: str = "contribution",
+                         pred: str = "pred") -> DataFrame:
+    """Sum per-feature contributions into buckets per member; bias = pred - total.
+
+    ``name_map`` (feature, display) and ``bucket_map`` (display, bucket) are
+    vocabulary tables (bounded by the feature space): broadcast.
+    """
+    j = (contrib.join(F.broadcast(name_map), feature, "left")
+         .join(F.broadcast(bucket_map), "display", "left")
+         .withColumn("bucket", F.coalesce("bucket", F.lit("other"))))
+    per = j.groupBy(member, "bucket").agg(F.sum(value).alias("contribution"))
+    tot = contrib.groupBy(member).agg(F.sum(value).alias("_total"))
+    bias = preds.join(tot, member, "left").select(
+        member, F.lit("bias").alias("bucket"), (F.col(pred) - F.coalesce("_total", F.lit(0.0))).alias("contribution"))
+    return per.unionByName(bias)
+
+
+# B13
+def prior_window(df: DataFrame, key: str, ts: str, amount: str, slice_date: str, name: str = "prior_cost") -> DataFrame:
+    """Amount in [slice - 1 year, slice) per key; NULL when the key's history
+    starts after the window start (too short)."""
+    s = F.to_date(F.lit(slice_date))
+    start = F.add_months(s, -12)
+    agg = df.groupBy(key).agg(
+        F.sum(F.when((F.to_date(ts) >= start) & (F.to_date(ts) < s), F.col(amount)).otherwise(0.0)).alias("_sum"),
+        F.min(F.to_date(ts)).alias("_first"))
+    return agg.select(key, F.when(F.col("_first") <= start, F.col("_sum")).alias(name))
+
+
+# B14
+def training_cohort(datasets: dict[str, DataFrame], split_col: str, splits: list[str], predicate: Column) -> DataFrame:
+    """Rows of the chosen splits satisfying the predicate, stacked with a dataset label."""
+    out = None
+    for name, d in datasets.items():
+        part = d.where(F.col(split_col).isin(splits) & predicate).withColumn("dataset", F.lit(name))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+# B15
+def multi_parent_flag(df: DataFrame, child: str, parent: str, name: str = "multi_parent") -> DataFrame:
+    """Children with more than one parent flagged 1, others 0 (one row per child)."""
+    from quarry.operators.profile import fd_violations
+    children = df.select(child).distinct()
+    multi = fd_violations(df, child, parent).select(child).withColumn("_hit", F.lit(1))
+    return children.join(multi, child, "left").select(child, F.coalesce("_hit", F.lit(0)).alias(name))
