@@ -96,3 +96,19 @@ def save_model(model, path: str) -> None:
 def load_model(path: str):
     from pyspark.ml import PipelineModel
     return PipelineModel.load(path)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint directory (cluster-visible)."""
+    import uuid
+
+    from quarry.session import ensure_checkpoint_dir
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{root}/quarry-io/{name}-{uuid.uuid4().hex}"
+
+
+def write_json_document(df: DataFrame, path: str) -> None:
+    """One JSON array document. Only for small reference tables: the whole
+    table becomes one string in one task (use ``write_json`` otherwise)."""
+    doc = df.agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value"))
+    doc.coalesce(1).write.mode("overwrite").text(path)
