@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.ordered import quantiles
 from quarry.operators.profile import top_n_per_group
-from quarry.semantics import safe_div
+from quarry.semantics import safe_div, with_scalar
 
 AGGS = {
     "min": F.min, "max": F.max, "sum": F.sum, "mean": F.avg, "avg": F.avg, "count": F.count,
@@ -94,7 +94,7 @@ def summarize(df: DataFrame, col: str, method: str = "exact") -> DataFrame:
                   F.min(col).alias("min"), F.max(col).alias("max"),
                   F.avg((F.col(col) > 0).cast("double")).alias("share_positive"))
     med = quantiles(df, col, {"median": 0.5}, method=method)
-    return base.join(med)  # both sides are exactly one row
+    return with_scalar(base, med, "_med").withColumn("median", F.col("_med.median")).drop("_med")
 
 
 # A12

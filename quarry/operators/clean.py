@@ -147,19 +147,13 @@ def fill_statistic(df: DataFrame, stats: dict[str, str], fit_df: DataFrame | Non
     The fitted values form one row, attached through a scalar subquery.
     """
     fit = fit_df if fit_df is not None else df
-    parts = []
-    for c, kind in stats.items():
-        if kind == "median":
-            parts.append(quantiles(fit, c, {c: 0.5}, method=method))
-        else:
-            parts.append(fit.agg(_stat(kind, c).alias(c)))
-    one = parts[0]
-    for p in parts[1:]:
-        one = one.join(p)  # each part is exactly one row
-    out = with_scalar(df, one, "_fill")
+    out = df
+    for i, (c, kind) in enumerate(stats.items()):
+        one = quantiles(fit, c, {"v": 0.5}, method=method) if kind == "median" else fit.agg(_stat(kind, c).alias("v"))
+        out = with_scalar(out, one, f"_fill{i}")  # one-row statistic as a scalar subquery
     return out.withColumns({
-        c: F.coalesce(F.col(c).cast("double") if stats[c] == "median" else F.col(c), F.col(f"_fill.{c}"))
-        for c in stats}).drop("_fill")
+        c: F.coalesce(F.col(c).cast("double") if stats[c] == "median" else F.col(c), F.col(f"_fill{i}.v"))
+        for i, c in enumerate(stats)}).drop(*[f"_fill{i}" for i in range(len(stats))])
 
 
 # R15

@@ -102,7 +102,8 @@ def box_stats(df: DataFrame, col: str, group: str | None = None, k: float = 1.5,
     agg = j.groupBy(*by).agg(
         F.min(F.when(inside, F.col("_x"))).alias("whisker_low"), F.max(F.when(inside, F.col("_x"))).alias("whisker_high"),
         F.count_if(~inside).alias("n_outliers"), F.count(F.lit(1)).alias("n"))
-    return (qs.join(agg, by) if by else qs.join(agg)).select(
+    joined = qs.join(agg, by) if by else with_scalar(qs, agg, "_a").select("*", "_a.*").drop("_a")
+    return joined.select(
         *by, "n", "q1", "median", "q3", "iqr", "lower_fence", "upper_fence", "whisker_low", "whisker_high", "n_outliers")
 
 
