@@ -1,9 +1,10 @@
 """Feature engineering for models (M1-M9).
 
-Features stay long (row, feature, value) until a model needs a vector; the
-vocabularies (distinct category values, feature names) are bounded by the
-feature space, not by the row count, which is what justifies broadcasting
-them.
+Features stay long (row, feature, value) until a model needs a vector.
+Vocabularies (distinct category values, feature names) grow with the feature
+space, so their joins are left to AQE, which broadcasts them only when their
+measured size is under the threshold; explicit broadcasts are kept for tables
+bounded by a parameter (top-N lists) or by the class count.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ def vocabulary(fit_df: DataFrame, cols: list[str]) -> DataFrame:
 def one_hot(fit_df: DataFrame, apply_df: DataFrame, key: str, cols: list[str]) -> DataFrame:
     """Long one-hot indicators ``col=value`` -> 1.0 for values seen in ``fit_df``;
     unseen values in ``apply_df`` produce no indicator (all-zero row)."""
-    vocab = F.broadcast(vocabulary(fit_df, cols).select("column_name", "value"))
+    # the vocabulary grows with category cardinality: AQE broadcasts it only
+    # when its measured size is under the broadcast threshold
+    vocab = vocabulary(fit_df, cols).select("column_name", "value")
     long = apply_df.select(key, *[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
         key, cols, "column_name", "value")
     hits = long.join(vocab, ["column_name", "value"], "left_semi")
@@ -85,8 +88,9 @@ def feature_vocabulary(long: DataFrame, feature: str = "feature") -> DataFrame:
 
 
 def apply_vocabulary(long: DataFrame, vocab: DataFrame, feature: str = "feature") -> DataFrame:
-    """Keep features known to the vocabulary and attach their index."""
-    return long.join(F.broadcast(vocab), feature, "inner")
+    """Keep features known to the vocabulary and attach their index
+    (join strategy left to AQE: vocabularies grow with the feature space)."""
+    return long.join(vocab, feature, "inner")
 
 
 def to_vector(long: DataFrame, vocab: DataFrame, key: str, feature: str = "feature", value: str = "value",

@@ -176,7 +176,7 @@ def block_folds(df: DataFrame, period: str, name: str = "fold") -> DataFrame:
     periods = df.select(period).distinct()
     from pyspark.sql import Window
     ids = periods.withColumn(name, (F.dense_rank().over(Window.orderBy(period)) - 1).cast("int"))
-    return df.join(F.broadcast(ids), period)  # one row per period: bounded
+    return df.join(ids, period)  # one row per period (AQE picks the strategy)
 
 
 # L10

@@ -58,6 +58,12 @@ def l3(spark, sf):
     return L.importance_table(m, LI_FEATS, n=3)
 
 
+@register("l11_importance_top_n_relative")
+def l11(spark, sf):
+    m = L.fit_forest(_li(Tables(spark, sf)), LI_FEATS, "returned", "classification", trees=10, depth=4)
+    return L.importance_table(m, LI_FEATS, n=2, relative=True)
+
+
 @register("l4_boosted_regressor_early_stop")
 def l4(spark, sf):
     feats = ["l_quantity", "l_discount", "l_tax"]

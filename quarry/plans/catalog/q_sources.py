@@ -87,7 +87,7 @@ def s7(spark, sf):
     path = S.scratch_path(spark, "features")
     S.write_features(f, path)
     values, vocab = S.read_features(spark, path)
-    return values.join(F.broadcast(vocab), "feature").select("row_id", "feature", "value", "index")
+    return values.join(vocab, "feature").select("row_id", "feature", "value", "index")
 
 
 @register("s8_model_save_load")

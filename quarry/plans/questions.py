@@ -258,10 +258,10 @@ def rollup_contributions(contrib: DataFrame, preds: DataFrame, name_map: DataFra
     """Sum per-feature contributions into buckets per member; bias = pred - total.
 
     ``name_map`` (feature, display) and ``bucket_map`` (display, bucket) are
-    vocabulary tables (bounded by the feature space): broadcast.
+    vocabulary tables; AQE broadcasts them when their measured size is small.
     """
-    j = (contrib.join(F.broadcast(name_map), feature, "left")
-         .join(F.broadcast(bucket_map), "display", "left")
+    j = (contrib.join(name_map, feature, "left")
+         .join(bucket_map, "display", "left")
          .withColumn("bucket", F.coalesce("bucket", F.lit("other"))))
     per = j.groupBy(member, "bucket").agg(F.sum(value).alias("contribution"))
     tot = contrib.groupBy(member).agg(F.sum(value).alias("_total"))
