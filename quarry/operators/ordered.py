@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 DEFAULT_BUCKETS = 64
 
 
-def _edges_expr(x: str, buckets: int) -> Column:
+def _edges_expr(x: Column, buckets: int) -> Column:
     probs = [i / buckets for i in range(1, buckets)]
     # edges only need ~1/buckets precision: a small sketch per group suffices
-    return F.percentile_approx(F.col(x), F.array(*[F.lit(p) for p in probs]), max(16 * buckets, 256))
+    return F.percentile_approx(x, F.array(*[F.lit(p) for p in probs]), max(16 * buckets, 256))
 
 
 def _count_below(edges: Column, x: Column, n: int) -> Column:
@@ -58,7 +58,17 @@ def running_sums(df: DataFrame, order: str, sums: list[str], by: list[str] | Non
     """
     by = list(by or [])
     x = order
-    edges = df.groupBy(*by).agg(_edges_expr(x, buckets).alias("_edges"))
+    # The sketch reads the summed columns too (the guard is true for every
+    # non-null sum, and edges only steer bucket balance, never the result):
+    # both branches then need the same columns of ``df``, so column pruning
+    # leaves one identical subtree and Spark reuses its exchange instead of
+    # computing ``df`` twice.
+    guard = None
+    for s_ in sums:
+        g = F.abs(F.col(s_)) >= F.lit(0)
+        guard = g if guard is None else (guard | g)
+    sketch_in = F.when(guard, F.col(x))
+    edges = df.groupBy(*by).agg(_edges_expr(sketch_in, buckets).alias("_edges"))
     if by:
         # one row per group: joined on the group keys (AQE broadcasts it when small)
         keyed = df.join(edges, on=by, how="inner")
