@@ -4,8 +4,8 @@ Two building blocks used by quantiles, box statistics, bucket tables and the
 ranking metrics (ROC / PR):
 
 * ``running_sums``: cumulative sums along an order key, per group.  The key
-  range of each group is cut into ``buckets`` ranges by approximate quantile
-  edges (a bounded sketch per group); per-bucket totals give offsets (at most
+  range of each group is cut into ``buckets`` ranges by deterministic edges
+  (exact percentiles of a bounded hash sample per group); per-bucket totals give offsets (at most
   ``buckets`` rows per group), and the within-bucket running sum is a window
   partitioned by (group, bucket).  No task ever holds more than about
   1/buckets of a group's distinct keys.
@@ -28,10 +28,35 @@ from pyspark.sql import functions as F
 DEFAULT_BUCKETS = 64
 
 
-def _edges_expr(x: Column, buckets: int) -> Column:
+EDGE_SAMPLE = 8192
+
+
+def _bucket_edges(df: DataFrame, by: list[str], x: str, sums: list[str], buckets: int) -> DataFrame:
+    """Deterministic bucket edges per group (one row per group, ``_edges``).
+
+    Edges are exact percentiles of a hash-selected sample of each group's
+    distinct keys, about EDGE_SAMPLE per group whatever the group size (the
+    rate comes from the exact per-group key count). Exact aggregates over a
+    hash-chosen subset give the same edges on every evaluation, so a branch
+    recomputed after an executor loss buckets rows exactly like the others.
+    Edges only steer balance; the running sums are exact for any edges.
+    """
+    # the guard reads the summed columns (true for every non-null sum), so all
+    # branches prune ``df`` identically and share one exchange
+    guard = None
+    for s_ in sums:
+        g = F.abs(F.col(s_)) >= F.lit(0)
+        guard = g if guard is None else (guard | g)
+    keyed = df.select(*by, x, guard.alias("_g"))
+    n = keyed.groupBy(*by).agg(F.count_if("_g").alias("_nd"))
+    if by:
+        withn = keyed.join(n, by)
+    else:
+        withn = keyed.withColumn("_nd", n.scalar())
+    u = (F.abs(F.xxhash64(*[F.col(c) for c in by], F.col(x))) % F.lit(1_000_003)) / F.lit(1_000_003.0)
+    sample = withn.where(F.col("_g") & (u < F.lit(float(EDGE_SAMPLE)) / F.col("_nd")))
     probs = [i / buckets for i in range(1, buckets)]
-    # edges only need ~1/buckets precision: a small sketch per group suffices
-    return F.percentile_approx(x, F.array(*[F.lit(p) for p in probs]), max(16 * buckets, 256))
+    return sample.groupBy(*by).agg(F.percentile(F.col(x), F.array(*[F.lit(p) for p in probs])).alias("_edges"))
 
 
 def _count_below(edges: Column, x: Column, n: int) -> Column:
@@ -58,17 +83,7 @@ def running_sums(df: DataFrame, order: str, sums: list[str], by: list[str] | Non
     """
     by = list(by or [])
     x = order
-    # The sketch reads the summed columns too (the guard is true for every
-    # non-null sum, and edges only steer bucket balance, never the result):
-    # both branches then need the same columns of ``df``, so column pruning
-    # leaves one identical subtree and Spark reuses its exchange instead of
-    # computing ``df`` twice.
-    guard = None
-    for s_ in sums:
-        g = F.abs(F.col(s_)) >= F.lit(0)
-        guard = g if guard is None else (guard | g)
-    sketch_in = F.when(guard, F.col(x))
-    edges = df.groupBy(*by).agg(_edges_expr(sketch_in, buckets).alias("_edges"))
+    edges = _bucket_edges(df, by, x, sums, buckets)
     if by:
         # one row per group: joined on the group keys (AQE broadcasts it when small)
         keyed = df.join(edges, on=by, how="inner")
