@@ -13,14 +13,6 @@ from pyspark.sql import functions as F
 from quarry.operators.ordered import quantiles
 
 
-def _long_from_wide(row: DataFrame, cols: list[str], fields: list[str]) -> DataFrame:
-    """One-row frame with struct columns c -> rows (column, *fields)."""
-    stacked = row.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), *[F.col(f"{c}.{f}").alias(f) for f in fields]) for c in cols
-    ])).alias("r"))
-    return stacked.select("r.*")
-
-
 # P1
 def profile_columns(df: DataFrame) -> DataFrame:
     """(column, position, data_type, non_null, rows)."""

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from quarry.operators import features as M
 from quarry.plans.catalog.registry import Tables, register
-from quarry.semantics import hash_prefix  # noqa: F401
 
 
 def _r(df, cols, d=9):
