@@ -138,6 +138,12 @@ def target_by_bucket(df: DataFrame, feature: str, target: str, buckets: int = 10
         F.count(F.lit(1)).alias("count"), F.avg(F.col(target).cast("double")).alias("mean_target"))
 
 
+def target_by_value(df: DataFrame, feature: str, target: str) -> DataFrame:
+    """D5 for features with few distinct values: count and mean target per value."""
+    return df.where(F.col(feature).isNotNull()).groupBy(feature).agg(
+        F.count(F.lit(1)).alias("count"), F.avg(F.col(target).cast("double")).alias("mean_target"))
+
+
 # D6
 def target_by_grid(df: DataFrame, f1: str, f2: str, target: str, buckets: int = 5, method: str = "exact") -> DataFrame:
     b = bucketize(df.where(F.col(f1).isNotNull() & F.col(f2).isNotNull()), f1, buckets, "b1", method)

@@ -111,6 +111,13 @@ def d5(spark, sf):
     return _r(_r(out, ["bucket_lower", "bucket_upper"]), ["mean_target"], 9)
 
 
+@register("d5_target_by_value", """
+SELECT l_quantity, count(*) AS count, round(avg(l_discount), 9) AS mean_target FROM lineitem GROUP BY 1
+""")
+def d5b(spark, sf):
+    return _r(D.target_by_value(Tables(spark, sf).lineitem, "l_quantity", "l_discount"), ["mean_target"], 9)
+
+
 @register("d6_target_by_grid", f"""
 WITH b AS (SELECT {_bucket_expr('l_extendedprice', 'q1')} AS b1, {_bucket_expr('l_quantity', 'q2')} AS b2, l_discount
            FROM lineitem, {_bucket_sql('l_extendedprice', 4, 'q1')}, {_bucket_sql('l_quantity', 4, 'q2')})

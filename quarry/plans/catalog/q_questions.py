@@ -262,16 +262,22 @@ WITH m AS (SELECT DISTINCT c_custkey AS member, c_nationkey FROM customer),
             FROM m LEFT JOIN pr USING (member) GROUP BY 1),
      base AS (SELECT c_nationkey, count(*) AS members, sum(a12) AS allowed_12, sum(a4) AS allowed_4,
                      avg((a12 > 300000)::int) AS share_high_cost FROM mm GROUP BY 1),
+     clip AS (SELECT member, greatest(s, DATE '1997-01-01') AS cs, least(e, DATE '1997-12-31') AS ce FROM cov),
+     cdays AS (SELECT DISTINCT member, unnest(generate_series(cs::timestamp, ce::timestamp, INTERVAL 1 DAY))::date AS d
+               FROM clip WHERE cs <= ce),
+     dd AS (SELECT c_nationkey, count(*) AS days FROM cdays JOIN m USING (member) GROUP BY 1),
      allf AS (SELECT base.*, coalesce(mmo.member_months, 0) AS member_months, coalesce(b.n, 0) AS members_begin,
-                     coalesce(en.n, 0) AS members_end, ps.mean_pred, ps.std_pred, ps.median_pred
+                     coalesce(en.n, 0) AS members_end, ps.mean_pred, ps.std_pred, ps.median_pred,
+                     coalesce(dd.days, 0) AS days
               FROM base LEFT JOIN mmo USING (c_nationkey) LEFT JOIN b USING (c_nationkey) LEFT JOIN en USING (c_nationkey)
-                   LEFT JOIN ps USING (c_nationkey))
+                   LEFT JOIN ps USING (c_nationkey) LEFT JOIN dd USING (c_nationkey))
 SELECT c_nationkey, members, round(allowed_12, 2) AS allowed_12, round(allowed_4, 2) AS allowed_4,
        round(share_high_cost, 9) AS share_high_cost, member_months, members_begin, members_end,
        round(mean_pred, 9) AS mean_pred, round(std_pred, 9) AS std_pred, round(median_pred, 9) AS median_pred,
        round(allowed_12 / nullif(member_months, 0), 4) AS pmpm,
        round((members_end - members_begin) / nullif(member_months, 0), 9) AS trend,
-       round(allowed_4 / (allowed_12 + 1.0), 9) AS cost_fraction_last_4_month
+       round(allowed_4 / (allowed_12 + 1.0), 9) AS cost_fraction_last_4_month,
+       round(days / members, 9) AS mean_days_covered
 FROM allf
 """)
 def b11(spark, sf):
@@ -279,7 +285,8 @@ def b11(spark, sf):
     out = B.group_features(members, claims, coverage, preds, "member", "c_nationkey", "1998-01-01", 300000.0)
     out = _r(out, ["allowed_12", "allowed_4"], 2)
     out = _r(out, ["pmpm"], 4)
-    return _r(out, ["share_high_cost", "mean_pred", "std_pred", "median_pred", "trend", "cost_fraction_last_4_month"], 9)
+    return _r(out, ["share_high_cost", "mean_pred", "std_pred", "median_pred", "trend", "cost_fraction_last_4_month",
+                    "mean_days_covered"], 9)
 
 
 def _b12_inputs(spark, t):

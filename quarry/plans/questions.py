@@ -234,6 +234,13 @@ def group_features(members: DataFrame, claims: DataFrame, coverage: DataFrame, p
         return (coverage.where((F.col("start_date") <= d) & (F.col("end_date") >= d)).select(member).distinct()
                 .join(m, member).groupBy(group).agg(F.count(F.lit(1)).alias("n")))
 
+    # days covered in the window: intervals clipped to the window, expanded
+    # to distinct (member, day) pairs (at most 366 per interval), counted map-side
+    clipped = coverage.select(member, F.greatest(F.col("start_date"), w12).alias("_s"),
+                              F.least(F.col("end_date"), F.date_sub(s, 1)).alias("_e")).where(F.col("_s") <= F.col("_e"))
+    days = (clipped.select(member, F.explode(F.sequence("_s", "_e")).alias("_d")).distinct()
+            .join(m, member).groupBy(group).agg(F.count(F.lit(1)).alias("_days")))
+
     begin = covered_at(w12).withColumnRenamed("n", "members_begin")
     end = covered_at(s).withColumnRenamed("n", "members_end")
     pm = m.join(preds, member, "left")
@@ -243,9 +250,9 @@ def group_features(members: DataFrame, claims: DataFrame, coverage: DataFrame, p
         F.count(F.lit(1)).alias("members"), F.sum("allowed_12").alias("allowed_12"), F.sum("allowed_4").alias("allowed_4"),
         F.avg((F.col("allowed_12") > high_cost).cast("double")).alias("share_high_cost"))
     out = (base.join(mmonths, group, "left").join(begin, group, "left").join(end, group, "left")
-           .join(pstats, group, "left").join(pmed, group, "left")
-           .fillna({"member_months": 0, "members_begin": 0, "members_end": 0}))
-    return out.withColumns({
+           .join(pstats, group, "left").join(pmed, group, "left").join(days, group, "left")
+           .fillna({"member_months": 0, "members_begin": 0, "members_end": 0, "_days": 0}))
+    return out.withColumn("mean_days_covered", F.col("_days") / F.col("members")).drop("_days").withColumns({
         "pmpm": safe_div("allowed_12", "member_months"),
         "trend": safe_div(F.col("members_end") - F.col("members_begin"), F.col("member_months")),
         "cost_fraction_last_4_month": F.col("allowed_4") / (F.col("allowed_12") + 1.0)})
