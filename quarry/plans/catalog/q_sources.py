@@ -103,3 +103,28 @@ def s8(spark, sf):
     S.save_model(model, path)
     loaded = S.load_model(path)
     return loaded.transform(li).select("l_orderkey", "l_linenumber", "prediction")
+
+
+PATIENT_SCHEMA = ("user_id bigint, observations map<string,array<struct<code:string,interpretation:string,"
+                  "value:double>>>")
+
+
+@register("s2_jsonl_patient_records", """
+SELECT user_id, ts::date::varchar AS event_date, event_type AS code, count(*) AS n
+FROM events GROUP BY 1, 2, 3
+""")
+def s2b(spark, sf):
+    """Nested dated records (date -> list of {code, interpretation, value}) as
+    JSON lines, read back with an explicit schema and unnested (S2 + W3)."""
+    from quarry.operators.aggregates import explode_events
+    ev = Tables(spark, sf).events
+    rec = ev.select("user_id", F.create_map(F.to_date("ts").cast("string"), F.array(F.struct(
+        F.col("event_type").alias("code"),
+        F.when(F.col("value") >= 100, "H").alias("interpretation"),
+        F.col("value").alias("value")))).alias("observations"))
+    path = S.scratch_path(spark, "patients_jsonl")
+    S.write_json(rec, path)
+    back = S.read_jsonl(spark, path, PATIENT_SCHEMA)
+    flat = explode_events(back, "user_id", "observations", None, "event_date", "obs")
+    return flat.groupBy("user_id", F.col("event_date").cast("string").alias("event_date"),
+                        F.col("obs.code").alias("code")).agg(F.count(F.lit(1)).alias("n"))

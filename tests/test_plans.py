@@ -49,3 +49,25 @@ def test_hot_key_quantiles_and_keep_one_are_exact(spark):
                                                               ["l_extendedprice"]).collect()}
     for k, g in pdf.groupby("k"):
         assert first[k] == g["l_extendedprice"].min()
+
+
+def test_hot_score_roc_auc_is_exact(spark):
+    """A third of the rows share one score: the bucketed running sums must
+    still give the brute-force AUC and AP."""
+    from quarry.operators.metrics import average_precision, roc_auc
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    df = li.select((F.col("l_returnflag") == "R").cast("int").alias("label"),
+                   F.when(F.col("l_linenumber") <= 2, F.lit(0.5)).otherwise(F.col("l_discount")).alias("score"))
+    pdf = df.toPandas()
+    assert (pdf["score"] == 0.5).mean() > 0.25
+    auc = roc_auc(df, "label", "score").first()["auc"]
+    ap = average_precision(df, "label", "score").first()["average_precision"]
+    # brute force over distinct thresholds, descending
+    g = pdf.groupby("score")["label"].agg(["sum", "count"]).sort_index(ascending=False)
+    pos, neg = g["sum"].to_numpy(), (g["count"] - g["sum"]).to_numpy()
+    P, N = pos.sum(), neg.sum()
+    tp, fp = np.cumsum(pos), np.cumsum(neg)
+    prev_tp = np.concatenate([[0], tp[:-1]])
+    auc_bf = float(((fp - np.concatenate([[0], fp[:-1]])) * (tp + prev_tp)).sum() / (2 * P * N))
+    ap_bf = float(((pos / P) * (tp / (tp + fp))).sum())
+    assert abs(auc - auc_bf) < 1e-12 and abs(ap - ap_bf) < 1e-12
