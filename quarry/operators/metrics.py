@@ -148,17 +148,27 @@ def top_decile_metrics(df: DataFrame, y: str, p: str, q: float = 0.9, by: list[s
 
 
 # T8
-def threshold_metrics(df: DataFrame, y: str, p: str, thresholds: list[float], by: list[str] | None = None) -> DataFrame:
+def threshold_metrics(df: DataFrame, y: str, p: str, thresholds: list[float], by: list[str] | None = None,
+                      probs: dict[float, str] | None = None) -> DataFrame:
     """Per threshold t: RMSE of rows with y > t, precision/recall/F1 of (p > t vs y > t),
-    cost capture sum(y | p>t)/sum(y | y>t), and AP of p as a score for y > t.
+    cost capture sum(y | p>t)/sum(y | y>t), and AP for the label y > t, scored by
+    ``probs[t]`` (a per-threshold classifier probability column) or by p.
 
     The threshold list is a parameter (bounded): each row is expanded once per
     threshold with ``explode`` (no join), then everything is grouped by threshold.
     """
     by = list(by or [])
     ts = F.array(*[F.lit(float(t)) for t in thresholds])
-    x = df.select(*by, F.col(y).cast("double").alias("_y"), F.col(p).cast("double").alias("_p")).withColumn(
+    extra = sorted(set((probs or {}).values()))
+    x = df.select(*by, F.col(y).cast("double").alias("_y"), F.col(p).cast("double").alias("_p"),
+                  *[F.col(c).cast("double").alias(f"_pr_{i}") for i, c in enumerate(extra)]).withColumn(
         "threshold", F.explode(ts))
+    if probs:
+        # per-threshold classifier probability for AP: a literal map threshold -> column
+        lut = F.create_map(*[v for t, c in probs.items() for v in (F.lit(float(t)), F.col(f"_pr_{extra.index(c)}"))])
+        x = x.withColumn("_score", F.coalesce(lut[F.col("threshold")], F.col("_p")))
+    else:
+        x = x.withColumn("_score", F.col("_p"))
     yt, pt = F.col("_y") > F.col("threshold"), F.col("_p") > F.col("threshold")
     keys = [*by, "threshold"]
     agg = x.groupBy(*keys).agg(
@@ -169,7 +179,7 @@ def threshold_metrics(df: DataFrame, y: str, p: str, thresholds: list[float], by
     base = agg.select(*keys, "rmse_above", prec.alias("precision"), rec.alias("recall"),
                       ratio_or_zero(F.lit(2.0) * prec * rec, prec + rec).alias("f1"),
                       ratio_or_zero("_cp", "_ct").alias("cost_capture"))
-    ap = average_precision(x.withColumn("_lab", yt.cast("int")), "_lab", "_p", by=keys)
+    ap = average_precision(x.withColumn("_lab", yt.cast("int")), "_lab", "_score", by=keys)
     return base.join(ap, keys, "left")
 
 

@@ -172,6 +172,29 @@ _PRIOR_SRC = """(SELECT r.* FROM (SELECT o.*, c.c_acctbal AS prior FROM {reg} o
                                JOIN customer c ON o.o_custkey = c.c_custkey)))"""
 
 
+_T8P_SQL = f"""
+WITH s AS (SELECT *, 1 / (1 + exp(-(p - 100000.0) / 50000.0)) AS pr_100k, 1 / (1 + exp(-(p - 300000.0) / 50000.0)) AS pr_300k
+           FROM {REG_SQL}),
+     th AS (SELECT unnest([100000.0, 300000.0]) AS threshold),
+     x AS (SELECT threshold, y, CASE WHEN threshold = 100000.0 THEN pr_100k ELSE pr_300k END AS score,
+                  (y > threshold)::int AS lab FROM s CROSS JOIN th),
+     per AS (SELECT threshold, score, sum(lab)::double AS pos, sum(1 - lab)::double AS neg FROM x GROUP BY 1, 2),
+     cum AS (SELECT *, sum(pos) OVER (PARTITION BY threshold ORDER BY score DESC) AS cpos,
+                       sum(neg) OVER (PARTITION BY threshold ORDER BY score DESC) AS cneg,
+                       sum(pos) OVER (PARTITION BY threshold) AS "P" FROM per)
+SELECT threshold, round(sum((pos / "P") * (cpos / (cpos + cneg))), 9) AS average_precision FROM cum GROUP BY 1
+"""
+
+
+@register("t8_threshold_metrics_with_probs", _T8P_SQL)
+def t8b(spark, sf):
+    reg = _reg(Tables(spark, sf)).withColumns({
+        "pr_100k": 1 / (1 + F.exp(-(F.col("p") - 100000.0) / 50000.0)),
+        "pr_300k": 1 / (1 + F.exp(-(F.col("p") - 300000.0) / 50000.0))})
+    out = T.threshold_metrics(reg, "y", "p", [100000.0, 300000.0], probs={100000.0: "pr_100k", 300000.0: "pr_300k"})
+    return _r(out.select("threshold", "average_precision"), ["average_precision"])
+
+
 @register("t9_newly_top_metrics", _top_sql(_PRIOR_SRC.format(reg=REG_SQL), "newly_"))
 def t9(spark, sf):
     t = Tables(spark, sf)
