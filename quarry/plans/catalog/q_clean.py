@@ -36,24 +36,26 @@ def r4(spark, sf):
 
 
 @register("r5_keep_one_first", """
-SELECT user_id, ts, event_id, event_type, value FROM (
+SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, event_id, event_type, value FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id, event_type, value, props) AS rn FROM events)
 WHERE rn = 1
 """)
 def r5(spark, sf):
     ev = Tables(spark, sf).events
-    return R.keep_one(ev, ["user_id"], ["ts"], "first").select("user_id", "ts", "event_id", "event_type", "value")
+    return R.keep_one(ev, ["user_id"], ["ts"], "first").select(
+        "user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "event_id", "event_type", "value")
 
 
 @register("r5_keep_one_last", """
-SELECT user_id, ts, event_id, event_type, value FROM (
+SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, event_id, event_type, value FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC, event_type DESC,
                                value DESC, props DESC) AS rn FROM events)
 WHERE rn = 1
 """)
 def r5b(spark, sf):
     ev = Tables(spark, sf).events
-    return R.keep_one(ev, ["user_id"], ["ts"], "last").select("user_id", "ts", "event_id", "event_type", "value")
+    return R.keep_one(ev, ["user_id"], ["ts"], "last").select(
+        "user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "event_id", "event_type", "value")
 
 
 @register("r6_keep_group_min", """

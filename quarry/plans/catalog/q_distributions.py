@@ -131,7 +131,7 @@ def d6(spark, sf):
 @register("d7_linear_trend", """
 SELECT round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept,
        round(corr(l_quantity, l_extendedprice), 9) AS r, round(regr_r2(l_extendedprice, l_quantity), 9) AS r2,
-       regr_count(l_extendedprice, l_quantity) AS n
+       regr_count(l_extendedprice, l_quantity)::bigint AS n
 FROM lineitem
 """)
 def d7(spark, sf):

@@ -145,7 +145,7 @@ def t7(spark, sf):
 
 
 @register("t8_threshold_metrics", f"""
-WITH s AS {REG_SQL}, th AS (SELECT unnest([100000.0, 200000.0, 300000.0]) AS threshold),
+WITH s AS {REG_SQL}, th AS (SELECT unnest([100000.0, 200000.0, 300000.0])::double AS threshold),
      x AS (SELECT threshold, y, p, (y > threshold)::int AS lab FROM s CROSS JOIN th),
      a AS (SELECT threshold, sqrt(avg(CASE WHEN y > threshold THEN (y - p) * (y - p) END)) AS rmse_above,
                   count(*) FILTER (WHERE lab = 1 AND p > threshold) AS tp, count(*) FILTER (WHERE p > threshold) AS np,
@@ -175,7 +175,7 @@ _PRIOR_SRC = """(SELECT r.* FROM (SELECT o.*, c.c_acctbal AS prior FROM {reg} o
 _T8P_SQL = f"""
 WITH s AS (SELECT *, 1 / (1 + exp(-(p - 100000.0) / 50000.0)) AS pr_100k, 1 / (1 + exp(-(p - 300000.0) / 50000.0)) AS pr_300k
            FROM {REG_SQL}),
-     th AS (SELECT unnest([100000.0, 300000.0]) AS threshold),
+     th AS (SELECT unnest([100000.0, 300000.0])::double AS threshold),
      x AS (SELECT threshold, y, CASE WHEN threshold = 100000.0 THEN pr_100k ELSE pr_300k END AS score,
                   (y > threshold)::int AS lab FROM s CROSS JOIN th),
      per AS (SELECT threshold, score, sum(lab)::double AS pos, sum(1 - lab)::double AS neg FROM x GROUP BY 1, 2),
