@@ -9,22 +9,21 @@ bounded by a parameter (top-N lists) or by the class count.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.aggregates import value_counts
 from quarry.operators.clean import ordinal_encode
-from quarry.operators.ordered import running_sums
+from quarry.operators.ordered import dense_index, running_sums
 from quarry.semantics import hash_prefix, with_scalar
 
 
 def vocabulary(fit_df: DataFrame, cols: list[str]) -> DataFrame:
     """(column_name, value, index): distinct non-null values per column, indexed
-    0.. in sorted order within each column (vocabulary-sized window)."""
+    0.. in sorted order within each column (distributed dense rank)."""
     long = fit_df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
-        [], cols, "column_name", "value").where(F.col("value").isNotNull()).distinct()
-    w = Window.partitionBy("column_name").orderBy("value")
-    return long.withColumn("index", (F.row_number().over(w) - 1).cast("int"))
+        [], cols, "column_name", "value")
+    return dense_index(long, "value", by=["column_name"])
 
 
 # M1
@@ -83,8 +82,8 @@ def vectorize(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
 
 
 def feature_vocabulary(long: DataFrame, feature: str = "feature") -> DataFrame:
-    """(feature, index) in sorted feature order."""
-    return long.select(feature).distinct().withColumn("index", (F.row_number().over(Window.orderBy(feature)) - 1).cast("int"))
+    """(feature, index) in sorted feature order (distributed dense rank)."""
+    return dense_index(long, feature)
 
 
 def apply_vocabulary(long: DataFrame, vocab: DataFrame, feature: str = "feature") -> DataFrame:

@@ -73,23 +73,25 @@ def _count_below(edges: Column, x: Column, n: int) -> Column:
 
 def running_sums(df: DataFrame, order: str, sums: list[str], by: list[str] | None = None,
                  buckets: int = DEFAULT_BUCKETS, prefix: str = "cum_", totals_for: list[str] | None = None,
-                 total_prefix: str = "total_") -> DataFrame:
+                 total_prefix: str = "total_", bucket_key: str | None = None) -> DataFrame:
     """Add ``cum_<s>`` = sum of ``s`` over rows with order key <= this row's key.
 
     Requires ``order`` to be unique within each group (pre-aggregate first)
     and non-null. Ascending order; negate the key for descending.
     ``totals_for`` adds group totals ``total_<s>`` from the same (small)
-    per-bucket window, at no extra shuffle.
+    per-bucket window, at no extra shuffle. ``bucket_key`` (numeric, monotone
+    in ``order``) splits the range when ``order`` itself is not numeric.
     """
     by = list(by or [])
     x = order
-    edges = _bucket_edges(df, by, x, sums, buckets)
+    bx = bucket_key or x
+    edges = _bucket_edges(df, by, bx, sums, buckets)
     if by:
         # one row per group: joined on the group keys (AQE broadcasts it when small)
         keyed = df.join(edges, on=by, how="inner")
     else:
         keyed = df.withColumn("_edges", edges.select(F.struct("_edges").alias("_e")).scalar()["_edges"])
-    keyed = keyed.withColumn("_b", _count_below(F.col("_edges"), F.col(x), buckets - 1)).drop("_edges")
+    keyed = keyed.withColumn("_b", _count_below(F.col("_edges"), F.col(bx), buckets - 1)).drop("_edges")
 
     totals = keyed.groupBy(*by, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     w_off = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -147,3 +149,22 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str]
 def quantile_row(df: DataFrame, value: str, probs: dict[str, float], method: str = "exact") -> DataFrame:
     """Whole-table quantiles as a one-row DataFrame (for ``with_scalar``)."""
     return quantiles(df, value, probs, by=None, method=method)
+
+
+def dense_index(df: DataFrame, key: str, by: list[str] | None = None, name: str = "index") -> DataFrame:
+    """Distinct ``key`` values (per ``by`` group) with a dense 0-based index in
+    ascending key order, without a single-task global sort.
+
+    Numeric keys bucket on themselves; string keys bucket on their first six
+    UTF-8 bytes read as a number (zero-padded, so monotone in binary string
+    order) and order by the full string inside each bucket.
+    """
+    by = list(by or [])
+    d = df.select(*by, key).where(F.col(key).isNotNull()).distinct().withColumn("_one", F.lit(1))
+    if dict(d.dtypes)[key] == "string":
+        head = F.rpad(F.hex(F.substring(F.encode(F.col(key), "UTF-8"), 1, 6)), 12, "0")
+        d = d.withColumn("_pk", F.conv(head, 16, 10).cast("bigint"))
+        r = running_sums(d, key, ["_one"], by=by, bucket_key="_pk")
+    else:
+        r = running_sums(d, key, ["_one"], by=by)
+    return r.select(*by, key, (F.col("cum__one") - 1).cast("int").alias(name))

@@ -70,20 +70,13 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite", files: int | N
 def write_features(long: DataFrame, path: str, row: str = "row_id", feature: str = "feature",
                    value: str = "value", mode: str = "overwrite") -> DataFrame:
     """Write the long table and a dense vocabulary; returns the vocabulary plan."""
-    vocab = (long.select(feature).distinct()
-             .withColumn("index", F.dense_rank().over(_vocab_window(feature)) - 1))
+    from quarry.operators.ordered import dense_index
+    vocab = dense_index(long, feature)
     long.select(row, feature, value).write.mode(mode).parquet(f"{path}/values")
     vocab.write.mode(mode).parquet(f"{path}/vocabulary")
     return vocab
 
 
-def _vocab_window(feature: str):
-    from pyspark.sql import Window
-    # The vocabulary is one row per distinct feature name (bounded by the
-    # feature space, not by the row count); a global order is acceptable.
-    return Window.orderBy(feature)
-
-
 def read_features(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/values"), spark.read.parquet(f"{path}/vocabulary")
 

@@ -71,3 +71,23 @@ def test_hot_score_roc_auc_is_exact(spark):
     auc_bf = float(((fp - np.concatenate([[0], fp[:-1]])) * (tp + prev_tp)).sum() / (2 * P * N))
     ap_bf = float(((pos / P) * (tp / (tp + fp))).sum())
     assert abs(auc - auc_bf) < 1e-12 and abs(ap - ap_bf) < 1e-12
+
+
+def test_dense_index_strings_match_sorted_order(spark):
+    from quarry.operators.ordered import dense_index
+    words = ["abcdefgh", "abcdefga", "abcdef", "abc", "", "zeta", "Zeta", "émile", "über", "abÿ", "a", "abcdefg"]
+    df = spark.createDataFrame([(w,) for w in words * 3], "w string")
+    got = {r["w"]: r["index"] for r in dense_index(df, "w").collect()}
+    expect = {w: i for i, w in enumerate(sorted(set(words)))}
+    assert got == expect
+
+
+def test_dense_index_numbers_per_group(spark):
+    from quarry.operators.ordered import dense_index
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    got = {(r["l_returnflag"], r["l_quantity"]): r["index"]
+           for r in dense_index(li, "l_quantity", by=["l_returnflag"]).collect()}
+    pdf = li.select("l_returnflag", "l_quantity").toPandas()
+    for g, sub in pdf.groupby("l_returnflag"):
+        for i, v in enumerate(sorted(sub["l_quantity"].unique())):
+            assert got[(g, v)] == i
