@@ -91,12 +91,12 @@ def ordinal_encode(df: DataFrame, col: str, order: str, out: str | None = None)
     """Code categories 0,1,2... by first appearance under ``order``.
 
     The category table is one row per distinct value (the vocabulary), built by
-    a map-side combined ``min`` per value; the global rank runs over that
-    vocabulary only, and is joined back (broadcast by AQE when small).
+    a map-side combined ``min`` per value; codes are the distributed dense rank
+    of (first appearance, value), joined back (AQE broadcasts it when small).
     """
+    from quarry.operators.ordered import dense_index
     firsts = df.groupBy(col).agg(F.min(order).alias("_first")).where(F.col(col).isNotNull())
-    from pyspark.sql import Window
-    codes = firsts.select(col, (F.dense_rank().over(Window.orderBy("_first", col)) - 1).alias(out or f"{col}_code"))
+    codes = dense_index(firsts, ["_first", col], name=out or f"{col}_code").drop("_first")
     return df.join(codes, col, "left")
 
 

@@ -173,9 +173,8 @@ def grid_search(df: DataFrame, cols: list[str], label: str, estimator, grid: dic
 
 def block_folds(df: DataFrame, period: str, name: str = "fold") -> DataFrame:
     """Time-block rotation: the fold id is the (dense) rank of the period."""
-    periods = df.select(period).distinct()
-    from pyspark.sql import Window
-    ids = periods.withColumn(name, (F.dense_rank().over(Window.orderBy(period)) - 1).cast("int"))
+    from quarry.operators.ordered import dense_index
+    ids = dense_index(df, period, name=name)
     return df.join(ids, period)  # one row per period (AQE picks the strategy)
 
 

@@ -73,14 +73,17 @@ def _count_below(edges: Column, x: Column, n: int) -> Column:
 
 def running_sums(df: DataFrame, order: str, sums: list[str], by: list[str] | None = None,
                  buckets: int = DEFAULT_BUCKETS, prefix: str = "cum_", totals_for: list[str] | None = None,
-                 total_prefix: str = "total_", bucket_key: str | None = None) -> DataFrame:
+                 total_prefix: str = "total_", bucket_key: str | None = None,
+                 tiebreak: list[str] | None = None) -> DataFrame:
     """Add ``cum_<s>`` = sum of ``s`` over rows with order key <= this row's key.
 
     Requires ``order`` to be unique within each group (pre-aggregate first)
     and non-null. Ascending order; negate the key for descending.
     ``totals_for`` adds group totals ``total_<s>`` from the same (small)
     per-bucket window, at no extra shuffle. ``bucket_key`` (numeric, monotone
-    in ``order``) splits the range when ``order`` itself is not numeric.
+    in ``order``) splits the range when ``order`` itself is not numeric;
+    ``tiebreak`` columns make (order, *tiebreak) the unique sort key. Equal
+    ``order`` values always share a bucket, so ties are ranked in one place.
     """
     by = list(by or [])
     x = order
@@ -103,7 +106,7 @@ def running_sums(df: DataFrame, order: str, sums: list[str], by: list[str] | Non
         # at most `buckets` rows: a proven size bound
         offsets = F.broadcast(offsets)
     joined = keyed.join(offsets, on=[*by, "_b"], how="inner")
-    w_in = (Window.partitionBy(*by, "_b").orderBy(x)
+    w_in = (Window.partitionBy(*by, "_b").orderBy(x, *(tiebreak or []))
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = joined.select(
         *[c for c in joined.columns if not c.startswith("_o_") and c != "_b"],
@@ -151,20 +154,31 @@ def quantile_row(df: DataFrame, value: str, probs: dict[str, float], method: str
     return quantiles(df, value, probs, by=None, method=method)
 
 
-def dense_index(df: DataFrame, key: str, by: list[str] | None = None, name: str = "index") -> DataFrame:
-    """Distinct ``key`` values (per ``by`` group) with a dense 0-based index in
+def monotone_key(col: str, dtype: str) -> Column:
+    """A numeric key that never decreases as ``col`` increases (for bucketing)."""
+    c = F.col(col)
+    if dtype == "string":
+        # first six UTF-8 bytes, zero-padded: monotone in binary string order
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("bigint")
+    if dtype.startswith("timestamp"):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if dtype == "date":
+        return F.unix_date(c).cast("double")
+    if dtype == "boolean":
+        return c.cast("int").cast("double")
+    return c.cast("double")
+
+
+def dense_index(df: DataFrame, key: str | list[str], by: list[str] | None = None, name: str = "index") -> DataFrame:
+    """Distinct ``key`` tuples (per ``by`` group) with a dense 0-based index in
     ascending key order, without a single-task global sort.
 
-    Numeric keys bucket on themselves; string keys bucket on their first six
-    UTF-8 bytes read as a number (zero-padded, so monotone in binary string
-    order) and order by the full string inside each bucket.
+    The first key is bucketed through ``monotone_key`` (strings on their first
+    six UTF-8 bytes); the full key tuple orders rows inside each bucket.
     """
     by = list(by or [])
-    d = df.select(*by, key).where(F.col(key).isNotNull()).distinct().withColumn("_one", F.lit(1))
-    if dict(d.dtypes)[key] == "string":
-        head = F.rpad(F.hex(F.substring(F.encode(F.col(key), "UTF-8"), 1, 6)), 12, "0")
-        d = d.withColumn("_pk", F.conv(head, 16, 10).cast("bigint"))
-        r = running_sums(d, key, ["_one"], by=by, bucket_key="_pk")
-    else:
-        r = running_sums(d, key, ["_one"], by=by)
-    return r.select(*by, key, (F.col("cum__one") - 1).cast("int").alias(name))
+    keys = [key] if isinstance(key, str) else list(key)
+    d = df.select(*by, *keys).where(F.col(keys[0]).isNotNull()).distinct().withColumn("_one", F.lit(1))
+    d = d.withColumn("_pk", monotone_key(keys[0], dict(d.dtypes)[keys[0]]))
+    r = running_sums(d, keys[0], ["_one"], by=by, bucket_key="_pk", tiebreak=keys[1:])
+    return r.select(*by, *keys, (F.col("cum__one") - 1).cast("int").alias(name))
