@@ -165,7 +165,12 @@ def grid_search(df: DataFrame, cols: list[str], label: str, estimator, grid: dic
           else RegressionEvaluator(labelCol=label, metricName=metric))
     kw = {"foldCol": fold_col, "numFolds": folds} if fold_col else {"numFolds": folds, "seed": seed}
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=b.build(), evaluator=ev, parallelism=2, **kw)
-    model = cv.fit(assemble(df, cols))
+    # every fold and setting re-reads the input: cache it for the duration of the search
+    data = assemble(df, cols).cache()
+    try:
+        model = cv.fit(data)
+    finally:
+        data.unpersist()
     rows = [(str({p.name: v for p, v in pm.items()}), float(m)) for pm, m in zip(model.getEstimatorParamMaps(),
                                                                                   model.avgMetrics)]
     return model, _table(df.sparkSession, rows, "params string, metric double")
@@ -173,9 +178,12 @@ def grid_search(df: DataFrame, cols: list[str], label: str, estimator, grid: dic
 
 def block_folds(df: DataFrame, period: str, name: str = "fold") -> DataFrame:
     """Time-block rotation: the fold id is the (dense) rank of the period."""
-    from quarry.operators.ordered import dense_index
-    ids = dense_index(df, period, name=name)
-    return df.join(ids, period)  # one row per period (AQE picks the strategy)
+    from pyspark.sql import Window
+    # one row per period: bounded by the calendar, not by the data, so a
+    # single ranking task over the distinct periods is fine
+    periods = df.select(period).distinct()
+    ids = periods.withColumn(name, (F.dense_rank().over(Window.orderBy(period)) - 1).cast("int"))
+    return df.join(ids, period)
 
 
 # L10
