@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.ordered import quantiles, running_sums
+from quarry.operators.ordered import quantiles, quantiles_of, running_sums
 from quarry.semantics import ratio_or_zero, safe_div, with_scalar
 
 
@@ -124,13 +124,13 @@ def asymmetric_loss(df: DataFrame, y: str, p: str, factor: float = 4.0, by: list
 
 def _top_metrics(df: DataFrame, y: str, p: str, q: float, by: list[str], prefix: str = "") -> DataFrame:
     """Top-q membership by truth and by prediction, precision/recall/F1, cost capture."""
-    qy = quantiles(df, y, {"ty": q}, by=by)
-    qp = quantiles(df, p, {"tp_": q}, by=by)
     if by:
+        qy = quantiles(df, y, {"ty": q}, by=by)
+        qp = quantiles(df, p, {"tp_": q}, by=by)
         t = df.join(qy, by).join(qp, by)
     else:
-        t = with_scalar(with_scalar(df, qy, "_y"), qp, "_p").withColumns(
-            {"ty": F.col("_y.ty"), "tp_": F.col("_p.tp_")}).drop("_y", "_p")
+        both = quantiles_of(df, {y: {"ty": q}, p: {"tp_": q}})  # one pipeline for both columns
+        t = with_scalar(df, both, "_q").withColumns({"ty": F.col("_q.ty"), "tp_": F.col("_q.tp_")}).drop("_q")
     yt, pt = F.col(y) > F.col("ty"), F.col(p) > F.col("tp_")
     agg = t.groupBy(*by).agg(
         F.count_if(yt & pt).alias("_tp"), F.count_if(pt).alias("_np"), F.count_if(yt).alias("_ny"),

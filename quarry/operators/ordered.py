@@ -149,6 +149,22 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str]
         for n in probs])
 
 
+def quantiles_of(df: DataFrame, specs: dict[str, dict[str, float]], method: str = "exact") -> DataFrame:
+    """Whole-table quantiles of several columns in ONE pipeline, as one row.
+
+    ``specs`` maps a column to {output name: probability}. The columns are
+    unpivoted into a long table whose group key is the column name, so a
+    single value-count exchange and one set of bucket passes serve them all.
+    """
+    cols = list(specs)
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "_col", "_v")
+    probs = {f"{c}|{n}": p for c, names in specs.items() for n, p in names.items()}
+    q = quantiles(long, "_v", {f"_q{i}": p for i, p in enumerate(probs.values())}, by=["_col"], method=method)
+    keys = list(probs)
+    return q.agg(*[F.max(F.when(F.col("_col") == F.lit(k.split("|")[0]), F.col(f"_q{i}"))).alias(k.split("|")[1])
+                   for i, k in enumerate(keys)])
+
+
 def quantile_row(df: DataFrame, value: str, probs: dict[str, float], method: str = "exact") -> DataFrame:
     """Whole-table quantiles as a one-row DataFrame (for ``with_scalar``)."""
     return quantiles(df, value, probs, by=None, method=method)

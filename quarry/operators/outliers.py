@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.ordered import quantiles
+from quarry.operators.ordered import quantiles, quantiles_of
 from quarry.semantics import safe_div, with_scalar
 
 
@@ -79,11 +79,10 @@ def quartile_flag(df: DataFrame, col: str, p: float = 0.25, flag: str = "low_fla
 # O6
 def quadrants(df: DataFrame, a: str, b: str, method: str = "exact") -> DataFrame:
     """Median split of two scores (each by its own median) -> quadrant counts."""
-    qa = quantiles(df, a, {"ma": 0.5}, method=method)
-    qb = quantiles(df, b, {"mb": 0.5}, method=method)
-    t = with_scalar(with_scalar(df, qa, "_a"), qb, "_b")
-    quad = F.concat(F.when(F.col(a) > F.col("_a.ma"), "high_").otherwise("low_"), F.lit(a), F.lit("__"),
-                    F.when(F.col(b) > F.col("_b.mb"), "high_").otherwise("low_"), F.lit(b))
+    meds = quantiles_of(df, {a: {"ma": 0.5}, b: {"mb": 0.5}}, method=method)  # one pipeline, two medians
+    t = with_scalar(df, meds, "_m")
+    quad = F.concat(F.when(F.col(a) > F.col("_m.ma"), "high_").otherwise("low_"), F.lit(a), F.lit("__"),
+                    F.when(F.col(b) > F.col("_m.mb"), "high_").otherwise("low_"), F.lit(b))
     return t.groupBy(quad.alias("quadrant")).agg(F.count(F.lit(1)).alias("n"))
 
 
