@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.ordered import quantiles
+from quarry.operators.ordered import quantiles, quantiles_of
 from quarry.semantics import with_scalar
 
 
@@ -144,10 +144,24 @@ def target_by_value(df: DataFrame, feature: str, target: str) -> DataFrame:
         F.count(F.lit(1)).alias("count"), F.avg(F.col(target).cast("double")).alias("mean_target"))
 
 
+def _bucket_of(x: Column, e: Column) -> Column:
+    m = F.size(e) - 1
+    return F.greatest(F.least(F.size(F.filter(e, lambda v: v <= x)) - 1, m - 1), F.lit(0))
+
+
 # D6
 def target_by_grid(df: DataFrame, f1: str, f2: str, target: str, buckets: int = 5, method: str = "exact") -> DataFrame:
-    b = bucketize(df.where(F.col(f1).isNotNull() & F.col(f2).isNotNull()), f1, buckets, "b1", method)
-    b = bucketize(b, f2, buckets, "b2", method)
+    """D5 buckets on two features; both sets of percentile edges come from one
+    quantile pipeline over the unpivoted pair."""
+    src = df.where(F.col(f1).isNotNull() & F.col(f2).isNotNull())
+    probs = {i: i / buckets for i in range(buckets + 1)}
+    q = quantiles_of(src, {f1: {f"a{i}": p for i, p in probs.items()}, f2: {f"b{i}": p for i, p in probs.items()}},
+                     method=method)
+    edges = q.select(F.array_sort(F.array_distinct(F.array(*[F.col(f"a{i}") for i in probs]))).alias("e1"),
+                     F.array_sort(F.array_distinct(F.array(*[F.col(f"b{i}") for i in probs]))).alias("e2"))
+    t = with_scalar(src, edges, "_e")
+    b = t.withColumns({"b1": _bucket_of(F.col(f1).cast("double"), F.col("_e.e1")),
+                       "b2": _bucket_of(F.col(f2).cast("double"), F.col("_e.e2"))})
     return b.groupBy("b1", "b2").agg(F.count(F.lit(1)).alias("count"),
                                      F.avg(F.col(target).cast("double")).alias("mean_target"))
 
