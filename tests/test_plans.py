@@ -91,3 +91,26 @@ def test_dense_index_numbers_per_group(spark):
     for g, sub in pdf.groupby("l_returnflag"):
         for i, v in enumerate(sorted(sub["l_quantity"].unique())):
             assert got[(g, v)] == i
+
+
+def test_results_do_not_depend_on_partitioning_or_buckets(spark):
+    """What a recomputed stage sees (other partition counts, AQE choices) must
+    not change exact results: quantiles and AUC are identical across settings."""
+    from quarry.operators.metrics import roc_auc
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    scored = li.select((F.col("l_returnflag") == "R").cast("int").alias("label"),
+                       (F.col("l_discount") + F.col("l_tax")).alias("score"))
+    results = []
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts, buckets, aqe in [(3, 4, "true"), (17, 64, "false"), (8, 16, "true")]:
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            spark.conf.set("spark.sql.adaptive.enabled", aqe)
+            q = sorted(tuple(r) for r in quantiles(li, "l_extendedprice", {"a": 0.1, "b": 0.5, "c": 0.99},
+                                                   by=["l_returnflag"], buckets=buckets).collect())
+            auc = roc_auc(scored, "label", "score").first()["auc"]
+            results.append((q, round(auc, 12)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert results[0] == results[1] == results[2]
