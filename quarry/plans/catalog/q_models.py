@@ -144,7 +144,7 @@ def l12(spark, sf):
     return L.partial_dependence(m, li, LI_FEATS, "l_discount", [0.0, 0.025, 0.05, 0.075, 0.1])
 
 
-@register("l13_pipeline")
+@register("l13_chained_scaler_model")
 def l13(spark, sf):
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
