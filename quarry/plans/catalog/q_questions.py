@@ -295,7 +295,9 @@ def _b12_inputs(spark, t):
                .join(t.part, F.col("l_partkey") == F.col("p_partkey"))
                .select(F.col("o_custkey").alias("member"), F.concat_ws(".", "p_type", "p_brand").alias("feature"),
                        (F.col("l_quantity") * F.col("l_discount")).alias("contribution")))
-    name_map = contrib.select("feature").distinct().withColumn(
+    # the feature dictionary comes from the part table (every possible feature),
+    # not from a second pass over the contributions
+    name_map = t.part.select(F.concat_ws(".", "p_type", "p_brand").alias("feature")).distinct().withColumn(
         "display", normalize_feature_name("feature", ".", {"ECONOMY": 2}, 1))
     bucket_map = name_map.select("display").distinct().withColumn(
         "bucket", F.when(F.col("display").startswith("ECONOMY"), "economy")
