@@ -178,12 +178,21 @@ B9_AS_OF = "2024-01-25"
 
 
 def _b9_inputs(t):
+    """Nested patient-style records built from events -- resources as
+    map<date, array<item>> and observations as map<date, array<struct>> --
+    then unnested (W3) into the flat inputs of the feature builder."""
+    from quarry.operators.aggregates import explode_events
     ev = t.events
-    res = ev.select("user_id", F.to_date("ts").alias("date"),
-                    F.concat("event_type", F.lit("_"), F.get_json_object("props", "$.k")).alias("item"))
-    obs = ev.select("user_id", F.to_date("ts").alias("date"), F.col("event_type").alias("code"),
-                    F.when(F.col("value") >= 100, "H").when(F.col("value") < 5, "L").alias("interpretation"),
-                    "value", F.col("event_id").alias("seq"))
+    day = F.to_date("ts").cast("string")
+    resources = ev.select("user_id", F.create_map(day, F.array(
+        F.concat("event_type", F.lit("_"), F.get_json_object("props", "$.k")))).alias("resources"))
+    observations = ev.select("user_id", F.create_map(day, F.array(F.struct(
+        F.col("event_type").alias("code"),
+        F.when(F.col("value") >= 100, "H").when(F.col("value") < 5, "L").alias("interpretation"),
+        F.col("value").alias("value"), F.col("event_id").alias("seq")))).alias("observations"))
+    res = explode_events(resources, "user_id", "resources", None, "date", "item")
+    obs = explode_events(observations, "user_id", "observations", None, "date", "o").select(
+        "user_id", "date", "o.code", "o.interpretation", "o.value", "o.seq")
     return res, obs
 
 
