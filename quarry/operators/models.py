@@ -152,6 +152,38 @@ def kmeans_sweep(df: DataFrame, features: str, ks: list[int], seed: int = 42) ->
     return _table(df.sparkSession, rows, "k int, cost double, silhouette double")
 
 
+def row_silhouette(df: DataFrame, features: str, cluster: str = "cluster", name: str = "silhouette") -> DataFrame:
+    """Per-row silhouette with squared Euclidean distance (the measure Spark's
+    ClusteringEvaluator averages).
+
+    The mean squared distance from x to cluster c is
+    |x|^2 - 2 x.mu_c + mean_c(|y|^2), so only per-cluster count, mean vector
+    and mean squared norm are needed: k summaries (bounded by k), attached to
+    every row as literals; no pairwise distances are formed.
+    """
+    x = vector_to_array(features)
+    norm2 = F.aggregate(F.transform(x, lambda v: v * v), F.lit(0.0), lambda a, b: a + b)
+    base = df.select("*", x.alias("_x"), norm2.alias("_n2"))
+    dim = len(base.select("_x").first()[0])
+    stats = base.groupBy(cluster).agg(F.count(F.lit(1)).alias("_cnt"), F.avg("_n2").alias("_s"),
+                                      *[F.avg(F.col("_x")[i]).alias(f"_m{i}") for i in range(dim)]).collect()
+    stats = sorted(stats, key=lambda r: r[cluster])  # k rows
+    dists = []
+    for r in stats:
+        mu = F.array(*[F.lit(float(r[f"_m{i}"])) for i in range(dim)])
+        dot = F.aggregate(F.zip_with(F.col("_x"), mu, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        dists.append(F.struct(F.lit(r[cluster]).alias("c"), F.lit(int(r["_cnt"])).alias("n"),
+                              (F.col("_n2") - 2 * dot + F.lit(float(r["_s"]))).alias("d")))
+    t = base.withColumn("_d", F.array(*dists))
+    mine = F.filter("_d", lambda e: e["c"] == F.col(cluster))[0]
+    # the point itself is excluded from its own cluster's mean: scale by n/(n-1)
+    own = mine["d"] * mine["n"] / (mine["n"] - 1)
+    other = F.array_min(F.transform(F.filter("_d", lambda e: e["c"] != F.col(cluster)), lambda e: e["d"]))
+    sil = (F.when(other.isNull() | (mine["n"] <= 1), F.lit(0.0))
+           .otherwise((other - own) / F.greatest(own, other)))
+    return t.withColumn(name, sil).drop("_x", "_n2", "_d")
+
+
 # L9
 def grid_search(df: DataFrame, cols: list[str], label: str, estimator, grid: dict, folds: int = 3,
                 fold_col: str | None = None, metric: str = "areaUnderROC", seed: int = 42):

@@ -109,6 +109,12 @@ def l8(spark, sf):
     return L.kmeans_sweep(_emb(Tables(spark, sf)), "vec", [2, 3, 4, 5, 6])
 
 
+@register("l8_kmeans_row_silhouette")
+def l8b(spark, sf):
+    _, labelled, _, _ = L.fit_kmeans(_emb(Tables(spark, sf)), "vec", 4)
+    return L.row_silhouette(labelled, "vec").select("vec_id", "cluster", "silhouette")
+
+
 @register("l9_grid_search_block_cv")
 def l9(spark, sf):
     from pyspark.ml.classification import LogisticRegression

@@ -63,3 +63,16 @@ def test_models_are_seed_stable(spark):
     a = sorted(tuple(r) for r in _q(spark, "l7_kmeans_clusters").select("cluster", "size").collect())
     b = sorted(tuple(r) for r in _q(spark, "l7_kmeans_clusters").select("cluster", "size").collect())
     assert a == b
+
+
+def test_row_silhouette_mean_matches_spark_evaluator(spark):
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+    from quarry.operators import models as L
+    emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").select(
+        "vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("vec"))
+    _, labelled, _, _ = L.fit_kmeans(emb, "vec", 4)
+    mean_rows = L.row_silhouette(labelled, "vec").agg(F.avg("silhouette")).first()[0]
+    ev = ClusteringEvaluator(featuresCol="vec", predictionCol="cluster", metricName="silhouette",
+                             distanceMeasure="squaredEuclidean").evaluate(labelled)
+    assert abs(mean_rows - ev) < 1e-6
