@@ -183,6 +183,12 @@ def m7(spark, sf):
     return explained
 
 
+@register("m7_pca_loadings")
+def m7c(spark, sf):
+    _, loadings, _ = L.pca(_emb(Tables(spark, sf)), "vec", 3)
+    return loadings
+
+
 @register("m7_pca_projection")
 def m7b(spark, sf):
     proj, _, _ = L.pca(_emb(Tables(spark, sf)), "vec", 3)
