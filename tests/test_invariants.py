@@ -76,3 +76,14 @@ def test_row_silhouette_mean_matches_spark_evaluator(spark):
     ev = ClusteringEvaluator(featuresCol="vec", predictionCol="cluster", metricName="silhouette",
                              distanceMeasure="squaredEuclidean").evaluate(labelled)
     assert abs(mean_rows - ev) < 1e-6
+
+
+def test_pca_loadings_unit_norm_and_sign_fixed(spark):
+    rows = _q(spark, "m7_pca_loadings").collect()
+    by_comp = {}
+    for r in rows:
+        by_comp.setdefault(r["component"], []).append(r["loading"])
+    assert len(by_comp) == 3
+    for vals in by_comp.values():
+        assert abs(sum(v * v for v in vals) - 1.0) < 1e-9
+        assert max(vals, key=abs) > 0
