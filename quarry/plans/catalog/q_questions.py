@@ -65,6 +65,23 @@ def b3(spark, sf):
     return B.contact_frequency(exposures, "uid")
 
 
+@register("b3_contact_frequency_histogram", """
+WITH pu AS (SELECT user_id, count(*)::double AS c FROM events WHERE event_type = 'view' GROUP BY 1),
+     s AS (SELECT min(c) AS lo, (max(c) - min(c)) / 75.0 AS w FROM pu),
+     b AS (SELECT least(floor((c - s.lo) / s.w)::int, 74) AS bin, count(*) AS n FROM pu, s GROUP BY 1),
+     g AS (SELECT unnest(range(0, 75))::int AS bin)
+SELECT g.bin, round(s.lo + g.bin * s.w, 6) AS lower, round(s.lo + (g.bin + 1) * s.w, 6) AS upper,
+       coalesce(b.n, 0) AS count
+FROM g CROSS JOIN s LEFT JOIN b ON g.bin = b.bin
+""")
+def b3b(spark, sf):
+    """Contacts per exposed user (W1 + dedup per user), drawn as a 75-bin histogram."""
+    from quarry.operators.distributions import histogram
+    exposures, _, _ = _funnel_inputs(Tables(spark, sf))
+    per_user = exposures.groupBy("uid").agg(F.count(F.lit(1)).cast("double").alias("contact_times"))
+    return _r(histogram(per_user, "contact_times", 75), ["lower", "upper"])
+
+
 @register("b4_propensity_base", """
 WITH v AS (SELECT user_id, ts FROM events WHERE event_type = 'view'),
      c AS (SELECT user_id, count(*) AS contact_times, min(ts) AS mts FROM v GROUP BY 1),
