@@ -13,7 +13,7 @@ def _funnel_inputs(t: Tables):
     ev = t.events.select("user_id", "ts", "event_type", "value")
     exposures = ev.where(F.col("event_type") == "view").select(F.col("user_id").alias("uid"), F.col("ts").alias("ad_ts"))
     installs = ev.where(F.col("event_type") == "signup").select(
-        F.col("user_id").alias("uid"), F.col("user_id").alias("device_id"))
+        F.col("user_id").alias("uid"), F.col("user_id").alias("device_id"), F.col("ts").alias("install_ts"))
     checkouts = ev.where(F.col("event_type") == "purchase").select(
         F.col("user_id").alias("device_id"), F.col("ts").alias("ck_ts"), "value")
     return exposures, installs, checkouts
@@ -90,13 +90,16 @@ SELECT user_id AS uid, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ad_ts, (isodow(ts) -
        contact_times,
        (user_id IN (SELECT user_id FROM events WHERE event_type = 'signup'))::int AS installed,
        (user_id IN (SELECT s.user_id FROM events s JOIN events p ON s.user_id = p.user_id
-                    WHERE s.event_type = 'signup' AND p.event_type = 'purchase'))::int AS converted
+                    WHERE s.event_type = 'signup' AND p.event_type = 'purchase'))::int AS converted,
+       strftime((SELECT min(ts) FROM events i WHERE i.event_type = 'signup' AND i.user_id = f.user_id),
+                '%Y-%m-%d %H:%M:%S') AS first_install_ts
 FROM f
 """)
 def b4(spark, sf):
     exposures, installs, checkouts = _funnel_inputs(Tables(spark, sf))
-    out = B.propensity_base(exposures, installs, checkouts, "uid", "ad_ts", "device_id")
-    return out.withColumn("ad_ts", F.date_format("ad_ts", "yyyy-MM-dd HH:mm:ss"))
+    out = B.propensity_base(exposures, installs, checkouts, "uid", "ad_ts", "device_id", install_ts="install_ts")
+    return out.withColumns({"ad_ts": F.date_format("ad_ts", "yyyy-MM-dd HH:mm:ss"),
+                            "first_install_ts": F.date_format("first_install_ts", "yyyy-MM-dd HH:mm:ss")})
 
 
 @register("b5_window_label", """

@@ -69,14 +69,18 @@ def contact_frequency(df: DataFrame, key: str, name: str = "contact_times") -> D
 
 # B4
 def propensity_base(exposures: DataFrame, installs: DataFrame, checkouts: DataFrame,
-                    user: str, ts: str, device: str, converted: Column | None = None) -> DataFrame:
+                    user: str, ts: str, device: str, converted: Column | None = None,
+                    install_ts: str | None = None) -> DataFrame:
     """First exposure per user (ties kept) with weekday/hour/contact count, plus
-    installed and converted flags from the other two tables."""
+    installed and converted flags and, given ``install_ts``, the first install time."""
     from quarry.operators.joins import flag_member
     counted = group_broadcast(exposures, user, {"contact_times": F.count(F.lit(1))})
     first = keep_group_min(counted, user, ts)
     base = first.select(user, ts, F.weekday(ts).alias("ad_dow"), F.hour(ts).alias("ad_hour"), "contact_times")
     base = flag_member(base, installs.select(user), user, "installed")
+    if install_ts is not None:
+        first_install = installs.groupBy(user).agg(F.min(install_ts).alias("first_install_ts"))
+        base = base.join(first_install, user, "left")
     ck = checkouts if converted is None else checkouts.where(converted)
     buyers = installs.select(user, device).join(ck.select(device), device).select(user)
     return flag_member(base, buyers, user, "converted")
