@@ -187,11 +187,15 @@ SELECT l_orderkey, 'last_' || feature, value FROM (
     SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_quantity DESC, l_discount DESC) AS rn
     FROM lineitem) WHERE rn = 1)
 UNPIVOT (value FOR feature IN (l_quantity, l_discount))
+UNION ALL
+SELECT l_orderkey, 'mean_score', round(avg(l_tax), 9) FROM lineitem GROUP BY 1
 """)
 def b8(spark, sf):
     li = Tables(spark, sf).lineitem
-    return B.claim_flags(li, "l_orderkey", {"l_returnflag": "rf", "l_linestatus": "ls"}, ["l_linenumber"],
-                         ["l_quantity", "l_discount"])
+    out = B.claim_flags(li, "l_orderkey", {"l_returnflag": "rf", "l_linestatus": "ls"}, ["l_linenumber"],
+                        ["l_quantity", "l_discount"], score="l_tax")
+    return out.withColumn("value", F.when(F.col("feature") == "mean_score", F.round("value", 9))
+                          .otherwise(F.col("value")))
 
 
 B9_AS_OF = "2024-01-25"

@@ -126,9 +126,10 @@ def provider_features(claims: DataFrame, provider: str, claim: str, member: str,
 
 # B8
 def claim_flags(claims: DataFrame, claim: str, code_cols: dict[str, str], order: list[str],
-                last_cols: list[str]) -> DataFrame:
-    """Long features per claim: ``prefix_code`` = 1 for every non-null code, and
-    the claim's last row values (``last_<col>``) under a total order."""
+                last_cols: list[str], score: str | None = None) -> DataFrame:
+    """Long features per claim: ``prefix_code`` = 1 for every non-null code, the
+    claim's last row values (``last_<col>``) under a total order and, given
+    ``score``, the claim's mean score as the ``mean_score`` target row."""
     stacked = None
     for col_name, prefix in code_cols.items():
         part = claims.select(claim, F.concat(F.lit(prefix + "_"), F.col(col_name).cast("string")).alias("feature")).where(
@@ -138,7 +139,12 @@ def claim_flags(claims: DataFrame, claim: str, code_cols: dict[str, str], order:
     last = keep_one(claims.select(claim, *order, *[c for c in last_cols if c not in order]), [claim], order, "last")
     lasts = last.select(claim, *[c for c in last_cols]).unpivot(claim, last_cols, "feature", "value").select(
         claim, F.concat(F.lit("last_"), F.col("feature")).alias("feature"), F.col("value").cast("double").alias("value"))
-    return flags.unionByName(lasts)
+    out = flags.unionByName(lasts)
+    if score is not None:
+        target = claims.groupBy(claim).agg(F.lit("mean_score").alias("feature"),
+                                           F.avg(F.col(score).cast("double")).alias("value"))
+        out = out.unionByName(target)
+    return out
 
 
 # B9
