@@ -107,6 +107,11 @@ def a12(spark, sf):
     return A.value_counts(Tables(spark, sf).part, "p_brand", 10)
 
 
+@register("a12_value_counts_all", "SELECT p_type, count(*) AS n FROM part GROUP BY 1")
+def a12b(spark, sf):
+    return A.value_counts(Tables(spark, sf).part, "p_type")
+
+
 @register("a13_first_by", "SELECT o_custkey, min(o_orderpriority) AS o_orderpriority FROM orders GROUP BY 1")
 def a13(spark, sf):
     return A.first_by(Tables(spark, sf).orders, "o_custkey", "o_orderpriority")
