@@ -182,6 +182,12 @@ def a16(spark, sf):
     return out.withColumn("prevalence", F.round("prevalence", 9))
 
 
+@register("a16_ranked_prevalence_map")
+def a16b(spark, sf):
+    """Same ranking as an ordered map per group (tag -> prevalence, highest first)."""
+    return A.ranked_prevalence(_prevalence(spark, sf), as_map=True)
+
+
 CORR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
