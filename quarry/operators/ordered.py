@@ -8,7 +8,7 @@ ranking metrics (ROC / PR):
   (exact percentiles of a bounded hash sample per group); per-bucket totals give offsets (at most
   ``buckets`` rows per group), and the within-bucket running sum is a window
   partitioned by (group, bucket).  No task ever holds more than about
-  1/buckets of a group's distinct keys.
+  max(SPLIT_ABOVE keys, 1/buckets of a group's distinct keys).
 * ``quantiles``: exact linear-interpolated quantiles (DuckDB
   ``quantile_cont`` / numpy ``linear``) from value counts and running counts.
   Heavy duplicates are collapsed by a map-side combined ``groupBy(value)``
@@ -29,6 +29,9 @@ DEFAULT_BUCKETS = 64
 
 
 EDGE_SAMPLE = 8192
+# groups with at most this many distinct keys stay one bucket: the window then
+# holds at most SPLIT_ABOVE keys, and no edges are computed for them
+SPLIT_ABOVE = EDGE_SAMPLE
 
 
 def _bucket_edges(df: DataFrame, by: list[str], x: str, sums: list[str], buckets: int) -> DataFrame:
@@ -40,6 +43,7 @@ def _bucket_edges(df: DataFrame, by: list[str], x: str, sums: list[str], buckets
     hash-chosen subset give the same edges on every evaluation, so a branch
     recomputed after an executor loss buckets rows exactly like the others.
     Edges only steer balance; the running sums are exact for any edges.
+    Groups with at most SPLIT_ABOVE keys get no edges (one bucket).
     """
     # the guard reads the summed columns (true for every non-null sum), so all
     # branches prune ``df`` identically and share one exchange
@@ -54,7 +58,8 @@ def _bucket_edges(df: DataFrame, by: list[str], x: str, sums: list[str], buckets
     else:
         withn = keyed.withColumn("_nd", n.scalar())
     u = (F.abs(F.xxhash64(*[F.col(c) for c in by], F.col(x))) % F.lit(1_000_003)) / F.lit(1_000_003.0)
-    sample = withn.where(F.col("_g") & (u < F.lit(float(EDGE_SAMPLE)) / F.col("_nd")))
+    sample = withn.where(F.col("_g") & (F.col("_nd") > F.lit(SPLIT_ABOVE))
+                         & (u < F.lit(float(EDGE_SAMPLE)) / F.col("_nd")))
     probs = [i / buckets for i in range(1, buckets)]
     return sample.groupBy(*by).agg(F.percentile(F.col(x), F.array(*[F.lit(p) for p in probs])).alias("_edges"))
 
@@ -62,7 +67,7 @@ def _bucket_edges(df: DataFrame, by: list[str], x: str, sums: list[str], buckets
 def _count_below(edges: Column, x: Column, n: int) -> Column:
     """Number of the ``n`` sorted edges strictly below x, as a balanced CASE
     tree (binary search, ~log2(n) comparisons per row, whole-stage codegen)
-    instead of a per-row scan of the array."""
+    instead of a per-row scan of the array. NULL edges give bucket 0."""
     def node(lo: int, hi: int) -> Column:  # answer lies in [lo, hi]
         if lo == hi:
             return F.lit(lo)
@@ -90,8 +95,9 @@ def running_sums(df: DataFrame, order: str, sums: list[str], by: list[str] | Non
     bx = bucket_key or x
     edges = _bucket_edges(df, by, bx, sums, buckets)
     if by:
-        # one row per group: joined on the group keys (AQE broadcasts it when small)
-        keyed = df.join(edges, on=by, how="inner")
+        # one row per split group: joined on the group keys (AQE broadcasts it
+        # when small); unsplit groups find no edges and fall into bucket 0
+        keyed = df.join(edges, on=by, how="left")
     else:
         keyed = df.withColumn("_edges", edges.select(F.struct("_edges").alias("_e")).scalar()["_edges"])
     keyed = keyed.withColumn("_b", _count_below(F.col("_edges"), F.col(bx), buckets - 1)).drop("_edges")
