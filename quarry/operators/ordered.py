@@ -26,6 +26,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 64
+# an ungrouped order (a whole-table quantile or ROC) has no group keys to
+# spread it, so its key range is cut finer
+GLOBAL_BUCKETS = 256
 
 
 EDGE_SAMPLE = 8192
@@ -35,10 +38,11 @@ SPLIT_ABOVE = EDGE_SAMPLE
 
 
 def _bucket_edges(df: DataFrame, by: list[str], x: str, sums: list[str], buckets: int) -> DataFrame:
-    """Deterministic bucket edges per group (one row per group, ``_edges``).
+    """Deterministic bucket edges per group (one row per group, ``_edges``,
+    plus every ``fan``-th edge as ``_coarse`` when two-level lookup is used).
 
     Edges are exact percentiles of a hash-selected sample of each group's
-    distinct keys, about EDGE_SAMPLE per group whatever the group size (the
+    distinct keys, about max(EDGE_SAMPLE, 64 * buckets) per group whatever the group size (the
     rate comes from the exact per-group key count). Exact aggregates over a
     hash-chosen subset give the same edges on every evaluation, so a branch
     recomputed after an executor loss buckets rows exactly like the others.
@@ -58,26 +62,57 @@ def _bucket_edges(df: DataFrame, by: list[str], x: str, sums: list[str], buckets
     else:
         withn = keyed.withColumn("_nd", n.scalar())
     u = (F.abs(F.xxhash64(*[F.col(c) for c in by], F.col(x))) % F.lit(1_000_003)) / F.lit(1_000_003.0)
+    size = max(EDGE_SAMPLE, 64 * buckets)
     sample = withn.where(F.col("_g") & (F.col("_nd") > F.lit(SPLIT_ABOVE))
-                         & (u < F.lit(float(EDGE_SAMPLE)) / F.col("_nd")))
+                         & (u < F.lit(float(size)) / F.col("_nd")))
     probs = [i / buckets for i in range(1, buckets)]
-    return sample.groupBy(*by).agg(F.percentile(F.col(x), F.array(*[F.lit(p) for p in probs])).alias("_edges"))
+    edges = sample.groupBy(*by).agg(F.percentile(F.col(x), F.array(*[F.lit(p) for p in probs])).alias("_edges"))
+    fan = _fan(buckets)
+    if fan:
+        edges = edges.withColumn("_coarse", F.array(*[F.element_at("_edges", i * fan) for i in range(1, buckets // fan)]))
+    return edges
+
+
+def _fan(buckets: int) -> int:
+    """Second-level fan-out for two-level lookup (0: one level suffices)."""
+    if buckets <= DEFAULT_BUCKETS:
+        return 0
+    if buckets & (buckets - 1):
+        raise ValueError("bucket counts above 64 must be powers of two")
+    return 1 << ((buckets.bit_length() - 1) // 2)
+
+
+def _count_below(edges: Column, x: Column, n: int, base: Column | None = None) -> Column:
+    """Number of the ``n`` sorted edges (from 1-based position base + 1)
+    strictly below x, as a balanced CASE tree (binary search, ~log2(n)
+    comparisons per row, whole-stage codegen) instead of a per-row scan of
+    the array. NULL edges give bucket 0."""
+    def at(i: int) -> Column:
+        return F.element_at(edges, F.lit(i) if base is None else base + F.lit(i))
 
-
-def _count_below(edges: Column, x: Column, n: int) -> Column:
-    """Number of the ``n`` sorted edges strictly below x, as a balanced CASE
-    tree (binary search, ~log2(n) comparisons per row, whole-stage codegen)
-    instead of a per-row scan of the array. NULL edges give bucket 0."""
     def node(lo: int, hi: int) -> Column:  # answer lies in [lo, hi]
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi + 1) // 2  # is the mid-th edge (1-based) below x?
-        return F.when(F.element_at(edges, mid) < x, node(mid, hi)).otherwise(node(lo, mid - 1))
+        return F.when(at(mid) < x, node(mid, hi)).otherwise(node(lo, mid - 1))
     return node(0, n)
 
 
+def _with_bucket(df: DataFrame, x: str, buckets: int) -> DataFrame:
+    """``_b`` = number of edges below x. Up to 64 buckets one CASE tree; above,
+    two small trees (coarse edges, then the fan - 1 edges inside the coarse
+    range), so generated code stays small at any bucket count."""
+    fan = _fan(buckets)
+    if not fan:
+        return df.withColumn("_b", _count_below(F.col("_edges"), F.col(x), buckets - 1)).drop("_edges")
+    # sorted edges: every edge before position fan*c is below x, none from fan*(c+1) on
+    df = df.withColumn("_cb", _count_below(F.col("_coarse"), F.col(x), buckets // fan - 1) * F.lit(fan))
+    fine = _count_below(F.col("_edges"), F.col(x), fan - 1, base=F.col("_cb"))
+    return df.withColumn("_b", F.col("_cb") + fine).drop("_edges", "_coarse", "_cb")
+
+
 def running_sums(df: DataFrame, order: str, sums: list[str], by: list[str] | None = None,
-                 buckets: int = DEFAULT_BUCKETS, prefix: str = "cum_", totals_for: list[str] | None = None,
+                 buckets: int | None = None, prefix: str = "cum_", totals_for: list[str] | None = None,
                  total_prefix: str = "total_", bucket_key: str | None = None,
                  tiebreak: list[str] | None = None) -> DataFrame:
     """Add ``cum_<s>`` = sum of ``s`` over rows with order key <= this row's key.
@@ -91,6 +126,7 @@ def running_sums(df: DataFrame, order: str, sums: list[str], by: list[str] | Non
     ``order`` values always share a bucket, so ties are ranked in one place.
     """
     by = list(by or [])
+    buckets = buckets or (DEFAULT_BUCKETS if by else GLOBAL_BUCKETS)
     x = order
     bx = bucket_key or x
     edges = _bucket_edges(df, by, bx, sums, buckets)
@@ -99,8 +135,9 @@ def running_sums(df: DataFrame, order: str, sums: list[str], by: list[str] | Non
         # when small); unsplit groups find no edges and fall into bucket 0
         keyed = df.join(edges, on=by, how="left")
     else:
-        keyed = df.withColumn("_edges", edges.select(F.struct("_edges").alias("_e")).scalar()["_edges"])
-    keyed = keyed.withColumn("_b", _count_below(F.col("_edges"), F.col(bx), buckets - 1)).drop("_edges")
+        e = edges.select(F.struct(*edges.columns).alias("_e")).scalar()
+        keyed = df.withColumns({c: e[c] for c in edges.columns})
+    keyed = _with_bucket(keyed, bx, buckets)
 
     totals = keyed.groupBy(*by, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     w_off = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -109,7 +146,7 @@ def running_sums(df: DataFrame, order: str, sums: list[str], by: list[str] | Non
         F.coalesce(F.sum(f"_t_{s}").over(w_off), F.lit(0)).alias(f"_o_{s}") for s in sums], *[
         F.sum(f"_t_{s}").over(w_all).alias(f"{total_prefix}{s}") for s in (totals_for or [])])
     if not by:
-        # at most `buckets` rows: a proven size bound
+        # at most `buckets` (256) rows: a proven size bound
         offsets = F.broadcast(offsets)
     joined = keyed.join(offsets, on=[*by, "_b"], how="inner")
     w_in = (Window.partitionBy(*by, "_b").orderBy(x, *(tiebreak or []))
@@ -121,7 +158,7 @@ def running_sums(df: DataFrame, order: str, sums: list[str], by: list[str] | Non
 
 
 def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str] | None = None,
-              method: str = "exact", buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+              method: str = "exact", buckets: int | None = None) -> DataFrame:
     """One row per group with a column per named probability.
 
     NULL values are ignored; groups with no value are absent (as in SQL).

@@ -133,3 +133,17 @@ def test_results_do_not_depend_on_partitioning_or_buckets(spark):
         spark.conf.set("spark.sql.shuffle.partitions", old)
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert results[0] == results[1] == results[2]
+
+
+@pytest.mark.usefixtures("split_mode")
+def test_two_level_bucket_lookup_matches_percentile(spark):
+    """Above 64 buckets the bucket is found by two small binary searches;
+    quantiles (including the extremes) must still equal Spark's percentile."""
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    probs = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.97, "e": 1.0}
+    for by, buckets in [([], None), ([], 1024), (["l_returnflag"], 256)]:
+        got = sorted(tuple(r) for r in quantiles(li, "l_extendedprice", probs, by=by, buckets=buckets).collect())
+        want = sorted(tuple(r) for r in quantiles(li, "l_extendedprice", probs, by=by, method="buffered").collect())
+        assert len(got) == len(want)
+        for g, w in zip(got, want):
+            assert all((abs(x - y) < 1e-9) if isinstance(x, float) else x == y for x, y in zip(g, w))
