@@ -11,6 +11,8 @@ from quarry.operators.clean import keep_one
 from quarry.operators.ordered import quantiles
 from tests.conftest import SF_SMALL
 
+SF_MEDIUM = "/root/testdata/sf0.01"
+
 
 @pytest.fixture(params=["split_every_group", "default_split"])
 def split_mode(request, monkeypatch):
@@ -147,3 +149,19 @@ def test_two_level_bucket_lookup_matches_percentile(spark):
         assert len(got) == len(want)
         for g, w in zip(got, want):
             assert all((abs(x - y) < 1e-9) if isinstance(x, float) else x == y for x, y in zip(g, w))
+
+
+def test_default_threshold_splits_large_groups_exactly(spark):
+    """At sf0.01 each return-flag group has more than SPLIT_ABOVE distinct
+    prices, so the default settings take the bucketed path; the result must
+    equal Spark's buffered percentile."""
+    li = spark.read.parquet(f"{SF_MEDIUM}/lineitem.parquet")
+    nd = li.groupBy("l_returnflag").agg(F.countDistinct("l_extendedprice").alias("n")).collect()
+    assert min(r["n"] for r in nd) > ordered.SPLIT_ABOVE
+    probs = {"a": 0.01, "b": 0.5, "c": 0.999}
+    for by in [["l_returnflag"], []]:
+        got = sorted(tuple(r) for r in quantiles(li, "l_extendedprice", probs, by=by).collect())
+        want = sorted(tuple(r) for r in quantiles(li, "l_extendedprice", probs, by=by, method="buffered").collect())
+        assert len(got) == len(want)
+        for g, w in zip(got, want):
+            assert all((abs(x - y) < 1e-6) if isinstance(x, float) else x == y for x, y in zip(g, w))
