@@ -298,6 +298,10 @@ LABELLED = [
     <article class="labelled-main"><h1>Title</h1><p>Word.</p><div><p>The text goes on here, in a plain division.</p></div><div class="share"><a href="/s">Share</a></div><p>End of it.</p><section class="comments"><p>First! A reader wrote this, with joy.</p></section></article>
     <aside class="related"><h3>Related</h3><p><a href="/r">A related story about bread</a></p></aside><footer>&copy; Site</footer></body></html>""",
     """<html><body><table><tr><td class="nav"><a href="/h">Home</a></td><td><div class="post labelled-main"><h2>A note</h2><p>Some notes, written by hand, on one page.</p><p>More of them.</p></div></td></tr></table><div class="newsletter"><p>Get our letter each week. Sign up.</p></div></body></html>""",
+    """<article class="labelled-main"><h1>Alone</h1><p>Nothing stands around this text, which is all there is.</p><p>Two.</p></article>""",
+    """<html><body><main class="labelled-main"><p>Only a main part, and a long one at that; it goes on and on.</p></main></body></html>""",
+    """<p class="labelled-main">A paragraph without a page.</p><p class="labelled-main">And a second one, of more words.</p>""",
+    """<html><body class="labelled-main">Bare text in the body, without any marks.<p>A paragraph too.</p></body></html>""",
 ]
 
 
