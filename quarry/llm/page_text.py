@@ -52,8 +52,8 @@ GROUPS = [{"p"}, {"h1"}, {"h2", "h3", "h4", "h5", "h6"}, {"li", "ul", "ol", "dl"
           {"nav", "footer", "aside", "form", "menu", "button", "fieldset", "dialog", "address"}, {"header"}, {"table", "tr", "td", "th", "tbody", "thead", "caption"},
           {"blockquote", "pre", "figure", "figcaption"}, {"#page", "html", "body"}]
 FEATURES = 1 + len(GROUPS) + 1 + 3 + 7
-#: Kinds of children with potentials of their own: plain, boilerplate by tag or name, container.
-KINDS = 3
+#: Kinds of children with potentials of their own: plain, boilerplate by tag or name, container, header.
+KINDS = 4
 
 
 class Page:
@@ -152,7 +152,7 @@ class Page:
         flush()
 
     def kinds(self) -> np.ndarray:
-        return np.array([1 if t in GROUPS[7] or _BAD.search(n) or _COMMENT.search(n) else 2 if t in ("div", "section", "article", "main", "body", "html", "header") else 0
+        return np.array([1 if t in GROUPS[7] or _BAD.search(n) or _COMMENT.search(n) else 2 if t in ("div", "section", "article", "main", "body", "html") else 3 if t == "header" else 0
                          for t, n in zip(self.tags, self.names, strict=True)])
 
     def features(self) -> np.ndarray:
@@ -298,6 +298,8 @@ LABELLED = [
     <article class="labelled-main"><h1>Title</h1><p>Word.</p><div><p>The text goes on here, in a plain division.</p></div><div class="share"><a href="/s">Share</a></div><p>End of it.</p><section class="comments"><p>First! A reader wrote this, with joy.</p></section></article>
     <aside class="related"><h3>Related</h3><p><a href="/r">A related story about bread</a></p></aside><footer>&copy; Site</footer></body></html>""",
     """<html><body><table><tr><td class="nav"><a href="/h">Home</a></td><td><div class="post labelled-main"><h2>A note</h2><p>Some notes, written by hand, on one page.</p><p>More of them.</p></div></td></tr></table><div class="newsletter"><p>Get our letter each week. Sign up.</p></div></body></html>""",
+    """<html><body><header><p>The town's own paper, since 1901.</p></header><article class="labelled-main"><header><h1>News</h1><p>By a writer, on Monday.</p></header><p>It is new, they say.</p></article><footer><p>The end.</p></footer></body></html>""",
+    """<body><header class="site"><h1>A blog</h1><p>Words on things, every day</p></header><div class="post labelled-main"><h2>Things</h2><p>They are many.</p></div></body>""",
     """<article class="labelled-main"><h1>Alone</h1><p>Nothing stands around this text, which is all there is.</p><p>Two.</p></article>""",
     """<html><body><main class="labelled-main"><p>Only a main part, and a long one at that; it goes on and on.</p></main></body></html>""",
     """<p class="labelled-main">A paragraph without a page.</p><p class="labelled-main">And a second one, of more words.</p>""",
@@ -307,6 +309,7 @@ LABELLED = [
 
 def _example(page: Page, weight: float):
     y = page.labels()
+    page.names = [n.replace("labelled-main", "").strip() for n in page.names]  # a mark is no feature
     return None if y is None else (np.array(page.parents), page.kinds(), page.features(), y, weight)
 
 
