@@ -13,9 +13,9 @@ shorter text is one shingle).  Steps:
 3. In every bucket the smallest representative is the hub, and each other member is
    verified against it.  Verified links are contracted to components.
 4. Members of one bucket in different components are then paired, so no link that
-   the banding finds is lost.  Buckets with more than ``heavy`` such members take
-   their pairs from a rare-first prefix index instead, which is exact at the
-   threshold: two sets that similar share one of their rarest shingles.
+   the banding finds is lost.  The members of a component that the hubs have built
+   are not paired again, and a pair is made in its first common bucket only.  The
+   skewed join splits a bucket that has very many members left.
 
 Pairs are confirmed on the full sets, made anew from the whole texts (shingles as
 64-bit hashes).  With 8 rows and 40 bands a pair at the threshold 0.85 is missed
@@ -34,7 +34,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from quarry.llm.components import components
 from quarry.llm.scan import as_id, scan, stored
@@ -43,8 +42,6 @@ from quarry.session import cut_lineage
 
 WIDTH, NUMERATOR, DENOMINATOR = 3, 85, 100
 BANDS, ROWS = 40, 8
-#: Members of a bucket in different components, above which the prefix index takes over.
-HEAVY = 64
 #: Partners verified together against one text.
 CELL = 256
 #: The circulant's universe.
@@ -162,37 +159,19 @@ def _sized(share: tuple[int, int]):
     return bottom * F.least("n_a", "n_b") >= top * F.greatest("n_a", "n_b")
 
 
-def _prefixes(heavy: DataFrame, texts: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
-    """(bucket, id, component, n) with the bucket split by each of a member's rarest
-    shingles: enough of them that two sets similar enough share one."""
-    top, bottom = share
-
-    def make():
-        def work(batch):
-            for c in chunks(batch.column(1)):
-                offsets, hashes = shingle_sets(c, width)
-                yield {"id": np.repeat(batch.column(0).to_numpy()[c.first:c.first + c.n], np.diff(offsets)), "shingle": hashes.view(np.int64)}
-        return work
-
-    members = heavy.select("id").distinct()
-    shingles = cut_lineage(scan(texts.join(members, "id"), ["id", "text"], make, "id long, shingle long"))
-    often = shingles.groupBy("shingle").agg(F.count("*").alias("df"))
-    order = W.partitionBy("id").orderBy("df", "shingle")
-    ranked = shingles.join(often, "shingle").withColumn("rank", F.row_number().over(order))
-    cut = F.col("n") - F.ceil(F.col("n") * top / bottom - 1e-9) + 1
-    return (heavy.join(ranked, "id").where(F.col("rank") <= cut)
-            .withColumn("bucket", F.xxhash64("bucket", "shingle")).select("bucket", "id", "component", "n"))
-
-
 def _across(members: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Pairs inside a bucket between different components, if their sizes allow a link."""
-    a = members.select("bucket", F.col("id").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"))
-    b = members.select("bucket", F.col("id").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"))
-    return a.join(b, "bucket").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _sized(share)).select("a", "b").distinct()
+    """Pairs inside a bucket between different components, if their sizes allow a link.
+
+    A pair that shares several buckets is made in the first of them only."""
+    a = members.select("bucket", F.col("id").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"), F.col("bands").alias("bands_a"))
+    b = members.select(F.col("bucket").alias("bucket_b"), F.col("id").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"), F.col("bands").alias("bands_b"))
+    first = F.get(F.array_intersect("bands_a", "bands_b"), F.lit(0)) == F.col("bucket")  # in the order of bands_a
+    on = (F.col("bucket") == F.col("bucket_b")) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _sized(share) & first
+    return a.join(b, on).select("a", "b")
 
 
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH,
-            share: tuple[int, int] = (NUMERATOR, DENOMINATOR), bands: int = BANDS, rows: int = ROWS, heavy: int = HEAVY) -> DataFrame:
+            share: tuple[int, int] = (NUMERATOR, DENOMINATOR), bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, row, n_shingles, component_id) of every document; ``row`` is its ``row_key``."""
     signed = stored(signatures(docs, doc_id, text, width, bands, rows))
     # a class of equal sets; its row with the smallest id stands for it
@@ -216,12 +195,9 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     left = (members.join(merged, members.id == merged.node, "left")
             .select("bucket", "id", "n", F.coalesce("component", "id").alias("component")))
     counts = left.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-    left = cut_lineage(left.join(counts.where("low < high"), "bucket").select("bucket", "id", "component", "n", "size"))
-    pairs = _across(left.where(F.col("size") <= heavy), share)
-    many = left.where(F.col("size") > heavy)
-    if not many.isEmpty():
-        pairs = pairs.union(_across(_prefixes(many, texts, width, share), share)).distinct()
-    pairs = cut_lineage(pairs.join(tried, ["a", "b"], "left_anti"))
+    left = left.join(counts.where("low < high"), "bucket").select("bucket", "id", "component", "n")
+    keys = signed.select(F.col("row").alias("id"), "bands").join(left.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    pairs = cut_lineage(_across(left.join(keys, "id"), share).join(tried, ["a", "b"], "left_anti"))
     more = cut_lineage(verified(pairs, texts, width, share))
     merged = cut_lineage(components(links.union(more)))
 
