@@ -14,13 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import quarry
-from quarry.llm.words import BATCH_ROWS
+from quarry.llm.words import BATCH_BYTES, BATCH_ROWS
 from quarry.session import ensure_checkpoint_dir
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Few rows in an Arrow batch, as a row may hold a very long text; the workers get this library."""
+    """Few rows and bytes in an Arrow batch, as a row may hold a very long text; the workers get this library."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     ship(spark)
 
 

@@ -4,10 +4,11 @@
    documents (about ``block_bytes`` of text) with the block's distinct pre-tokens
    once, and for each document the places of its pre-tokens in that list with
    their frequencies.  A pre-token is never repeated inside a block.
-2. The distinct pre-tokens of all blocks are found by one aggregate, and the
+2. The lists are dealt and sorted by pre-token (one row for a block and pre-token,
+   whatever the number of documents), so that equal ones stand together and the
    library counts the pieces of each exactly once.
-3. The counts are joined back to the blocks' lists (one row for a block and
-   pre-token, whatever the number of documents) and summed per document.
+3. The counts go back to their blocks and are joined to the documents'
+   frequencies and summed.
 
 So the shuffles carry a block's vocabulary, not its text.  A block is bounded by
 ``block_bytes`` plus one document; a pre-token in all blocks has one row a block.
@@ -21,10 +22,12 @@ from __future__ import annotations
 
 import json
 import unicodedata
+import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +38,7 @@ from quarry.llm.scan import as_id, scan, small_batches, stored
 # Fixed value: the byte-level pre-token rule.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text in a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 class PreTokens:
@@ -71,25 +74,42 @@ class PreTokens:
         return found
 
 
+def _packed(places: list[np.ndarray], times: list[np.ndarray]) -> bytes:
+    """Each document's sorted places (as steps) and frequencies, small numbers compressed."""
+    n = [p.size for p in places]
+    order = [np.argsort(p, kind="stable") for p in places]
+    steps = [np.diff(p[o], prepend=0) for p, o in zip(places, order, strict=True)]
+    flat = [np.array([len(n), *n]), *steps, *(t[o] for t, o in zip(times, order, strict=True))]
+    return zlib.compress(np.concatenate(flat).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ends of the documents' runs, places, frequencies)."""
+    flat = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+    ends = np.cumsum(flat[1:flat[0] + 1])
+    steps, times = flat[flat[0] + 1:].reshape(2, -1)
+    total = np.concatenate([[0], np.cumsum(steps)])
+    starts = np.concatenate([[0], ends[:-1]])
+    return ends, total[1:] - np.repeat(total[starts], ends - starts), times
+
+
 def pretoken_blocks(docs: DataFrame, tokenizer_json: str, doc_id: str = "doc_id", text: str = "text",
                     block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of documents: ids, sizes, distinct pre-tokens, and per document the
-    places in that list (``places``, ``ends`` of each document's run) and frequencies."""
+    """Blocks of documents: ids, sizes, distinct pre-tokens, and packed for each document
+    the places of its pre-tokens in that list with their frequencies."""
     small_batches(docs.sparkSession)
-    schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("pre", pa.list_(pa.string())),
-                        ("ends", pa.list_(pa.int32())), ("places", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("pre", pa.list_(pa.string())), ("uses", pa.binary())])
 
     def run(batches):
         pre = PreTokens(tokenizer_json)
 
         def fresh():
-            return [], [], {}, [], [], [], 0
+            return [], [], {}, [], [], 0
 
         def row():
-            lists = [ids, sizes, list(place), ends, np.concatenate(places) if places else [], np.concatenate(times) if times else []]
-            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(lists, schema, strict=True)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((ids, sizes, list(place), _packed(places, times)), schema, strict=True)], schema=schema)
 
-        ids, sizes, place, ends, places, times, held = fresh()
+        ids, sizes, place, places, times, held = fresh()
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 t = t or ""
@@ -98,30 +118,38 @@ def pretoken_blocks(docs: DataFrame, tokenizer_json: str, doc_id: str = "doc_id"
                 sizes.append(len(t) if t.isascii() else len(t.encode()))
                 places.append(np.fromiter((place.setdefault(p, len(place)) for p in found), np.int32, len(found)))
                 times.append(np.fromiter(found.values(), np.int32, len(found)))
-                ends.append((ends[-1] if ends else 0) + len(found))
                 held += sizes[-1]
                 if held >= block_bytes:
                     yield row()
-                    ids, sizes, place, ends, places, times, held = fresh()
+                    ids, sizes, place, places, times, held = fresh()
         if ids:
             yield row()
 
     return docs.select(as_id(doc_id), F.col(text).alias("text")).mapInArrow(
-        run, "doc_ids array<long>, n_bytes array<long>, pre array<string>, ends array<int>, places array<int>, times array<int>")
+        run, "doc_ids array<long>, n_bytes array<long>, pre array<string>, uses binary")
+
 
+def count_pieces(listed: DataFrame, tokenizer_json: str) -> DataFrame:
+    """``listed`` (block, place, pre) with ``pieces`` for ``pre``.
 
-def count_pieces(pre: DataFrame, tokenizer_json: str) -> DataFrame:
-    """(pre, pieces): each distinct pre-token through the library, once."""
+    All rows of a pre-token stand together, one for each block that has it, and the
+    library counts it once."""
 
     def make():
         tokenizer = Tokenizer.from_str(tokenizer_json)
+        last, pieces = None, 0
 
         def work(batch):
-            texts = batch.column(0).to_pylist()
-            return {"pre": batch.column(0), "pieces": [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]}
+            nonlocal last, pieces
+            runs = pc.run_end_encode(batch.column(2))
+            texts, ends = runs.values.to_pylist(), runs.run_ends.to_numpy()
+            known = texts[0] == last
+            counts = ([pieces] if known else []) + [len(e) for e in tokenizer.encode_batch_fast(texts[known:], add_special_tokens=False)]
+            last, pieces = texts[-1], counts[-1]
+            return {"block": batch.column(0), "place": batch.column(1), "pieces": np.repeat(counts, np.diff(ends, prepend=0))}
         return work
 
-    return scan(pre, ["pre"], make, "pre string, pieces int")
+    return scan(listed.repartition("pre").sortWithinPartitions("pre"), ["block", "place", "pre"], make, "block long, place int, pieces int")
 
 
 def token_counts(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_id", text: str = "text",
@@ -130,23 +158,22 @@ def token_counts(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_id", t
     with open(tokenizer_file, encoding="utf-8") as f:  # the driver's file goes to the workers with the task
         tokenizer_json = f.read()
     blocks = stored(pretoken_blocks(docs, tokenizer_json, doc_id, text, block_bytes)
-                         .withColumn("block", F.monotonically_increasing_id()))
+                    .withColumn("block", F.monotonically_increasing_id()))
     listed = blocks.select("block", F.posexplode("pre").alias("place", "pre"))
-    pieces = count_pieces(listed.select("pre").distinct(), tokenizer_json)
-    by_block = (listed.join(pieces, "pre").groupBy("block")
+    by_block = (count_pieces(listed, tokenizer_json).groupBy("block")
                 .agg(F.array_sort(F.collect_list(F.struct("place", "pieces"))).getField("pieces").alias("pieces")))
     joined = blocks.drop("pre").join(by_block, "block", "left")
 
     def run(batches):
         for batch in batches:
-            for ids, sizes, ends, places, times, pieces in zip(*(batch.column(n) for n in ("doc_ids", "n_bytes", "ends", "places", "times", "pieces")), strict=True):
-                ends = ends.values.to_numpy()
-                total = np.zeros(ends[-1] + 1, np.int64)
-                if ends[-1]:
-                    np.cumsum(pieces.values.to_numpy()[places.values.to_numpy()].astype(np.int64) * times.values.to_numpy(), out=total[1:])
+            for ids, sizes, uses, pieces in zip(*batch.columns, strict=True):
+                ends, places, times = _unpacked(uses.as_py())
+                total = np.zeros(places.size + 1, np.int64)
+                if places.size:
+                    np.cumsum(pieces.values.to_numpy()[places].astype(np.int64) * times, out=total[1:])
                 n = np.diff(total[np.concatenate([[0], ends])])
                 yield pa.RecordBatch.from_arrays([ids.values, sizes.values, pa.array(n), pa.array(n > limit)],
                                                  names=[doc_id, "n_bytes", "n_tokens", "over_limit"])
 
-    return (joined.select("doc_ids", "n_bytes", "ends", "places", "times", "pieces")
+    return (joined.select("doc_ids", "n_bytes", "uses", "pieces")
             .mapInArrow(run, f"{doc_id} long, n_bytes long, n_tokens long, over_limit boolean"))

@@ -21,8 +21,8 @@ import pyarrow.compute as pc
 
 #: Texts are scanned in runs of whole documents of about this many bytes.
 CHUNK_BYTES = 1 << 20
-#: Rows in an Arrow batch: bounds what a Python worker holds of long texts.
-BATCH_ROWS = 512
+#: Rows and bytes in an Arrow batch: bounds what a Python worker holds of long texts.
+BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
