@@ -7,8 +7,8 @@
 2. The lists are dealt and sorted by pre-token (one row for a block and pre-token,
    whatever the number of documents), so that equal ones stand together and the
    library counts the pieces of each exactly once.
-3. The counts go back to their blocks and are joined to the documents'
-   frequencies and summed.
+3. The counts go back to their blocks, meet the documents' frequencies there, and
+   are summed.
 
 So the shuffles carry a block's vocabulary, not its text.  A block is bounded by
 ``block_bytes`` plus one document; a pre-token in all blocks has one row a block.
@@ -38,7 +38,7 @@ from quarry.llm.scan import as_id, scan, small_batches, stored
 # Fixed value: the byte-level pre-token rule.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text in a block.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 32 << 20
 
 
 class PreTokens:
@@ -160,20 +160,17 @@ def token_counts(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_id", t
     blocks = stored(pretoken_blocks(docs, tokenizer_json, doc_id, text, block_bytes)
                     .withColumn("block", F.monotonically_increasing_id()))
     listed = blocks.select("block", F.posexplode("pre").alias("place", "pre"))
-    by_block = (count_pieces(listed, tokenizer_json).groupBy("block")
-                .agg(F.array_sort(F.collect_list(F.struct("place", "pieces"))).getField("pieces").alias("pieces")))
-    joined = blocks.drop("pre").join(by_block, "block", "left")
-
-    def run(batches):
-        for batch in batches:
-            for ids, sizes, uses, pieces in zip(*batch.columns, strict=True):
-                ends, places, times = _unpacked(uses.as_py())
-                total = np.zeros(places.size + 1, np.int64)
-                if places.size:
-                    np.cumsum(pieces.values.to_numpy()[places].astype(np.int64) * times, out=total[1:])
-                n = np.diff(total[np.concatenate([[0], ends])])
-                yield pa.RecordBatch.from_arrays([ids.values, sizes.values, pa.array(n), pa.array(n > limit)],
-                                                 names=[doc_id, "n_bytes", "n_tokens", "over_limit"])
-
-    return (joined.select("doc_ids", "n_bytes", "uses", "pieces")
-            .mapInArrow(run, f"{doc_id} long, n_bytes long, n_tokens long, over_limit boolean"))
+    counted = count_pieces(listed, tokenizer_json).withColumnRenamed("block", "in_block")
+    schema = pa.schema([(doc_id, pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
+
+    def total(block: pa.Table, pieces: pa.Table) -> pa.Table:
+        ids, sizes = block["doc_ids"].combine_chunks().values, block["n_bytes"].combine_chunks().values
+        ends, places, times = _unpacked(block["uses"][0].as_py())
+        by_place = np.zeros(pieces.num_rows, np.int64)
+        by_place[pieces["place"].to_numpy()] = pieces["pieces"].to_numpy()
+        sums = np.concatenate([[0], np.cumsum(by_place[places] * times)])
+        n = np.diff(sums[np.concatenate([[0], ends])])
+        return pa.table([ids, sizes, pa.array(n), pa.array(n > limit)], schema=schema)
+
+    return (blocks.drop("pre").groupBy("block").cogroup(counted.groupBy("in_block"))
+            .applyInArrow(total, f"{doc_id} long, n_bytes long, n_tokens long, over_limit boolean"))
