@@ -12,10 +12,10 @@ shorter text is one shingle).  Steps:
    never meet pairwise.
 3. In every bucket the smallest representative is the hub, and each other member is
    verified against it.  Verified links are contracted to components.
-4. Members of one bucket in different components are then paired, so no link that
-   the banding finds is lost.  The members of a component that the hubs have built
-   are not paired again, and a pair is made in its first common bucket only.  The
-   skewed join splits a bucket that has very many members left.
+4. Members of one bucket in different components are then compared, so no link
+   that the banding finds is lost: buckets that share members form a family,
+   families are dealt to cells, and each task compares two cells in memory and
+   emits links alone.
 
 Pairs are confirmed on the full sets, made anew from the whole texts (shingles as
 64-bit hashes).  With 8 rows and 40 bands a pair at the threshold 0.85 is missed
@@ -42,7 +42,7 @@ from quarry.session import cut_lineage
 
 WIDTH, NUMERATOR, DENOMINATOR = 3, 85, 100
 BANDS, ROWS = 40, 8
-#: Partners verified together against one text.
+#: Partners verified together against one text, and members of a family in a cell.
 CELL = 256
 #: The circulant's universe.
 PLACES = 1 << 20
@@ -159,15 +159,52 @@ def _sized(share: tuple[int, int]):
     return bottom * F.least("n_a", "n_b") >= top * F.greatest("n_a", "n_b")
 
 
-def _across(members: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Pairs inside a bucket between different components, if their sizes allow a link.
+def across(members: DataFrame, width: int, share: tuple[int, int], cell: int = CELL) -> DataFrame:
+    """Links (a, b) between different components of a family, from (family, id, component, bands, text).
 
-    A pair that shares several buckets is made in the first of them only."""
-    a = members.select("bucket", F.col("id").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"), F.col("bands").alias("bands_a"))
-    b = members.select(F.col("bucket").alias("bucket_b"), F.col("id").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"), F.col("bands").alias("bands_b"))
-    first = F.get(F.array_intersect("bands_a", "bands_b"), F.lit(0)) == F.col("bucket")  # in the order of bands_a
-    on = (F.col("bucket") == F.col("bucket_b")) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _sized(share) & first
-    return a.join(b, on).select("a", "b")
+    A family's members are dealt to cells; a task gets two cells and emits links alone,
+    no more than join its components (a spanning forest of them).  Pairs that share a
+    band and whose sizes allow a link are compared on the full sets."""
+    size = members.groupBy("family").agg(F.ceil(F.count("*") / cell).cast("int").alias("cells"))
+    dealt = members.join(size, "family").withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    dealt = dealt.select("family", F.least("cell", "other").alias("low"), F.greatest("cell", "other").alias("high"), "cell", "id", "component", "bands", "text")
+    top, bottom = share
+
+    def check(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        ids, cells = t["id"].to_numpy(), t["cell"].to_numpy()
+        parts = np.unique(t["component"].to_numpy(), return_inverse=True)[1]  # joined as links are found
+        bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        one = t["low"][0].as_py() == t["high"][0].as_py()
+        offsets, hashes = [np.zeros(1, np.int64)], []
+        for c in chunks(t["text"]):
+            o, h = shingle_sets(c, width)
+            offsets.append(o[1:] + offsets[-1][-1])
+            hashes.append(h)
+        offsets, hashes = np.concatenate(offsets), np.concatenate(hashes)
+        n, owner = np.diff(offsets), np.repeat(np.arange(len(ids)), np.diff(offsets))
+        order = np.argsort(hashes, kind="stable")
+        sorted_hashes, sorted_owner = hashes[order], owner[order]
+        a, b = [], []
+        for i in range(len(ids)):
+            maybe = (parts != parts[i]) & (bottom * np.minimum(n, n[i]) >= top * np.maximum(n, n[i]))
+            maybe &= (ids > ids[i]) if one else (cells > cells[i])
+            maybe[maybe] = (bands[maybe] == bands[i]).any(axis=1)
+            if not maybe.any():
+                continue
+            mine = hashes[offsets[i]:offsets[i + 1]]
+            lo, hi = np.searchsorted(sorted_hashes, mine), np.searchsorted(sorted_hashes, mine, "right")
+            at = np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange((hi - lo).sum())
+            both = np.bincount(sorted_owner[at], minlength=len(ids))
+            for j in np.flatnonzero(maybe & (bottom * both >= top * (n + n[i] - both))).tolist():
+                if parts[j] != parts[i]:
+                    parts[parts == parts[j]] = parts[i]
+                    a.append(ids[i])
+                    b.append(ids[j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("family", "low", "high").applyInArrow(check, "a long, b long")
 
 
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH,
@@ -191,14 +228,15 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     links = cut_lineage(verified(tried, texts, width, share))
     merged = components(links)
 
-    # what is left: members of one bucket in different components
+    # what is left: members of one bucket in different components; buckets that share members are a family
     left = (members.join(merged, members.id == merged.node, "left")
-            .select("bucket", "id", "n", F.coalesce("component", "id").alias("component")))
-    counts = left.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-    left = left.join(counts.where("low < high"), "bucket").select("bucket", "id", "component", "n")
-    keys = signed.select(F.col("row").alias("id"), "bands").join(left.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    pairs = cut_lineage(_across(left.join(keys, "id"), share).join(tried, ["a", "b"], "left_anti"))
-    more = cut_lineage(verified(pairs, texts, width, share))
+            .select("bucket", "id", F.coalesce("component", "id").alias("component")))
+    counts = left.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("first"))
+    left = cut_lineage(left.join(counts.where("low < high"), "bucket").select("id", "component", "first").distinct())
+    families = components(left.select(F.col("first").alias("a"), F.col("id").alias("b"))).withColumnsRenamed({"node": "id", "component": "family"})
+    keys = signed.select(F.col("row").alias("id"), "bands").join(families.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    rest = left.select("id", "component").distinct().join(families, "id").join(keys, "id").join(texts, "id")
+    more = cut_lineage(across(rest, width, share))
     merged = cut_lineage(components(links.union(more)))
 
     found = classes.join(merged, "node", "left").select("print", "rep", F.coalesce("component", "node").alias("component"))
