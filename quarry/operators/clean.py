@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.ordered import quantiles
-from quarry.semantics import hash_bucket, hash_prefix, safe_div, with_scalar
+from quarry.semantics import hash_prefix, safe_div, with_scalar
 
 
 # R1
@@ -184,7 +184,7 @@ def top_k(df: DataFrame, order: list[Column | str], k: int) -> DataFrame:
 def sample_rows(df: DataFrame, key: str, frac: float | None = None, n: int | None = None) -> DataFrame:
     """Reproducible sample by key hash (C18): a fraction, or the n smallest hashes."""
     if frac is not None:
-        return df.where(hash_bucket(key, 10_000) < F.lit(int(round(frac * 10_000))))
+        return df.where(hash_prefix(key) < F.lit(frac * 2.0 ** 32))
     if n is not None:
         return df.orderBy(hash_prefix(key), F.col(key)).limit(n)
     raise ValueError("frac or n")

@@ -159,22 +159,23 @@ def select_k_best(scores: DataFrame, k: int) -> DataFrame:
 def split(df: DataFrame, key: str, test_pct: float, strata: str | None = None, name: str = "split") -> DataFrame:
     """Reproducible train/test split by key hash.
 
-    Plain: hash bucket < test_pct -> test. Stratified: inside each stratum,
+    Plain: hash below test_pct of its 32-bit range -> test. Stratified: inside each stratum,
     rows ranked by hash; percent rank < test_pct/100 -> test. The rank comes
     from the bucketed running count (no stratum-wide sort in one task).
     """
     h = hash_prefix(key)
     if strata is None:
-        return df.withColumn(name, F.when((h % 100) < F.lit(test_pct), "test").otherwise("train"))
-    keyed = df.withColumn("_h", h.cast("double"))
-    counts = keyed.groupBy(strata, "_h").agg(F.count(F.lit(1)).alias("_c"))
-    cum = running_sums(counts, "_h", ["_c"], by=[strata])
-    n = counts.groupBy(strata).agg(F.sum("_c").alias("_n"))
-    ranks = cum.join(n, strata).select(strata, "_h", F.try_divide((F.col("cum__c") - F.col("_c")).cast("double"),
+        return df.withColumn(name, F.when(h < F.lit(test_pct / 100.0 * 2.0 ** 32), "test").otherwise("train"))
+    # a NULL stratum is a stratum of its own
+    keyed = df.withColumns({"_h": h.cast("double"), "_s": F.coalesce(F.concat(F.lit("s"), F.col(strata).cast("string")), F.lit("n"))})
+    counts = keyed.groupBy("_s", "_h").agg(F.count(F.lit(1)).alias("_c"))
+    cum = running_sums(counts, "_h", ["_c"], by=["_s"])
+    n = counts.groupBy("_s").agg(F.sum("_c").alias("_n"))
+    ranks = cum.join(n, "_s").select("_s", "_h", F.try_divide((F.col("cum__c") - F.col("_c")).cast("double"),
                                                                   (F.col("_n") - 1).cast("double")).alias("_pr"))
-    out = keyed.join(ranks, [strata, "_h"])
+    out = keyed.join(ranks, ["_s", "_h"])
     return out.withColumn(name, F.when(F.coalesce("_pr", F.lit(0.0)) < F.lit(test_pct / 100.0), "test")
-                          .otherwise("train")).drop("_h", "_pr")
+                          .otherwise("train")).drop("_h", "_s", "_pr")
 
 
 # M9

@@ -72,11 +72,12 @@ def roc(df: DataFrame, label: str, score: str, by: list[str] | None = None, weig
 
 
 def roc_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
-    """Trapezoid area: sum over thresholds of neg_i * (tp_i + tp_{i-1}) / 2, over P*N."""
+    """Trapezoid area: sum over thresholds of neg_i * (tp_i + tp_{i-1}) / 2, over P*N.
+    NULL where a class is absent."""
     by = list(by or [])
     s = _score_table(df, label, score, by, weight)
     area = F.sum(F.col("neg") * (F.lit(2.0) * F.col("cum_pos") - F.col("pos"))) / F.lit(2.0)
-    return s.groupBy(*by).agg((area / (F.first("P") * F.first("N"))).alias("auc"))
+    return s.groupBy(*by).agg(F.try_divide(area, F.first("P") * F.first("N")).alias("auc"))
 
 
 # T4
@@ -91,16 +92,18 @@ def pr_curve(df: DataFrame, label: str, score: str, by: list[str] | None = None,
 
 def average_precision(df: DataFrame, label: str, score: str, by: list[str] | None = None,
                       weight: str | None = None) -> DataFrame:
-    """AP = sum_i (R_i - R_{i-1}) * P_i over distinct thresholds (step interpolation)."""
+    """AP = sum_i (R_i - R_{i-1}) * P_i over distinct thresholds (step interpolation).
+    NULL without positives."""
     by = list(by or [])
     s = _score_table(df, label, score, by, weight)
-    term = (F.col("pos") / F.col("P")) * (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")))
+    term = F.try_divide("pos", "P") * F.try_divide(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg"))
     return s.groupBy(*by).agg(F.sum(term).alias("average_precision"))
 
 
 # T5
 def regression_metrics(df: DataFrame, y: str, p: str, n_features: int = 1, by: list[str] | None = None) -> DataFrame:
-    """MAE, MSE, RMSE, R2, adjusted R2, MAPE in one aggregation."""
+    """MAE, MSE, RMSE, R2, adjusted R2, MAPE in one aggregation.
+    R2 is NULL for a constant y, adjusted R2 also for n = n_features + 1."""
     by = list(by or [])
     yy, pp = F.col(y).cast("double"), F.col(p).cast("double")
     e = yy - pp
@@ -108,9 +111,9 @@ def regression_metrics(df: DataFrame, y: str, p: str, n_features: int = 1, by: l
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"),
         F.sum(e * e).alias("_sse"), F.var_pop(yy).alias("_vy"),
         F.avg(F.abs(F.try_divide(e, yy))).alias("mape"))
-    r2 = F.lit(1.0) - F.col("_sse") / (F.col("_vy") * F.col("n"))
+    r2 = F.lit(1.0) - F.try_divide(F.col("_sse"), F.col("_vy") * F.col("n"))
     return agg.select(*by, "n", "mae", "mse", F.sqrt("mse").alias("rmse"), r2.alias("r2"),
-                      (F.lit(1.0) - (F.lit(1.0) - r2) * (F.col("n") - 1) / (F.col("n") - n_features - 1)).alias("adj_r2"),
+                      (F.lit(1.0) - F.try_divide((F.lit(1.0) - r2) * (F.col("n") - 1), F.col("n") - n_features - 1)).alias("adj_r2"),
                       "mape")
 
 
@@ -122,15 +125,20 @@ def asymmetric_loss(df: DataFrame, y: str, p: str, factor: float = 4.0, by: list
     return df.groupBy(*by).agg(F.avg(F.when(e > 0, F.lit(factor) * e * e).otherwise(e * e)).alias("asymmetric_loss"))
 
 
-def _top_metrics(df: DataFrame, y: str, p: str, q: float, by: list[str], prefix: str = "") -> DataFrame:
+def _top_metrics(df: DataFrame, y: str, p: str, q: float, by: list[str], prefix: str = "", prior: str | None = None) -> DataFrame:
     """Top-q membership by truth and by prediction, precision/recall/F1, cost capture."""
     if by:
         qy = quantiles(df, y, {"ty": q}, by=by)
         qp = quantiles(df, p, {"tp_": q}, by=by)
         t = df.join(qy, by).join(qp, by)
+        if prior:
+            t = t.join(quantiles(df, prior, {"_pq": q}, by=by), by)
     else:
-        both = quantiles_of(df, {y: {"ty": q}, p: {"tp_": q}})  # one pipeline for both columns
-        t = with_scalar(df, both, "_q").withColumns({"ty": F.col("_q.ty"), "tp_": F.col("_q.tp_")}).drop("_q")
+        cuts = {y: {"ty": q}, p: {"tp_": q}} | ({prior: {"_pq": q}} if prior else {})
+        both = quantiles_of(df, cuts)  # one pipeline for all columns
+        t = with_scalar(df, both, "_q").withColumns({c: F.col(f"_q.{c}") for d in cuts.values() for c in d}).drop("_q")
+    if prior:  # the cuts are those of all rows
+        t = t.where(F.col(prior) < F.col("_pq"))
     yt, pt = F.col(y) > F.col("ty"), F.col(p) > F.col("tp_")
     agg = t.groupBy(*by).agg(
         F.count_if(yt & pt).alias("_tp"), F.count_if(pt).alias("_np"), F.count_if(yt).alias("_ny"),
@@ -185,11 +193,9 @@ def threshold_metrics(df: DataFrame, y: str, p: str, thresholds: list[float], by
 
 # T9
 def newly_top_metrics(df: DataFrame, y: str, p: str, prior: str, q: float = 0.9, by: list[str] | None = None) -> DataFrame:
-    """T7 restricted to rows whose prior value is below its own q-quantile (newly high)."""
-    by = list(by or [])
-    qp = quantiles(df, prior, {"_pq": q}, by=by)
-    t = df.join(qp, by) if by else with_scalar(df, qp, "_q").withColumn("_pq", F.col("_q._pq")).drop("_q")
-    return _top_metrics(t.where(F.col(prior) < F.col("_pq")).drop("_pq"), y, p, q, by, prefix="newly_")
+    """T7 on the rows whose prior value is below its q-quantile (newly high); all
+    three cuts come from all rows."""
+    return _top_metrics(df, y, p, q, list(by or []), prefix="newly_", prior=prior)
 
 
 # T10

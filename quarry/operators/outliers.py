@@ -43,8 +43,8 @@ def iqr_outliers(df: DataFrame, key: str, cols: list[str], k: float = 1.5, metho
 
 
 def clean_rows(df: DataFrame, key: str, outliers: DataFrame) -> DataFrame:
-    """The clean set: rows that are not repeat outliers."""
-    return df.join(outliers.where(F.col("repeat_outlier") == 1).select(key), key, "left_anti")
+    """The clean set: rows that are outliers in no feature."""
+    return df.join(outliers.select(key), key, "left_anti")
 
 
 # O3
@@ -100,7 +100,7 @@ def threshold_segments(df: DataFrame, col: str, cuts: list[tuple[float, str]], n
 # O8
 def rfm_features(df: DataFrame, key: str, ts: str, amount: str) -> DataFrame:
     """Count, average amount, days on file (to the latest date in the table),
-    mean gap between purchases, and log1p forms."""
+    mean gap between purchases (0 for a single one), and log1p forms."""
     per = df.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_purchases"), F.avg(F.col(amount).cast("double")).alias("avg_amount"),
         F.min(F.to_date(ts)).alias("_first"), F.max(F.to_date(ts)).alias("_last"))
@@ -109,6 +109,6 @@ def rfm_features(df: DataFrame, key: str, ts: str, amount: str) -> DataFrame:
     return t.select(
         key, "n_purchases", "avg_amount",
         F.datediff(F.col("_m.d"), F.col("_first")).alias("days_on_file"),
-        safe_div(F.datediff(F.col("_last"), F.col("_first")), F.col("n_purchases") - 1).alias("mean_gap_days"),
+        F.coalesce(safe_div(F.datediff(F.col("_last"), F.col("_first")), F.col("n_purchases") - 1), F.lit(0.0)).alias("mean_gap_days"),
         F.log1p(F.col("n_purchases")).alias("log_n_purchases"),
         F.log1p(F.col("avg_amount")).alias("log_avg_amount"))

@@ -7,6 +7,9 @@ task, never one job per column.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,7 +122,9 @@ def duplicate_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     map-side, and AQE splits a hot key on the join.
     """
     dup = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("dup_count")).where(F.col("dup_count") > 1)
-    return df.join(dup, keys, "inner")
+    d = dup.withColumnsRenamed({k: f"_dup_{k}" for k in keys})
+    same = reduce(and_, (df[k].eqNullSafe(d[f"_dup_{k}"]) for k in keys))  # NULL keys equal each other
+    return df.join(d, same).select(*keys, *[c for c in df.columns if c not in keys], "dup_count")
 
 
 # P8

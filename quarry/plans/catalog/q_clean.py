@@ -177,7 +177,7 @@ _HASH = "('0x' || substr(md5({k}::varchar), 1, 8))::bigint"
 
 
 @register("r17_sample_fraction", f"""
-SELECT o_orderkey, o_totalprice FROM orders WHERE ({_HASH.format(k='o_orderkey')} % 10000) < 1000
+SELECT o_orderkey, o_totalprice FROM orders WHERE ({_HASH.format(k='o_orderkey')} < 0.1 * 4294967296)
 """)
 def r17(spark, sf):
     return R.sample_rows(Tables(spark, sf).orders, "o_orderkey", frac=0.1).select("o_orderkey", "o_totalprice")

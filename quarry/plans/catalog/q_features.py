@@ -106,7 +106,7 @@ _H = "('0x' || substr(md5(o_orderkey::varchar), 1, 8))::bigint"
 
 
 @register("m8_split", f"""
-SELECT o_orderkey, CASE WHEN ({_H} % 100) < 20 THEN 'test' ELSE 'train' END AS split FROM orders
+SELECT o_orderkey, CASE WHEN {_H} < 0.2 * 4294967296 THEN 'test' ELSE 'train' END AS split FROM orders
 """)
 def m8(spark, sf):
     return M.split(Tables(spark, sf).orders, "o_orderkey", 20).select("o_orderkey", "split")

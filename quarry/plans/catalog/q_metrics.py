@@ -124,10 +124,10 @@ def t6(spark, sf):
     return _r(T.asymmetric_loss(_reg(Tables(spark, sf)), "y", "p", 4.0), ["asymmetric_loss"], 2)
 
 
-def _top_sql(src: str, prefix: str = "") -> str:
+def _top_sql(src: str, prefix: str = "", all_rows: str = "s") -> str:
     return f"""
 WITH s AS {src},
-     q AS (SELECT quantile_cont(y, 0.9) AS ty, quantile_cont(p, 0.9) AS tp_ FROM s),
+     q AS (SELECT quantile_cont(y, 0.9) AS ty, quantile_cont(p, 0.9) AS tp_ FROM {all_rows}),
      a AS (SELECT count(*) FILTER (WHERE y > ty AND p > tp_) AS tp, count(*) FILTER (WHERE p > tp_) AS np,
                   count(*) FILTER (WHERE y > ty) AS ny, sum(CASE WHEN p > tp_ THEN y ELSE 0 END) AS cp,
                   sum(CASE WHEN y > ty THEN y ELSE 0 END) AS ct FROM s, q),
@@ -195,7 +195,7 @@ def t8b(spark, sf):
     return _r(out.select("threshold", "average_precision"), ["average_precision"])
 
 
-@register("t9_newly_top_metrics", _top_sql(_PRIOR_SRC.format(reg=REG_SQL), "newly_"))
+@register("t9_newly_top_metrics", _top_sql(_PRIOR_SRC.format(reg=REG_SQL), "newly_", f"(SELECT o.* FROM {REG_SQL} o JOIN customer c ON o.o_custkey = c.c_custkey)"))
 def t9(spark, sf):
     t = Tables(spark, sf)
     df = _reg(t).join(t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_acctbal").alias("prior")),

@@ -53,7 +53,7 @@ def o2(spark, sf):
 
 @register("o2_clean_rows", _O2_BASE + """
 SELECT o_orderkey, o_totalprice FROM base
-WHERE o_orderkey NOT IN (SELECT o_orderkey FROM flagged GROUP BY 1 HAVING count(*) > 1)
+WHERE o_orderkey NOT IN (SELECT o_orderkey FROM flagged)
 """)
 def o2b(spark, sf):
     t = Tables(spark, sf)
@@ -115,7 +115,7 @@ WITH m AS (SELECT max(o_orderdate::date) AS d FROM orders),
      p AS (SELECT o_custkey, count(*) AS n_purchases, avg(o_totalprice) AS avg_amount,
                   min(o_orderdate::date) AS f, max(o_orderdate::date) AS l FROM orders GROUP BY 1)
 SELECT o_custkey, n_purchases, round(avg_amount, 6) AS avg_amount, datediff('day', f, m.d)::int AS days_on_file,
-       round(datediff('day', f, l) / nullif(n_purchases - 1, 0), 9) AS mean_gap_days,
+       round(coalesce(datediff('day', f, l) / nullif(n_purchases - 1, 0), 0), 9) AS mean_gap_days,
        round(ln(1 + n_purchases), 9) AS log_n_purchases, round(ln(1 + avg_amount), 9) AS log_avg_amount
 FROM p, m
 """)

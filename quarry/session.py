@@ -53,6 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not (conf_dir or fallback) and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     target = conf_dir or fallback or os.path.join(os.environ.get("TMPDIR", "/tmp"), "quarry-checkpoints")
     sc.setCheckpointDir(target)
     return sc.getCheckpointDir() or target

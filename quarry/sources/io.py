@@ -56,13 +56,13 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", options: di
 
 # S5
 def write_csv(df: DataFrame, path: str, files: int | None = None, mode: str = "overwrite") -> None:
-    out = df.coalesce(files) if files else df
+    out = df.repartition(files) if files else df
     out.write.mode(mode).option("header", True).csv(path)
 
 
 # S6
 def write_json(df: DataFrame, path: str, mode: str = "overwrite", files: int | None = None) -> None:
-    out = df.coalesce(files) if files else df
+    out = df.repartition(files) if files else df
     out.write.mode(mode).json(path)
 
 
