@@ -21,6 +21,7 @@ bytes and no tokens.  Repeated rows are counted alike.
 from __future__ import annotations
 
 import json
+import os
 import unicodedata
 import zlib
 from collections import Counter
@@ -77,20 +78,34 @@ class PreTokens:
 def _packed(places: list[np.ndarray], times: list[np.ndarray]) -> bytes:
     """Each document's sorted places (as steps) and frequencies, small numbers compressed."""
     n = [p.size for p in places]
-    order = [np.argsort(p, kind="stable") for p in places]
-    steps = [np.diff(p[o], prepend=0) for p, o in zip(places, order, strict=True)]
-    flat = [np.array([len(n), *n]), *steps, *(t[o] for t, o in zip(times, order, strict=True))]
-    return zlib.compress(np.concatenate(flat).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
-
-
-def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ends of the documents' runs, places, frequencies)."""
-    flat = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
-    ends = np.cumsum(flat[1:flat[0] + 1])
-    steps, times = flat[flat[0] + 1:].reshape(2, -1)
-    total = np.concatenate([[0], np.cumsum(steps)])
-    starts = np.concatenate([[0], ends[:-1]])
-    return ends, total[1:] - np.repeat(total[starts], ends - starts), times
+    flat = np.empty(1 + len(n) + 2 * sum(n), "<u4")
+    flat[:len(n) + 1] = [len(n), *n]
+    at, half = len(n) + 1, sum(n)
+    for p, t in zip(places, times, strict=True):
+        order = np.argsort(p, kind="stable")
+        flat[at:at + p.size] = np.diff(p[order], prepend=0)
+        flat[at + half:at + half + p.size] = t[order]
+        at += p.size
+    planes, z = flat.view(np.uint8).reshape(-1, 4), zlib.compressobj(1)
+    return b"".join([*(z.compress(np.ascontiguousarray(planes[:, k])) for k in range(4)), z.flush()])
+
+
+def _summed(packed: bytes, pieces: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """Each document's sum of frequency times ``pieces`` at its places, worked out for
+    some documents at a time (about ``step`` places, or one document)."""
+    flat = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+    n = int(flat[0])
+    ends = np.concatenate([[0], np.cumsum(flat[1:n + 1], dtype=np.int64)])
+    steps, times = flat[n + 1:].reshape(2, -1)
+    sums, first = np.zeros(n, np.int64), 0
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + step, "right")) - 1)
+        lo, hi, runs = ends[first], ends[last], ends[first:last + 1] - ends[first]
+        total = np.concatenate([[0], np.cumsum(steps[lo:hi], dtype=np.int64)])
+        at = total[1:] - np.repeat(total[runs[:-1]], np.diff(runs))
+        sums[first:last] = np.diff(np.concatenate([[0], np.cumsum(pieces[at] * times[lo:hi])])[runs])
+        first = last
+    return sums
 
 
 def pretoken_blocks(docs: DataFrame, tokenizer_json: str, doc_id: str = "doc_id", text: str = "text",
@@ -136,6 +151,7 @@ def count_pieces(listed: DataFrame, tokenizer_json: str) -> DataFrame:
     library counts it once."""
 
     def make():
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         tokenizer = Tokenizer.from_str(tokenizer_json)
         last, pieces = None, 0
 
@@ -165,11 +181,9 @@ def token_counts(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_id", t
 
     def total(block: pa.Table, pieces: pa.Table) -> pa.Table:
         ids, sizes = block["doc_ids"].combine_chunks().values, block["n_bytes"].combine_chunks().values
-        ends, places, times = _unpacked(block["uses"][0].as_py())
         by_place = np.zeros(pieces.num_rows, np.int64)
         by_place[pieces["place"].to_numpy()] = pieces["pieces"].to_numpy()
-        sums = np.concatenate([[0], np.cumsum(by_place[places] * times)])
-        n = np.diff(sums[np.concatenate([[0], ends])])
+        n = _summed(block["uses"][0].as_py(), by_place)
         return pa.table([ids, sizes, pa.array(n), pa.array(n > limit)], schema=schema)
 
     return (blocks.drop("pre").groupBy("block").cogroup(counted.groupBy("in_block"))
