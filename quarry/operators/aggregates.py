@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.ordered import quantiles
 from quarry.operators.profile import top_n_per_group
-from quarry.semantics import safe_div, with_scalar
+from quarry.semantics import mode_of, safe_div, with_scalar
 
 AGGS = {
     "min": F.min, "max": F.max, "sum": F.sum, "mean": F.avg, "avg": F.avg, "count": F.count,
@@ -90,9 +90,9 @@ def count_positive_by(df: DataFrame, key: str | list[str], flag: Column | str) -
 # A11
 def summarize(df: DataFrame, col: str, method: str = "exact") -> DataFrame:
     """One row: n, mean, median, mode (smallest on ties, C5), min, max, share > 0."""
-    base = df.agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.mode(F.col(col), True).alias("mode"),
-                  F.min(col).alias("min"), F.max(col).alias("max"),
+    base = df.agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.min(col).alias("min"), F.max(col).alias("max"),
                   F.avg((F.col(col) > 0).cast("double")).alias("share_positive"))
+    base = with_scalar(base, mode_of(df, col, "mode"), "_mode").withColumn("mode", F.col("_mode.mode")).drop("_mode")
     med = quantiles(df, col, {"median": 0.5}, method=method)
     return with_scalar(base, med, "_med").withColumn("median", F.col("_med.median")).drop("_med")
 
@@ -123,22 +123,29 @@ def ratio_by(df: DataFrame, key: str | list[str], num: Column, den: Column, name
 # A15
 def prevalence(features: DataFrame, membership: DataFrame, feature_sets: DataFrame,
                member: str = "member", group: str = "group_id", feature: str = "feature",
-               value: str = "value", set_col: str = "set_name", population: str = "__all__") -> DataFrame:
+               value: str = "value", set_col: str = "set_name", population: str = "__all__",
+               members: DataFrame | None = None) -> DataFrame:
     """Share of members per group whose features in a set sum to non-zero.
 
-    ``feature_sets`` (set_name, feature) is the curated code list: bounded by
-    the vocabulary, so it is broadcast. A member's flag for a set is
+    ``feature_sets`` (set_name, feature) is the curated code list; AQE broadcasts
+    it when it is small. A member's flag for a set is
     ``sum(value) != 0`` over its features in the set; members without such
-    features count 0. The population row averages over all distinct members
-    (membership may overlap or miss, so it is computed separately, not as a
-    grouping set).
+    features count 0. ``members`` is the list of ids that count: those in no
+    group count in the population row alone, and others in no row. Without it
+    all distinct members of the groups count (membership may overlap or miss,
+    so the population is computed separately, not as a grouping set).
     """
-    sets = F.broadcast(feature_sets.select(set_col, feature))
+    sets = feature_sets.select(set_col, feature)
     flagged = (features.join(sets, feature)
                .groupBy(member, set_col).agg(F.sum(value).alias("_s"))
                .where(F.col("_s") != 0).select(member, set_col))
     mem = membership.select(F.col(group).cast("string").alias(group), member).distinct()
     set_names = feature_sets.select(set_col).distinct()
+    if members is None:
+        all_members = mem.select(member).distinct()
+    else:
+        all_members = members.select(member).distinct()
+        mem = mem.join(all_members, member, "left_semi")
 
     sizes = mem.groupBy(group).agg(F.count(F.lit(1)).alias("members"))
     hits = flagged.join(mem, member).groupBy(group, set_col).agg(F.count(F.lit(1)).alias("flagged"))
@@ -149,7 +156,6 @@ def prevalence(features: DataFrame, membership: DataFrame, feature_sets: DataFra
     per_group = (grid.join(hits, [group, set_col], "left")
                  .select(group, set_col, "members", F.coalesce("flagged", F.lit(0)).alias("flagged")))
 
-    all_members = mem.select(member).distinct()
     n_all = all_members.agg(F.count(F.lit(1)).alias("members"))
     pop_hits = flagged.join(all_members, member, "left_semi").groupBy(set_col).agg(
         F.count(F.lit(1)).alias("flagged"))
@@ -197,13 +203,17 @@ def correlation(df: DataFrame, cols: list[str], hi: float | None = None, lo: flo
 
 # A18
 def prevalence_filter(features: DataFrame, limit: float, row: str = "row_id", feature: str = "feature",
-                      value: str = "value") -> DataFrame:
-    """Keep features non-zero in at least ``limit`` rows (a fraction of rows when < 1)."""
+                      value: str = "value", n_rows: DataFrame | int | None = None) -> DataFrame:
+    """Keep features non-zero in at least ``limit`` rows (below 1: that share of
+    all rows, rounded half to even). ``n_rows`` is the number of matrix rows, or a
+    one-value frame of it; without it rows that have no entry at all are not counted."""
     nz = features.where(F.col(value) != 0)
     support = nz.groupBy(feature).agg(F.count_distinct(row).alias("_rows"))
     if limit < 1:
-        n_rows = features.agg(F.count_distinct(row).alias("n"))
-        threshold = F.lit(float(limit)) * n_rows.scalar()
+        if n_rows is None:
+            n_rows = features.agg(F.count_distinct(row).alias("n"))
+        n = n_rows.scalar() if isinstance(n_rows, DataFrame) else F.lit(n_rows)
+        threshold = F.bround(F.lit(float(limit)) * n)
     else:
         threshold = F.lit(float(limit))
     keep = support.where(F.col("_rows") >= threshold).select(feature)

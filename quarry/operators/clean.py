@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.ordered import quantiles
-from quarry.semantics import hash_prefix, safe_div, with_scalar
+from quarry.semantics import hash_prefix, mode_of, safe_div, with_scalar
 
 
 # R1
@@ -131,11 +131,13 @@ def guarded_ratio(df: DataFrame, num: str, den: str, name: str, default: float =
     return df.withColumn(name, r)
 
 
-def _stat(kind: str, c: str) -> Column:
+def _fitted(df: DataFrame, c: str, kind: str, name: str, by: list[str], method: str) -> DataFrame:
+    if kind == "median":
+        return quantiles(df, c, {name: 0.5}, by=by, method=method)
     if kind == "mode":
-        return F.mode(F.col(c), True)  # C5: smallest value wins ties
+        return mode_of(df, c, name, by)
     if kind == "mean":
-        return F.avg(c)
+        return df.groupBy(*by).agg(F.avg(c).alias(name))
     raise ValueError(kind)
 
 
@@ -149,7 +151,7 @@ def fill_statistic(df: DataFrame, stats: dict[str, str], fit_df: DataFrame | Non
     fit = fit_df if fit_df is not None else df
     out = df
     for i, (c, kind) in enumerate(stats.items()):
-        one = quantiles(fit, c, {"v": 0.5}, method=method) if kind == "median" else fit.agg(_stat(kind, c).alias("v"))
+        one = _fitted(fit, c, kind, "v", [], method)
         out = with_scalar(out, one, f"_fill{i}")  # one-row statistic as a scalar subquery
     return out.withColumns({
         c: F.coalesce(F.col(c).cast("double") if stats[c] == "median" else F.col(c), F.col(f"_fill{i}.v"))
@@ -163,10 +165,7 @@ def fill_group_statistic(df: DataFrame, group: str | list[str], stats: dict[str,
     keys = [group] if isinstance(group, str) else list(group)
     fitted = None
     for c, kind in stats.items():
-        if kind == "median":
-            part = quantiles(df.where(F.col(c).isNotNull()), c, {f"_f_{c}": 0.5}, by=keys, method=method)
-        else:
-            part = df.where(F.col(c).isNotNull()).groupBy(*keys).agg(_stat(kind, c).alias(f"_f_{c}"))
+        part = _fitted(df.where(F.col(c).isNotNull()), c, kind, f"_f_{c}", keys, method)
         fitted = part if fitted is None else fitted.join(part, keys, "full")
     out = df.join(fitted, keys, "left")
     return out.withColumns({

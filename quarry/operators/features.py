@@ -113,7 +113,7 @@ def to_vector(long: DataFrame, vocab: DataFrame, key: str, feature: str = "featu
 def lump_top_n(df: DataFrame, col: str, n: int, other: str = "other", out: str | None = None) -> DataFrame:
     """Keep the n most frequent values (count desc, value asc), lump the rest."""
     top = value_counts(df, col, n).select(col).withColumn("_top", F.lit(1))
-    j = df.join(F.broadcast(top), col, "left")  # at most n rows
+    j = df.join(top, col, "left")  # at most n rows
     return j.withColumn(out or col, F.when(F.col("_top") == 1, F.col(col)).otherwise(F.lit(other))).drop("_top")
 
 

@@ -52,15 +52,18 @@ def lookup(df: DataFrame, agg_df: DataFrame, keys: list[str], default=-1, cols:
 
 # J7
 def join_within_months(base: DataFrame, ev: DataFrame, key: str, base_ts: str, ev_ts: str, n: int,
-                       inclusive_start: bool = True) -> DataFrame:
-    """Equal key and base_ts <= ev_ts <= base_ts + n months (month end clipped, C8).
+                       lower: str | None = None) -> DataFrame:
+    """Equal key and ev_ts <= base_ts + n months (month end clipped, C8).
+
+    ``lower`` bounds the event from below too: "inclusive" asks for
+    base_ts <= ev_ts, "strict" for base_ts < ev_ts, None for nothing.
 
     An equi-join on ``key`` with a residual range predicate: the hash/sort key
     is the entity, so the interval condition costs nothing extra to partition.
     """
-    start_ok = F.to_date(F.col(ev_ts)) >= F.to_date(F.col(base_ts)) if inclusive_start else F.lit(True)
-    cond = ((base[key] == ev[key]) & start_ok &
-            (F.to_date(F.col(ev_ts)) <= F.add_months(F.to_date(F.col(base_ts)), n)))
+    at, start = F.to_date(F.col(ev_ts)), F.to_date(F.col(base_ts))
+    bound = {None: F.lit(True), "inclusive": at >= start, "strict": at > start}[lower]
+    cond = (base[key] == ev[key]) & bound & (at <= F.add_months(start, n))
     return base.join(ev, cond, "inner").drop(ev[key])
 
 

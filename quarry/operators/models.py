@@ -330,7 +330,10 @@ def _c(n: float) -> float:
 
 def isolation_forest(df: DataFrame, key: str, cols: list[str], trees: int = 50, sample: int = 256,
                      seed: int = 42, contamination: float | None = None) -> DataFrame:
-    """Isolation-forest anomaly score per row: 2^(-E[h(x)] / c(sample)).
+    """Isolation-forest decision score per row, low for anomalies:
+    ``anomaly_score`` = -2^(-E[h(x)] / c(sample)) - offset, ``anomaly_label`` -1
+    below 0 and else 1.  The offset is -0.5, or with ``contamination`` that
+    quantile of the rows' scores.
 
     1. Tree samples: a row joins tree t when hash(key, seed, t) falls under
        sample/N, so each tree gets about ``sample`` rows (bounded) and rows
@@ -347,7 +350,7 @@ def isolation_forest(df: DataFrame, key: str, cols: list[str], trees: int = 50,
     # cannot sit inside the higher-order function)
     x_p = x.withColumn("_p", F.least(F.lit(1.0), F.lit(float(sample)) / n))
     member = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
-                      lambda t: (F.abs(F.xxhash64(F.col(key), F.lit(seed), t)) % 1_000_000) < F.col("_p") * 1_000_000)
+                      lambda t: F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(seed), t), 11).cast("double") / float(1 << 53) < F.col("_p"))
     sampled = x_p.withColumn("tree", F.explode(member)).drop("_p")
     d = len(cols)
     limit = int(math.ceil(math.log2(max(sample, 2))))
@@ -411,13 +414,14 @@ def isolation_forest(df: DataFrame, key: str, cols: list[str], trees: int = 50,
                 cur[ai] = np.where(go_left, nodes[cur[ai], 2], nodes[cur[ai], 3]).astype(np.int64)
                 depth[ai] += 1
         mean_h = total / max(len(bc.value), 1)
-        return pd.Series(np.power(2.0, -mean_h / norm) if norm > 0 else np.zeros(len(pts)))
+        return pd.Series(-np.power(2.0, -mean_h / norm) if norm > 0 else np.full(len(pts), -0.5))
 
-    scored = x.withColumn("anomaly_score", path_score(F.array(*[F.col(c) for c in cols])))
+    scored = x.withColumn("_s", path_score(F.array(*[F.col(c) for c in cols])))
+    offset = F.lit(-0.5)
     if contamination is not None:
         from quarry.operators.ordered import quantiles
         from quarry.semantics import with_scalar
-        cut = quantiles(scored, "anomaly_score", {"cut": 1.0 - contamination})
-        scored = with_scalar(scored, cut, "_c").withColumn(
-            "is_anomaly", (F.col("anomaly_score") > F.col("_c.cut")).cast("int")).drop("_c")
-    return scored
+        scored = with_scalar(scored, quantiles(scored, "_s", {"cut": contamination}), "_c")
+        offset = F.col("_c.cut")
+    scored = scored.withColumn("anomaly_score", F.col("_s") - offset)
+    return scored.select(*x.columns, "anomaly_score", F.when(F.col("anomaly_score") < 0, -1).otherwise(1).alias("anomaly_label"))

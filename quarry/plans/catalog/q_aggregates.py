@@ -154,15 +154,15 @@ WITH sets(set_name, feature) AS (VALUES {FEATURE_SETS_SQL}),
 """
 
 
-def _prevalence(spark, sf):
+def _prevalence(spark, sf, in_group=None, listed=None):
     t = Tables(spark, sf)
     feats = (t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
              .join(t.part, F.col("l_partkey") == F.col("p_partkey"))
              .select(F.col("o_custkey").alias("member"), F.col("p_type").alias("feature"),
                      F.col("l_quantity").alias("value")))
-    members = t.customer.select(F.col("c_nationkey").alias("group_id"), F.col("c_custkey").alias("member"))
+    members = (t.customer if in_group is None else t.customer.where(in_group)).select(F.col("c_nationkey").alias("group_id"), F.col("c_custkey").alias("member"))
     sets = spark.createDataFrame(FEATURE_SETS, "set_name string, feature string")
-    return A.prevalence(feats, members, sets)
+    return A.prevalence(feats, members, sets, members=listed)
 
 
 @register("a15_prevalence", PREV_SQL + """
@@ -172,6 +172,18 @@ def a15(spark, sf):
     return _prevalence(spark, sf).withColumn("prevalence", F.round("prevalence", 9))
 
 
+@register("a15_prevalence_member_list", PREV_SQL.replace(
+    "FROM customer)", "FROM customer WHERE c_acctbal >= 0 AND c_custkey IN (SELECT o_custkey FROM orders))").replace(
+    "SELECT DISTINCT member FROM mem)", "SELECT DISTINCT o_custkey AS member FROM orders)") + """
+SELECT group_id, set_name, members, flagged, round(prevalence, 9) AS prevalence FROM prev
+""")
+def a15b(spark, sf):
+    """Customers with a negative balance are in no group; those without orders are not on the list."""
+    t = Tables(spark, sf)
+    out = _prevalence(spark, sf, F.col("c_acctbal") >= 0, t.orders.select(F.col("o_custkey").alias("member")))
+    return out.withColumn("prevalence", F.round("prevalence", 9))
+
+
 @register("a16_ranked_prevalence", PREV_SQL + """
 SELECT group_id, set_name, round(prevalence, 9) AS prevalence,
        row_number() OVER (PARTITION BY group_id ORDER BY prevalence DESC, set_name ASC)::int AS rank
@@ -212,7 +224,7 @@ WITH f AS (SELECT o.o_custkey AS row_id, p.p_brand AS feature, sum(l.l_quantity)
            GROUP BY 1, 2),
      s AS (SELECT feature, count(DISTINCT row_id) AS n FROM f WHERE value <> 0 GROUP BY 1)
 SELECT row_id, feature, value FROM f
-WHERE feature IN (SELECT feature FROM s WHERE n >= 0.5 * (SELECT count(DISTINCT row_id) FROM f))
+WHERE feature IN (SELECT feature FROM s WHERE n >= round_even((0.5 * (SELECT count(*) FROM customer))::double, 0))
 """)
 def a18(spark, sf):
     t = Tables(spark, sf)
@@ -220,4 +232,4 @@ def a18(spark, sf):
          .join(t.part, F.col("l_partkey") == F.col("p_partkey"))
          .groupBy(F.col("o_custkey").alias("row_id"), F.col("p_brand").alias("feature"))
          .agg(F.sum("l_quantity").alias("value")))
-    return A.prevalence_filter(f, 0.5)
+    return A.prevalence_filter(f, 0.5, n_rows=t.customer.agg(F.count(F.lit(1)).alias("n")))

@@ -67,7 +67,7 @@ def j6(spark, sf):
 @register("j7_join_within_months", """
 SELECT o.o_orderkey, l.l_linenumber, l.l_partkey, l.l_quantity
 FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey
-WHERE l.l_shipdate::date >= o.o_orderdate::date AND l.l_shipdate::date <= (o.o_orderdate::date + INTERVAL 3 MONTH)::date
+WHERE l.l_shipdate::date <= (o.o_orderdate::date + INTERVAL 3 MONTH)::date
 """)
 def j7(spark, sf):
     t = Tables(spark, sf)
@@ -76,6 +76,18 @@ def j7(spark, sf):
     return out.select("o_orderkey", "l_linenumber", "l_partkey", "l_quantity")
 
 
+@register("j7_join_within_months_strict", """
+SELECT o.o_orderkey, l.l_linenumber, l.l_partkey, l.l_quantity
+FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey
+WHERE l.l_shipdate::date > o.o_orderdate::date AND l.l_shipdate::date <= (o.o_orderdate::date + INTERVAL 3 MONTH)::date
+""")
+def j7b(spark, sf):
+    t = Tables(spark, sf)
+    li = t.lineitem.withColumnRenamed("l_orderkey", "o_orderkey")
+    out = J.join_within_months(t.orders, li, "o_orderkey", "o_orderdate", "l_shipdate", 3, lower="strict")
+    return out.select("o_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+
+
 @register("j8_covered_on", """
 SELECT o_custkey AS c_custkey, min(o_orderpriority) AS group_number FROM orders
 WHERE DATE '1998-06-01' >= o_orderdate::date AND DATE '1998-06-01' <= (o_orderdate::date + INTERVAL 3 MONTH)::date

@@ -200,4 +200,4 @@ def o9(spark, sf):
     li = _li(Tables(spark, sf)).withColumn("row_key", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_quantity",
                                                                      "l_extendedprice"))
     out = L.isolation_forest(li, "row_key", LI_FEATS, trees=20, sample=256, contamination=0.05)
-    return out.select("row_key", "anomaly_score", "is_anomaly")
+    return out.select("row_key", "anomaly_score", "anomaly_label")

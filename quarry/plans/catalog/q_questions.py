@@ -10,12 +10,12 @@ from quarry.plans.catalog.registry import Tables, register
 
 
 def _funnel_inputs(t: Tables):
-    ev = t.events.select("user_id", "ts", "event_type", "value")
+    ev = t.events.select("user_id", "ts", "event_type", "value", "event_id")
     exposures = ev.where(F.col("event_type") == "view").select(F.col("user_id").alias("uid"), F.col("ts").alias("ad_ts"))
     installs = ev.where(F.col("event_type") == "signup").select(
         F.col("user_id").alias("uid"), F.col("user_id").alias("device_id"), F.col("ts").alias("install_ts"))
     checkouts = ev.where(F.col("event_type") == "purchase").select(
-        F.col("user_id").alias("device_id"), F.col("ts").alias("ck_ts"), "value")
+        F.col("user_id").alias("device_id"), F.col("ts").alias("ck_ts"), "value", "event_id")
     return exposures, installs, checkouts
 
 
@@ -23,13 +23,17 @@ def _funnel_inputs(t: Tables):
 WITH ex AS (SELECT user_id FROM events WHERE event_type = 'view'),
      dev AS (SELECT user_id FROM events WHERE event_type = 'signup' AND user_id IN (SELECT user_id FROM ex)),
      ck AS (SELECT * FROM events WHERE event_type = 'purchase' AND user_id IN (SELECT user_id FROM dev))
-SELECT (SELECT count(*) FROM ex) AS exposures, count(*) AS checkouts, count(*) AS acquired,
-       round(count(*) * 100.0 / (SELECT count(*) FROM ex), 4) AS conversion_pct
+SELECT (SELECT count(*) FROM ex) AS exposures, count(*) AS checkouts,
+       count(*) FILTER (WHERE value >= 100 OR value < 100 AND event_id % 2 = 1) AS acquired,
+       round(count(*) FILTER (WHERE value >= 100 OR value < 100 AND event_id % 2 = 1) * 100.0 / (SELECT count(*) FROM ex), 4) AS conversion_pct
 FROM ck
 """)
 def b1_funnel(spark, sf):
+    """Acquired: a direct purchase (value >= 100), or a trial that converted (an odd event_id stands for it)."""
     exposures, installs, checkouts = _funnel_inputs(Tables(spark, sf))
-    return B.funnel(exposures, installs, checkouts)
+    status = F.when(F.col("value") >= 100, "direct_purchase").when(F.col("value") < 100, "trial_started")
+    acquired = F.coalesce((status == "direct_purchase") | ((status == "trial_started") & (F.col("event_id") % 2 == 1)), F.lit(False))
+    return B.funnel(exposures, installs, checkouts, acquired=acquired.cast("int"))
 
 
 @register("b2_time_to_acquisition", """
@@ -104,8 +108,7 @@ def b4(spark, sf):
 
 @register("b5_window_label", """
 WITH s AS (SELECT o.o_orderkey, sum(l.l_quantity) AS t FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey
-           WHERE l.l_shipdate::date >= o.o_orderdate::date
-             AND l.l_shipdate::date <= (o.o_orderdate::date + INTERVAL 24 MONTH)::date GROUP BY 1)
+           WHERE l.l_shipdate::date <= (o.o_orderdate::date + INTERVAL 24 MONTH)::date GROUP BY 1)
 SELECT o.o_orderkey, coalesce(s.t, 0)::double AS window_total, (coalesce(s.t, 0) >= 100)::int AS label
 FROM orders o LEFT JOIN s USING (o_orderkey)
 """)
@@ -155,24 +158,26 @@ def b6(spark, sf):
 
 
 @register("b7_provider_features", """
-WITH c AS (SELECT l.l_suppkey, l.l_orderkey, o.o_custkey, l.l_extendedprice, l.l_discount
-           FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey),
+WITH c AS (SELECT l.l_suppkey, l.l_orderkey, o.o_custkey, p.p_type, l.l_extendedprice, l.l_discount
+           FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey),
      pc AS (SELECT l_suppkey, avg(n) AS ppc, avg(s) AS cpc FROM
-              (SELECT l_suppkey, l_orderkey, count(*) AS n, sum(l_extendedprice) AS s FROM c GROUP BY 1, 2) GROUP BY 1),
-     pm AS (SELECT l_suppkey, avg(n) AS ppm, avg(s) AS cpm FROM
-              (SELECT l_suppkey, o_custkey, count(*) AS n, sum(l_extendedprice) AS s FROM c GROUP BY 1, 2) GROUP BY 1),
+              (SELECT l_suppkey, l_orderkey, count(DISTINCT p_type) AS n, sum(l_extendedprice) AS s FROM c GROUP BY 1, 2) GROUP BY 1),
+     pm AS (SELECT l_suppkey, avg(n) AS ppm, avg(s) AS cpm, avg(k) AS kpm FROM
+              (SELECT l_suppkey, o_custkey, count(DISTINCT p_type) AS n, count(DISTINCT l_orderkey) AS k, sum(l_extendedprice) AS s
+               FROM c GROUP BY 1, 2) GROUP BY 1),
      t AS (SELECT l_suppkey, count(DISTINCT o_custkey) AS unique_members, count(DISTINCT l_orderkey) AS unique_claims,
                   avg(l_discount) AS mean_score FROM c GROUP BY 1)
 SELECT l_suppkey, unique_members, unique_claims, round(mean_score, 9) AS mean_score,
        round(ppc, 9) AS procedures_per_claim, round(cpc, 6) AS cost_per_claim,
        round(ppm, 9) AS procedures_per_member, round(cpm, 6) AS cost_per_member,
-       round(unique_claims / unique_members, 9) AS claims_per_member
+       round(kpm, 9) AS claims_per_member
 FROM t JOIN pc USING (l_suppkey) JOIN pm USING (l_suppkey)
 """)
 def b7(spark, sf):
     t = Tables(spark, sf)
-    c = t.lineitem.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-    out = B.provider_features(c, "l_suppkey", "l_orderkey", "o_custkey", "l_extendedprice", "l_discount")
+    c = t.lineitem.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").join(
+        t.part.select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey")
+    out = B.provider_features(c, "l_suppkey", "l_orderkey", "o_custkey", "p_type", "l_extendedprice", "l_discount")
     return _r(_r(out, ["cost_per_claim", "cost_per_member"]),
               ["mean_score", "procedures_per_claim", "procedures_per_member", "claims_per_member"], 9)
 
@@ -209,7 +214,7 @@ def _b9_inputs(t):
     ev = t.events
     day = F.to_date("ts").cast("string")
     resources = ev.select("user_id", F.create_map(day, F.array(
-        F.concat("event_type", F.lit("_"), F.get_json_object("props", "$.k")))).alias("resources"))
+        F.when(F.col("event_id") % 3 != 0, F.concat("event_type", F.lit("_"), F.get_json_object("props", "$.k"))))).alias("resources"))
     observations = ev.select("user_id", F.create_map(day, F.array(F.struct(
         F.col("event_type").alias("code"),
         F.when(F.col("value") >= 100, "H").when(F.col("value") < 5, "L").alias("interpretation"),
@@ -221,7 +226,7 @@ def _b9_inputs(t):
 
 
 @register("b9_patient_features", f"""
-WITH r AS (SELECT user_id, ts::date AS date, event_type || '_' || json_extract_string(props, '$.k') AS item
+WITH r AS (SELECT user_id, ts::date AS date, CASE WHEN event_id % 3 <> 0 THEN event_type || '_' || json_extract_string(props, '$.k') END AS item
            FROM events WHERE ts::date < DATE '{B9_AS_OF}'),
      o AS (SELECT user_id, ts::date AS date, event_type AS code,
                   CASE WHEN value >= 100 THEN 'H' WHEN value < 5 THEN 'L' END AS interpretation, value, event_id AS seq
@@ -229,12 +234,14 @@ WITH r AS (SELECT user_id, ts::date AS date, event_type || '_' || json_extract_s
      rs AS (SELECT user_id, count(DISTINCT date) AS v, min(date) AS lo, max(date) AS hi FROM r GROUP BY 1),
      os AS (SELECT user_id, count(DISTINCT date) AS v, min(date) AS lo, max(date) AS hi FROM o GROUP BY 1),
      parts AS (
-       SELECT user_id, split_part(item, '_', 1) AS feature, count(*)::double AS value FROM r GROUP BY 1, 2
-       UNION ALL SELECT user_id, item, count(*) FROM r GROUP BY 1, 2
+       SELECT user_id, split_part(item, '_', 1) AS feature, count(*)::double AS value FROM r WHERE item IS NOT NULL GROUP BY 1, 2
+       UNION ALL SELECT user_id, item, count(*) FROM r WHERE item IS NOT NULL GROUP BY 1, 2
+       UNION ALL SELECT c_custkey, 'Age', c_nationkey + 18 FROM customer
+       UNION ALL SELECT c_custkey, 'IsMale', c_custkey % 2 FROM customer
        UNION ALL SELECT user_id, 'hospital_visits', v FROM rs
        UNION ALL SELECT user_id, 'res_days', datediff('day', lo, hi) FROM rs
        UNION ALL SELECT user_id, 'res_recency', datediff('day', hi, DATE '{B9_AS_OF}') FROM rs
-       UNION ALL SELECT r.user_id, 'last_' || item, count(*) FROM r JOIN rs ON r.user_id = rs.user_id AND r.date = rs.hi GROUP BY 1, 2
+       UNION ALL SELECT r.user_id, 'last_' || item, count(*) FROM r JOIN rs ON r.user_id = rs.user_id AND r.date = rs.hi WHERE item IS NOT NULL GROUP BY 1, 2
        UNION ALL SELECT user_id, code, count(*) FROM o GROUP BY 1, 2
        UNION ALL SELECT user_id, code || '_' || interpretation, count(*) FROM o WHERE interpretation IS NOT NULL GROUP BY 1, 2
        UNION ALL SELECT user_id, interpretation, count(*) FROM o WHERE interpretation IS NOT NULL GROUP BY 1, 2
@@ -247,8 +254,12 @@ WITH r AS (SELECT user_id, ts::date AS date, event_type || '_' || json_extract_s
 SELECT user_id, feature, round(sum(value), 6) AS value FROM parts GROUP BY 1, 2 HAVING sum(value) > 0
 """)
 def b9(spark, sf):
-    res, obs = _b9_inputs(Tables(spark, sf))
-    return _r(B.patient_features(res, obs, "user_id", B9_AS_OF), ["value"])
+    t = Tables(spark, sf)
+    res, obs = _b9_inputs(t)
+    # every third event names no item: it counts as a visit only
+    people = t.customer.select(F.col("c_custkey").alias("user_id"), (F.col("c_nationkey") + 18).alias("age"),
+                               (F.col("c_custkey") % 2).alias("is_male"))
+    return _r(B.patient_features(res, obs, "user_id", B9_AS_OF, people), ["value"])
 
 
 @register("b10_label_window", """
@@ -330,11 +341,13 @@ def _b12_inputs(spark, t):
                        (F.col("l_quantity") * F.col("l_discount")).alias("contribution")))
     # the feature dictionary comes from the part table (every possible feature),
     # not from a second pass over the contributions
-    name_map = t.part.select(F.concat_ws(".", "p_type", "p_brand").alias("feature")).distinct().withColumn(
+    # PROMO features have no display name, and some display names no bucket
+    name_map = t.part.select(F.concat_ws(".", "p_type", "p_brand").alias("feature")).distinct().where(
+        ~F.startswith("feature", F.lit("PROMO"))).withColumn(
         "display", normalize_feature_name("feature", ".", {"ECONOMY": 2}, 1))
     bucket_map = name_map.select("display").distinct().withColumn(
         "bucket", F.when(F.col("display").startswith("ECONOMY"), "economy")
-        .when(F.col("display").isin("LARGE", "SMALL"), "size").otherwise("other"))
+        .when(F.col("display").isin("LARGE", "SMALL"), "size")).where("bucket IS NOT NULL")
     preds = (t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
              .groupBy(F.col("o_custkey").alias("member")).agg((F.sum("l_extendedprice") / 10000.0).alias("pred")))
     return contrib, preds, name_map, bucket_map
@@ -345,17 +358,18 @@ WITH c AS (SELECT o.o_custkey AS member, p.p_type || '.' || p.p_brand AS feature
            FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey),
      n AS (SELECT DISTINCT feature, CASE WHEN split_part(feature, '.', 1) = 'ECONOMY'
                                          THEN array_to_string(string_split(feature, '.')[1:2], '.')
-                                         ELSE split_part(feature, '.', 1) END AS display FROM c),
+                                         ELSE split_part(feature, '.', 1) END AS display FROM c
+           WHERE NOT starts_with(feature, 'PROMO')),
      b AS (SELECT DISTINCT display, CASE WHEN starts_with(display, 'ECONOMY') THEN 'economy'
-                                         WHEN display IN ('LARGE', 'SMALL') THEN 'size' ELSE 'other' END AS bucket FROM n),
-     per AS (SELECT member, coalesce(b.bucket, 'other') AS bucket, sum(contribution) AS contribution
+                                         WHEN display IN ('LARGE', 'SMALL') THEN 'size' END AS bucket FROM n),
+     per AS (SELECT member, coalesce(b.bucket, n.display, c.feature) AS bucket, sum(contribution) AS contribution
              FROM c LEFT JOIN n USING (feature) LEFT JOIN b USING (display) GROUP BY 1, 2),
      pr AS (SELECT o.o_custkey AS member, sum(l.l_extendedprice) / 10000.0 AS pred
             FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY 1),
      tot AS (SELECT member, sum(contribution) AS t FROM c GROUP BY 1)
 SELECT member, bucket, round(contribution, 6) AS contribution FROM per
 UNION ALL
-SELECT pr.member, 'bias', round(pr.pred - coalesce(tot.t, 0), 6) FROM pr LEFT JOIN tot USING (member)
+SELECT pr.member, 'bias', round(pr.pred - coalesce(tot.t, 0), 2) FROM pr LEFT JOIN tot USING (member)
 """)
 def b12(spark, sf):
     contrib, preds, name_map, bucket_map = _b12_inputs(spark, Tables(spark, sf))
@@ -363,13 +377,15 @@ def b12(spark, sf):
 
 
 @register("b13_prior_window", """
-SELECT o_custkey, CASE WHEN min(o_orderdate::date) <= DATE '1997-01-01'
-       THEN round(sum(CASE WHEN o_orderdate::date >= DATE '1997-01-01' AND o_orderdate::date < DATE '1998-01-01'
-                           THEN o_totalprice ELSE 0 END), 2) END AS prior_cost
-FROM orders GROUP BY 1
+SELECT c_custkey AS o_custkey, CASE WHEN (SELECT min(o_orderdate::date) FROM orders) <= DATE '1997-01-01'
+       THEN round(coalesce(sum(o_totalprice) FILTER (WHERE o_orderdate::date >= DATE '1997-01-01'
+                                                       AND o_orderdate::date < DATE '1998-01-01'), 0), 2) END AS prior_cost
+FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1
 """)
 def b13(spark, sf):
-    out = B.prior_window(Tables(spark, sf).orders, "o_custkey", "o_orderdate", "o_totalprice", "1998-01-01")
+    t = Tables(spark, sf)
+    out = B.prior_window(t.orders, "o_custkey", "o_orderdate", "o_totalprice", "1998-01-01",
+                         members=t.customer.select(F.col("c_custkey").alias("o_custkey")))
     return _r(out, ["prior_cost"], 2)
 
 

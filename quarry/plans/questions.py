@@ -39,7 +39,7 @@ def acquisitions(exposures: DataFrame, installs: DataFrame, checkouts: DataFrame
                  user: str, device: str, exp_ts: str, ck_ts: str, is_direct: Column,
                  trial_days: int = 7) -> DataFrame:
     """Per acquisition: days from the user's first exposure (+7 on the trial path)."""
-    first_exp = keep_one(exposures.select(user, exp_ts).distinct(), [user], [exp_ts], "first")
+    first_exp = exposures.groupBy(user).agg(F.min(exp_ts).alias(exp_ts))
     acq = checkouts.select(device, ck_ts, F.when(is_direct, "direct").otherwise("through_trial").alias("acquired_type"))
     pairs = installs.select(user, device).distinct()
     m = acq.join(pairs, device).join(first_exp, user)
@@ -89,7 +89,7 @@ def propensity_base(exposures: DataFrame, installs: DataFrame, checkouts: DataFr
 # B5
 def window_label(base: DataFrame, ev: DataFrame, key: str, base_ts: str, ev_ts: str, amount: str,
                  months: int = 24, threshold: float = 3.0, name: str = "label") -> DataFrame:
-    """Sum of ``amount`` in (base_ts, base_ts + months]; label = sum >= threshold; absent -> 0."""
+    """Sum of ``amount`` up to base_ts + months (end included, no lower bound); label = sum >= threshold; absent -> 0."""
     from quarry.operators.joins import join_within_months
     j = join_within_months(base.select(key, base_ts), ev.select(key, ev_ts, amount), key, base_ts, ev_ts, months)
     sums = j.groupBy(key).agg(F.sum(amount).alias("window_total"))
@@ -110,18 +110,24 @@ def lagged_encoding(feat: DataFrame, target: DataFrame, keysets: dict[str, list[
 
 
 # B7
-def provider_features(claims: DataFrame, provider: str, claim: str, member: str, charge: str,
+def provider_features(claims: DataFrame, provider: str, claim: str, member: str, procedure: str, charge: str,
                       score: str | None = None) -> DataFrame:
-    """Seven provider columns (+ mean score) from two aggregation levels."""
-    per_claim = claims.groupBy(provider, claim).agg(F.count(F.lit(1)).alias("_lines"), F.sum(charge).alias("_cost"))
-    per_member = claims.groupBy(provider, member).agg(F.count(F.lit(1)).alias("_lines"), F.sum(charge).alias("_cost"))
-    top = claims.groupBy(provider).agg(
-        F.count_distinct(member).alias("unique_members"), F.count_distinct(claim).alias("unique_claims"),
-        *([F.avg(score).alias("mean_score")] if score else []))
-    c = per_claim.groupBy(provider).agg(F.avg("_lines").alias("procedures_per_claim"), F.avg("_cost").alias("cost_per_claim"))
-    m = per_member.groupBy(provider).agg(F.avg("_lines").alias("procedures_per_member"), F.avg("_cost").alias("cost_per_member"))
-    out = top.join(c, provider).join(m, provider)
-    return out.withColumn("claims_per_member", F.col("unique_claims") / F.col("unique_members"))
+    """Seven provider columns (+ mean score) from two aggregation levels.
+
+    Procedures are distinct codes in a claim or of a member; claims per member
+    is the mean over a provider's members of their distinct claims there.
+    """
+    per_claim = claims.groupBy(provider, claim).agg(
+        F.count_distinct(procedure).alias("_codes"), F.sum(charge).alias("_cost"))
+    per_member = claims.groupBy(provider, member).agg(
+        F.count_distinct(procedure).alias("_codes"), F.count_distinct(claim).alias("_claims"), F.sum(charge).alias("_cost"))
+    c = per_claim.groupBy(provider).agg(
+        F.count(claim).alias("unique_claims"), F.avg("_codes").alias("procedures_per_claim"), F.avg("_cost").alias("cost_per_claim"))
+    m = per_member.groupBy(provider).agg(
+        F.count(member).alias("unique_members"), F.avg("_codes").alias("procedures_per_member"),
+        F.avg("_cost").alias("cost_per_member"), F.avg("_claims").alias("claims_per_member"))
+    out = c.join(m, provider)
+    return out.join(claims.groupBy(provider).agg(F.avg(score).alias("mean_score")), provider) if score else out
 
 
 # B8
@@ -148,10 +154,12 @@ def claim_flags(claims: DataFrame, claim: str, code_cols: dict[str, str], order:
 
 
 # B9
-def patient_features(resources: DataFrame, observations: DataFrame, key: str, as_of: str) -> DataFrame:
+def patient_features(resources: DataFrame, observations: DataFrame, key: str, as_of: str,
+                     people: DataFrame | None = None) -> DataFrame:
     """Long (key, feature, value) patient features with counter semantics (C14).
 
-    ``resources``: (key, date, item) with item = '<system>_<code>';
+    ``resources``: (key, date, item) with item = '<system>_<code>'; a NULL item
+    counts as a visit only. ``people``: (key, age, is_male) adds Age and IsMale;
     ``observations``: (key, date, code, interpretation, value, seq) where seq
     orders entries inside a date. Only dates before ``as_of`` count.
     Features: item and system counts; hospital_visits, res_days, res_recency,
@@ -183,11 +191,12 @@ def patient_features(resources: DataFrame, observations: DataFrame, key: str, as
                  .agg(F.max_by("value", "seq").alias("value"))
                  .select(key, F.concat(F.lit("last_"), F.col("code"), F.lit("_val")).alias("feature"),
                          F.col("value").cast("double").alias("value")))
+    items, last_items = r.where("item IS NOT NULL"), r_last.where("item IS NOT NULL")
     parts = [
-        count_of(r, F.split_part("item", F.lit("_"), F.lit(1))),
-        count_of(r, F.col("item")),
+        count_of(items, F.split_part("item", F.lit("_"), F.lit(1))),
+        count_of(items, F.col("item")),
         res_span,
-        count_of(r_last, F.concat(F.lit("last_"), F.col("item"))),
+        count_of(last_items, F.concat(F.lit("last_"), F.col("item"))),
         count_of(o, F.col("code")),
         count_of(interp, F.concat(F.col("code"), F.lit("_"), F.col("interpretation"))),
         count_of(interp, F.col("interpretation")),
@@ -195,6 +204,9 @@ def patient_features(resources: DataFrame, observations: DataFrame, key: str, as
         count_of(o_last, F.concat(F.lit("last_"), F.col("code"))),
         last_vals,
     ]
+    if people is not None:
+        parts.append(people.select(key, F.col("age").cast("double").alias("Age"), F.col("is_male").cast("double").alias("IsMale"))
+                     .unpivot(key, ["Age", "IsMale"], "feature", "value").where("value IS NOT NULL"))
     allf = parts[0]
     for p in parts[1:]:
         allf = allf.unionByName(p)
@@ -272,31 +284,38 @@ def group_features(members: DataFrame, claims: DataFrame, coverage: DataFrame, p
 def rollup_contributions(contrib: DataFrame, preds: DataFrame, name_map: DataFrame, bucket_map: DataFrame,
                          member: str = "member", feature: str = "feature", value: str = "contribution",
                          pred: str = "pred") -> DataFrame:
-    """Sum per-feature contributions into buckets per member; bias = pred - total.
+    """Sum per-feature contributions into buckets per member; bias = pred - total,
+    to two places. A display name without a bucket keeps its own name, and a
+    feature without a display name its own.
 
     ``name_map`` (feature, display) and ``bucket_map`` (display, bucket) are
     vocabulary tables; AQE broadcasts them when their measured size is small.
     """
     j = (contrib.join(name_map, feature, "left")
          .join(bucket_map, "display", "left")
-         .withColumn("bucket", F.coalesce("bucket", F.lit("other"))))
+         .withColumn("bucket", F.coalesce("bucket", "display", feature)))
     per = j.groupBy(member, "bucket").agg(F.sum(value).alias("contribution"))
     tot = contrib.groupBy(member).agg(F.sum(value).alias("_total"))
     bias = preds.join(tot, member, "left").select(
-        member, F.lit("bias").alias("bucket"), (F.col(pred) - F.coalesce("_total", F.lit(0.0))).alias("contribution"))
+        member, F.lit("bias").alias("bucket"),
+        F.round(F.col(pred) - F.coalesce("_total", F.lit(0.0)), 2).alias("contribution"))
     return per.unionByName(bias)
 
 
 # B13
-def prior_window(df: DataFrame, key: str, ts: str, amount: str, slice_date: str, name: str = "prior_cost") -> DataFrame:
-    """Amount in [slice - 1 year, slice) per key; NULL when the key's history
-    starts after the window start (too short)."""
+def prior_window(df: DataFrame, key: str, ts: str, amount: str, slice_date: str, name: str = "prior_cost",
+                 members: DataFrame | None = None) -> DataFrame:
+    """Amount in [slice - 1 year, slice) per key, 0 for ``members`` without any;
+    NULL for all when the whole data starts after the window's start."""
     s = F.to_date(F.lit(slice_date))
     start = F.add_months(s, -12)
-    agg = df.groupBy(key).agg(
-        F.sum(F.when((F.to_date(ts) >= start) & (F.to_date(ts) < s), F.col(amount)).otherwise(0.0)).alias("_sum"),
-        F.min(F.to_date(ts)).alias("_first"))
-    return agg.select(key, F.when(F.col("_first") <= start, F.col("_sum")).alias(name))
+    per = df.groupBy(key).agg(
+        F.sum(F.when((F.to_date(ts) >= start) & (F.to_date(ts) < s), F.col(amount)).otherwise(0.0)).alias("_sum"))
+    if members is not None:
+        per = members.select(key).distinct().join(per, key, "left")
+    first = df.agg(F.min(F.to_date(ts)).alias("first"))
+    return with_scalar(per, first, "_d").select(
+        key, F.when(F.col("_d.first") <= start, F.coalesce("_sum", F.lit(0.0))).alias(name))
 
 
 # B14

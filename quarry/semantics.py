@@ -96,3 +96,11 @@ def with_scalar(df: DataFrame, stats: DataFrame, name: str = "_s") -> DataFrame:
     """
     packed = stats.select(F.struct(*stats.columns).alias(name))
     return df.withColumn(name, packed.scalar())
+
+
+# The smallest value wins ties.
+def mode_of(df: DataFrame, value: str, name: str, by: list[str] | None = None) -> DataFrame:
+    """The most frequent value (per group), from value counts: no task holds a group's values."""
+    keys = list(by or [])
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg((-F.count(F.lit(1))).alias("_n"))
+    return counts.groupBy(*keys).agg(F.min(F.struct("_n", "_v"))["_v"].alias(name))

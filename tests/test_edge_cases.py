@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import clean, features, metrics, outliers, profile
+from quarry.operators import aggregates, clean, features, joins, metrics, outliers, profile
+from quarry.plans import questions
+from quarry.semantics import mode_of
 
 
 def test_one_class_has_no_area(spark):
@@ -43,6 +45,52 @@ def test_small_fractions(spark, frac):
         assert 0.5 * frac * 1e6 <= n <= 1.6 * frac * 1e6
 
 
+def test_months_bound_and_prior_window(spark):
+    base = spark.createDataFrame([(1, "2020-01-31")], "k int, d string")
+    ev = spark.createDataFrame([(1, "2019-01-01", 1), (1, "2020-01-31", 2), (1, "2020-02-29", 3), (1, "2020-03-01", 4)], "k int, e string, v int")
+    got = {low: sorted(r.v for r in joins.join_within_months(base, ev, "k", "d", "e", 1, low).collect())
+           for low in (None, "inclusive", "strict")}
+    assert got == {None: [1, 2, 3], "inclusive": [2, 3], "strict": [3]}
+    people = spark.createDataFrame([(1,), (2,), (3,)], "k int")
+    paid = spark.createDataFrame([(1, "2019-06-01", 5.0), (2, "2020-06-01", 7.0)], "k int, e string, a double")
+    prior = questions.prior_window(paid, "k", "e", "a", "2021-01-01", members=people)
+    assert {r.k: r.prior_cost for r in prior.collect()} == {1: 0.0, 2: 7.0, 3: 0.0}
+    short = questions.prior_window(paid, "k", "e", "a", "2020-01-01", members=people)
+    assert {r.prior_cost for r in short.collect()} == {None}
+
+
+def test_provider_features_count_codes(spark):
+    rows = [("p", "c1", "m1", "x", 1.0), ("p", "c1", "m1", "x", 2.0), ("p", "c2", "m1", "y", 3.0), ("p", "c3", "m2", "x", 4.0)]
+    r = questions.provider_features(spark.createDataFrame(rows, "p string, c string, m string, code string, a double"), "p", "c", "m", "code", "a").first()
+    assert (r.unique_claims, r.unique_members, r.procedures_per_claim, r.procedures_per_member, r.claims_per_member) == (3, 2, 1.0, 1.5, 1.5)
+
+
+def test_names_without_bucket_stay(spark):
+    contrib = spark.createDataFrame([(1, "f", 1.0), (1, "g", 2.0), (1, "h", 4.0)], "member int, feature string, contribution double")
+    out = questions.rollup_contributions(
+        contrib, spark.createDataFrame([(1, 7.126)], "member int, pred double"),
+        spark.createDataFrame([("f", "F"), ("g", "G")], "feature string, display string"),
+        spark.createDataFrame([("F", "B")], "display string, bucket string"))
+    assert {r.bucket: r.contribution for r in out.collect()} == {"B": 1.0, "G": 2.0, "h": 4.0, "bias": 0.13}
+
+
+def test_prevalence_counts_listed_members_and_filter_rounds(spark):
+    feats = spark.createDataFrame([(1, "a", 1.0), (2, "a", 1.0), (9, "a", 1.0)], "member int, feature string, value double")
+    groups = spark.createDataFrame([("g", 1), ("g", 3), ("g", 9)], "group_id string, member int")
+    sets = spark.createDataFrame([("s", "a")], "set_name string, feature string")
+    listed = spark.createDataFrame([(1,), (2,), (3,), (4,)], "member int")
+    out = aggregates.prevalence(feats, groups, sets, members=listed)
+    assert {r.group_id: (r.members, r.flagged) for r in out.collect()} == {"g": (2, 1), "__all__": (4, 2)}
+    one = spark.createDataFrame([(1, "x", 1.0)], "row_id int, feature string, value double")
+    assert aggregates.prevalence_filter(one, 0.1, n_rows=14).count() == 1  # 1.4 rounds to 1
+    assert aggregates.prevalence_filter(one, 0.1, n_rows=25).count() == 0  # 2.5 rounds to 2
+
+
+def test_mode_takes_the_smallest_of_ties(spark):
+    df = spark.createDataFrame([("a", 2.0), ("a", 1.0), ("b", 3.0), ("b", 3.0), ("b", 1.0), ("a", None)], "g string, v double")
+    assert {r.g: r.m for r in mode_of(df, "v", "m", ["g"]).collect()} == {"a": 1.0, "b": 3.0}
+
+
 def test_clean_rows_and_single_purchases(spark):
     df = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 9.0)], "k int, v double")
     flagged = spark.createDataFrame([(3, 1, "v", 0)], "k int, n_outlier_features int, outlier_features string, repeat_outlier int")
