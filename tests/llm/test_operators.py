@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, language, license_scan, mixing, near_duplicates, nearest, page_text, quality, secrets_scan, token_counts
+from quarry.llm.components import components
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 NAMES = "doc_id long, text string, lang string, source string, row string, id long, key string"
@@ -127,6 +128,20 @@ def test_near_duplicates(spark, monkeypatch, cell):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in range(len(texts)) if root(i) == i)
 
 
+def test_components(spark):
+    rng = random.Random(8)
+    links = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 130)] + [(200, 199), (199, 200), (300, 300)]
+    links += [(rng.randrange(400, 500), rng.randrange(400, 500)) for _ in range(70)]
+    least = {x: x for pair in links for x in pair if pair[0] != pair[1]}
+    for _ in links:
+        for a, b in links:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    got = [(r.node, r.component) for r in components(spark.createDataFrame(links, "a long, b long")).collect()]
+    assert sorted(got) == sorted(least.items())
+    assert components(spark.createDataFrame([(1, 1)], "a long, b long")).isEmpty()
+
+
 def test_token_counts(spark):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
