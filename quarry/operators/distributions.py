@@ -54,25 +54,46 @@ def histogram(df: DataFrame, col: str, bins: int = 10, log: bool = False) -> Dat
 
 
 # D2
-def histogram_compare(df: DataFrame, col: str, label: str, bins: int = 10, log: bool = False,
+def histogram_compare(df: DataFrame, col: str, label: str, bins: int | list[float] = 10, log: bool = False,
                       delta: float = 1.0) -> DataFrame:
-    """Two (or more) populations over shared bins: count and density per label.
+    """(label, bin, lower, upper, count, density) of two or more populations over shared bins, empty ones included.
 
-    density = count / (n_label * bin width) (``delta`` scales the width, as the
-    reference's plotting helper does).
+    ``bins`` is a number of even bins over the column's range, or a list of edges.
+    ``log=True`` spaces them evenly in log10, from the smallest value plus ``delta``
+    (which must be positive). Values outside the edges count nowhere; density =
+    count / (the label's count inside them * (upper - lower)).
     """
-    stats = _edges_frame(df, col, log).select(
-        "lo", "hi", ((F.col("hi") - F.col("lo")) / F.lit(float(bins))).alias("w"))
-    x = F.col(col).cast("double")
-    v = F.log10(x) if log else x
-    src = df.where(x > 0) if log else df.where(x.isNotNull())
-    tagged = with_scalar(src.select(F.col(label).alias("label"), v.alias("_v")), stats, "_s")
-    counts = tagged.groupBy("label", _bin_index(F.col("_v"), F.col("_s.lo"), F.col("_s.w"), bins).alias("bin")).agg(
-        F.count(F.lit(1)).alias("count"))
+    src = df.select(F.col(label).alias("label"), F.col(col).cast("double").alias("_x")).dropna()
+    if isinstance(bins, int):
+        n = bins
+        low = F.min("_x") + F.lit(float(delta)) if log else F.min("_x")
+        v = F.log10("_x") if log else F.col("_x")
+        ends = src.agg(low.alias("lo"), F.max("_x").alias("hi"))
+        if log:
+            ends = ends.select(F.log10("lo").alias("lo"), F.log10("hi").alias("hi"))
+        stats = ends.select("lo", "hi", ((F.col("hi") - F.col("lo")) / F.lit(float(n))).alias("w"))
+        tagged = with_scalar(src, stats, "_s").where(v >= F.col("_s.lo"))
+        index = _bin_index(v, F.col("_s.lo"), F.col("_s.w"), n)
+
+        def edge(i: Column) -> Column:
+            at = F.col("_s.lo") + i * F.col("_s.w")
+            return F.pow(F.lit(10.0), at) if log else at
+    else:
+        edges = sorted(float(e) for e in bins)
+        n = len(edges) - 1
+        tagged, stats = src.where(F.col("_x").between(edges[0], edges[-1])), None
+        index = F.least(sum((F.col("_x") >= e).cast("int") for e in edges[1:]), F.lit(n - 1))
+
+        def edge(i: Column) -> Column:
+            return F.element_at(F.array(*[F.lit(e) for e in edges]), i + 1)
+    counts = tagged.groupBy("label", index.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     totals = counts.groupBy("label").agg(F.sum("count").alias("_n"))
-    out = with_scalar(counts.join(totals, "label"), stats, "_s")
-    return out.select("label", "bin", F.col("count").cast("bigint").alias("count"),
-                      (F.col("count") / (F.col("_n") * F.col("_s.w") * F.lit(float(delta)))).alias("density"))
+    out = (totals.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+           .join(counts, ["label", "bin"], "left").withColumn("count", F.coalesce("count", F.lit(0)).cast("bigint")))
+    out = (out if stats is None else with_scalar(out, stats, "_s")).withColumns(
+        {"lower": edge(F.col("bin")), "upper": edge(F.col("bin") + 1)})
+    return out.select("label", "bin", "lower", "upper", "count",
+                      F.try_divide("count", F.col("_n") * (F.col("upper") - F.col("lower"))).alias("density"))
 
 
 # D3

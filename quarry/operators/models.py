@@ -141,14 +141,13 @@ def fit_kmeans(df: DataFrame, features: str | list[str], k: int, seed: int = 42,
 # L8
 def kmeans_sweep(df: DataFrame, features: str, ks: list[int], seed: int = 42) -> DataFrame:
     """(k, cost, silhouette) per k; silhouette is Spark's squared-Euclidean one."""
-    data = df.select(features).cache()
+    data = cut_lineage(df.select(features))
     ev = ClusteringEvaluator(featuresCol=features, predictionCol="cluster", metricName="silhouette",
                              distanceMeasure="squaredEuclidean")
     rows = []
     for k in ks:
         model = KMeans(featuresCol=features, k=k, seed=seed, predictionCol="cluster").fit(data)
         rows.append((k, float(model.summary.trainingCost), float(ev.evaluate(model.transform(data)))))
-    data.unpersist()
     return _table(df.sparkSession, rows, "k int, cost double, silhouette double")
 
 
@@ -197,12 +196,8 @@ def grid_search(df: DataFrame, cols: list[str], label: str, estimator, grid: dic
           else RegressionEvaluator(labelCol=label, metricName=metric))
     kw = {"foldCol": fold_col, "numFolds": folds} if fold_col else {"numFolds": folds, "seed": seed}
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=b.build(), evaluator=ev, parallelism=2, **kw)
-    # every fold and setting re-reads the input: cache it for the duration of the search
-    data = assemble(df, cols).cache()
-    try:
-        model = cv.fit(data)
-    finally:
-        data.unpersist()
+    # every fold and setting re-reads the input
+    model = cv.fit(cut_lineage(assemble(df, cols)))
     rows = [(str({p.name: v for p, v in pm.items()}), float(m)) for pm, m in zip(model.getEstimatorParamMaps(),
                                                                                   model.avgMetrics)]
     return model, _table(df.sparkSession, rows, "params string, metric double")
@@ -220,10 +215,9 @@ def block_folds(df: DataFrame, period: str, name: str = "fold") -> DataFrame:
 
 # L10
 def sweep(df: DataFrame, values: list, fit, score) -> DataFrame:
-    """Fit once per setting value on a cached input; one (value, score) row each."""
-    data = df.cache()
+    """Fit once per setting value on one stored input; one (value, score) row each."""
+    data = cut_lineage(df)
     rows = [(str(v), float(score(fit(data, v)))) for v in values]
-    data.unpersist()
     return _table(df.sparkSession, rows, "value string, score double")
 
 

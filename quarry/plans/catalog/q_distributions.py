@@ -41,13 +41,44 @@ def d1b(spark, sf):
 WITH s AS (SELECT min(l_extendedprice) AS lo, (max(l_extendedprice) - min(l_extendedprice)) / 10.0 AS w FROM lineitem),
      c AS (SELECT l_returnflag AS label, least(floor((l_extendedprice - s.lo) / s.w)::int, 9) AS bin, count(*) AS n
            FROM lineitem, s GROUP BY 1, 2),
-     t AS (SELECT label, sum(n) AS total FROM c GROUP BY 1)
-SELECT c.label, c.bin, c.n AS count, round(c.n / (t.total * s.w * 1.0), 12) AS density
-FROM c JOIN t USING (label) CROSS JOIN s
+     t AS (SELECT label, sum(n) AS total FROM c GROUP BY 1),
+     g AS (SELECT label, total, unnest(range(0, 10))::int AS bin FROM t)
+SELECT g.label, g.bin, round(s.lo + g.bin * s.w, 6) AS lower, round(s.lo + (g.bin + 1) * s.w, 6) AS upper,
+       coalesce(c.n, 0) AS count, round(coalesce(c.n, 0) / (g.total * s.w), 12) AS density
+FROM g LEFT JOIN c ON g.label = c.label AND g.bin = c.bin CROSS JOIN s
 """)
 def d2(spark, sf):
     out = D.histogram_compare(Tables(spark, sf).lineitem, "l_extendedprice", "l_returnflag", 10)
-    return _r(out, ["density"], 12)
+    return _r(_r(out, ["density"], 12), ["lower", "upper"])
+
+
+@register("d2_histogram_compare_log", """
+WITH s AS (SELECT log10(min(l_quantity) + 1) AS lo, (log10(max(l_quantity)) - log10(min(l_quantity) + 1)) / 7.0 AS w FROM lineitem),
+     c AS (SELECT l_linestatus AS label, least(floor((log10(l_quantity) - s.lo) / s.w)::int, 6) AS bin, count(*) AS n
+           FROM lineitem, s WHERE log10(l_quantity) >= s.lo GROUP BY 1, 2),
+     t AS (SELECT label, sum(n) AS total FROM c GROUP BY 1),
+     g AS (SELECT label, total, unnest(range(0, 7))::int AS bin FROM t),
+     e AS (SELECT g.*, pow(10, s.lo + g.bin * s.w) AS lower, pow(10, s.lo + (g.bin + 1) * s.w) AS upper FROM g CROSS JOIN s)
+SELECT e.label, e.bin, round(lower, 6) AS lower, round(upper, 6) AS upper, coalesce(c.n, 0) AS count,
+       round(coalesce(c.n, 0) / (e.total * (upper - lower)), 9) AS density
+FROM e LEFT JOIN c ON e.label = c.label AND e.bin = c.bin
+""")
+def d2_log(spark, sf):
+    out = D.histogram_compare(Tables(spark, sf).lineitem, "l_quantity", "l_linestatus", 7, log=True)
+    return _r(_r(out, ["density"], 9), ["lower", "upper"])
+
+
+@register("d2_histogram_compare_edges", """
+WITH e AS (SELECT unnest([0, 1, 2, 3, 4]) AS bin, unnest([0.0, 5.0, 20.0, 45.0, 60.0]) AS lower, unnest([5.0, 20.0, 45.0, 60.0, 90.0]) AS upper),
+     t AS (SELECT l_linestatus AS label, count(*) AS total FROM lineitem WHERE l_quantity BETWEEN 0 AND 90 GROUP BY 1),
+     c AS (SELECT l_linestatus AS label, e.bin, count(*) AS n FROM lineitem JOIN e
+             ON l_quantity >= e.lower AND (l_quantity < e.upper OR (e.bin = 4 AND l_quantity = e.upper)) GROUP BY 1, 2)
+SELECT t.label, e.bin::int AS bin, e.lower::double AS lower, e.upper::double AS upper, coalesce(c.n, 0) AS count,
+       round(coalesce(c.n, 0) / (t.total * (e.upper - e.lower))::double, 12) AS density
+FROM t CROSS JOIN e LEFT JOIN c ON c.label = t.label AND c.bin = e.bin
+""")
+def d2_edges(spark, sf):
+    return _r(D.histogram_compare(Tables(spark, sf).lineitem, "l_quantity", "l_linestatus", [0, 5, 20, 45, 60, 90]), ["density"], 12)
 
 
 @register("d3_rate_by_category", """

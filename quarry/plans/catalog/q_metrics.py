@@ -216,15 +216,17 @@ def t10(spark, sf):
     return _regm(T.by_split(T.regression_metrics, df, "split", y="y", p="p", n_features=1))
 
 
-@register("t11_cluster_profile", """
-SELECT label, count(*) AS size, round(avg(embedding[1]::double), 9) AS mean_0, round(avg(embedding[2]::double), 9) AS mean_1,
-       round(avg(embedding[3]::double), 9) AS mean_2
+DIMENSIONS = 64  # of the embeddings table
+
+
+@register("t11_cluster_profile", f"""
+SELECT label, count(*) AS size, {", ".join(f"round(avg(embedding[{i + 1}]::double), 9) AS mean_{i}" for i in range(DIMENSIONS))}
 FROM embeddings GROUP BY label
 """)
 def t11(spark, sf):
     e = Tables(spark, sf).embeddings
-    out = T.cluster_profile(e, "label", [F.col("embedding")[i].cast("double") for i in range(3)])
-    return _r(out, ["mean_0", "mean_1", "mean_2"])
+    out = T.cluster_profile(e, "label", [F.col("embedding")[i].cast("double") for i in range(DIMENSIONS)])
+    return _r(out, [f"mean_{i}" for i in range(DIMENSIONS)])
 
 
 @register("t12_score_summary", f"""

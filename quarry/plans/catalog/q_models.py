@@ -106,7 +106,7 @@ def l7(spark, sf):
 
 @register("l8_kmeans_sweep")
 def l8(spark, sf):
-    return L.kmeans_sweep(_emb(Tables(spark, sf)), "vec", [2, 3, 4, 5, 6])
+    return L.kmeans_sweep(_emb(Tables(spark, sf)), "vec", list(range(2, 30)))
 
 
 @register("l8_kmeans_row_silhouette")

@@ -1,7 +1,7 @@
 """Sources and sinks.
 
 Readers take explicit schemas (inference only when none is given); writers
-control file counts with ``coalesce`` only when asked, and support
+control file counts with ``repartition`` only when asked, and support
 ``mode='ignore'`` as the skip-if-present guard.
 """
 
