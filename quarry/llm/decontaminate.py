@@ -5,7 +5,8 @@ item is one window) are hashed and broadcast; every whole text is scanned for
 them in Arrow batches, a hash hit is verified word by word, and the words inside
 occurrences are marked.  One broadcast holds at most ``block`` windows: a larger
 benchmark is taken in several passes over the documents, each with its own block,
-so nothing is left out and no worker holds more than one block.
+so nothing is left out and no worker holds more than one block.  The word runs hit are
+carried through the passes, and a document is judged on those of all blocks.
 
 Null and empty texts have no words and no hits; a benchmark row without words has
 no window; a null ``item_id`` marks words but is not listed among the items.
@@ -87,13 +88,33 @@ class _Index:
 
 
 def _blocks(benchmark: DataFrame, window: int, block: int):
+    """(whether it is the last one, broadcast index) of each block."""
     windows = benchmark_windows(benchmark, window).distinct()
     if (total := windows.count()) > block:
         windows = cut_lineage(windows)
     n = max(1, -(-total // block))
     for i in range(n):
         part = windows.where(F.pmod(F.xxhash64("hash", "window_text"), F.lit(n)) == i) if n > 1 else windows
-        yield benchmark.sparkSession.sparkContext.broadcast(_Index(part.collect()))
+        yield i == n - 1, benchmark.sparkSession.sparkContext.broadcast(_Index(part.collect()))
+
+
+def _add_hits(index: _Index, texts: pa.Array, firsts: list, ends: list, items: list | None = None) -> np.ndarray:
+    """Add one block's hits to the word runs (and items) of each text; gives the word counts."""
+    n_words = np.zeros(len(texts), np.int64)
+    for c in chunks(texts):
+        low = lowered(c)
+        w = words(low, ALNUM)
+        n_words[c.first:c.first + c.n] = w.counts
+        for f, length, found in index.hits(low, w):
+            i = int(np.searchsorted(w.offsets, f, "right")) - 1
+            firsts[c.first + i].append(f - int(w.offsets[i]))
+            ends[c.first + i].append(f - int(w.offsets[i]) + length)
+            if items is not None:
+                items[c.first + i] |= found - {None}
+    for i, run in enumerate(firsts):
+        if run:
+            firsts[i], ends[i] = merged(run, ends[i])
+    return n_words
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -102,24 +123,12 @@ def mark(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
     marked = docs.select(as_id(doc_id), F.col(text).alias("text"), F.array().cast("array<long>").alias("first_hit"),
                          F.array().cast("array<long>").alias("end_hit"), F.array().cast("array<string>").alias("items"),
                          F.lit(0).cast("long").alias("n_words"))
-    for k, index in enumerate(_blocks(benchmark, window, block)):
+    for k, (_, index) in enumerate(_blocks(benchmark, window, block)):
         def make(index=index):
             def work(batch):
                 ids, texts, firsts, ends, items, _ = batch.columns
                 firsts, ends, items = firsts.to_pylist(), ends.to_pylist(), [set(x) for x in items.to_pylist()]
-                n_words = np.zeros(batch.num_rows, np.int64)
-                for c in chunks(texts):
-                    low = lowered(c)
-                    w = words(low, ALNUM)
-                    n_words[c.first:c.first + c.n] = w.counts
-                    for f, length, found in index.value.hits(low, w):
-                        i = int(np.searchsorted(w.offsets, f, "right")) - 1
-                        firsts[c.first + i].append(f - int(w.offsets[i]))
-                        ends[c.first + i].append(f - int(w.offsets[i]) + length)
-                        items[c.first + i] |= found - {None}
-                for i, run in enumerate(firsts):
-                    if run:
-                        firsts[i], ends[i] = merged(run, ends[i])
+                n_words = _add_hits(index.value, texts, firsts, ends, items)
                 return {doc_id: ids, "text": texts, "first_hit": firsts, "end_hit": ends, "items": [sorted(x) for x in items], "n_words": n_words}
             return work
         if k:
@@ -158,34 +167,37 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, doc_id: str =
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW,
                       block: int = BLOCK, spans: bool = False) -> DataFrame:
     """The documents without contaminated ones; with ``spans``, contaminated ones stay
-    and lose the hit words (and what stands between hit neighbours)."""
-    for k, index in enumerate(_blocks(benchmark, window, block)):
-        def make(index=index):
-            def work(column: pa.Array):
-                keep, texts = np.ones(len(column), bool), column.to_pylist() if spans else None
-                for c in chunks(column):
-                    low = lowered(c)
-                    w = words(low, ALNUM)
-                    runs: dict[int, list] = {}
-                    for f, length, _ in index.value.hits(low, w):
-                        runs.setdefault(int(np.searchsorted(w.offsets, f, "right")) - 1, []).append((f, f + length))
-                    for i, found in runs.items():
-                        a, b = merged(*map(list, zip(*found, strict=True)))
-                        if 20 * (sum(b) - sum(a)) < w.counts[i]:
-                            continue
-                        if not spans:
-                            keep[c.first + i] = False
-                            continue
-                        cuts = [(int(w.starts[f]), int(w.ends[e - 1])) for f, e in zip(a, b, strict=True)]
-                        left = [int(c.offsets[i]), *[e for _, e in cuts]]
-                        right = [*[s for s, _ in cuts], int(c.offsets[i + 1])]
-                        texts[c.first + i] = b"".join(c.data[s:e].tobytes() for s, e in zip(left, right, strict=True)).decode()
-                return keep, texts
+    and lose the hit words (and what stands between hit neighbours).
+
+    The hit runs are carried through all blocks over unchanged texts, as in ``mark``, and
+    judged once after the last block."""
+    names, runs = docs.columns, ("_first_hit", "_end_hit")
+    docs = docs.withColumns({c: F.array().cast("array<long>") for c in runs})
+    for k, (last, index) in enumerate(_blocks(benchmark, window, block)):
+        def make(last=last, index=index):
+            def work(column: pa.Array, firsts: pa.Array, ends: pa.Array):
+                firsts, ends = firsts.to_pylist(), ends.to_pylist()
+                n_words = _add_hits(index.value, column, firsts, ends)
+                keep, texts = np.ones(len(column), bool), column.to_pylist() if last and spans else None
+                for i, (a, b) in enumerate(zip(firsts, ends, strict=True)):
+                    if not last or not a or 20 * (sum(b) - sum(a)) < n_words[i]:
+                        continue
+                    if spans:
+                        texts[i] = _without(column.slice(i, 1), a, b)
+                    else:
+                        keep[i] = False
+                return keep, texts, firsts, ends
             return work
         if k:
             docs = cut_lineage(docs)
-        docs = scan_rows(docs, text, make)
-    return docs
-
+        docs = scan_rows(docs, text, make, runs)
+    return docs.select(names)
 
 
+def _without(column: pa.Array, firsts: list[int], ends: list[int]) -> str:
+    """The one text of ``column`` without the given runs of words."""
+    c = next(chunks(column))
+    w = words(lowered(c), ALNUM)
+    left = [0, *[int(w.ends[e - 1]) for e in ends]]
+    right = [*[int(w.starts[f]) for f in firsts], int(c.offsets[1])]
+    return b"".join(c.data[s:e].tobytes() for s, e in zip(left, right, strict=True)).decode()

@@ -59,10 +59,11 @@ def scan(df: DataFrame, columns: list, make: Callable[[], Callable], schema: str
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def scan_rows(df: DataFrame, text: str, make: Callable[[], Callable]) -> DataFrame:
+def scan_rows(df: DataFrame, text: str, make: Callable[[], Callable], carried: tuple[str, ...] = ()) -> DataFrame:
     """Judge whole rows in place, without a shuffle: the function ``make()`` gives
     gets the text column of a batch and returns ``(keep, texts)``: a mask, and the
-    new texts or None.  All columns stay; ``n_chars``, if present, follows a new text."""
+    new texts or None.  All columns stay; ``n_chars``, if present, follows a new text.
+    The ``carried`` columns are given too, and new values for them returned after ``texts``."""
     small_batches(df.sparkSession)
     names = df.columns
 
@@ -71,16 +72,18 @@ def scan_rows(df: DataFrame, text: str, make: Callable[[], Callable]) -> DataFra
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            keep, texts = work(batch.column(names.index(text)))
+            keep, texts, *values = work(*[batch.column(names.index(c)) for c in (text, *carried)])
+            arrays = list(batch.columns)
+            for c, new in zip(carried, values, strict=True):
+                arrays[names.index(c)] = pa.array(new, batch.schema.field(names.index(c)).type)
             if texts is not None:
-                arrays = list(batch.columns)
                 kind = batch.schema.field(names.index(text)).type
                 arrays[names.index(text)] = pa.array(texts, kind)
                 if "n_chars" in names:
                     at = names.index("n_chars")
                     new = pa.array([None if t is None else len(t) for t in texts], pa.int64())
                     arrays[at] = new.cast(batch.schema.field(at).type)
-                batch = pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
+            batch = pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

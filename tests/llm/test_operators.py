@@ -90,6 +90,31 @@ def test_decontamination(spark, block):
         assert r["contaminated"] == (len(hit) > 0 and 20 * len(hit) >= len(w)) == (d not in kept)
 
 
+def test_decontamination_judges_all_blocks(spark):
+    rng = random.Random(11)
+    word = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    items = [word(13) for _ in range(10)]  # ten windows, in blocks of at most two on average
+    spread = " ".join(f"{word(240)} {x}" for x in items)  # 130 of 2530 words, 13 or few more in a block
+    below = " ".join(f"{word(250)} {x}" for x in items)  # 130 of 2630 words
+    texts = [spread, below, word(300), items[0], None]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for block in (1000, 2, 1):
+        report = rows(decontaminate.decontamination_report(table(spark, texts), bench, block=block))
+        assert {r["doc_id"]: r["n_hit"] for r in report} == {0: 130, 1: 130, 2: 0, 3: 13, 4: 0}
+        kept = decontaminate.drop_contaminated(table(spark, texts), bench, block=block)
+        assert kept.columns == table(spark, texts).columns
+        assert {r.doc_id for r in kept.collect()} == {r["doc_id"] for r in report if not r["contaminated"]} == {1, 2, 4}
+        cut = {r.doc_id: r.text for r in decontaminate.drop_contaminated(table(spark, texts), bench, block=block, spans=True).collect()}
+        assert cut == {0: spread.split(items[0])[0] + "".join(_between(spread, items)), 1: below, 2: texts[2], 3: "", 4: None}
+
+
+def _between(text, items):
+    """What stands after each of the items."""
+    for i, x in enumerate(items):
+        text = text.split(x, 1)[1]
+        yield text.split(items[i + 1], 1)[0] if i + 1 < len(items) else text
+
+
 def shingles(t, width=3):
     w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
     return {tuple(w[i:i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
