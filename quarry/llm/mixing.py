@@ -9,7 +9,9 @@ in words is drawn from that order: so many full passes and a last one that ends
 at a *cut*.  The cut is found by descending the hash digits: sums by the first
 digits tell the block it lies in, that block alone is summed by the next digits, and so
 on, so no task ever orders a source's documents.  The document at the cut is taken
-in part (its first words), which makes a source's words exact.
+in part (its first words), which makes a source's words exact.  Rows that share the
+key at the cut are drawn in the order of a hash of their texts, found the same way, so
+``mixed`` shortens one document of a source at most.
 
 Every block drawn (a source, the first hash digits, a pass) is a slot of its
 source's exact block quota.  The slots of all sources go down a binary tree: each
@@ -21,7 +23,8 @@ shard by a second hash.
 Tables that leave the row level are bounded: one row a source, and 16 ** digits
 blocks of it at most.  A null text has size 0; a document of size 0 is taken with 0
 words; a null id stands in the order as an empty one.  Rows that repeat an id stand
-together, and share what is left if the cut falls on them, in proportion to size.
+together; if the cut falls on them, ``mix_report`` gives each its share of what is left,
+in proportion to size (so its SQL), and ``mixed`` takes whole rows.
 An empty table gives no rows.  Only DataFrame functions are used.
 """
 
@@ -91,6 +94,18 @@ def _cut(rows: DataFrame, rest: DataFrame, digits: int) -> DataFrame:
     return cut
 
 
+def _numbered(made: DataFrame, plan: DataFrame, columns: list[str], text: str, digits: int) -> DataFrame:
+    """``made`` with the order of rows at the cut's key: _tied (a hash of the text), tied
+    (the one at which the words end, with tied_rest words left) and _nth among equal texts there."""
+    made = made.withColumn("_tied", F.when(F.col("_key") == F.col("cut"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
+    rows = stored(made.where("_tied is not null").select("_src", F.col("_tied").alias("_key"), "_size"))
+    ends = _cut(rows, plan.where("cut is not null").select("_src", F.col("cut_rest").alias("rest")), digits)
+    made = made.join(cut_lineage(ends.select("_src", F.col("cut").alias("tied"), F.col("cut_rest").alias("tied_rest"))), "_src", "left")
+    at = F.coalesce(F.col("_tied") == F.col("tied"), F.lit(False))
+    nth = F.row_number().over(W.partitionBy("_src").orderBy(F.to_json(F.struct(*columns))))
+    return made.where(~at).withColumn("_nth", F.lit(1)).unionByName(made.where(at).withColumn("_nth", nth))
+
+
 def _shards(drawn: DataFrame, levels: int, seed: str) -> DataFrame:
     """(_src, block, shards) from the slots (_src, block, times): the leaf of each slot, by pass."""
     slots = drawn.select("_src", "block", F.explode(F.sequence(F.lit(0), F.col("times").cast("int") - 1)).alias("pass"), F.lit(0).alias("node"))
@@ -103,9 +118,12 @@ def _shards(drawn: DataFrame, levels: int, seed: str) -> DataFrame:
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE,
-        ceiling: float = CEILING, digits: int = DIGITS, levels: int = LEVELS, seed: str = SEED) -> DataFrame:
+        ceiling: float = CEILING, digits: int = DIGITS, levels: int = LEVELS, seed: str = SEED, whole: bool = False) -> DataFrame:
     """``docs`` with _size, _source_size, _target, _taken and _picks: an array of
-    (pass, words, shard, place), one entry for each pass that takes the row."""
+    (pass, words, shard, place), one entry for each pass that takes the row.
+
+    With ``whole``, rows that share the key at the cut are taken one after the other
+    instead of each in part."""
     rows = stored(keyed(docs, doc_id, text, source, seed).select(F.col(source).cast("string").alias("source"), "_src", "_key", "_size"))
     plan = targets(rows.groupBy("source", "_src").agg(F.sum("_size").alias("source_size")), weights, share, ceiling)
     words = F.round("target").cast("long")
@@ -120,13 +138,19 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
              .select("_src", F.col("_key").alias("block"), (F.col("passes") + last).alias("times")).where("times > 0"))
     shards = cut_lineage(_shards(drawn, levels, seed))
 
+    made = keyed(docs, doc_id, text, source, seed).join(plan, "_src")
     part = F.floor(F.col("_size") * F.col("cut_rest") / F.greatest("cut_words", F.lit(1)))
+    if whole:
+        made = _numbered(made, plan, docs.columns, text, digits)
+        left = F.col("tied_rest") - (F.col("_nth") - 1) * F.col("_size")
+        part = (F.when(F.col("_tied") < F.col("tied"), F.col("_size"))
+                .when(F.col("_tied") == F.col("tied"), F.greatest(F.least(left, "_size"), F.lit(0))).otherwise(0))
     extra = F.when(F.col("_key") < F.col("cut"), F.col("_size")).when(F.col("_key") == F.col("cut"), part).otherwise(0).cast("long")
     place = lambda i: F.md5(F.concat_ws("|", F.lit(f"{seed}|place"), i.cast("string"), "_key").cast("binary"))
     pick = lambda shard, i: F.struct(
         i.cast("int").alias("pass"), F.when(i < F.col("passes"), F.col("_size")).otherwise(F.col("_extra")).alias("words"),
         shard.alias("shard"), place(i).alias("place"))
-    made = (keyed(docs, doc_id, text, source, seed).join(plan, "_src").withColumns({"_extra": F.coalesce(extra, F.lit(0).cast("long")), "_block": block})
+    made = (made.withColumns({"_extra": F.coalesce(extra, F.lit(0).cast("long")), "_block": block})
             .join(shards.withColumnsRenamed({"block": "_block", "shards": "_shards"}), ["_src", "_block"], "left"))
     return made.withColumns({
         "_taken": F.col("passes") * F.col("_size") + F.col("_extra"),
@@ -144,8 +168,8 @@ def mix_report(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", levels: int = LEVELS, **options) -> DataFrame:
     """The mix itself: a row for each pick, by shard and shuffled in it, with the
     columns of ``docs`` and _pass, _words, _shard, _place.  A pick of part of a document
-    holds its first words, joined by one space."""
-    m = mix(docs, doc_id, text, levels=levels, **options).withColumn("_pick", F.explode("_picks"))
+    (one of a source at most) holds its first words, joined by one space."""
+    m = mix(docs, doc_id, text, levels=levels, whole=True, **options).withColumn("_pick", F.explode("_picks"))
     first = F.array_join(F.slice(F.filter(F.split(text, SPACES), lambda w: w != ""), F.lit(1), F.col("_pick.words").cast("int")), " ")
     m = m.withColumn(text, F.when(F.col("_pick.words") < F.col("_size"), first).otherwise(F.col(text)))
     return (m.select(*docs.columns, F.col("_pick.pass").alias("_pass"), F.col("_pick.words").alias("_words"), F.col("_pick.shard").alias("_shard"), F.col("_pick.place").alias("_place"))

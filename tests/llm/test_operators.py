@@ -221,6 +221,19 @@ def test_mixing(spark):
     assert mixing.mix_report(df.limit(0)).count() == 0
 
 
+def test_mixing_takes_whole_rows_of_one_id(spark):
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.choice((3, 7, 11)))) for _ in range(40)] + ["same text here now"] * 6
+    for ids, share in ((lambda i: None, 1.5), (lambda i: i % 3, 0.37)):
+        df = spark.createDataFrame([(ids(i), t, "a", i) for i, t in enumerate(texts)], "doc_id long, text string, source string, n long")
+        mixed = mixing.mixed(df, share=share).collect()
+        assert abs(sum(r["_words"] for r in mixed) - share * sum(len(t.split()) for t in texts)) <= 0.5
+        assert sum(r["text"] != texts[r["n"]] for r in mixed) <= 1
+        assert len({(r["n"], r["_pass"]) for r in mixed}) == len(mixed)
+    same = spark.createDataFrame([(None, "same text here now", "a", i) for i in range(9)], "doc_id long, text string, source string, n long")
+    assert sorted(r["_words"] for r in mixing.mixed(same, share=0.5).collect()) == [2, 4, 4, 4, 4]
+
+
 def test_quality(spark):
     rng = random.Random(5)
     good = [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(40)) + "." for _ in range(150)]
