@@ -143,6 +143,37 @@ def clamp_round(c: ColumnLike, lo: float = 0.0, digits: int = 2, half_even: bool
 
 
 # F14
+def display_names(df: DataFrame, feature: str, codes: DataFrame, systems: DataFrame, summary: bool = False,
+                  display: str = "display") -> DataFrame:
+    """``df`` with the display name of each ``family|...|last`` feature name by its family's rule.
+
+    ``codes``: (url, code, name), one row for each code of a system; ``systems``:
+    (short, url). Last part: Claims, Coverage, Claims_Coverage, Demographic;
+    system and code: MedicalCodeCounter; disease: DiseaseTagCounter; system and the
+    code's name: CrossCodeCounter (unknown codes keep their name); family and last
+    part: LabInterpreter and, with ``summary``, Summary, whose rows go without it.
+    Other families, and names too short for their rule, keep their name.
+    """
+    c = col(feature)
+    family, last = F.split_part(c, F.lit("|"), F.lit(1)), F.split_part(c, F.lit("|"), F.lit(-1))
+    second = F.get(F.split(last, "_"), F.lit(1))
+    code = F.split_part(F.split_part(last, F.lit("_"), F.lit(-1)), F.lit("-"), F.lit(-1))
+    cross = family == "CrossCodeCounter"
+    named = (systems.join(codes, "url")
+             .select(F.col("short").alias("_short"), F.col("code").cast("string").alias("_code"), F.col("name").alias("_name")))
+    keyed = df.withColumns({"_system": F.when(cross, F.lower(second)), "_of": F.when(cross, code)})
+    out = keyed.join(named, (F.col("_system") == F.col("_short")) & (F.col("_of") == F.col("_code")), "left")
+    name = (F.when(family.isin("Claims", "Coverage", "Claims_Coverage", "Demographic"), last)
+            .when(family == "MedicalCodeCounter", F.concat(second, F.lit("|"), F.split_part(last, F.lit("-"), F.lit(-1))))
+            .when(family == "DiseaseTagCounter", second)
+            .when(cross, F.concat(second, F.lit("|"), F.col("_name")))
+            .when(family.isin("LabInterpreter", "Summary"), F.concat(family, F.lit("|"), last)))
+    out = out.withColumn(display, F.coalesce(name, c))
+    if not summary:
+        out = out.where(F.coalesce(family != "Summary", F.lit(True)))
+    return out.select(*df.columns, display)
+
+
 def normalize_feature_name(c: ColumnLike, sep: str = ".", rules: dict[str, int] | None = None,
                            default_parts: int = 1) -> Column:
     """Rewrite a hierarchical feature name to its display name by family.

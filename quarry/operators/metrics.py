@@ -143,11 +143,13 @@ def _top_metrics(df: DataFrame, y: str, p: str, q: float, by: list[str], prefix:
     agg = t.groupBy(*by).agg(
         F.count_if(yt & pt).alias("_tp"), F.count_if(pt).alias("_np"), F.count_if(yt).alias("_ny"),
         F.sum(F.when(pt, F.col(y).cast("double")).otherwise(0.0)).alias("_cap_pred"),
-        F.sum(F.when(yt, F.col(y).cast("double")).otherwise(0.0)).alias("_cap_true"))
+        F.sum(F.when(yt, F.col(y).cast("double")).otherwise(0.0)).alias("_cap_true"),
+        F.sqrt(F.avg(F.when(yt, F.pow(F.col(y).cast("double") - F.col(p).cast("double"), 2)))).alias("_rmse"))
     prec, rec = ratio_or_zero("_tp", "_np"), ratio_or_zero("_tp", "_ny")
     return agg.select(*by, prec.alias(f"{prefix}precision"), rec.alias(f"{prefix}recall"),
                       ratio_or_zero(F.lit(2.0) * prec * rec, prec + rec).alias(f"{prefix}f1"),
-                      ratio_or_zero("_cap_pred", "_cap_true").alias(f"{prefix}cost_capture"))
+                      ratio_or_zero("_cap_pred", "_cap_true").alias(f"{prefix}cost_capture"),
+                      *[F.col("_rmse").alias(f"{prefix}rmse")] * bool(prior))
 
 
 # T7
@@ -157,10 +159,11 @@ def top_decile_metrics(df: DataFrame, y: str, p: str, q: float = 0.9, by: list[s
 
 # T8
 def threshold_metrics(df: DataFrame, y: str, p: str, thresholds: list[float], by: list[str] | None = None,
-                      probs: dict[float, str] | None = None) -> DataFrame:
+                      probs: dict[float, str] | None = None, prior: str | None = None) -> DataFrame:
     """Per threshold t: RMSE of rows with y > t, precision/recall/F1 of (p > t vs y > t),
     cost capture sum(y | p>t)/sum(y | y>t), and AP for the label y > t, scored by
-    ``probs[t]`` (a per-threshold classifier probability column) or by p.
+    ``probs[t]`` (a per-threshold classifier probability column) or by p. Given
+    ``prior``, only rows with prior < t count for t.
 
     The threshold list is a parameter (bounded): each row is expanded once per
     threshold with ``explode`` (no join), then everything is grouped by threshold.
@@ -169,6 +172,7 @@ def threshold_metrics(df: DataFrame, y: str, p: str, thresholds: list[float], by
     ts = F.array(*[F.lit(float(t)) for t in thresholds])
     extra = sorted(set((probs or {}).values()))
     x = df.select(*by, F.col(y).cast("double").alias("_y"), F.col(p).cast("double").alias("_p"),
+                  (F.col(prior).cast("double") if prior else F.lit(None)).alias("_prior"),
                   *[F.col(c).cast("double").alias(f"_pr_{i}") for i, c in enumerate(extra)]).withColumn(
         "threshold", F.explode(ts))
     if probs:
@@ -177,7 +181,8 @@ def threshold_metrics(df: DataFrame, y: str, p: str, thresholds: list[float], by
         x = x.withColumn("_score", F.coalesce(lut[F.col("threshold")], F.col("_p")))
     else:
         x = x.withColumn("_score", F.col("_p"))
-    yt, pt = F.col("_y") > F.col("threshold"), F.col("_p") > F.col("threshold")
+    counts = F.coalesce(F.col("_prior") < F.col("threshold"), F.lit(False)) if prior else F.lit(True)
+    yt, pt = (F.col("_y") > F.col("threshold")) & counts, (F.col("_p") > F.col("threshold")) & counts
     keys = [*by, "threshold"]
     agg = x.groupBy(*keys).agg(
         F.sqrt(F.avg(F.when(yt, F.pow(F.col("_y") - F.col("_p"), 2)))).alias("rmse_above"),
@@ -187,17 +192,26 @@ def threshold_metrics(df: DataFrame, y: str, p: str, thresholds: list[float], by
     base = agg.select(*keys, "rmse_above", prec.alias("precision"), rec.alias("recall"),
                       ratio_or_zero(F.lit(2.0) * prec * rec, prec + rec).alias("f1"),
                       ratio_or_zero("_cp", "_ct").alias("cost_capture"))
-    ap = average_precision(x.withColumn("_lab", yt.cast("int")), "_lab", "_score", by=keys)
+    ap = average_precision(x.where(counts).withColumn("_lab", yt.cast("int")), "_lab", "_score", by=keys)
     return base.join(ap, keys, "left")
 
 
 # T9
 def newly_top_metrics(df: DataFrame, y: str, p: str, prior: str, q: float = 0.9, by: list[str] | None = None) -> DataFrame:
-    """T7 on the rows whose prior value is below its q-quantile (newly high); all
-    three cuts come from all rows."""
+    """T7 on the rows whose prior value is below its q-quantile (newly high), and the
+    RMSE of its true top rows (NULL without any); all three cuts come from all rows."""
     return _top_metrics(df, y, p, q, list(by or []), prefix="newly_", prior=prior)
 
 
+def newly_threshold_metrics(df: DataFrame, y: str, p: str, prior: str, thresholds: list[float], by: list[str] | None = None,
+                            probs: dict[float, str] | None = None) -> DataFrame:
+    """T8's precision, recall, F1 and AP per threshold on the rows whose prior value is
+    below that threshold (newly high)."""
+    names = {c: f"newly_{c}" for c in ("precision", "recall", "f1", "average_precision")}
+    out = threshold_metrics(df, y, p, thresholds, by, probs, prior)
+    return out.select(*(by or []), "threshold", *names).withColumnsRenamed(names)
+
+
 # T10
 def by_split(metric, df: DataFrame, split: str, **kw) -> DataFrame:
     """Any metric above, computed per split (the split becomes a grouping key)."""

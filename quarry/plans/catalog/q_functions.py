@@ -157,6 +157,36 @@ def f13(spark, sf):
     return c.select("c_custkey", S.clamp_round("c_acctbal", 0.0, 1).alias("acctbal_floor0"))
 
 
+_F14_FAMILIES = ["Claims", "Coverage", "Claims_Coverage", "Demographic", "MedicalCodeCounter", "DiseaseTagCounter",
+                 "CrossCodeCounter", "LabInterpreter", "Summary", "Other"]
+
+
+@register("f14_display_names", f"""
+WITH n AS (SELECT p_partkey, concat({_F14_FAMILIES}[p_partkey % 10 + 1], '|x|n_', p_brand, '_c-', p_size::varchar) AS feature FROM part),
+     d AS (SELECT DISTINCT lower(p_brand) AS short, p_size::varchar AS code, 'size ' || p_size::varchar AS name FROM part WHERE p_size <= 25),
+     f AS (SELECT p_partkey, feature, split_part(feature, '|', 1) AS family, split_part(feature, '|', 3) AS tail FROM n),
+     g AS (SELECT *, split_part(tail, '_', 2) AS system, split_part(tail, '-', 2) AS code FROM f)
+SELECT p_partkey, feature,
+       CASE WHEN family IN ('Claims', 'Coverage', 'Claims_Coverage', 'Demographic') THEN tail
+            WHEN family = 'MedicalCodeCounter' THEN system || '|' || g.code
+            WHEN family = 'DiseaseTagCounter' THEN system
+            WHEN family = 'CrossCodeCounter' THEN coalesce(system || '|' || d.name, feature)
+            WHEN family = 'LabInterpreter' THEN family || '|' || tail ELSE feature END AS display
+FROM g LEFT JOIN d ON family = 'CrossCodeCounter' AND lower(system) = short AND g.code = d.code
+WHERE family <> 'Summary'
+""")
+def f14_display(spark, sf):
+    part = Tables(spark, sf).part
+    families = F.array(*[F.lit(x) for x in _F14_FAMILIES])
+    names = part.select("p_partkey", F.concat(families[(F.col("p_partkey") % 10).cast("int")], F.lit("|x|n_"), "p_brand", F.lit("_c-"),
+                                              F.col("p_size").cast("string")).alias("feature"))
+    short, url = F.lower("p_brand"), F.concat(F.lit("url:"), F.lower("p_brand"))
+    systems = part.select(short.alias("short"), url.alias("url")).distinct()
+    codes = part.where("p_size <= 25").select(url.alias("url"), F.col("p_size").alias("code"),
+                                              F.concat(F.lit("size "), F.col("p_size").cast("string")).alias("name")).distinct()
+    return S.display_names(names, "feature", codes, systems)
+
+
 @register("f14_normalize_feature_name", """
 WITH n AS (SELECT p_partkey, concat(p_type, '.', p_brand, '.', p_size::varchar) AS feature FROM part)
 SELECT p_partkey, feature,

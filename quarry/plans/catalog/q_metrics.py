@@ -200,10 +200,45 @@ def t9(spark, sf):
     t = Tables(spark, sf)
     df = _reg(t).join(t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_acctbal").alias("prior")),
                       "o_custkey")
-    out = T.newly_top_metrics(df, "y", "p", "prior", 0.9)
+    out = T.newly_top_metrics(df, "y", "p", "prior", 0.9).drop("newly_rmse")
     return _r(out, ["newly_precision", "newly_recall", "newly_f1", "newly_cost_capture"])
 
 
+_NEW_SQL = f"(SELECT o.*, c.c_acctbal * 30 AS prior FROM {REG_SQL} o JOIN customer c ON o.o_custkey = c.c_custkey)"
+
+
+def _new(t):
+    return _reg(t).join(t.customer.select(F.col("c_custkey").alias("o_custkey"), (F.col("c_acctbal") * 30).alias("prior")), "o_custkey")
+
+
+@register("t9_newly_top_rmse", f"""
+WITH s AS {_NEW_SQL}, q AS (SELECT quantile_cont(y, 0.9) AS ty, quantile_cont(prior, 0.9) AS tq FROM s)
+SELECT round(sqrt(avg((y - p) * (y - p))), 6) AS newly_rmse FROM s, q WHERE y > ty AND prior < tq
+""")
+def t9_rmse(spark, sf):
+    return _r(T.newly_top_metrics(_new(Tables(spark, sf)), "y", "p", "prior", 0.9).select("newly_rmse"), ["newly_rmse"], 6)
+
+
+@register("t9_newly_threshold_metrics", f"""
+WITH s AS {_NEW_SQL}, th AS (SELECT unnest([100000.0, 200000.0, 300000.0])::double AS threshold),
+     x AS (SELECT threshold, y, p, (y > threshold)::int AS lab FROM s CROSS JOIN th WHERE prior < threshold),
+     a AS (SELECT threshold, count(*) FILTER (WHERE lab = 1 AND p > threshold) AS tp, count(*) FILTER (WHERE p > threshold) AS np,
+                  count(*) FILTER (WHERE lab = 1) AS ny FROM x GROUP BY 1),
+     per AS (SELECT threshold, p AS score, sum(lab)::double AS pos, sum(1 - lab)::double AS neg FROM x GROUP BY 1, 2),
+     cum AS (SELECT *, sum(pos) OVER (PARTITION BY threshold ORDER BY score DESC) AS cpos,
+                       sum(neg) OVER (PARTITION BY threshold ORDER BY score DESC) AS cneg,
+                       sum(pos) OVER (PARTITION BY threshold) AS "P" FROM per),
+     ap AS (SELECT threshold, sum((pos / "P") * (cpos / (cpos + cneg))) AS average_precision FROM cum GROUP BY 1),
+     m AS (SELECT a.*, coalesce(tp / nullif(np, 0), 0) AS pr, coalesce(tp / nullif(ny, 0), 0) AS rc FROM a)
+SELECT m.threshold, round(pr, 9) AS newly_precision, round(rc, 9) AS newly_recall,
+       round(coalesce(2 * pr * rc / nullif(pr + rc, 0), 0), 9) AS newly_f1, round(ap.average_precision, 9) AS newly_average_precision
+FROM m LEFT JOIN ap USING (threshold)
+""")
+def t9_thresholds(spark, sf):
+    out = T.newly_threshold_metrics(_new(Tables(spark, sf)), "y", "p", "prior", [100000.0, 200000.0, 300000.0])
+    return _r(out, ["newly_precision", "newly_recall", "newly_f1", "newly_average_precision"])
+
+
 _SPLIT_SQL = "CASE WHEN (('0x' || substr(md5(o_orderkey::varchar), 1, 8))::bigint % 100) < 70 THEN 'train' ELSE 'test' END"
 
 

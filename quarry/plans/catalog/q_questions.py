@@ -157,6 +157,19 @@ def b6(spark, sf):
     return _r(_r(out.select("o_orderkey", *[c for n in _B6_KEYS for c in (f"mean_{n}", f"var_{n}")]), means), vars_, 2)
 
 
+@register("b6_lagged_encoding_hour", """
+WITH e AS (SELECT event_id, ts, value, hour(ts)::int AS hour FROM events),
+     h AS (SELECT hour, avg(value) AS m, var_pop(value) AS v FROM e WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1)
+SELECT event_id, round(coalesce(m, -1), 6) AS mean_hour, round(coalesce(v, -1), 2) AS var_hour
+FROM e LEFT JOIN h USING (hour) WHERE ts >= TIMESTAMP '2024-01-16'
+""")
+def b6_hour(spark, sf):
+    e = Tables(spark, sf).events.withColumn("hour", F.hour("ts"))
+    start = F.lit("2024-01-16").cast("timestamp_ntz")
+    out = B.lagged_encoding(e.where(F.col("ts") < start), e.where(F.col("ts") >= start), {"hour": ["hour"]}, "value")
+    return _r(_r(out.select("event_id", "mean_hour", "var_hour"), ["mean_hour"]), ["var_hour"], 2)
+
+
 @register("b7_provider_features", """
 WITH c AS (SELECT l.l_suppkey, l.l_orderkey, o.o_custkey, p.p_type, l.l_extendedprice, l.l_discount
            FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey),
@@ -283,6 +296,35 @@ def _b11_inputs(t):
     return members, claims, coverage, preds
 
 
+@register("b11_group_features_target", """
+WITH m AS (SELECT DISTINCT c_custkey AS member, c_nationkey FROM customer),
+     born AS (SELECT c_custkey AS member, DATE '1930-01-01' + (c_custkey % 20000)::int AS b FROM customer),
+     ages AS (SELECT c_nationkey, avg(date_diff('year', b, DATE '1998-01-01')
+                     - CASE WHEN strftime(b, '%m-%d') > '01-01' THEN 1 ELSE 0 END) AS mean_age FROM m JOIN born USING (member) GROUP BY 1),
+     cov AS (SELECT o_custkey AS member, o_orderdate::date AS s, (o_orderdate::date + INTERVAL 3 MONTH)::date AS e FROM orders),
+     firsts AS (SELECT unnest(generate_series(TIMESTAMP '1998-04-01', TIMESTAMP '1999-03-01', INTERVAL 1 MONTH))::date AS mo),
+     months AS (SELECT c_nationkey, count(*) AS n FROM (SELECT DISTINCT member, mo FROM cov JOIN firsts ON mo BETWEEN s AND e) JOIN m USING (member) GROUP BY 1),
+     cost AS (SELECT c_nationkey, sum(o_totalprice) AS a FROM orders JOIN customer ON o_custkey = c_custkey
+              WHERE o_orderdate >= TIMESTAMP '1998-04-01' AND o_orderdate < TIMESTAMP '1999-04-01' GROUP BY 1)
+SELECT g.c_nationkey, round(mean_age, 9) AS mean_age, coalesce(n, 0) AS target_member_months,
+       round(coalesce(a, 0) / nullif(n, 0), 4) AS target_pmpm,
+       CASE WHEN n_regionkey = 0 THEN NULL WHEN n_regionkey = 1 THEN 'test' ELSE 'train' END AS split
+FROM (SELECT DISTINCT c_nationkey FROM m) g LEFT JOIN ages USING (c_nationkey) LEFT JOIN months USING (c_nationkey)
+     LEFT JOIN cost USING (c_nationkey) LEFT JOIN nation ON n_nationkey = g.c_nationkey
+""")
+def b11_target(spark, sf):
+    t = Tables(spark, sf)
+    members, claims, coverage, preds = _b11_inputs(t)
+    births = t.customer.select(F.col("c_custkey").alias("member"),
+                               F.date_add(F.lit("1930-01-01").cast("date"), (F.col("c_custkey") % 20000).cast("int")).alias("birth_date"))
+    splits = t.nation.where("n_regionkey <> 0").select(F.col("n_nationkey").alias("c_nationkey"),
+                                                       F.when(F.col("n_regionkey") == 1, "test").otherwise("train").alias("split"))
+    out = B.group_features(members, claims, coverage, preds, "member", "c_nationkey", "1998-01-01", 300000.0,
+                           births, ("1998-04-01", "1999-04-01"), splits)
+    out = out.select("c_nationkey", "mean_age", "target_member_months", "target_pmpm", "split")
+    return _r(_r(out, ["target_pmpm"], 4), ["mean_age"], 9)
+
+
 @register("b11_group_features", """
 WITH m AS (SELECT DISTINCT c_custkey AS member, c_nationkey FROM customer),
      c AS (SELECT o_custkey AS member, o_orderdate::date AS date, o_totalprice AS amount FROM orders

@@ -225,7 +225,8 @@ def label_window(df: DataFrame, col: str, start: str, end: str, name: str = "tar
 
 # B11
 def group_features(members: DataFrame, claims: DataFrame, coverage: DataFrame, preds: DataFrame,
-                   member: str, group: str, slice_date: str, high_cost: float = 8000.0) -> DataFrame:
+                   member: str, group: str, slice_date: str, high_cost: float = 8000.0, births: DataFrame | None = None,
+                   target: tuple[str, str] | None = None, splits: DataFrame | None = None) -> DataFrame:
     """Group features at a slice date.
 
     ``members``: (member, group); ``claims``: (member, date, amount);
@@ -235,6 +236,9 @@ def group_features(members: DataFrame, claims: DataFrame, coverage: DataFrame, p
     covered. Counts of covered members are taken at the slice date and
     12 months earlier; trend = (end - begin) / member_months;
     cost_fraction_last_4_month = allowed_4 / (allowed_12 + 1).
+    ``births`` (member, birth_date) adds mean_age: whole years at the slice date;
+    ``target``, the window [start, end) of the target, adds target_member_months and
+    target_pmpm; ``splits`` (group, split) adds the split, NULL for unmapped groups.
     """
     s = F.to_date(F.lit(slice_date))
     w12, w4 = F.add_months(s, -12), F.add_months(s, -4)
@@ -244,13 +248,15 @@ def group_features(members: DataFrame, claims: DataFrame, coverage: DataFrame, p
         F.sum(F.when(F.col("date") >= w4, F.col("amount")).otherwise(0.0)).alias("allowed_4"))
     m = members.select(member, group).distinct()
     mm = m.join(per_member, member, "left").fillna({"allowed_12": 0.0, "allowed_4": 0.0})
-    # each coverage interval expands to the month starts it covers (bounded by its length)
-    months = coverage.select(member, F.explode(F.sequence(
-        F.trunc("start_date", "MM"),
-        F.trunc("end_date", "MM"), F.expr("INTERVAL 1 MONTH"))).alias("month"), "start_date", "end_date")
-    months = months.where((F.col("month") >= F.col("start_date")) & (F.col("month") <= F.col("end_date"))
-                          & (F.col("month") >= w12) & (F.col("month") < s)).select(member, "month").distinct()
-    mmonths = months.join(m, member).groupBy(group).agg(F.count(F.lit(1)).alias("member_months"))
+
+    def months_in(lo, hi, name):
+        # each coverage interval expands to the month starts it covers inside the window
+        cov = coverage.select(member, F.greatest("start_date", lo).alias("_s"), F.least("end_date", F.date_sub(hi, 1)).alias("_e")).where("_s <= _e")
+        months = cov.select(member, "_s", F.explode(F.sequence(F.trunc("_s", "MM"), F.trunc("_e", "MM"), F.expr("INTERVAL 1 MONTH"))).alias("month"))
+        months = months.where(F.col("month") >= F.col("_s")).select(member, "month").distinct()
+        return months.join(m, member).groupBy(group).agg(F.count(F.lit(1)).alias(name))
+
+    mmonths = months_in(w12, s, "member_months")
 
     def covered_at(d):
         return (coverage.where((F.col("start_date") <= d) & (F.col("end_date") >= d)).select(member).distinct()
@@ -274,6 +280,18 @@ def group_features(members: DataFrame, claims: DataFrame, coverage: DataFrame, p
     out = (base.join(mmonths, group, "left").join(begin, group, "left").join(end, group, "left")
            .join(pstats, group, "left").join(pmed, group, "left").join(days, group, "left")
            .fillna({"member_months": 0, "members_begin": 0, "members_end": 0, "_days": 0}))
+    if births is not None:
+        years = F.floor(F.months_between(s, F.to_date("birth_date")) / 12)
+        out = out.join(m.join(births, member).groupBy(group).agg(F.avg(years).alias("mean_age")), group, "left")
+    if target is not None:
+        lo, hi = (F.to_date(F.lit(d)) for d in target)
+        cost = (claims.where((F.col("date") >= lo) & (F.col("date") < hi)).join(m, member)
+                .groupBy(group).agg(F.sum("amount").alias("_cost")))
+        out = (out.join(months_in(lo, hi, "target_member_months"), group, "left").join(cost, group, "left")
+               .fillna({"target_member_months": 0, "_cost": 0.0})
+               .withColumn("target_pmpm", safe_div("_cost", "target_member_months")).drop("_cost"))
+    if splits is not None:
+        out = out.join(splits.select(group, "split"), group, "left")
     return out.withColumn("mean_days_covered", F.col("_days") / F.col("members")).drop("_days").withColumns({
         "pmpm": safe_div("allowed_12", "member_months"),
         "trend": safe_div(F.col("members_end") - F.col("members_begin"), F.col("member_months")),

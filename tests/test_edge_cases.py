@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.functions import scalar
 from quarry.operators import aggregates, clean, features, joins, metrics, outliers, profile
 from quarry.plans import questions
 from quarry.semantics import mode_of
@@ -97,3 +98,38 @@ def test_clean_rows_and_single_purchases(spark):
     assert sorted(r.k for r in outliers.clean_rows(df, "k", flagged).collect()) == [1, 2]
     one = spark.createDataFrame([("c", "2020-01-01", 5.0)], "c string, d string, a double")
     assert outliers.rfm_features(one, "c", "d", "a").first().mean_gap_days == 0.0
+
+
+def test_newly_high_by_threshold(spark):
+    rows = [(9.0, 8.0, 1.0), (9.0, 1.0, 2.0), (1.0, 8.0, 4.9), (9.0, 9.0, 5.0), (1.0, 9.0, 7.0), (1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "y double, p double, prior double")
+    r = {x.threshold: x for x in metrics.newly_threshold_metrics(df, "y", "p", "prior", [5.0, 0.5]).collect()}
+    assert (r[5.0].newly_precision, r[5.0].newly_recall, r[5.0].newly_f1) == (0.5, 0.5, 0.5)  # of the first three rows
+    assert (r[0.5].newly_precision, r[0.5].newly_average_precision) == (0.0, None)  # no prior below it
+
+
+def test_display_names_by_family(spark):
+    names = ["Claims|a|Cost", "MedicalCodeCounter|n_icd_c-77", "DiseaseTagCounter|x_asthma", "CrossCodeCounter|n_ICD_c-J45",
+             "CrossCodeCounter|n_ICD_c-unknown", "LabInterpreter|x|High", "Summary|x|Total", "Custom|x", "DiseaseTagCounter"]
+    df = spark.createDataFrame([(n,) for n in names], "feature string")
+    codes = spark.createDataFrame([("u", "J45", "Asthma"), ("v", "J45", "Other")], "url string, code string, name string")
+    systems = spark.createDataFrame([("icd", "u"), ("loinc", "v")], "short string, url string")
+    got = {r.feature: r.display for r in scalar.display_names(df, "feature", codes, systems).collect()}
+    want = dict(zip(names, ["Cost", "icd|77", "asthma", "ICD|Asthma", names[4], "LabInterpreter|High", None, "Custom|x", names[8]], strict=True))
+    assert got == {k: v for k, v in want.items() if v}
+    assert scalar.display_names(df, "feature", codes, systems, summary=True).where("display = 'Summary|Total'").count() == 1
+
+
+def test_group_features_of_the_target(spark):
+    day = lambda *cols: [F.to_date(c).alias(c) for c in cols]
+    members = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "member long, g string")
+    claims = spark.createDataFrame([(1, "2020-03-01", 60.0), (1, "2020-02-29", 5.0), (2, "2021-02-28", 30.0), (2, "2021-03-01", 7.0)], "member long, date string, amount double").select("member", *day("date"), "amount")
+    coverage = spark.createDataFrame([(1, "2020-02-15", "2020-04-01"), (2, "1900-01-01", "9999-12-31")], "member long, start_date string, end_date string").select("member", *day("start_date", "end_date"))
+    births = spark.createDataFrame([(1, "1990-01-01"), (2, "1980-01-02")], "member long, birth_date string")
+    preds = spark.createDataFrame([(1, 1.0)], "member long, pred double")
+    splits = spark.createDataFrame([("a", "train")], "g string, split string")
+    out = questions.group_features(members, claims, coverage, preds, "member", "g", "2020-01-01", births=births, target=("2020-03-01", "2021-03-01"), splits=splits)
+    r = {x.g: x for x in out.collect()}
+    assert (r["a"].mean_age, r["a"].target_member_months, r["a"].split) == (34.5, 14, "train")
+    assert r["a"].target_pmpm == 90 / 14 and r["a"].member_months == 12
+    assert (r["b"].mean_age, r["b"].target_member_months, r["b"].target_pmpm, r["b"].split) == (None, 0, None, None)
