@@ -18,8 +18,9 @@ shorter text is one shingle).  Steps:
    emits links alone.
 
 Pairs are confirmed on the full sets, made anew from the whole texts (shingles as
-64-bit hashes).  With 8 rows and 40 bands a pair at the threshold 0.85 is missed
-with a chance of 3e-6, more similar pairs far less.
+64-bit hashes).  Unless given, there are as many bands of 8 rows as it takes to miss a
+pair at the threshold with a chance of at most 3e-6 (40 at 0.85, 70 at 0.8), more
+similar pairs far less.
 
 Null and empty texts have no set and link with nothing.  Rows that repeat an id are
 judged alike; a null id is no component's smallest one, and such rows are not kept in the report.  Other columns do not matter.
@@ -41,7 +42,9 @@ from quarry.llm.words import NON_SPACE, Texts, chunks, lowered, mix64, run_hashe
 from quarry.session import cut_lineage
 
 WIDTH, NUMERATOR, DENOMINATOR = 3, 85, 100
-BANDS, ROWS = 40, 8
+ROWS = 8
+#: The chance to miss a pair at the threshold.
+MISSED = 3e-6
 #: Partners verified together against one text, and members of a family in a cell.
 CELL = 256
 #: The circulant's universe.
@@ -208,8 +211,9 @@ def across(members: DataFrame, width: int, share: tuple[int, int], cell: int = C
 
 
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH,
-            share: tuple[int, int] = (NUMERATOR, DENOMINATOR), bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+            share: tuple[int, int] = (NUMERATOR, DENOMINATOR), bands: int | None = None, rows: int = ROWS) -> DataFrame:
     """(id, row, n_shingles, component_id) of every document; ``row`` is its ``row_key``."""
+    bands = bands or enough_bands(share[0] / share[1], rows)
     signed = stored(signatures(docs, doc_id, text, width, bands, rows))
     # a class of equal sets; its row with the smallest id stands for it
     classes = (signed.where("print is not null").groupBy("print")
@@ -262,6 +266,14 @@ def keep_one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     return docs.withColumn("_row", row_key(doc_id, text)).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns)
 
 
-def miss_chance(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
+def miss_chance(similarity: float, bands: int, rows: int = ROWS) -> float:
     """The chance that a pair of that similarity shares no bucket."""
     return math.pow(1 - similarity ** rows, bands)
+
+
+def enough_bands(similarity: float, rows: int = ROWS, missed: float = MISSED) -> int:
+    """The smallest number of bands with which ``miss_chance`` is at most ``missed``."""
+    bands = 1
+    while miss_chance(similarity, bands, rows) > missed:
+        bands += 1
+    return bands

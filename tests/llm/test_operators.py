@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quarry.llm import decontaminate, language, license_scan, mixing, near_duplicates, nearest, page_text, quality, secrets_scan, token_counts
 from quarry.llm.components import components
 
@@ -153,6 +154,17 @@ def test_near_duplicates(spark, monkeypatch, cell):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in range(len(texts)) if root(i) == i)
 
 
+def test_bands_follow_the_threshold(spark, monkeypatch):
+    assert [near_duplicates.enough_bands(x) for x in (0.85, 0.8)] == [40, 70]
+    assert near_duplicates.miss_chance(0.8, 70) <= 3e-6 < near_duplicates.miss_chance(0.8, 40)
+    made = []
+    real = near_duplicates.signatures
+    monkeypatch.setattr(near_duplicates, "signatures", lambda *a: made.append(a[4]) or real(*a))
+    for docs in (corpus_pipeline.drop_near_duplicates(spark, table(spark, ODD), ""), near_duplicates.near_duplicates(table(spark, ODD))):
+        assert "text" in docs.columns or "kept" in docs.columns
+    assert made == [70, 40]
+
+
 def test_components(spark):
     rng = random.Random(8)
     links = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 130)] + [(200, 199), (199, 200), (300, 300)]
