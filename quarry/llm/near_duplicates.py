@@ -23,7 +23,8 @@ pair at the threshold with a chance of at most 3e-6 (40 at 0.85, 70 at 0.8), mor
 similar pairs far less.
 
 Null and empty texts have no set and link with nothing.  Rows that repeat an id are
-judged alike; a null id is no component's smallest one, and such rows are not kept in the report.  Other columns do not matter.
+judged alike; a null id is no component's smallest one, and such rows are not kept in the report, while
+``keep_one_each`` keeps one row of every component.  Other columns do not matter.
 """
 
 from __future__ import annotations
@@ -212,7 +213,8 @@ def across(members: DataFrame, width: int, share: tuple[int, int], cell: int = C
 
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH,
             share: tuple[int, int] = (NUMERATOR, DENOMINATOR), bands: int | None = None, rows: int = ROWS) -> DataFrame:
-    """(id, row, n_shingles, component_id) of every document; ``row`` is its ``row_key``."""
+    """(id, row, n_shingles, component_id, survivor) of every document; ``row`` is its ``row_key``,
+    ``survivor`` that of the row that stands for its component: the first by (id is null, id, row)."""
     bands = bands or enough_bands(share[0] / share[1], rows)
     signed = stored(signatures(docs, doc_id, text, width, bands, rows))
     # a class of equal sets; its row with the smallest id stands for it
@@ -243,11 +245,12 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     more = cut_lineage(across(rest, width, share))
     merged = cut_lineage(components(links.union(more)))
 
-    found = classes.join(merged, "node", "left").select("print", "rep", F.coalesce("component", "node").alias("component"))
-    least = found.groupBy("component").agg(F.min("rep").alias("component_id"))
-    found = found.join(least, "component").select("print", "component_id")
+    found = classes.join(merged, "node", "left").select("print", "rep", "node", F.coalesce("component", "node").alias("component"))
+    least = found.groupBy("component").agg(F.min("rep").alias("component_id"), F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("x"))
+    found = found.join(least, "component").select("print", "component_id", F.col("x.node").alias("survivor"))
     return (signed.select("id", "row", "n_shingles", "print").join(found, "print", "left")
-            .select("id", "row", "n_shingles", F.when(F.col("print").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")))
+            .select("id", "row", "n_shingles", F.when(F.col("print").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+                    F.coalesce("survivor", "row").alias("survivor")))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -257,12 +260,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents with one row for each group of near duplicates: that of the smallest id.
+    """The documents with one row for each group of near duplicates: the first by
+    (id is null, id, row key), whatever ids are null or repeated.
 
-    Texts without words stay, as they are linked with nothing; equal rows stay once,
-    and rows with a null id stay."""
-    g = grouped(docs, doc_id, text, **options).select(F.col("row").alias("_row"), (F.col("id").isNull() | (F.col("id") == F.col("component_id"))).alias("kept"))
-    kept = g.where("kept").select("_row").distinct()
+    Texts without words stay, as they are linked with nothing; equal rows stay once."""
+    kept = grouped(docs, doc_id, text, **options).where("row = survivor").select(F.col("row").alias("_row")).distinct()
     return docs.withColumn("_row", row_key(doc_id, text)).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns)
 
 

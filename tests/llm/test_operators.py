@@ -154,6 +154,21 @@ def test_near_duplicates(spark, monkeypatch, cell):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in range(len(texts)) if root(i) == i)
 
 
+def test_one_row_of_each_group_whatever_the_ids(spark):
+    rng = random.Random(13)
+    texts, ids = [], []
+    for group, of in enumerate(([None, None, None], [7, 7, 7], [None, 8, 8], [3, None, 2], [7])):
+        words = [f"g{group}w{i}" for i in range(200)]
+        for i in of:
+            near = list(words)
+            near[rng.randrange(1, 200)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(near))
+            ids.append(i)
+    df = spark.createDataFrame([(i, t) for i, t in [*zip(ids, texts, strict=True), (None, ""), (4, None), (ids[0], texts[0])]], "doc_id long, text string")
+    kept = [(r.doc_id, (r.text or "").split("w")[0]) for r in near_duplicates.keep_one_each(df).collect()]
+    assert sorted(kept, key=str) == sorted([(None, "g0"), (7, "g1"), (8, "g2"), (2, "g3"), (7, "g4"), (None, ""), (4, "")], key=str)
+
+
 def test_bands_follow_the_threshold(spark, monkeypatch):
     assert [near_duplicates.enough_bands(x) for x in (0.85, 0.8)] == [40, 70]
     assert near_duplicates.miss_chance(0.8, 70) <= 3e-6 < near_duplicates.miss_chance(0.8, 40)
