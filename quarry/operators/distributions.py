@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.ordered import quantiles, quantiles_of
+from quarry.operators.ordered import bucket_index, quantiles, quantiles_of
 from quarry.semantics import with_scalar
 
 
@@ -113,19 +113,14 @@ def box_stats(df: DataFrame, col: str, group: str | None = None, k: float = 1.5,
     qs = quantiles(df, col, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by=by, method=method)
     qs = qs.withColumn("iqr", F.col("q3") - F.col("q1")).withColumns({
         "lower_fence": F.col("q1") - F.lit(k) * F.col("iqr"), "upper_fence": F.col("q3") + F.lit(k) * F.col("iqr")})
-    x = F.col(col).cast("double")
-    src = df.select(*by, x.alias("_x")).where(F.col("_x").isNotNull())
-    if by:
-        j = src.join(qs, by)
-    else:
-        j = with_scalar(src, qs, "_q").select("_x", "_q.*")
+    src = df.select(*by, F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    j = src.join(qs, by) if by else with_scalar(src, qs, "_q").select("_x", "_q.*")
     inside = (F.col("_x") >= F.col("lower_fence")) & (F.col("_x") <= F.col("upper_fence"))
-    agg = j.groupBy(*by).agg(
+    kept = ["q1", "median", "q3", "iqr", "lower_fence", "upper_fence"]
+    return j.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in kept],
         F.min(F.when(inside, F.col("_x"))).alias("whisker_low"), F.max(F.when(inside, F.col("_x"))).alias("whisker_high"),
-        F.count_if(~inside).alias("n_outliers"), F.count(F.lit(1)).alias("n"))
-    joined = qs.join(agg, by) if by else with_scalar(qs, agg, "_a").select("*", "_a.*").drop("_a")
-    return joined.select(
-        *by, "n", "q1", "median", "q3", "iqr", "lower_fence", "upper_fence", "whisker_low", "whisker_high", "n_outliers")
+        F.count_if(~inside).alias("n_outliers"))
 
 
 def _bucket_edges(df: DataFrame, feature: str, buckets: int, method: str) -> DataFrame:
@@ -141,22 +136,26 @@ def bucketize(df: DataFrame, feature: str, buckets: int = 10, name: str = "bucke
     Adds ``name``, ``<name>_lower``, ``<name>_upper``.
     """
     edges = _bucket_edges(df, feature, buckets, method)
-    t = with_scalar(df, edges, "_e")
+    b = bucket_index(F.col("_e.edges"), F.col(feature).cast("double"), buckets + 1)
+    return _bounded(with_scalar(df, edges, "_e").withColumn(name, b).drop("_e"), edges, name)
+
+
+def _bounded(df: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """``df`` with the bounds of its bucket ``name``."""
     e = F.col("_e.edges")
-    m = F.size(e) - 1
-    x = F.col(feature).cast("double")
-    b = F.greatest(F.least(F.size(F.filter(e, lambda v: v <= x)) - 1, m - 1), F.lit(0))
-    return t.withColumn(name, b).withColumns({
-        f"{name}_lower": F.element_at(e, F.col(name) + 1),
-        f"{name}_upper": F.element_at(e, F.col(name) + 2)}).drop("_e")
+    return with_scalar(df, edges, "_e").withColumns({
+        f"{name}_lower": F.element_at(e, F.col(name) + 1), f"{name}_upper": F.element_at(e, F.col(name) + 2)}).drop("_e")
 
 
 # D5
 def target_by_bucket(df: DataFrame, feature: str, target: str, buckets: int = 10, method: str = "exact") -> DataFrame:
     """count, mean target and bounds per percentile bucket of the feature."""
-    b = bucketize(df.where(F.col(feature).isNotNull()), feature, buckets, "bucket", method)
-    return b.groupBy("bucket", "bucket_lower", "bucket_upper").agg(
+    src = df.where(F.col(feature).isNotNull())
+    edges = _bucket_edges(src, feature, buckets, method)
+    b = bucket_index(F.col("_e.edges"), F.col(feature).cast("double"), buckets + 1)
+    per = with_scalar(src, edges, "_e").groupBy(b.alias("bucket")).agg(
         F.count(F.lit(1)).alias("count"), F.avg(F.col(target).cast("double")).alias("mean_target"))
+    return _bounded(per, edges, "bucket").select("bucket", "bucket_lower", "bucket_upper", "count", "mean_target")
 
 
 def target_by_value(df: DataFrame, feature: str, target: str) -> DataFrame:
@@ -165,11 +164,6 @@ def target_by_value(df: DataFrame, feature: str, target: str) -> DataFrame:
         F.count(F.lit(1)).alias("count"), F.avg(F.col(target).cast("double")).alias("mean_target"))
 
 
-def _bucket_of(x: Column, e: Column) -> Column:
-    m = F.size(e) - 1
-    return F.greatest(F.least(F.size(F.filter(e, lambda v: v <= x)) - 1, m - 1), F.lit(0))
-
-
 # D6
 def target_by_grid(df: DataFrame, f1: str, f2: str, target: str, buckets: int = 5, method: str = "exact") -> DataFrame:
     """D5 buckets on two features; both sets of percentile edges come from one
@@ -181,8 +175,8 @@ def target_by_grid(df: DataFrame, f1: str, f2: str, target: str, buckets: int =
     edges = q.select(F.array_sort(F.array_distinct(F.array(*[F.col(f"a{i}") for i in probs]))).alias("e1"),
                      F.array_sort(F.array_distinct(F.array(*[F.col(f"b{i}") for i in probs]))).alias("e2"))
     t = with_scalar(src, edges, "_e")
-    b = t.withColumns({"b1": _bucket_of(F.col(f1).cast("double"), F.col("_e.e1")),
-                       "b2": _bucket_of(F.col(f2).cast("double"), F.col("_e.e2"))})
+    b = t.withColumns({"b1": bucket_index(F.col("_e.e1"), F.col(f1).cast("double"), buckets + 1),
+                       "b2": bucket_index(F.col("_e.e2"), F.col(f2).cast("double"), buckets + 1)})
     return b.groupBy("b1", "b2").agg(F.count(F.lit(1)).alias("count"),
                                      F.avg(F.col(target).cast("double")).alias("mean_target"))
 

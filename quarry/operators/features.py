@@ -21,9 +21,12 @@ from quarry.semantics import hash_prefix, with_scalar
 def vocabulary(fit_df: DataFrame, cols: list[str]) -> DataFrame:
     """(column_name, value, index): distinct non-null values per column, indexed
     0.. in sorted order within each column (distributed dense rank)."""
-    long = fit_df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
-        [], cols, "column_name", "value")
-    return dense_index(long, "value", by=["column_name"])
+    return dense_index(_values(fit_df, cols), "value", by=["column_name"])
+
+
+def _values(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column_name, value): every column's values as text, long form."""
+    return df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "column_name", "value").where("value is not null")
 
 
 # M1
@@ -32,7 +35,7 @@ def one_hot(fit_df: DataFrame, apply_df: DataFrame, key: str, cols: list[str]) -
     unseen values in ``apply_df`` produce no indicator (all-zero row)."""
     # the vocabulary grows with category cardinality: AQE broadcasts it only
     # when its measured size is under the broadcast threshold
-    vocab = vocabulary(fit_df, cols).select("column_name", "value")
+    vocab = _values(fit_df, cols).distinct()
     long = apply_df.select(key, *[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
         key, cols, "column_name", "value")
     hits = long.join(vocab, ["column_name", "value"], "left_semi")
@@ -161,7 +164,7 @@ def split(df: DataFrame, key: str, test_pct: float, strata: str | None = None, n
 
     Plain: hash below test_pct of its 32-bit range -> test. Stratified: inside each stratum,
     rows ranked by hash; percent rank < test_pct/100 -> test. The rank comes
-    from the bucketed running count (no stratum-wide sort in one task).
+    from the range-partitioned running count (no stratum-wide sort in one task).
     """
     h = hash_prefix(key)
     if strata is None:

@@ -2,7 +2,8 @@
 
 Ranking metrics (ROC, PR, AP) collapse rows to distinct scores first (a
 map-side combined ``groupBy``), then take running sums along the score with
-the bucketed prefix-sum operator, so no single task sorts the table. AUC and
+the range-partitioned prefix sums, so no single task sorts the table. Rows without
+a score are left out. AUC and
 AP are algebraic sums over the per-score rows.
 """
 
@@ -51,15 +52,16 @@ def classification_report(df: DataFrame, label: str, pred: str) -> DataFrame:
 
 
 def _score_table(df: DataFrame, label: str, score: str, by: list[str], weight: str | None) -> DataFrame:
+    """Per distinct score: positives and negatives at it, down to it (cum_) and in all (P, N).
+    Rows without a score rank nowhere and are left out, in ``P`` and ``N`` too."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     pos = F.when(F.col(label).cast("int") == 1, w).otherwise(F.lit(0.0))
-    per = df.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
+    rows = df.where(F.col(score).isNotNull()).dropna(subset=by) if by else df.where(F.col(score).isNotNull())
+    per = rows.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
         F.sum(pos).alias("pos"), F.sum(w - pos).alias("neg"))
     # descending score = ascending negated score
-    per = per.withColumn("_k", -F.col("score"))
-    cum = running_sums(per, "_k", ["pos", "neg"], by=by)
-    tot = per.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return (cum.join(tot, by) if by else with_scalar(cum, tot, "_t").select("*", "_t.P", "_t.N").drop("_t")).drop("_k")
+    cum = running_sums(per.withColumn("_k", -F.col("score")), "_k", ["pos", "neg"], by=by, totals_for=["pos", "neg"])
+    return cum.withColumnsRenamed({"total_pos": "P", "total_neg": "N"}).drop("_k")
 
 
 # T3

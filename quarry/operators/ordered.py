@@ -1,195 +1,209 @@
-"""Order statistics without a single-partition sort.
-
-Two building blocks used by quantiles, box statistics, bucket tables and the
-ranking metrics (ROC / PR):
-
-* ``running_sums``: cumulative sums along an order key, per group.  The key
-  range of each group is cut into ``buckets`` ranges by deterministic edges
-  (exact percentiles of a bounded hash sample per group); per-bucket totals give offsets (at most
-  ``buckets`` rows per group), and the within-bucket running sum is a window
-  partitioned by (group, bucket).  No task ever holds more than about
-  max(SPLIT_ABOVE keys, 1/buckets of a group's distinct keys).
-* ``quantiles``: exact linear-interpolated quantiles (DuckDB
-  ``quantile_cont`` / numpy ``linear``) from value counts and running counts.
-  Heavy duplicates are collapsed by a map-side combined ``groupBy(value)``
-  before anything is ordered, so one hot value never lands in one task.
+"""Order statistics without a single-task sort.
+
+* ``quantiles``: exact linear-interpolated quantiles (DuckDB ``quantile_cont`` /
+  numpy ``linear``) by narrowing ranks.  A bounded sketch brackets every wanted rank in a
+  small range of values; one pass counts what lies before, in and between the brackets,
+  value by value inside them alone.  The exact counts prove that a rank is in its bracket (else
+  the bracket is widened to that side) and a bracket with many distinct values is cut
+  into cells and narrowed to the one or two that hold its rank, again and again.
+  Only what is left (at most ``most`` values a bracket) is put in order.
+* ``running_sums`` and ``dense_index``: cumulative sums and dense ranks along the whole
+  order key.  Rows are range-partitioned on the full key, stored, and each part
+  starts from the totals of the parts before it.  A hot group or a common prefix is
+  split like anything else; only exactly equal keys stay together.
 
 ``method='approx'`` swaps in ``percentile_approx`` (a bounded sketch) and
 ``method='buffered'`` the built-in exact ``percentile`` (which buffers a
 value->count map per group in one task: fine for small or low-cardinality
-groups).
+groups).  NULL group keys are dropped (C11).
 """
 
 from __future__ import annotations
 
+import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64
-# an ungrouped order (a whole-table quantile or ROC) has no group keys to
-# spread it, so its key range is cut finer
-GLOBAL_BUCKETS = 256
+from quarry.semantics import with_scalar
+from quarry.session import stored
 
+#: Relative accuracy of the bracketing sketch (1 / ACCURACY of the rows).
+ACCURACY = 10_000
+#: Distances of a bracket's ends from its rank, as shares of the rows: the first that covers two rows is taken.
+REACH = [4.0 ** k / 2500 for k in range(7)]
+#: Cells a bracket is cut into, and the distinct values of a bracket that may be ordered.
+CELLS, MOST = 64, 100_000
 
-EDGE_SAMPLE = 8192
-# groups with at most this many distinct keys stay one bucket: the window then
-# holds at most SPLIT_ABOVE keys, and no edges are computed for them
-SPLIT_ABOVE = EDGE_SAMPLE
 
-
-def _bucket_edges(df: DataFrame, by: list[str], x: str, sums: list[str], buckets: int) -> DataFrame:
-    """Deterministic bucket edges per group (one row per group, ``_edges``,
-    plus every ``fan``-th edge as ``_coarse`` when two-level lookup is used).
-
-    Edges are exact percentiles of a hash-selected sample of each group's
-    distinct keys, about max(EDGE_SAMPLE, 64 * buckets) per group whatever the group size (the
-    rate comes from the exact per-group key count). Exact aggregates over a
-    hash-chosen subset give the same edges on every evaluation, so a branch
-    recomputed after an executor loss buckets rows exactly like the others.
-    Edges only steer balance; the running sums are exact for any edges.
-    Groups with at most SPLIT_ABOVE keys get no edges (one bucket).
-    """
-    # the guard reads the summed columns (true for every non-null sum), so all
-    # branches prune ``df`` identically and share one exchange
-    guard = None
-    for s_ in sums:
-        g = F.abs(F.col(s_)) >= F.lit(0)
-        guard = g if guard is None else (guard | g)
-    keyed = df.select(*by, x, guard.alias("_g"))
-    n = keyed.groupBy(*by).agg(F.count_if("_g").alias("_nd"))
-    if by:
-        withn = keyed.join(n, by)
-    else:
-        withn = keyed.withColumn("_nd", n.scalar())
-    u = (F.abs(F.xxhash64(*[F.col(c) for c in by], F.col(x))) % F.lit(1_000_003)) / F.lit(1_000_003.0)
-    size = max(EDGE_SAMPLE, 64 * buckets)
-    sample = withn.where(F.col("_g") & (F.col("_nd") > F.lit(SPLIT_ABOVE))
-                         & (u < F.lit(float(size)) / F.col("_nd")))
-    probs = [i / buckets for i in range(1, buckets)]
-    edges = sample.groupBy(*by).agg(F.percentile(F.col(x), F.array(*[F.lit(p) for p in probs])).alias("_edges"))
-    fan = _fan(buckets)
-    if fan:
-        edges = edges.withColumn("_coarse", F.array(*[F.element_at("_edges", i * fan) for i in range(1, buckets // fan)]))
-    return edges
-
-
-def _fan(buckets: int) -> int:
-    """Second-level fan-out for two-level lookup (0: one level suffices)."""
-    if buckets <= DEFAULT_BUCKETS:
-        return 0
-    if buckets & (buckets - 1):
-        raise ValueError("bucket counts above 64 must be powers of two")
-    return 1 << ((buckets.bit_length() - 1) // 2)
-
-
-def _count_below(edges: Column, x: Column, n: int, base: Column | None = None) -> Column:
-    """Number of the ``n`` sorted edges (from 1-based position base + 1)
-    strictly below x, as a balanced CASE tree (binary search, ~log2(n)
-    comparisons per row, whole-stage codegen) instead of a per-row scan of
-    the array. NULL edges give bucket 0."""
-    def at(i: int) -> Column:
-        return F.element_at(edges, F.lit(i) if base is None else base + F.lit(i))
+def _count_below(edges: Column, x: Column, n: int, closed: bool = False) -> Column:
+    """Number of the ``n`` sorted edges below x (``closed``: not above x), as a balanced
+    CASE tree (binary search, ~log2(n) comparisons per row, whole-stage codegen)
+    instead of a per-row scan of the array. NULL edges, at the end, are above any x."""
+    def under(i: int) -> Column:
+        e = F.element_at(edges, F.lit(i))
+        return e <= x if closed else e < x
 
     def node(lo: int, hi: int) -> Column:  # answer lies in [lo, hi]
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi + 1) // 2  # is the mid-th edge (1-based) below x?
-        return F.when(at(mid) < x, node(mid, hi)).otherwise(node(lo, mid - 1))
+        return F.when(under(mid), node(mid, hi)).otherwise(node(lo, mid - 1))
     return node(0, n)
 
 
-def _with_bucket(df: DataFrame, x: str, buckets: int) -> DataFrame:
-    """``_b`` = number of edges below x. Up to 64 buckets one CASE tree; above,
-    two small trees (coarse edges, then the fan - 1 edges inside the coarse
-    range), so generated code stays small at any bucket count."""
-    fan = _fan(buckets)
-    if not fan:
-        return df.withColumn("_b", _count_below(F.col("_edges"), F.col(x), buckets - 1)).drop("_edges")
-    # sorted edges: every edge before position fan*c is below x, none from fan*(c+1) on
-    df = df.withColumn("_cb", _count_below(F.col("_coarse"), F.col(x), buckets // fan - 1) * F.lit(fan))
-    fine = _count_below(F.col("_edges"), F.col(x), fan - 1, base=F.col("_cb"))
-    return df.withColumn("_b", F.col("_cb") + fine).drop("_edges", "_coarse", "_cb")
+def count_below(edges: Column, x: Column, n: int, closed: bool = False) -> Column:
+    """``_count_below`` for an array of at most ``n`` sorted edges."""
+    return _count_below(F.slice(F.concat(edges, F.array_repeat(F.lit(None).cast("double"), n)), 1, n), x, n, closed)
 
 
-def running_sums(df: DataFrame, order: str, sums: list[str], by: list[str] | None = None,
-                 buckets: int | None = None, prefix: str = "cum_", totals_for: list[str] | None = None,
-                 total_prefix: str = "total_", bucket_key: str | None = None,
-                 tiebreak: list[str] | None = None) -> DataFrame:
-    """Add ``cum_<s>`` = sum of ``s`` over rows with order key <= this row's key.
+def bucket_index(edges: Column, x: Column, n: int) -> Column:
+    """Bucket [e_i, e_{i+1}) of x among at most ``n`` sorted distinct edges, the last one closed."""
+    return F.greatest(F.least(count_below(edges, x, n, closed=True) - 1, F.size(edges) - 2), F.lit(0))
 
-    Requires ``order`` to be unique within each group (pre-aggregate first)
-    and non-null. Ascending order; negate the key for descending.
-    ``totals_for`` adds group totals ``total_<s>`` from the same (small)
-    per-bucket window, at no extra shuffle. ``bucket_key`` (numeric, monotone
-    in ``order``) splits the range when ``order`` itself is not numeric;
-    ``tiebreak`` columns make (order, *tiebreak) the unique sort key. Equal
-    ``order`` values always share a bucket, so ties are ranked in one place.
-    """
-    by = list(by or [])
-    buckets = buckets or (DEFAULT_BUCKETS if by else GLOBAL_BUCKETS)
-    x = order
-    bx = bucket_key or x
-    edges = _bucket_edges(df, by, bx, sums, buckets)
+
+def _attach(df: DataFrame, state: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` with the columns of ``state`` (one row per group, or one row)."""
     if by:
-        # one row per split group: joined on the group keys (AQE broadcasts it
-        # when small); unsplit groups find no edges and fall into bucket 0
-        keyed = df.join(edges, on=by, how="left")
-    else:
-        e = edges.select(F.struct(*edges.columns).alias("_e")).scalar()
-        keyed = df.withColumns({c: e[c] for c in edges.columns})
-    keyed = _with_bucket(keyed, bx, buckets)
-
-    totals = keyed.groupBy(*by, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
-    w_off = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    w_all = Window.partitionBy(*by)
-    offsets = totals.select(*by, "_b", *[
-        F.coalesce(F.sum(f"_t_{s}").over(w_off), F.lit(0)).alias(f"_o_{s}") for s in sums], *[
-        F.sum(f"_t_{s}").over(w_all).alias(f"{total_prefix}{s}") for s in (totals_for or [])])
-    if not by:
-        # at most `buckets` (256) rows: a proven size bound
-        offsets = F.broadcast(offsets)
-    joined = keyed.join(offsets, on=[*by, "_b"], how="inner")
-    w_in = (Window.partitionBy(*by, "_b").orderBy(x, *(tiebreak or []))
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = joined.select(
-        *[c for c in joined.columns if not c.startswith("_o_") and c != "_b"],
-        *[(F.col(f"_o_{s}") + F.sum(s).over(w_in)).alias(f"{prefix}{s}") for s in sums])
-    return out
+        return df.join(state, by)
+    extra = state.columns
+    return with_scalar(df, state, "_s").select(*df.columns, *[F.col(f"_s.{c}").alias(c) for c in extra])
+
+
+def _brackets(rows: DataFrame, by: list[str], probs: list[float], accuracy: int) -> DataFrame:
+    """(by, _n, _lo, _hi): how many values, and per probability a range that should hold its ranks."""
+    clamp = lambda p: min(max(p, 0.0), 1.0)
+    marks = sorted({clamp(p + s * d) for p in probs for d in REACH for s in (-1, 1)})
+    place = {m: i for i, m in enumerate(marks)}
+    # the sketch may be off by its accuracy, and ranks n * p and (n - 1) * p by one
+    enough = [math.ceil(2 / (d - 2 / ACCURACY)) for d in REACH[:-1]]
+    wide = F.expr("CASE " + " ".join(f"WHEN _n >= {n} THEN {i}" for i, n in enumerate(enough)) + f" ELSE {len(enough)} END")
+
+    def ends(sign: int) -> Column:  # by reach, then by probability: the place of the bracket's end among the marks
+        at = ",".join("array(" + ",".join(str(place[clamp(p + sign * d)]) for p in probs) + ")" for d in REACH)
+        return F.expr(f"transform(array({at})[_w], i -> _e[i])")
+
+    sketch = rows.groupBy(*by).agg(F.count("_x").alias("_n"), F.percentile_approx("_x", marks, accuracy).alias("_e"))
+    return sketch.where("_n > 0").withColumn("_w", wide).select(*by, "_n", ends(-1).alias("_lo"), ends(1).alias("_hi"))
+
+
+# SQL text, as these expressions repeat for every bracket j
+
+def _in(j: int) -> str:
+    return f"(_x >= _lo[{j}] AND _x <= _hi[{j}])"
+
+
+def _counted(rows: DataFrame, brackets: DataFrame, by: list[str], k: int) -> DataFrame:
+    """(by, _x, _gap, _c): values inside a bracket with their counts; what lies between is one
+    row after the last bracket before it (``_gap`` 1 at that bracket's end, NULL before all)."""
+    met = _attach(rows, brackets.select(*by, "_lo", "_hi"), by)
+    inside = "_gap = 0 AND (" + " OR ".join(_in(j) for j in range(k)) + ")"
+    # the brackets' ends rise with their probabilities
+    last = "CASE " + " ".join(f"WHEN _hi[{j}] < _x OR (_gap = 1 AND _hi[{j}] = _x) THEN _hi[{j}]" for j in reversed(range(k))) + " END"
+    named = met.select(*by, "_c", F.expr(f"CASE WHEN {inside} THEN _x ELSE {last} END").alias("_at"), F.expr(f"CASE WHEN {inside} THEN 0 ELSE 1 END").alias("_gap"))
+    return named.groupBy(*by, F.col("_at").alias("_x"), "_gap").agg(F.sum("_c").alias("_c"))
+
+
+def _held(counts: DataFrame, brackets: DataFrame, by: list[str], k: int) -> DataFrame:
+    """(by, _n, _lo, _hi, _before, _inside, _values): per bracket the rows before it, the rows and the distinct values in it."""
+    met = _attach(counts, brackets, by)
+    own = [f"_gap = 0 AND {_in(j)}" for j in range(k)]
+    listed = lambda parts: F.expr(f"array({','.join(parts)})")
+    return met.groupBy(*by).agg(
+        F.first("_n").alias("_n"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"),
+        listed(f"sum(CASE WHEN coalesce(_x < _lo[{j}], true) THEN _c ELSE 0 END)" for j in range(k)).alias("_before"),
+        listed(f"sum(CASE WHEN {own[j]} THEN _c ELSE 0 END)" for j in range(k)).alias("_inside"),
+        listed(f"count_if({own[j]})" for j in range(k)).alias("_values"))
+
+
+def _rank(p: float) -> Column:
+    return (F.col("_n") - 1) * F.lit(float(p))
+
+
+def _narrowed(counts: DataFrame, held: DataFrame, by: list[str], probs: list[float]) -> DataFrame:
+    """Brackets cut into cells by the distinct values in them, and narrowed to the cells that hold their ranks."""
+    k = len(probs)
+    met = _attach(counts.where("_gap = 0"), held, by)
+    each = met.select(*by, "_x", "_c", F.expr("explode(array(" + ",".join(f"CASE WHEN {_in(j)} THEN {j} END" for j in range(k)) + "))").alias("_j")).where("_j is not null")
+    edges = each.groupBy(*by, "_j").agg(F.percentile_approx("_x", [i / CELLS for i in range(1, CELLS)], ACCURACY).alias("_e"))
+    cells = each.join(edges, [*by, "_j"]).groupBy(*by, "_j", _count_below(F.col("_e"), F.col("_x"), CELLS - 1).alias("_cell")).agg(
+        F.sum("_c").alias("_c"), F.min("_x").alias("_min"), F.max("_x").alias("_max"))
+    order = Window.partitionBy(*by, "_j").orderBy("_cell")
+    cells = _attach(cells.withColumn("_end", F.sum("_c").over(order)), held, by)
+    at = F.col("_before")[F.col("_j")]
+    rank = F.element_at(F.array(*[_rank(p) for p in probs]), F.col("_j") + 1)
+    holds = (at + F.col("_end") - F.col("_c") <= F.ceil(rank)) & (F.floor(rank) < at + F.col("_end"))
+    ends = cells.where(holds).groupBy(*by, "_j").agg(F.min("_min").alias("_lo"), F.max("_max").alias("_hi"))
+    packed = ends.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_j", "_lo", "_hi"))).alias("_b"))
+    return _attach(packed, held.select(*by, "_n"), by).select(
+        *by, "_n", F.transform("_b", lambda b: b["_lo"]).alias("_lo"), F.transform("_b", lambda b: b["_hi"]).alias("_hi"))
+
+
+def _fixed(state: DataFrame, by: list[str], few: bool) -> DataFrame:
+    """``state`` evaluated once: a row a group, stored, or brought to the driver where the groups are one or columns of a schema."""
+    if by and not few:
+        return stored(state)
+    return state.sparkSession.createDataFrame(state.toArrow(), state.schema)
+
+
+def _narrow(rows: DataFrame, by: list[str], probs: list[float], accuracy: int, most: int, few: bool) -> tuple[DataFrame, DataFrame]:
+    """Counts in brackets that hold all ranks in at most ``most`` distinct values each, and how many values each group has."""
+    k = len(probs)
+    brackets = _fixed(_brackets(rows, by, probs, accuracy), by, few)
+    counts = stored(_counted(rows, brackets, by, k))
+    while True:
+        held = _held(counts, brackets, by, k)
+        low = [f"_before[{j}] > floor((_n - 1) * {p!r}D)" for j, p in enumerate(probs)]
+        high = [f"_before[{j}] + _inside[{j}] <= ceil((_n - 1) * {p!r}D)" for j, p in enumerate(probs)]
+        missed = F.expr(" OR ".join(low + high))
+        values, wrong = held.agg(F.max(F.array_max("_values")), F.bool_or(missed)).first()
+        if wrong:
+            wider = lambda c, miss, far: F.expr("array(" + ",".join(f"CASE WHEN {m} THEN double('{far}') ELSE {c}[{j}] END" for j, m in enumerate(miss)) + ")")
+            # brackets stay in order: one without end ends all after it
+            rising = F.transform(wider("_hi", high, "NaN"), lambda x, i: F.array_max(F.slice(wider("_hi", high, "NaN"), F.lit(1), i + 1)))
+            brackets = _fixed(held.select(*by, "_n", wider("_lo", low, "-Infinity").alias("_lo"), rising.alias("_hi")), by, few)
+            counts = stored(_counted(rows, brackets, by, k))
+        elif (values or 0) > most:
+            brackets = _fixed(_narrowed(counts, held, by, probs), by, few)
+            counts = stored(_counted(counts, brackets, by, k))
+        else:
+            return counts, brackets.select(*by, "_n")
 
 
 def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str] | None = None,
-              method: str = "exact", buckets: int | None = None) -> DataFrame:
+              method: str = "exact", few: bool = False, accuracy: int = ACCURACY, most: int = MOST) -> DataFrame:
     """One row per group with a column per named probability.
 
-    NULL values are ignored; groups with no value are absent (as in SQL).
+    NULL values and NULL group keys are ignored; groups with no value are absent, and
+    without groups an empty table gives one row of NULLs (as in SQL).  ``df`` is
+    read twice (sketch, counts), so it should be deterministic and cheap, or stored.
+    ``few``: the groups are columns of a schema, so their brackets fit on the driver.
     """
     by = list(by or [])
     v = df.select(*by, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    if by:
+        v = v.dropna(subset=by)
     if method == "approx":
         return v.groupBy(*by).agg(*[
             F.percentile_approx("_x", p, 100_000).cast("double").alias(n) for n, p in probs.items()])
     if method == "buffered":
         return v.groupBy(*by).agg(*[F.percentile("_x", p).alias(n) for n, p in probs.items()])
 
-    counts = v.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"))
-    ranked = running_sums(counts, "_x", ["_c"], by=by, buckets=buckets, totals_for=["_c"], total_prefix="_n")
-    ranked = ranked.withColumnRenamed("_n_c", "_n")
-    # 0-based rank span [start, end] covered by each distinct value
-    ranked = ranked.withColumn("_end", F.col("cum__c") - 1).withColumn("_start", F.col("cum__c") - F.col("_c"))
+    wanted = sorted(set(probs.values()))
+    counts, sizes = _narrow(v.withColumns({"_gap": F.lit(0), "_c": F.lit(1).cast("long")}), by, wanted, accuracy, most, few)
+    # at most ``most`` values a bracket are left of a group: bounded, whatever its size
+    order = Window.partitionBy(*by).orderBy(F.asc_nulls_first("_x"), "_gap")
+    ranked = _attach(counts.withColumn("_end", F.sum("_c").over(order) - 1), sizes, by).withColumn("_start", F.col("_end") + 1 - F.col("_c"))
     aggs = []
-    for name, p in probs.items():
-        h = (F.col("_n") - 1) * F.lit(float(p))
-        lo, hi = F.floor(h), F.ceil(h)
-        aggs += [
-            F.max(F.when((F.col("_start") <= lo) & (lo <= F.col("_end")), F.col("_x"))).alias(f"_lo_{name}"),
-            F.max(F.when((F.col("_start") <= hi) & (hi <= F.col("_end")), F.col("_x"))).alias(f"_hi_{name}"),
-            F.max(h - lo).alias(f"_f_{name}"),
-        ]
+    for i, p in enumerate(wanted):
+        h = f"(_n - 1) * {p!r}D"
+        aggs += [F.expr(f"max(CASE WHEN _start <= {end}({h}) AND {end}({h}) <= _end THEN _x END)").alias(f"_{end}_{i}") for end in ("floor", "ceil")]
+        aggs.append(F.expr(f"max({h} - floor({h}))").alias(f"_f_{i}"))
     picked = ranked.groupBy(*by).agg(*aggs)
+    at = {p: i for i, p in enumerate(wanted)}
     return picked.select(*by, *[
         # lo*(1-f) + hi*f, the floating-point form of Spark's percentile
-        (F.col(f"_lo_{n}") * (F.lit(1.0) - F.col(f"_f_{n}")) + F.col(f"_hi_{n}") * F.col(f"_f_{n}")).alias(n)
-        for n in probs])
+        F.expr("CASE WHEN _floor_{0} = _ceil_{0} THEN _floor_{0} ELSE _floor_{0} * (1.0D - _f_{0}) + _ceil_{0} * _f_{0} END".format(at[p])).alias(n)
+        for n, p in probs.items()])
 
 
 def quantiles_of(df: DataFrame, specs: dict[str, dict[str, float]], method: str = "exact") -> DataFrame:
@@ -197,47 +211,49 @@ def quantiles_of(df: DataFrame, specs: dict[str, dict[str, float]], method: str
 
     ``specs`` maps a column to {output name: probability}. The columns are
     unpivoted into a long table whose group key is the column name, so a
-    single value-count exchange and one set of bucket passes serve them all.
+    single sketch and one pass of counts serve them all.
     """
     cols = list(specs)
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "_col", "_v")
-    probs = {f"{c}|{n}": p for c, names in specs.items() for n, p in names.items()}
-    q = quantiles(long, "_v", {f"_q{i}": p for i, p in enumerate(probs.values())}, by=["_col"], method=method)
-    keys = list(probs)
-    return q.agg(*[F.max(F.when(F.col("_col") == F.lit(k.split("|")[0]), F.col(f"_q{i}"))).alias(k.split("|")[1])
-                   for i, k in enumerate(keys)])
+    wanted = sorted({p for names in specs.values() for p in names.values()})
+    q = quantiles(long, "_v", {f"_q{i}": p for i, p in enumerate(wanted)}, by=["_col"], method=method, few=True)
+    return q.agg(*[F.max(F.when(F.col("_col") == F.lit(c), F.col(f"_q{wanted.index(p)}"))).alias(name)
+                   for c, names in specs.items() for name, p in names.items()])
 
 
-def quantile_row(df: DataFrame, value: str, probs: dict[str, float], method: str = "exact") -> DataFrame:
-    """Whole-table quantiles as a one-row DataFrame (for ``with_scalar``)."""
-    return quantiles(df, value, probs, by=None, method=method)
+def running_sums(df: DataFrame, order: str | list[str], sums: list[str], by: list[str] | None = None,
+                 prefix: str = "cum_", totals_for: list[str] | None = None, total_prefix: str = "total_") -> DataFrame:
+    """Add ``cum_<s>`` = sum of ``s`` over rows with order key <= this row's key.
 
+    Requires the ``order`` columns to be unique within each group (pre-aggregate first)
+    and non-null, as the group keys. Ascending order; negate the key for descending.
+    ``totals_for`` adds group totals ``total_<s>``.
 
-def monotone_key(col: str, dtype: str) -> Column:
-    """A numeric key that never decreases as ``col`` increases (for bucketing)."""
-    c = F.col(col)
-    if dtype == "string":
-        # first six UTF-8 bytes, zero-padded: monotone in binary string order
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("bigint")
-    if dtype.startswith("timestamp"):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    if dtype == "date":
-        return F.unix_date(c).cast("double")
-    if dtype == "boolean":
-        return c.cast("int").cast("double")
-    return c.cast("double")
+    Rows are range-partitioned on (by, order) as a whole and stored: a recomputed task
+    finds the same parts. A part adds up its own rows of a group, after the totals of the
+    group's parts before it (as many rows as there are parts, for each group that spans several).
+    """
+    by = list(by or [])
+    keys = [*by, *([order] if isinstance(order, str) else order)]
+    parts = stored(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()))
+    totals = parts.groupBy(*by, "_part").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, "_part", *[F.coalesce(F.sum(f"_t_{s}").over(earlier), F.lit(0)).alias(f"_o_{s}") for s in sums],
+                            *[F.sum(f"_t_{s}").over(Window.partitionBy(*by)).alias(f"{total_prefix}{s}") for s in (totals_for or [])])
+    if not by:
+        # one row a part: bounded by the number of shuffle partitions
+        offsets = F.broadcast(offsets)
+    joined = parts.join(offsets, [*by, "_part"])
+    inside = Window.partitionBy(*by, "_part").orderBy(*keys[len(by):]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return joined.select(*[c for c in joined.columns if not c.startswith("_o_") and c != "_part"],
+                         *[(F.col(f"_o_{s}") + F.sum(s).over(inside)).alias(f"{prefix}{s}") for s in sums])
 
 
 def dense_index(df: DataFrame, key: str | list[str], by: list[str] | None = None, name: str = "index") -> DataFrame:
     """Distinct ``key`` tuples (per ``by`` group) with a dense 0-based index in
-    ascending key order, without a single-task global sort.
-
-    The first key is bucketed through ``monotone_key`` (strings on their first
-    six UTF-8 bytes); the full key tuple orders rows inside each bucket.
-    """
+    ascending key order, without a single-task global sort and whatever prefixes the keys share."""
     by = list(by or [])
     keys = [key] if isinstance(key, str) else list(key)
-    d = df.select(*by, *keys).where(F.col(keys[0]).isNotNull()).distinct().withColumn("_one", F.lit(1))
-    d = d.withColumn("_pk", monotone_key(keys[0], dict(d.dtypes)[keys[0]]))
-    r = running_sums(d, keys[0], ["_one"], by=by, bucket_key="_pk", tiebreak=keys[1:])
+    d = df.select(*by, *keys).dropna(subset=[*by, keys[0]]).distinct().withColumn("_one", F.lit(1))
+    r = running_sums(d, keys, ["_one"], by=by)
     return r.select(*by, *keys, (F.col("cum__one") - 1).cast("int").alias(name))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.ordered import quantiles, quantiles_of
+from quarry.operators.ordered import count_below, quantiles, quantiles_of
 from quarry.semantics import safe_div, with_scalar
 
 
@@ -33,7 +33,7 @@ def iqr_outliers(df: DataFrame, key: str, cols: list[str], k: float = 1.5, metho
     """
     long = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
         key, cols, "feature", "value").where(F.col("value").isNotNull())
-    q = quantiles(long, "value", {"q1": 0.25, "q3": 0.75}, by=["feature"], method=method)
+    q = quantiles(long, "value", {"q1": 0.25, "q3": 0.75}, by=["feature"], method=method, few=True)
     fences = F.broadcast(q.select("feature", (F.col("q1") - F.lit(k) * (F.col("q3") - F.col("q1"))).alias("lo"),
                                   (F.col("q3") + F.lit(k) * (F.col("q3") - F.col("q1"))).alias("hi")))
     flagged = long.join(fences, "feature").where((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi")))
@@ -56,7 +56,7 @@ def quantile_bins(df: DataFrame, col: str, n: int, name: str = "qbin", method: s
     edges = q.select(F.array_sort(F.array_distinct(F.array(*[F.col(p) for p in probs]))).alias("edges"))
     t = with_scalar(df, edges, "_e")
     x = F.col(col).cast("double")
-    return t.withColumn(name, F.when(x.isNotNull(), F.size(F.filter(F.col("_e.edges"), lambda e: e < x)))).drop("_e")
+    return t.withColumn(name, F.when(x.isNotNull(), count_below(F.col("_e.edges"), x, n - 1))).drop("_e")
 
 
 # O4

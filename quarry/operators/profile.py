@@ -48,12 +48,12 @@ def describe_numeric(df: DataFrame, cols: list[str], method: str = "exact") -> D
     The algebraic part is one aggregation; quartiles come from the distributed
     exact quantile operator over the unpivoted long table (column as group).
     """
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        [], cols, "column_name", "value")
-    base = long.groupBy("column_name").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    qs = quantiles(long, "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, by=["column_name"], method=method)
+    wide = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    stats = (("count", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))
+    row = wide.agg(F.array(*[F.struct(F.lit(c).alias("column_name"), *[f(c).alias(n) for n, f in stats]) for c in cols]).alias("_c"))
+    base = row.select(F.explode("_c").alias("_c")).select("_c.*")
+    long = wide.unpivot([], cols, "column_name", "value")
+    qs = quantiles(long, "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, by=["column_name"], method=method, few=True)
     return base.join(qs, "column_name", "left").select(
         "column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 

@@ -1,7 +1,5 @@
 """Plan shape and skew checks: the properties the operators are designed for."""
 
-import re
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -14,12 +12,15 @@ from tests.conftest import SF_SMALL
 SF_MEDIUM = "/root/testdata/sf0.01"
 
 
-@pytest.fixture(params=["split_every_group", "default_split"])
+@pytest.fixture(params=["narrow_to_few_values", "poor_sketch", "default"])
 def split_mode(request, monkeypatch):
-    """Run order-statistics checks with every group split into buckets too
-    (the small fixtures are below the default split threshold)."""
-    if request.param == "split_every_group":
-        monkeypatch.setattr(ordered, "SPLIT_ABOVE", 0)
+    """Run order-statistics checks also with brackets narrowed down to three values,
+    and with a sketch so poor that brackets miss their ranks (the small fixtures need neither)."""
+    whole = ordered._narrow
+    if request.param == "narrow_to_few_values":
+        monkeypatch.setattr(ordered, "_narrow", lambda rows, by, probs, accuracy, most, few: whole(rows, by, probs, accuracy, 3, few))
+    if request.param == "poor_sketch":
+        monkeypatch.setattr(ordered, "_narrow", lambda rows, by, probs, accuracy, most, few: whole(rows, by, probs, 3, 50, few))
     return request.param
 
 
@@ -41,13 +42,55 @@ def test_filter_and_columns_reach_the_scan(spark):
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
 
 
+@pytest.mark.parametrize("by", [[], ["l_returnflag"]])
+def test_only_values_near_a_rank_are_ordered(spark, by):
+    """What is put in order is the narrowed counts: a small share of the distinct values."""
+    li = spark.read.parquet(f"{SF_MEDIUM}/lineitem.parquet")
+    rows = li.select(*by, F.col("l_extendedprice").alias("_x")).withColumns({"_gap": F.lit(0), "_c": F.lit(1).cast("long")})
+    counts, sizes = ordered._narrow(rows, by, [0.5], ordered.ACCURACY, ordered.MOST, False)
+    assert counts.count() < 0.02 * rows.select(*by, "_x").distinct().count()
+    assert counts.agg(F.sum("_c")).first()[0] == rows.count() == sizes.agg(F.sum("_n")).first()[0]
+
+
+ODD = {"one": [1.0], "two": [1.0, 2.0], "nan": [float("nan"), 1.0, 2.0], "ends": [-0.0, 0.0, 5e-324, -5e-324, 1.7e308, -1.7e308, float("inf"), float("-inf")],
+       "tied": [7.0] * 40 + [8.0], "wide": [10.0 ** (k / 3) for k in range(-300, 300)], "none": [None, None], None: [3.0]}
+
+
 @pytest.mark.usefixtures("split_mode")
-def test_global_quantile_has_no_single_partition_sort_of_rows(spark):
-    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
-    plan = _plan(quantiles(li, "l_extendedprice", {"m": 0.5}))
-    # the only window over rows is partitioned by bucket; no unpartitioned window over the data
-    assert "Window" in plan
-    assert re.search(r"windowspecdefinition\(_b#\d+, _x#\d+ ASC", plan), "row window must be partitioned by bucket"
+def test_quantiles_of_odd_values(spark):
+    df = spark.createDataFrame([(g, v) for g, values in ODD.items() for v in [*values, None]], "g string, v double")
+    probs = {f"p{i}": p for i, p in enumerate([0.0, 0.01, 0.25, 0.5, 0.5, 0.99, 1.0])}
+    got = {r["g"]: r.asDict() for r in quantiles(df, "v", probs, by=["g"]).collect()}
+    assert set(got) == set(ODD) - {None, "none"}  # a NULL group is no group
+    for g, r in got.items():
+        values = sorted(ODD[g], key=lambda v: (v != v, v))
+        for k, p in probs.items():
+            h = (len(values) - 1) * p
+            lo, hi = values[int(np.floor(h))], values[int(np.ceil(h))]
+            assert r[k] == pytest.approx(lo if lo == hi else lo * (1 - h % 1) + hi * (h % 1), nan_ok=True), (g, k)
+    assert [tuple(r) for r in quantiles(df.limit(0), "v", {"m": 0.5}).collect()] == [(None,)]
+    assert quantiles(df.limit(0), "v", {"m": 0.5}, by=["g"]).collect() == []
+
+
+def test_keys_with_shared_prefixes_spread_over_parts(spark, monkeypatch):
+    """Many keys over few long prefixes: no part holds more than its share of them."""
+    kept = []
+    monkeypatch.setattr(ordered, "stored", lambda df, whole=ordered.stored: kept.append(whole(df)) or kept[-1])
+    n = 200_000
+    keys = spark.range(n).select(F.concat(F.lit("https://example.org/"), (F.col("id") % 50).cast("string"), F.lit("/item="), F.col("id").cast("string")).alias("k"))
+    old = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "20")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        index = ordered.dense_index(keys, "k")
+        sizes = [r["count"] for r in kept[0].groupBy("_part").count().collect()]
+        assert len(sizes) == 20 and max(sizes) < 2 * n / 20
+        got = [r["k"] for r in index.where("index % 40000 = 0 or index = 199999").orderBy("index").collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old[1])
+    want = sorted(f"https://example.org/{i % 50}/item={i}" for i in range(n))
+    assert got == [want[i] for i in (0, 40000, 80000, 120000, 160000, 199999)]
 
 
 @pytest.mark.usefixtures("split_mode")
@@ -114,7 +157,7 @@ def test_dense_index_numbers_per_group(spark):
 
 
 @pytest.mark.usefixtures("split_mode")
-def test_results_do_not_depend_on_partitioning_or_buckets(spark):
+def test_results_do_not_depend_on_partitioning(spark):
     """What a recomputed stage sees (other partition counts, AQE choices) must
     not change exact results: quantiles and AUC are identical across settings."""
     from quarry.operators.metrics import roc_auc
@@ -124,11 +167,11 @@ def test_results_do_not_depend_on_partitioning_or_buckets(spark):
     results = []
     old = spark.conf.get("spark.sql.shuffle.partitions")
     try:
-        for parts, buckets, aqe in [(3, 4, "true"), (17, 64, "false"), (8, 16, "true")]:
+        for parts, aqe in [(3, "true"), (17, "false"), (8, "true")]:
             spark.conf.set("spark.sql.shuffle.partitions", str(parts))
             spark.conf.set("spark.sql.adaptive.enabled", aqe)
             q = sorted(tuple(r) for r in quantiles(li, "l_extendedprice", {"a": 0.1, "b": 0.5, "c": 0.99},
-                                                   by=["l_returnflag"], buckets=buckets).collect())
+                                                   by=["l_returnflag"]).collect())
             auc = roc_auc(scored, "label", "score").first()["auc"]
             results.append((q, round(auc, 12)))
     finally:
@@ -138,30 +181,22 @@ def test_results_do_not_depend_on_partitioning_or_buckets(spark):
 
 
 @pytest.mark.usefixtures("split_mode")
-def test_two_level_bucket_lookup_matches_percentile(spark):
-    """Above 64 buckets the bucket is found by two small binary searches;
-    quantiles (including the extremes) must still equal Spark's percentile."""
-    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
-    probs = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.97, "e": 1.0}
-    for by, buckets in [([], None), ([], 1024), (["l_returnflag"], 256)]:
-        got = sorted(tuple(r) for r in quantiles(li, "l_extendedprice", probs, by=by, buckets=buckets).collect())
-        want = sorted(tuple(r) for r in quantiles(li, "l_extendedprice", probs, by=by, method="buffered").collect())
-        assert len(got) == len(want)
-        for g, w in zip(got, want):
-            assert all((abs(x - y) < 1e-9) if isinstance(x, float) else x == y for x, y in zip(g, w))
-
-
-def test_default_threshold_splits_large_groups_exactly(spark):
-    """At sf0.01 each return-flag group has more than SPLIT_ABOVE distinct
-    prices, so the default settings take the bucketed path; the result must
-    equal Spark's buffered percentile."""
+def test_quantiles_equal_percentile(spark):
+    """Also for groups of more values than a sketch holds, and for many ranks near each other."""
     li = spark.read.parquet(f"{SF_MEDIUM}/lineitem.parquet")
-    nd = li.groupBy("l_returnflag").agg(F.countDistinct("l_extendedprice").alias("n")).collect()
-    assert min(r["n"] for r in nd) > ordered.SPLIT_ABOVE
-    probs = {"a": 0.01, "b": 0.5, "c": 0.999}
-    for by in [["l_returnflag"], []]:
+    probs = {f"p{i}": p for i, p in enumerate([0.0, 0.01, 0.0101, 0.1, 0.5, 0.97, 0.999, 1.0])}
+    for by in ([], ["l_returnflag"], ["l_suppkey"]):
         got = sorted(tuple(r) for r in quantiles(li, "l_extendedprice", probs, by=by).collect())
         want = sorted(tuple(r) for r in quantiles(li, "l_extendedprice", probs, by=by, method="buffered").collect())
         assert len(got) == len(want)
         for g, w in zip(got, want):
             assert all((abs(x - y) < 1e-6) if isinstance(x, float) else x == y for x, y in zip(g, w))
+
+
+def test_rows_without_a_score_rank_nowhere(spark):
+    from quarry.operators.metrics import average_precision, pr_curve, roc_auc
+    rows = [(1, 0.9), (0, 0.8), (1, 0.7), (1, None), (0, None)]
+    df = spark.createDataFrame(rows, "y int, s double")
+    assert average_precision(df, "y", "s").first()[0] == pytest.approx(0.5 * 1 + 0.5 * 2 / 3)
+    assert roc_auc(df, "y", "s").first()[0] == 0.5
+    assert pr_curve(df, "y", "s").count() == 3
