@@ -9,10 +9,12 @@ AP are algebraic sums over the per-score rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.ordered import quantiles, quantiles_of, running_sums
+from quarry.operators.ordered import count_below, quantiles, quantiles_of, running_sums
 from quarry.semantics import ratio_or_zero, safe_div, with_scalar
 
 
@@ -21,21 +23,23 @@ def confusion(df: DataFrame, label: str, pred: str, by: list[str] | None = None)
     """(label, pred, n) with overall accuracy attached."""
     by = list(by or [])
     cells = df.groupBy(*by, label, pred).agg(F.count(F.lit(1)).alias("n"))
-    acc = df.groupBy(*by).agg(F.avg((F.col(label) == F.col(pred)).cast("double")).alias("accuracy"))
+    # classes squared rows: the accuracy is a ratio of their sums; a pair with a NULL is no answer
+    known = F.when(F.col(label).isNotNull() & F.col(pred).isNotNull(), F.col("n"))
+    hit = F.when(F.col(label) == F.col(pred), F.col("n")).otherwise(0)
+    acc = cells.groupBy(*by).agg(F.try_divide(F.sum(hit).cast("double"), F.sum(known)).alias("accuracy"))
     return cells.join(acc, by) if by else with_scalar(cells, acc, "_a").withColumn("accuracy", F.col("_a.accuracy")).drop("_a")
 
 
 # T2
 def classification_report(df: DataFrame, label: str, pred: str) -> DataFrame:
     """precision, recall, f1, support per class, plus 'macro avg' and 'weighted avg' rows."""
-    lab = F.col(label).cast("string")
-    prd = F.col(pred).cast("string")
-    cls = df.select(lab.alias("c")).union(df.select(prd.alias("c"))).distinct()
-    tp = df.where(lab == prd).groupBy(lab.alias("c")).agg(F.count(F.lit(1)).alias("tp"))
-    sup = df.groupBy(lab.alias("c")).agg(F.count(F.lit(1)).alias("support"))
-    npred = df.groupBy(prd.alias("c")).agg(F.count(F.lit(1)).alias("n_pred"))
-    per = (cls.join(tp, "c", "left").join(sup, "c", "left").join(npred, "c", "left")
-           .fillna(0, ["tp", "support", "n_pred"]))
+    cells = df.groupBy(F.col(label).cast("string").alias("_y"), F.col(pred).cast("string").alias("_p")).agg(F.count(F.lit(1)).alias("n"))
+    # every cell counts for its true and for its predicted class: two rows a cell, classes squared cells
+    sides = F.array(F.struct(F.col("_y").alias("c"), F.col("n").alias("support"), F.lit(0).cast("bigint").alias("n_pred")),
+                    F.struct(F.col("_p").alias("c"), F.lit(0).cast("bigint").alias("support"), F.col("n").alias("n_pred")))
+    hit = F.when((F.col("_y") == F.col("_p")) & (F.col("side.support") > 0), F.col("n")).otherwise(0)
+    per = (cells.select("_y", "_p", "n", F.explode(sides).alias("side")).where("side.c is not null").groupBy(F.col("side.c").alias("c"))
+           .agg(F.sum(hit).alias("tp"), F.sum("side.support").alias("support"), F.sum("side.n_pred").alias("n_pred")))
     per = per.select(F.col("c").alias("class"),
                      ratio_or_zero("tp", "n_pred").alias("precision"), ratio_or_zero("tp", "support").alias("recall"),
                      F.col("support").cast("bigint").alias("support"))
@@ -167,35 +171,54 @@ def threshold_metrics(df: DataFrame, y: str, p: str, thresholds: list[float], by
     ``probs[t]`` (a per-threshold classifier probability column) or by p. Given
     ``prior``, only rows with prior < t count for t.
 
-    The threshold list is a parameter (bounded): each row is expanded once per
-    threshold with ``explode`` (no join), then everything is grouped by threshold.
+    No row is copied per threshold: a row falls in one cell of the lattice of sorted
+    thresholds (how many lie below y, below p, and not above prior), and all metrics are
+    sums over the cells, a small table. AP takes one order per score column, with one
+    count of positives and negatives per threshold.
     """
     by = list(by or [])
-    ts = F.array(*[F.lit(float(t)) for t in thresholds])
-    extra = sorted(set((probs or {}).values()))
-    x = df.select(*by, F.col(y).cast("double").alias("_y"), F.col(p).cast("double").alias("_p"),
-                  (F.col(prior).cast("double") if prior else F.lit(None)).alias("_prior"),
-                  *[F.col(c).cast("double").alias(f"_pr_{i}") for i, c in enumerate(extra)]).withColumn(
-        "threshold", F.explode(ts))
-    if probs:
-        # per-threshold classifier probability for AP: a literal map threshold -> column
-        lut = F.create_map(*[v for t, c in probs.items() for v in (F.lit(float(t)), F.col(f"_pr_{extra.index(c)}"))])
-        x = x.withColumn("_score", F.coalesce(lut[F.col("threshold")], F.col("_p")))
+    ts = sorted({float(t) for t in thresholds})
+    k = len(ts)
+    yy, pp = F.col(y).cast("double"), F.col(p).cast("double")
+    edges = F.array(*[F.lit(t) for t in ts])
+    above = {"_iy": count_below(edges, yy, k), "_ip": count_below(edges, pp, k)}
+    if prior:
+        above["_ir"] = F.when(F.col(prior).isNull(), k).otherwise(count_below(edges, F.col(prior).cast("double"), k, closed=True))
     else:
-        x = x.withColumn("_score", F.col("_p"))
-    counts = F.coalesce(F.col("_prior") < F.col("threshold"), F.lit(False)) if prior else F.lit(True)
-    yt, pt = (F.col("_y") > F.col("threshold")) & counts, (F.col("_p") > F.col("threshold")) & counts
-    keys = [*by, "threshold"]
-    agg = x.groupBy(*keys).agg(
-        F.sqrt(F.avg(F.when(yt, F.pow(F.col("_y") - F.col("_p"), 2)))).alias("rmse_above"),
-        F.count_if(yt & pt).alias("_tp"), F.count_if(pt).alias("_np"), F.count_if(yt).alias("_ny"),
-        F.sum(F.when(pt, F.col("_y")).otherwise(0.0)).alias("_cp"), F.sum(F.when(yt, F.col("_y")).otherwise(0.0)).alias("_ct"))
+        above["_ir"] = F.lit(0)
+    keep = {"_y": yy, "_p": pp} | {f"_s{i}": F.coalesce(F.col(c).cast("double"), pp) for i, c in enumerate(sorted(set((probs or {}).values())))}
+    rows = df.select(*by, *[c.alias(n) for n, c in (above | keep).items()])
+
+    e = F.pow(F.col("_y") - F.col("_p"), 2)
+    cells = rows.groupBy(*by, *above).agg(F.count(F.lit(1)).alias("_c"), F.sum("_y").alias("_sy"), F.sum(e).alias("_se"), F.count(e).alias("_ce"))
+    x = cells.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(k)))).withColumn("threshold", F.element_at(edges, F.col("_k")))
+    counts = F.col("_ir") < F.col("_k")
+    yt, pt = (F.col("_iy") >= F.col("_k")) & counts, (F.col("_ip") >= F.col("_k")) & counts
+    total = lambda cond, c: F.sum(F.when(cond, F.coalesce(c, F.lit(0))).otherwise(0))
+    agg = x.groupBy(*by, "threshold").agg(
+        F.sqrt(F.try_divide(total(yt, "_se"), total(yt, "_ce"))).alias("rmse_above"), total(yt & pt, "_c").alias("_tp"), total(pt, "_c").alias("_np"),
+        total(yt, "_c").alias("_ny"), total(pt, "_sy").alias("_cp"), total(yt, "_sy").alias("_ct"))
     prec, rec = ratio_or_zero("_tp", "_np"), ratio_or_zero("_tp", "_ny")
-    base = agg.select(*keys, "rmse_above", prec.alias("precision"), rec.alias("recall"),
+    base = agg.select(*by, "threshold", "rmse_above", prec.alias("precision"), rec.alias("recall"),
                       ratio_or_zero(F.lit(2.0) * prec * rec, prec + rec).alias("f1"),
                       ratio_or_zero("_cp", "_ct").alias("cost_capture"))
-    ap = average_precision(x.where(counts).withColumn("_lab", yt.cast("int")), "_lab", "_score", by=keys)
-    return base.join(ap, keys, "left")
+
+    score_of = {float(t): f"_s{sorted(set(probs.values())).index(c)}" for t, c in (probs or {}).items()}
+    found = [_lattice_precision(rows, s, {i + 1: t for i, t in enumerate(ts) if score_of.get(t, "_p") == s}, by)
+             for s in dict.fromkeys(score_of.get(t, "_p") for t in ts)]
+    return base.join(reduce(DataFrame.unionByName, found), [*by, "threshold"], "left")
+
+
+def _lattice_precision(rows: DataFrame, score: str, at: dict[int, float], by: list[str]) -> DataFrame:
+    """(by, threshold, average_precision) of the thresholds ``at`` (by place in the lattice), all in one order of ``score``."""
+    counted = {i: F.col("_ir") < i for i in at}
+    rows = rows.where(F.col(score).isNotNull()).dropna(subset=by) if by else rows.where(F.col(score).isNotNull())
+    per = rows.groupBy(*by, (-F.col(score)).alias("_k")).agg(
+        *[F.count_if(counted[i] & (F.col("_iy") >= i)).alias(f"_p{i}") for i in at], *[F.count_if(counted[i]).alias(f"_n{i}") for i in at])
+    cum = running_sums(per, "_k", [f"_{c}{i}" for i in at for c in "pn"], by=by, totals_for=[f"_p{i}" for i in at])
+    term = lambda i: F.try_divide(F.col(f"_p{i}"), F.col(f"total__p{i}")) * F.try_divide(F.col(f"cum__p{i}"), F.col(f"cum__n{i}"))
+    wide = cum.groupBy(*by).agg(F.array(*[F.struct(F.lit(t).alias("threshold"), F.sum(term(i)).alias("average_precision")) for i, t in at.items()]).alias("_a"))
+    return wide.select(*by, F.explode("_a").alias("_a")).select(*by, "_a.*")
 
 
 # T9
