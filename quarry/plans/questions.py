@@ -5,6 +5,9 @@ Each function takes DataFrames and returns a lazy DataFrame.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from quarry.operators.clean import keep_group_min, keep_one
 from quarry.operators.joins import flag_member
 from quarry.operators.ordered import quantiles
 from quarry.semantics import floor_days, safe_div, with_scalar
+from quarry.session import stored
 
 
 # B1
@@ -112,22 +116,30 @@ def lagged_encoding(feat: DataFrame, target: DataFrame, keysets: dict[str, list[
 # B7
 def provider_features(claims: DataFrame, provider: str, claim: str, member: str, procedure: str, charge: str,
                       score: str | None = None) -> DataFrame:
-    """Seven provider columns (+ mean score) from two aggregation levels.
+    """Seven provider columns (+ mean score) from a cascade of distinct levels.
 
     Procedures are distinct codes in a claim or of a member; claims per member
-    is the mean over a provider's members of their distinct claims there.
+    is the mean over a provider's members of their distinct claims there. Rows are
+    collapsed once to (provider, member, claim, code); coarser levels come from finer ones,
+    each aggregated before its shuffle, so no row is expanded per distinct count.
     """
-    per_claim = claims.groupBy(provider, claim).agg(
-        F.count_distinct(procedure).alias("_codes"), F.sum(charge).alias("_cost"))
-    per_member = claims.groupBy(provider, member).agg(
-        F.count_distinct(procedure).alias("_codes"), F.count_distinct(claim).alias("_claims"), F.sum(charge).alias("_cost"))
+    # stored: each coarser level prunes other columns, so none could share the exchange of another
+    base = stored(claims.groupBy(provider, member, claim, procedure).agg(
+        F.sum(charge).alias("_cost"), *([F.sum(score).alias("_s"), F.count(score).alias("_sn")] if score else [])))
+    known = lambda c, name: F.count(c).alias(name)
+    claim_codes = base.groupBy(provider, claim, procedure).agg(F.sum("_cost").alias("_cost"))
+    per_claim = claim_codes.groupBy(provider, claim).agg(known(procedure, "_codes"), F.sum("_cost").alias("_cost"))
     c = per_claim.groupBy(provider).agg(
-        F.count(claim).alias("unique_claims"), F.avg("_codes").alias("procedures_per_claim"), F.avg("_cost").alias("cost_per_claim"))
+        known(claim, "unique_claims"), F.avg("_codes").alias("procedures_per_claim"), F.avg("_cost").alias("cost_per_claim"))
+    member_codes = base.groupBy(provider, member, procedure).agg(F.lit(1).alias("_1")).groupBy(provider).agg(known(procedure, "_pairs"))
+    sums = [F.sum("_s").alias("_s"), F.sum("_sn").alias("_sn")] if score else []
+    member_claims = base.groupBy(provider, member, claim).agg(F.sum("_cost").alias("_cost"), *sums)
+    per_member = member_claims.groupBy(provider, member).agg(known(claim, "_claims"), F.sum("_cost").alias("_cost"), *sums)
     m = per_member.groupBy(provider).agg(
-        F.count(member).alias("unique_members"), F.avg("_codes").alias("procedures_per_member"),
-        F.avg("_cost").alias("cost_per_member"), F.avg("_claims").alias("claims_per_member"))
-    out = c.join(m, provider)
-    return out.join(claims.groupBy(provider).agg(F.avg(score).alias("mean_score")), provider) if score else out
+        known(member, "unique_members"), F.count(F.lit(1)).alias("_members"), F.avg("_cost").alias("cost_per_member"),
+        F.avg("_claims").alias("claims_per_member"), *([F.try_divide(F.sum("_s"), F.sum("_sn")).alias("mean_score")] if score else []))
+    out = c.join(m, provider).join(member_codes, provider)
+    return out.withColumn("procedures_per_member", F.col("_pairs") / F.col("_members")).drop("_pairs", "_members")
 
 
 # B8
@@ -168,49 +180,49 @@ def patient_features(resources: DataFrame, observations: DataFrame, key: str, as
     for the same feature add up and only positive totals are kept.
     """
     cut = F.to_date(F.lit(as_of))
-    r = resources.where(F.col("date") < cut)
-    o = observations.where(F.col("date") < cut)
-
-    def count_of(df, feat):
-        return df.groupBy(key, feat.alias("feature")).agg(F.count(F.lit(1)).cast("double").alias("value"))
-
-    def span(df, visits, days, recency):
-        s = df.groupBy(key).agg(F.count_distinct("date").alias("_v"), F.min("date").alias("_lo"), F.max("date").alias("_hi"))
-        return s.select(key, F.explode(F.array(
-            F.struct(F.lit(visits).alias("feature"), F.col("_v").cast("double").alias("value")),
-            F.struct(F.lit(days).alias("feature"), F.datediff("_hi", "_lo").cast("double").alias("value")),
-            F.struct(F.lit(recency).alias("feature"), F.datediff(cut, "_hi").cast("double").alias("value")))).alias("f")
-        ).select(key, "f.feature", "f.value"), s.select(key, F.col("_hi").alias("date"))
-
-    res_span, res_last_day = span(r, "hospital_visits", "res_days", "res_recency")
-    obs_span, obs_last_day = span(o, "lab_visits", "obs_days", "obs_recency")
-    r_last = r.join(res_last_day, [key, "date"])
-    o_last = o.join(obs_last_day, [key, "date"])
-    interp = o.where(F.col("interpretation").isNotNull())
-    last_vals = (o_last.where(F.col("value").isNotNull()).groupBy(key, "code")
-                 .agg(F.max_by("value", "seq").alias("value"))
-                 .select(key, F.concat(F.lit("last_"), F.col("code"), F.lit("_val")).alias("feature"),
-                         F.col("value").cast("double").alias("value")))
-    items, last_items = r.where("item IS NOT NULL"), r_last.where("item IS NOT NULL")
-    parts = [
-        count_of(items, F.split_part("item", F.lit("_"), F.lit(1))),
-        count_of(items, F.col("item")),
-        res_span,
-        count_of(last_items, F.concat(F.lit("last_"), F.col("item"))),
-        count_of(o, F.col("code")),
-        count_of(interp, F.concat(F.col("code"), F.lit("_"), F.col("interpretation"))),
-        count_of(interp, F.col("interpretation")),
-        obs_span,
-        count_of(o_last, F.concat(F.lit("last_"), F.col("code"))),
-        last_vals,
-    ]
+    none = lambda kind: F.lit(None).cast(kind)
+    r = resources.select(key, "date", F.lit(True).alias("_r"), F.col("item"), none("string").alias("code"), none("string").alias("interpretation"),
+                         none("double").alias("_v"), none("long").alias("_seq"))
+    o = observations.select(key, "date", F.lit(False).alias("_r"), none("string").alias("item"), "code", "interpretation",
+                            F.col("value").cast("double").alias("_v"), F.col("seq").cast("long").alias("_seq"))
+    rows = r.unionByName(o).where(F.col("date") < cut)
+
+    # days and the last one, by kind: a row per key from one per (key, kind, day)
+    days = rows.groupBy(key, "_r", "date").agg(F.lit(1).alias("_1"))
+    of = lambda kind, c: F.when(F.col("_r") == F.lit(kind), c)
+    span = days.groupBy(key).agg(*[f(of(kind, F.col("date"))).alias(n + name) for kind, name in ((True, "_r"), (False, "_o"))
+                                   for f, n in ((F.count, "_n"), (F.min, "_lo"), (F.max, "_hi"))])
+
+    def one(feature, value, when=None, seq=None):
+        e = F.struct((feature if isinstance(feature, Column) else F.lit(feature)).alias("feature"), value.cast("double").alias("value"),
+                     (none("long") if seq is None else seq).alias("seq"))
+        return e if when is None else F.when(when, e)
+
+    def of_key(name, visits, spread, recency):
+        seen = F.col(f"_n{name}") > 0
+        return [one(visits, F.col(f"_n{name}"), seen), one(spread, F.datediff(f"_hi{name}", f"_lo{name}"), seen),
+                one(recency, F.datediff(cut, f"_hi{name}"), seen)]
+
+    count = F.lit(1.0)
+    item, code, interp = F.col("item"), F.col("code"), F.col("interpretation")
+    last = F.col("date") == F.when(F.col("_r"), F.col("_hi_r")).otherwise(F.col("_hi_o"))
+    seen = ~F.col("_r")
+    of_row = [one(F.split_part(item, F.lit("_"), F.lit(1)), count, item.isNotNull()), one(item, count, item.isNotNull()),
+              one(F.concat(F.lit("last_"), item), count, item.isNotNull() & last),
+              one(code, count, seen), one(F.concat(code, F.lit("_"), interp), count, seen & interp.isNotNull()), one(interp, count, interp.isNotNull()),
+              one(F.concat(F.lit("last_"), code), count, seen & last),
+              one(F.concat(F.lit("last_"), code, F.lit("_val")), F.col("_v"), seen & last & F.col("_v").isNotNull(), F.coalesce("_seq", F.lit(0)))]
+    # one generator for the rows of all kinds and the row of each key
+    listed = rows.join(span, key).select(key, F.array(*of_row).alias("f")).unionByName(
+        span.select(key, F.array(*of_key("_r", "hospital_visits", "res_days", "res_recency"), *of_key("_o", "lab_visits", "obs_days", "obs_recency")).alias("f")))
     if people is not None:
-        parts.append(people.select(key, F.col("age").cast("double").alias("Age"), F.col("is_male").cast("double").alias("IsMale"))
-                     .unpivot(key, ["Age", "IsMale"], "feature", "value").where("value IS NOT NULL"))
-    allf = parts[0]
-    for p in parts[1:]:
-        allf = allf.unionByName(p)
-    return allf.groupBy(key, "feature").agg(F.sum("value").alias("value")).where(F.col("value") > 0)
+        listed = listed.unionByName(people.select(key, F.array(one("Age", F.col("age")), one("IsMale", F.col("is_male"))).alias("f")))
+    each = listed.select(key, F.explode(F.filter("f", lambda x: x["value"].isNotNull())).alias("f")).select(key, "f.*")
+    # counts add up; of values on the last day the one of the highest seq counts
+    total = each.groupBy(key, "feature").agg(F.sum(F.when(F.col("seq").isNull(), F.col("value"))).alias("_s"),
+                                             F.max(F.when(F.col("seq").isNotNull(), F.struct("seq", "value"))).alias("_m"))
+    value = F.coalesce("_s", F.lit(0.0)) + F.coalesce(F.col("_m.value"), F.lit(0.0))
+    return total.select(key, "feature", value.alias("value")).where(F.col("value") > 0)
 
 
 # B10
@@ -242,54 +254,51 @@ def group_features(members: DataFrame, claims: DataFrame, coverage: DataFrame, p
     """
     s = F.to_date(F.lit(slice_date))
     w12, w4 = F.add_months(s, -12), F.add_months(s, -4)
-    c = claims.where((F.col("date") >= w12) & (F.col("date") < s))
-    per_member = c.groupBy(member).agg(
-        F.sum("amount").alias("allowed_12"),
-        F.sum(F.when(F.col("date") >= w4, F.col("amount")).otherwise(0.0)).alias("allowed_4"))
-    m = members.select(member, group).distinct()
-    mm = m.join(per_member, member, "left").fillna({"allowed_12": 0.0, "allowed_4": 0.0})
-
-    def months_in(lo, hi, name):
-        # each coverage interval expands to the month starts it covers inside the window
-        cov = coverage.select(member, F.greatest("start_date", lo).alias("_s"), F.least("end_date", F.date_sub(hi, 1)).alias("_e")).where("_s <= _e")
-        months = cov.select(member, "_s", F.explode(F.sequence(F.trunc("_s", "MM"), F.trunc("_e", "MM"), F.expr("INTERVAL 1 MONTH"))).alias("month"))
-        months = months.where(F.col("month") >= F.col("_s")).select(member, "month").distinct()
-        return months.join(m, member).groupBy(group).agg(F.count(F.lit(1)).alias(name))
-
-    mmonths = months_in(w12, s, "member_months")
-
-    def covered_at(d):
-        return (coverage.where((F.col("start_date") <= d) & (F.col("end_date") >= d)).select(member).distinct()
-                .join(m, member).groupBy(group).agg(F.count(F.lit(1)).alias("n")))
-
-    # days covered in the window: intervals clipped to the window, expanded
-    # to distinct (member, day) pairs (at most 366 per interval), counted map-side
-    clipped = coverage.select(member, F.greatest(F.col("start_date"), w12).alias("_s"),
-                              F.least(F.col("end_date"), F.date_sub(s, 1)).alias("_e")).where(F.col("_s") <= F.col("_e"))
-    days = (clipped.select(member, F.explode(F.sequence("_s", "_e")).alias("_d")).distinct()
-            .join(m, member).groupBy(group).agg(F.count(F.lit(1)).alias("_days")))
-
-    begin = covered_at(w12).withColumnRenamed("n", "members_begin")
-    end = covered_at(s).withColumnRenamed("n", "members_end")
-    pm = m.join(preds, member, "left")
-    pstats = pm.groupBy(group).agg(F.avg("pred").alias("mean_pred"), F.stddev_samp("pred").alias("std_pred"))
-    pmed = quantiles(pm, "pred", {"median_pred": 0.5}, by=[group])
-    base = mm.groupBy(group).agg(
-        F.count(F.lit(1)).alias("members"), F.sum("allowed_12").alias("allowed_12"), F.sum("allowed_4").alias("allowed_4"),
-        F.avg((F.col("allowed_12") > high_cost).cast("double")).alias("share_high_cost"))
-    out = (base.join(mmonths, group, "left").join(begin, group, "left").join(end, group, "left")
-           .join(pstats, group, "left").join(pmed, group, "left").join(days, group, "left")
-           .fillna({"member_months": 0, "members_begin": 0, "members_end": 0, "_days": 0}))
+    m = members.select(member, group).distinct().where(F.col(group).isNotNull())
+    windows = [(w12, s)] + ([tuple(F.to_date(F.lit(d)) for d in target)] if target else [])
+
+    # claims: all windows in one pass
+    inside = lambda lo, hi: (F.col("date") >= lo) & (F.col("date") < hi)
+    wanted = reduce(or_, [inside(*w) for w in windows])
+    paid = lambda lo, hi: F.sum(F.when(inside(lo, hi), F.col("amount")).otherwise(0.0))
+    cost = claims.where(wanted).groupBy(member).agg(
+        paid(w12, s).alias("allowed_12"), paid(w4, s).alias("allowed_4"), *([paid(*windows[1]).alias("_cost")] if target else []))
+
+    # coverage: the union of a member's intervals, as bits of its days and months, in one pass
+    covers = lambda d: F.max(((F.col("start_date") <= d) & (F.col("end_date") >= d)).cast("int"))
+    aggs = [covers(w12).alias("members_begin"), covers(s).alias("members_end")]
+    first, last = F.greatest("start_date", w12), F.least("end_date", F.date_sub(s, 1))
+    days = _united(F.datediff(first, w12), F.datediff(last, w12), 366)
+    aggs += [u.alias(f"_d{i}") for i, u in enumerate(days)]
+    bits = {"_days": len(days)}
+    for name, (lo, hi) in zip(("member_months", "target_member_months"), windows, strict=False):
+        at = lambda d: F.year(d) * 12 + F.month(d) - (F.year(lo) * 12 + F.month(lo))  # noqa: E731, B023
+        from_, to = F.greatest("start_date", lo), F.least("end_date", F.date_sub(hi, 1))
+        length = 13 if name == "member_months" else _months(*target) + 1
+        months = _united(F.when(from_ <= to, at(from_) + (F.dayofmonth(from_) > 1).cast("int")), at(to), length)
+        aggs += [u.alias(f"_{name}{i}") for i, u in enumerate(months)]
+        bits[name] = len(months)
+    covered = coverage.groupBy(member).agg(*aggs)
+    held = lambda name, n: sum((F.bit_count(f"{'_d' if name == '_days' else '_' + name}{i}") for i in range(1, n)),
+                               F.bit_count(f"{'_d' if name == '_days' else '_' + name}0"))
+    covered = covered.select(member, "members_begin", "members_end", *[held(n, k).alias(n) for n, k in bits.items()])
+
+    per = m.join(cost, member, "left").join(covered, member, "left")
     if births is not None:
         years = F.floor(F.months_between(s, F.to_date("birth_date")) / 12)
-        out = out.join(m.join(births, member).groupBy(group).agg(F.avg(years).alias("mean_age")), group, "left")
+        per = per.join(births.groupBy(member).agg(F.sum(years).alias("_years"), F.count(years).alias("_born")), member, "left")
+    per = per.fillna({"allowed_12": 0.0, "allowed_4": 0.0})
+    counted = ["members_begin", "members_end", *bits, *(["_cost"] if target else [])]
+    out = per.groupBy(group).agg(
+        F.count(F.lit(1)).alias("members"), F.sum("allowed_12").alias("allowed_12"), F.sum("allowed_4").alias("allowed_4"),
+        F.avg((F.col("allowed_12") > high_cost).cast("double")).alias("share_high_cost"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counted],
+        *([F.try_divide(F.sum("_years"), F.sum("_born")).alias("mean_age")] if births is not None else []))
+    pm = m.join(preds, member)
+    pstats = pm.groupBy(group).agg(F.avg("pred").alias("mean_pred"), F.stddev_samp("pred").alias("std_pred"))
+    out = out.join(pstats, group, "left").join(quantiles(pm, "pred", {"median_pred": 0.5}, by=[group]), group, "left")
     if target is not None:
-        lo, hi = (F.to_date(F.lit(d)) for d in target)
-        cost = (claims.where((F.col("date") >= lo) & (F.col("date") < hi)).join(m, member)
-                .groupBy(group).agg(F.sum("amount").alias("_cost")))
-        out = (out.join(months_in(lo, hi, "target_member_months"), group, "left").join(cost, group, "left")
-               .fillna({"target_member_months": 0, "_cost": 0.0})
-               .withColumn("target_pmpm", safe_div("_cost", "target_member_months")).drop("_cost"))
+        out = out.withColumn("target_pmpm", safe_div("_cost", "target_member_months")).drop("_cost")
     if splits is not None:
         out = out.join(splits.select(group, "split"), group, "left")
     return out.withColumn("mean_days_covered", F.col("_days") / F.col("members")).drop("_days").withColumns({
@@ -298,6 +307,24 @@ def group_features(members: DataFrame, claims: DataFrame, coverage: DataFrame, p
         "cost_fraction_last_4_month": F.col("allowed_4") / (F.col("allowed_12") + 1.0)})
 
 
+def _months(start: str, end: str) -> int:
+    """Calendar months from the one of ``start`` to the one of ``end`` (dates as text)."""
+    (y0, m0), (y1, m1) = (map(int, d.split("-")[:2]) for d in (start, end))
+    return (y1 - y0) * 12 + m1 - m0
+
+
+def _united(first: Column, last: Column, length: int) -> list[Column]:
+    """The union of the ranges [first, last] of 0 .. length - 1 in a group, as words of 60 bits:
+    fixed in size and united before the shuffle, however many ranges overlap."""
+    words = []
+    for w in range(0, length, 60):
+        a, b = F.greatest(first - w, F.lit(0)), F.least(last - w, F.lit(59))
+        ones = F.call_function("shiftleft", F.lit(1).cast("long"), (b - a + 1).cast("int")) - 1
+        range_ = F.call_function("shiftleft", ones, a.cast("int"))
+        words.append(F.coalesce(F.bit_or(F.when((first <= last) & (a <= b), range_).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long")))
+    return words
+
+
 # B12
 def rollup_contributions(contrib: DataFrame, preds: DataFrame, name_map: DataFrame, bucket_map: DataFrame,
                          member: str = "member", feature: str = "feature", value: str = "contribution",
