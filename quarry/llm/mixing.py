@@ -8,16 +8,19 @@ A source's documents stand in an order given by a hash of their id, and its quot
 in words is drawn from that order: so many full passes and a last one that ends
 at a *cut*.  The cut is found by descending the hash digits: sums by the first
 digits tell the block it lies in, that block alone is summed by the next digits, and so
-on, so no task ever orders a source's documents.  The document at the cut is taken
-in part (its first words), which makes a source's words exact.  Rows that share the
-key at the cut are drawn in the order of a hash of their texts, found the same way, so
-``mixed`` shortens one document of a source at most.
+on: rows are summed by source and digits before a join, and a join is on both, so no task
+orders or holds a source's documents.  ``mix_report`` counts the document at the cut in part,
+which makes a source's words exact; ``mixed`` takes whole documents alone, up to the one at
+the cut if at least half of it is due, so a source's words are within half a document
+of its target and no text is ever shortened.  Rows that share the key at the cut are drawn in
+the order of a hash of their texts, found the same way.
 
 Every block drawn (a source, the first hash digits, a pass) is a slot of its
 source's exact block quota.  The slots of all sources go down a binary tree: each
 node gives a random half of its slots to either child, so a child's counts by
-source follow the multivariate hypergeometric distribution.  The leaves are the
-output shards.  They get disjoint permuted blocks, and rows are shuffled within their
+source follow the multivariate hypergeometric distribution.  The half is where the
+count by the digits of a random key ends, found like a cut, so no level ranks a node's slots
+in one task.  The leaves are the output shards.  They get disjoint permuted blocks, and rows are shuffled within their
 shard by a second hash.
 
 Tables that leave the row level are bounded: one row a source, and 16 ** digits
@@ -25,7 +28,7 @@ blocks of it at most.  A null text has size 0; a document of size 0 is taken wit
 words; a null id stands in the order as an empty one.  Rows that repeat an id stand
 together; if the cut falls on them, ``mix_report`` gives each its share of what is left,
 in proportion to size (so its SQL), and ``mixed`` takes whole rows.
-An empty table gives no rows.  Only DataFrame functions are used.
+An empty table gives no rows.  Columns of the table may have any names; one named like a column that is added is replaced.  Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -43,7 +46,6 @@ SHARE, CEILING = 1.5, 2.0
 #: Hexadecimal digits of the hash in a block's name; levels of the splitting tree.
 DIGITS, LEVELS, SEED = 2, 4, "mix-1"
 PICKS = "array<struct<pass:int,words:bigint,shard:int,place:string>>"
-SPACES = r"[\x20\x09-\x0D]+"
 
 
 def n_words(text: str) -> Column:
@@ -73,47 +75,55 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, ceiling: fl
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str, source: str, seed: str = SEED) -> DataFrame:
-    """``docs`` with _size, _src (a join key for the source that is never null) and _key (the order)."""
-    return docs.withColumns({
-        "_size": n_words(text),
-        "_src": F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n")),
-        "_key": F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary"))})
+    """(_doc, source, _size, _src, _key): the row, its source, its words, a join key for the
+    source that is never null, and the order."""
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_doc"), F.col(source).cast("string").alias("source"),
+        n_words(text).alias("_size"), F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n")).alias("_src"),
+        F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary")).alias("_key"))
 
 
 def _cut(rows: DataFrame, rest: DataFrame, digits: int) -> DataFrame:
     """(_src, cut, cut_rest, cut_words): the key at which ``rest`` words end, and how many
     words are drawn there of how many; rows of (_src, _key, _size)."""
     order = W.partitionBy("_src").orderBy("cut")
-    cut = rest.select("_src", F.lit("").alias("cut"), F.col("rest").alias("cut_rest"))
-    for n in (digits, 2 * digits, 3 * digits, 32):
-        inside = rows.join(cut, "_src").where(F.col("_key").startswith(F.col("cut"))).withColumn("cut", F.substring("_key", 1, n))
-        sums = inside.groupBy("_src", "cut").agg(F.sum("_size").alias("cut_words"), F.first("cut_rest").alias("cut_rest"))
+    coarse = stored(rows.groupBy("_src", F.substring("_key", 1, 3 * digits).alias("_key")).agg(F.sum("_size").alias("_size")))
+    cut = rest.select("_src", F.col("rest").alias("cut_rest"))
+    for known, n in ((0, digits), (digits, 2 * digits), (2 * digits, 3 * digits), (3 * digits, 32)):
+        at = (coarse if n <= 3 * digits else rows).withColumn("cut", F.substring("_key", 1, n))
+        if known:  # the block found so far alone
+            at = at.withColumn("_at", F.substring("_key", 1, known)).join(cut.select("_src", F.col("cut").alias("_at")), ["_src", "_at"], "left_semi")
+        sums = at.groupBy("_src", "cut").agg(F.sum("_size").alias("cut_words")).join(cut.select("_src", "cut_rest"), "_src")
         sums = sums.withColumn("before", F.sum("cut_words").over(order) - F.col("cut_words"))
         cut = (sums.where((F.col("before") < F.col("cut_rest")) & (F.col("cut_rest") <= F.col("before") + F.col("cut_words")))
                .select("_src", "cut", (F.col("cut_rest") - F.col("before")).alias("cut_rest"), "cut_words"))
     return cut
 
 
-def _numbered(made: DataFrame, plan: DataFrame, columns: list[str], text: str, digits: int) -> DataFrame:
+def _numbered(made: DataFrame, plan: DataFrame, text: Column, digits: int) -> DataFrame:
     """``made`` with the order of rows at the cut's key: _tied (a hash of the text), tied
     (the one at which the words end, with tied_rest words left) and _nth among equal texts there."""
-    made = made.withColumn("_tied", F.when(F.col("_key") == F.col("cut"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
+    made = made.withColumn("_tied", F.when(F.col("_key") == F.col("cut"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
     rows = stored(made.where("_tied is not null").select("_src", F.col("_tied").alias("_key"), "_size"))
     ends = _cut(rows, plan.where("cut is not null").select("_src", F.col("cut_rest").alias("rest")), digits)
     made = made.join(cut_lineage(ends.select("_src", F.col("cut").alias("tied"), F.col("cut_rest").alias("tied_rest"))), "_src", "left")
     at = F.coalesce(F.col("_tied") == F.col("tied"), F.lit(False))
-    nth = F.row_number().over(W.partitionBy("_src").orderBy(F.to_json(F.struct(*columns))))
+    nth = F.row_number().over(W.partitionBy("_src").orderBy(F.to_json("_doc")))
     return made.where(~at).withColumn("_nth", F.lit(1)).unionByName(made.where(at).withColumn("_nth", nth))
 
 
-def _shards(drawn: DataFrame, levels: int, seed: str) -> DataFrame:
+def _shards(drawn: DataFrame, levels: int, seed: str, digits: int) -> DataFrame:
     """(_src, block, shards) from the slots (_src, block, times): the leaf of each slot, by pass."""
     slots = drawn.select("_src", "block", F.explode(F.sequence(F.lit(0), F.col("times").cast("int") - 1)).alias("pass"), F.lit(0).alias("node"))
     for level in range(levels):
         draw = F.md5(F.concat_ws("|", F.lit(f"{seed}|{level}"), "_src", "block", "pass").cast("binary"))
-        node = W.partitionBy("node")
-        slots = (slots.withColumns({"at": F.row_number().over(node.orderBy(draw, "_src", "block", "pass")), "of": F.count("*").over(node)})
-                 .select("_src", "block", "pass", (2 * F.col("node") + (2 * F.col("at") > F.col("of")).cast("int")).alias("node")))
+        slots = stored(slots.withColumn("draw", draw))
+        drawn = slots.select(F.col("node").cast("string").alias("_src"), F.col("draw").alias("_key"), F.lit(1).cast("long").alias("_size"))
+        halves = drawn.groupBy("_src").agg(F.expr("count(*) div 2").alias("rest"))
+        middle = _cut(drawn, halves.where("rest > 0"), digits).select(F.col("_src").cast("int").alias("node"), "cut")
+        # one slot more in the second half of an odd number; a lone slot goes there
+        slots = slots.join(cut_lineage(middle), "node", "left").select(
+            "_src", "block", "pass", (2 * F.col("node") + F.coalesce((F.col("draw") > F.col("cut")).cast("int"), F.lit(1))).alias("node"))
     return slots.groupBy("_src", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "node"))), lambda x: x["node"]).alias("shards"))
 
 
@@ -122,9 +132,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """``docs`` with _size, _source_size, _target, _taken and _picks: an array of
     (pass, words, shard, place), one entry for each pass that takes the row.
 
-    With ``whole``, rows that share the key at the cut are taken one after the other
-    instead of each in part."""
-    rows = stored(keyed(docs, doc_id, text, source, seed).select(F.col(source).cast("string").alias("source"), "_src", "_key", "_size"))
+    With ``whole``, the document at the cut and rows that share its key are taken as a
+    whole or not at all, one after the other, instead of each in part."""
+    rows = stored(keyed(docs, doc_id, text, source, seed).select("source", "_src", "_key", "_size"))
     plan = targets(rows.groupBy("source", "_src").agg(F.sum("_size").alias("source_size")), weights, share, ceiling)
     words = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0).cast("long")
@@ -136,15 +146,15 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     last = F.coalesce((block <= F.substring("cut", 1, digits)).cast("int"), F.lit(0))
     drawn = (rows.select("_src", block.alias("_key")).distinct().join(plan, "_src")
              .select("_src", F.col("_key").alias("block"), (F.col("passes") + last).alias("times")).where("times > 0"))
-    shards = cut_lineage(_shards(drawn, levels, seed))
+    shards = cut_lineage(_shards(drawn, levels, seed, digits))
 
-    made = keyed(docs, doc_id, text, source, seed).join(plan, "_src")
+    made = keyed(docs, doc_id, text, source, seed).drop("source").join(plan, "_src")
     part = F.floor(F.col("_size") * F.col("cut_rest") / F.greatest("cut_words", F.lit(1)))
     if whole:
-        made = _numbered(made, plan, docs.columns, text, digits)
+        made = _numbered(made, plan, F.col("_doc")[f"c{docs.columns.index(text)}"], digits)
         left = F.col("tied_rest") - (F.col("_nth") - 1) * F.col("_size")
         part = (F.when(F.col("_tied") < F.col("tied"), F.col("_size"))
-                .when(F.col("_tied") == F.col("tied"), F.greatest(F.least(left, "_size"), F.lit(0))).otherwise(0))
+                .when((F.col("_tied") == F.col("tied")) & (2 * left >= F.col("_size")), F.col("_size")).otherwise(0))
     extra = F.when(F.col("_key") < F.col("cut"), F.col("_size")).when(F.col("_key") == F.col("cut"), part).otherwise(0).cast("long")
     place = lambda i: F.md5(F.concat_ws("|", F.lit(f"{seed}|place"), i.cast("string"), "_key").cast("binary"))
     pick = lambda shard, i: F.struct(
@@ -152,31 +162,33 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         shard.alias("shard"), place(i).alias("place"))
     made = (made.withColumns({"_extra": F.coalesce(extra, F.lit(0).cast("long")), "_block": block})
             .join(shards.withColumnsRenamed({"block": "_block", "shards": "_shards"}), ["_src", "_block"], "left"))
-    return made.withColumns({
-        "_taken": F.col("passes") * F.col("_size") + F.col("_extra"),
-        "_picks": F.filter(F.coalesce(F.transform("_shards", pick), F.array().cast(PICKS)), lambda x: x["words"] > 0),
-    }).select(*docs.columns, "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_taken", "_picks")
+    added = {"_size": F.col("_size"), "_source_size": F.col("source_size"), "_target": F.col("target"),
+             "_taken": F.col("passes") * F.col("_size") + F.col("_extra"),
+             "_picks": F.filter(F.coalesce(F.transform("_shards", pick), F.array().cast(PICKS)), lambda x: x["words"] > 0)}
+    # apart: names of the table must not stand beside expressions over the plan's
+    made = made.select("_doc", *[c.alias(n) for n, c in added.items()])
+    return made.select(*[F.col("_doc")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns) if c not in added], *added)
 
 
 def mix_report(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """Per document: size, source_size, target, taken, and the shards of its picks."""
+    """Per document: size, source_size, target, taken, how many picks of it went down the tree, and their shards."""
     return mix(docs, doc_id, **options).select(
         F.col(doc_id).cast("long").alias(doc_id), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"), F.col("_taken").alias("taken"), F.transform("_picks", lambda x: x["shard"]).alias("shards"))
+        F.col("_target").alias("target"), F.col("_taken").alias("taken"), F.size("_picks").cast("long").alias("picks"),
+        F.transform("_picks", lambda x: x["shard"]).alias("shards"))
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", levels: int = LEVELS, **options) -> DataFrame:
     """The mix itself: a row for each pick, by shard and shuffled in it, with the
-    columns of ``docs`` and _pass, _words, _shard, _place.  A pick of part of a document
-    (one of a source at most) holds its first words, joined by one space."""
-    m = mix(docs, doc_id, text, levels=levels, whole=True, **options).withColumn("_pick", F.explode("_picks"))
-    first = F.array_join(F.slice(F.filter(F.split(text, SPACES), lambda w: w != ""), F.lit(1), F.col("_pick.words").cast("int")), " ")
-    m = m.withColumn(text, F.when(F.col("_pick.words") < F.col("_size"), first).otherwise(F.col(text)))
-    return (m.select(*docs.columns, F.col("_pick.pass").alias("_pass"), F.col("_pick.words").alias("_words"), F.col("_pick.shard").alias("_shard"), F.col("_pick.place").alias("_place"))
+    columns of ``docs`` and _pass, _words, _shard, _place; texts are whole."""
+    m = mix(docs, doc_id, text, levels=levels, whole=True, **options).withColumn("_picks", F.explode("_picks"))
+    added = {f"_{c}": F.col(f"_picks.{c}") for c in ("pass", "words", "shard", "place")}
+    return (m.select(*[F.col(f"`{c}`") for c in docs.columns if c in m.columns[:-5] and c not in added], *[c.alias(n) for n, c in added.items()])
             .repartition(F.col("_shard"), F.substring("_place", 1, 2)).sortWithinPartitions("_shard", "_place"))
 
 
-#: DuckDB SQL for ``mix_report`` over ``documents`` with the production parameters, without ``shards``.
+#: DuckDB SQL for ``mix_report`` over ``documents`` with the production parameters, without ``shards``;
+#: ``picks`` counts in Spark what came out of the tree's leaves, here what must.
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce('s' || source, 'n') AS src,
@@ -195,10 +207,11 @@ t AS (SELECT src, source_size, least(top, coalesce(weight * level, top)) AS targ
 p AS (SELECT *, CAST(round(target) AS BIGINT) AS words,
              CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) // source_size ELSE 0 END AS passes FROM t),
 b AS (SELECT src, k, sum(size) AS key_words, sum(sum(size)) OVER (PARTITION BY src ORDER BY k) - sum(size) AS before FROM d GROUP BY src, k)
-SELECT d.doc_id, d.size, p.source_size, p.target,
+SELECT doc_id, size, source_size, target, taken, CASE WHEN size = 0 THEN 0 ELSE passes + (taken > passes * size)::BIGINT END AS picks FROM (
+SELECT d.doc_id, d.size, p.source_size, p.target, p.passes,
        CAST(passes * size + CASE
          WHEN words - passes * source_size <= before THEN 0
          WHEN words - passes * source_size >= before + key_words THEN size
          ELSE floor(size * (words - passes * source_size - before) / greatest(key_words, 1)) END AS BIGINT) AS taken
-FROM d JOIN p USING (src) JOIN b ON d.src = b.src AND d.k = b.k
+FROM d JOIN p USING (src) JOIN b ON d.src = b.src AND d.k = b.k)
 """

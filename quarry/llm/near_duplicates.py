@@ -263,9 +263,16 @@ def keep_one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     """The documents with one row for each group of near duplicates: the first by
     (id is null, id, row key), whatever ids are null or repeated.
 
-    Texts without words stay, as they are linked with nothing; equal rows stay once."""
-    kept = grouped(docs, doc_id, text, **options).where("row = survivor").select(F.col("row").alias("_row")).distinct()
-    return docs.withColumn("_row", row_key(doc_id, text)).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns)
+    Rows of one id and text are copies of each other, whatever their other columns: one of
+    them stays.  They are told apart by their id and a 128-bit hash of the text, so two unlike
+    documents never count as one.  Texts without words are linked with nothing: every such row
+    stays, repeated ones too."""
+    kept = grouped(docs, doc_id, text, **options).where("row = survivor").groupBy(F.col("row").alias("_row")).agg(F.max("n_shingles").alias("_n"))
+    column = lambda c: F.col(f"`{c}`")
+    rows = docs.select(F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_doc"), row_key(doc_id, text).alias("_row"),
+                       column(doc_id).cast("long").alias("_id"), F.md5(column(text).cast("binary")).alias("_print")).join(kept, "_row")
+    stay = rows.where("_n = 0").select("_doc").unionByName(rows.where("_n > 0").dropDuplicates(["_row", "_id", "_print"]).select("_doc"))
+    return stay.select(*[F.col("_doc")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])
 
 
 def miss_chance(similarity: float, bands: int, rows: int = ROWS) -> float:
