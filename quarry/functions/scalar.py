@@ -147,7 +147,7 @@ def display_names(df: DataFrame, feature: str, codes: DataFrame, systems: DataFr
                   display: str = "display") -> DataFrame:
     """``df`` with the display name of each ``family|...|last`` feature name by its family's rule.
 
-    ``codes``: (url, code, name), one row for each code of a system; ``systems``:
+    ``codes``: (url, code, name); of several names of a code the first counts; ``systems``:
     (short, url). Last part: Claims, Coverage, Claims_Coverage, Demographic;
     system and code: MedicalCodeCounter; disease: DiseaseTagCounter; system and the
     code's name: CrossCodeCounter (unknown codes keep their name); family and last
@@ -160,7 +160,7 @@ def display_names(df: DataFrame, feature: str, codes: DataFrame, systems: DataFr
     code = F.split_part(F.split_part(last, F.lit("_"), F.lit(-1)), F.lit("-"), F.lit(-1))
     cross = family == "CrossCodeCounter"
     named = (systems.join(codes, "url")
-             .select(F.col("short").alias("_short"), F.col("code").cast("string").alias("_code"), F.col("name").alias("_name")))
+             .groupBy(F.col("short").alias("_short"), F.col("code").cast("string").alias("_code")).agg(F.min("name").alias("_name")))
     keyed = df.withColumns({"_system": F.when(cross, F.lower(second)), "_of": F.when(cross, code)})
     out = keyed.join(named, (F.col("_system") == F.col("_short")) & (F.col("_of") == F.col("_code")), "left")
     name = (F.when(family.isin("Claims", "Coverage", "Claims_Coverage", "Demographic"), last)

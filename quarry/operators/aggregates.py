@@ -23,48 +23,55 @@ AGGS = {
 }
 
 
+def _known(df: DataFrame, keys: list[str]) -> DataFrame:
+    """C11: rows with a NULL key belong to no group."""
+    for k in keys:
+        df = df.where(F.col(k).isNotNull())
+    return df
+
+
 # A1
 def count_by(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).orderBy(*keys)
+    return _known(df, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).orderBy(*keys)
 
 
 # A2
 def distinct_by(df: DataFrame, key: str | list[str], col: str, approx: bool = False, name: str | None = None) -> DataFrame:
     keys = [key] if isinstance(key, str) else list(key)
     f = F.approx_count_distinct(col) if approx else F.count_distinct(col)
-    return df.groupBy(*keys).agg(f.alias(name or f"n_{col}"))
+    return _known(df, keys).groupBy(*keys).agg(f.alias(name or f"n_{col}"))
 
 
 # A3
 def agg_by(df: DataFrame, key: str | list[str], spec: dict[str, tuple[str, str]]) -> DataFrame:
     keys = [key] if isinstance(key, str) else list(key)
-    return df.groupBy(*keys).agg(*[AGGS[fn](F.col(c)).alias(out) for out, (fn, c) in spec.items()])
+    return _known(df, keys).groupBy(*keys).agg(*[AGGS[fn](F.col(c)).alias(out) for out, (fn, c) in spec.items()])
 
 
 # A4
 def mean_by(df: DataFrame, key: str | list[str], col: str, name: str | None = None) -> DataFrame:
     keys = [key] if isinstance(key, str) else list(key)
-    return df.groupBy(*keys).agg(F.avg(col).alias(name or f"mean_{col}"))
+    return _known(df, keys).groupBy(*keys).agg(F.avg(col).alias(name or f"mean_{col}"))
 
 
 # A5
 def sum_label_by(df: DataFrame, key: str | list[str], col: str, threshold: float,
                  sum_name: str = "total", label: str = "label") -> DataFrame:
     keys = [key] if isinstance(key, str) else list(key)
-    return (df.groupBy(*keys).agg(F.sum(col).alias(sum_name))
+    return (_known(df, keys).groupBy(*keys).agg(F.sum(col).alias(sum_name))
             .withColumn(label, (F.col(sum_name) >= threshold).cast("int")))
 
 
 # A6
 def nested_mean(df: DataFrame, key: str, sub: str, inner_fn: str, col: str, name: str | None = None) -> DataFrame:
     """Inner aggregate per (key, sub), outer mean per key: two chained groupBys."""
-    inner = df.groupBy(key, sub).agg(AGGS[inner_fn](F.col(col)).alias("_inner"))
+    inner = _known(df, [key, sub]).groupBy(key, sub).agg(AGGS[inner_fn](F.col(col)).alias("_inner"))
     return inner.groupBy(key).agg(F.avg("_inner").alias(name or f"mean_{inner_fn}_{col}_per_{sub}"))
 
 
 # A7
 def variance_by(df: DataFrame, keys: list[str], col: str, name: str | None = None) -> DataFrame:
-    return df.groupBy(*keys).agg(F.var_pop(col).alias(name or f"var_{col}"))
+    return _known(df, keys).groupBy(*keys).agg(F.var_pop(col).alias(name or f"var_{col}"))
 
 
 # A8
@@ -76,14 +83,14 @@ def quantiles_by(df: DataFrame, key: str | list[str], col: str, probs: dict[str,
 
 # A9
 def crosstab_long(df: DataFrame, a: str, b: str, name: str = "n") -> DataFrame:
-    return df.groupBy(a, b).agg(F.count(F.lit(1)).alias(name))
+    return _known(df, [a, b]).groupBy(a, b).agg(F.count(F.lit(1)).alias(name))
 
 
 # A10
 def count_positive_by(df: DataFrame, key: str | list[str], flag: Column | str) -> DataFrame:
     keys = [key] if isinstance(key, str) else list(key)
     f = F.col(flag) if isinstance(flag, str) else flag
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"),
+    return _known(df, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("total"),
                                  F.sum(f.cast("int")).cast("bigint").alias("positive"))
 
 
@@ -109,13 +116,13 @@ def value_counts(df: DataFrame, col: str, n: int | None = None, name: str = "n")
 def first_by(df: DataFrame, key: str | list[str], col: str) -> DataFrame:
     """Deterministic single value per key (``min`` instead of ``first``)."""
     keys = [key] if isinstance(key, str) else list(key)
-    return df.groupBy(*keys).agg(F.min(col).alias(col))
+    return _known(df, keys).groupBy(*keys).agg(F.min(col).alias(col))
 
 
 # A14
 def ratio_by(df: DataFrame, key: str | list[str], num: Column, den: Column, name: str = "ratio") -> DataFrame:
     keys = [key] if isinstance(key, str) else list(key)
-    return (df.groupBy(*keys).agg(num.alias("_num"), den.alias("_den"))
+    return (_known(df, keys).groupBy(*keys).agg(num.alias("_num"), den.alias("_den"))
             .select(*keys, "_num", "_den", safe_div("_num", "_den").alias(name))
             .withColumnsRenamed({"_num": "numerator", "_den": "denominator"}))
 
@@ -247,15 +254,31 @@ def explode_events(df: DataFrame, key: str, map_col: str, as_of: str | None = No
 
 
 # W4
-def top_k_wide(df: DataFrame, key: str, name: str, value: str, k: int) -> DataFrame:
-    """Top-k (name, value) per entity by |value| desc (name asc on ties), as k column pairs."""
-    scored = df.select(key, name, value, F.abs(F.col(value)).alias("_abs"),
-                       (-F.abs(F.col(value))).alias("_neg"))
-    top = top_n_per_group(scored.select(key, "_neg", name, value), [key], "_neg", k)
+def top_k_wide(df: DataFrame, key: str, name: str, value: str, k: int, bias: str | None = None,
+               matched: DataFrame | None = None, missing: str = "N/A", digits: int = 2) -> DataFrame:
+    """Top-k (name, value) per entity by |value| desc (name asc on ties), as k column pairs.
+
+    The row named ``bias`` is an entity's intercept: a column of its own, out of the ranking.
+    ``matched`` (key, matched) lists all entities: one without a match has ``missing`` in every
+    column, and all columns are text then, values with ``digits`` decimals.
+    """
+    ranking = df.where(F.col(name) != bias) if bias is not None else df
+    scored = ranking.select(key, (-F.abs(F.col(value))).alias("_neg"), name, value)
+    top = top_n_per_group(scored, [key], "_neg", k)
     w = Window.partitionBy(key).orderBy("_neg", name, value)  # at most k rows per key here
     ranked = top.withColumn("_r", F.row_number().over(w))
-    cols = []
+    cols, added = [], []
     for i in range(1, k + 1):
         cols += [F.max(F.when(F.col("_r") == i, F.col(name))).alias(f"{name}_{i}"),
                  F.max(F.when(F.col("_r") == i, F.col(value))).alias(f"{value}_{i}")]
-    return ranked.groupBy(key).agg(*cols)
+        added += [(f"{name}_{i}", False), (f"{value}_{i}", True)]
+    out = ranked.groupBy(key).agg(*cols)
+    if bias is not None:
+        # an entity may have an intercept alone
+        out = df.where(F.col(name) == bias).groupBy(key).agg(F.max(value).alias("intercept")).join(out, key, "full")
+        added = [("intercept", True), *added]
+    if matched is not None:
+        out = matched.select(key, "matched").join(out, key, "left")
+        text = lambda c, number: (F.col(c).cast(f"decimal(38,{digits})") if number else F.col(c)).cast("string")
+        out = out.select(key, *[F.when(F.col("matched"), text(c, number)).otherwise(missing).alias(c) for c, number in added])
+    return out

@@ -16,6 +16,7 @@ from quarry.operators.aggregates import value_counts
 from quarry.operators.clean import ordinal_encode
 from quarry.operators.ordered import dense_index, running_sums
 from quarry.semantics import hash_prefix, with_scalar
+from quarry.sources.io import scratch_path
 
 
 def vocabulary(fit_df: DataFrame, cols: list[str]) -> DataFrame:
@@ -95,21 +96,31 @@ def apply_vocabulary(long: DataFrame, vocab: DataFrame, feature: str = "feature"
     return long.join(vocab, feature, "inner")
 
 
+def sparse_rows(long: DataFrame, vocab: DataFrame, key: str, feature: str = "feature", value: str = "value",
+                size: int | None = None) -> DataFrame:
+    """(key, size, indices, values): a row's non-zero values by ascending index; values of one
+    feature add up. Nothing grows with the vocabulary but ``size``, its length (counted
+    unless given), so a million features cost a row only those it has."""
+    n = F.lit(size) if size is not None else vocab.agg(F.count(F.lit(1)).cast("int").alias("n")).scalar()
+    cells = apply_vocabulary(long, vocab, feature).groupBy(key, "index").agg(F.sum(F.col(value).cast("double")).alias("_v"))
+    rows = cells.where("_v <> 0").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("index", "_v"))).alias("_c"))
+    return rows.select(key, n.alias("size"), F.transform("_c", lambda x: x["index"]).alias("indices"), F.transform("_c", lambda x: x["_v"]).alias("values"))
+
+
 def to_vector(long: DataFrame, vocab: DataFrame, key: str, feature: str = "feature", value: str = "value",
               size: int | None = None) -> DataFrame:
-    """Widen long features to an ML vector per row (only at the model edge).
+    """(key, features): ``sparse_rows`` as sparse ML vectors, for the model edge.
 
-    JVM-side: per row a map index -> value, expanded over the vocabulary size
-    (bounded by the feature space) and turned into a vector by
-    ``array_to_vector`` -- no Python worker involved.
+    An ML vector is stored as (type, size, indices, values), type 0 for a sparse one; the
+    rows are written in that form and read as vectors, so no Python worker is involved.
     """
-    from pyspark.ml.functions import array_to_vector
-    idx = apply_vocabulary(long, vocab, feature)
-    n = F.lit(size) if size is not None else vocab.agg(F.count(F.lit(1)).alias("n")).scalar()
-    grouped = idx.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("index", F.col(value).cast("double"))))
-                                   .alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0)))
-    return grouped.select(key, array_to_vector(dense).alias("features"))
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql.types import StructField, StructType
+    parts = sparse_rows(long, vocab, key, feature, value, size)
+    packed = parts.select(key, F.struct(F.lit(0).cast("tinyint").alias("type"), "size", "indices", "values").alias("features"))
+    path = scratch_path(long.sparkSession, "vectors")
+    packed.write.parquet(path)
+    return long.sparkSession.read.schema(StructType([packed.schema[key], StructField("features", VectorUDT())])).parquet(path)
 
 
 # M4

@@ -144,12 +144,11 @@ def rule_violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 # P10
 def code_dictionary(df: DataFrame, codes_col: str, sep: str | None = None, is_array: bool = False) -> DataFrame:
-    """system -> sorted distinct codes.
+    """(system, code, n_codes): a row for every distinct code of a system.
 
     With ``sep`` each code is ``system<sep>code``; otherwise the value's column
-    name is the system. Distinct (system, code) pairs are reduced map-side
-    before the per-system list is built (the list is bounded by the code
-    vocabulary, not the row count).
+    name is the system. Distinct pairs are reduced map-side; no system's codes are
+    brought together, so one that holds most of them is as many rows.
     """
     codes = F.explode(F.col(codes_col)) if is_array else F.col(codes_col)
     flat = df.select(codes.alias("_code")).where(F.col("_code").isNotNull())
@@ -159,5 +158,5 @@ def code_dictionary(df: DataFrame, codes_col: str, sep: str | None = None, is_ar
     else:
         flat = flat.select(F.lit(codes_col).alias("system"), F.col("_code").alias("code"))
     pairs = flat.distinct()
-    return pairs.groupBy("system").agg(F.count(F.lit(1)).alias("n_codes"),
-                                       F.array_join(F.array_sort(F.collect_list("code")), ",").alias("codes"))
+    sizes = pairs.groupBy("system").agg(F.count(F.lit(1)).alias("n_codes"))
+    return pairs.join(sizes, "system")

@@ -7,14 +7,15 @@ from quarry.plans.catalog.registry import Tables, register
 
 
 @register("a1_count_by", """
-SELECT ts::date::varchar AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2
+SELECT ts::date::varchar AS day, event_type, count(*) AS n FROM events
+WHERE ts IS NOT NULL AND event_type IS NOT NULL GROUP BY 1, 2
 """)
 def a1(spark, sf):
     ev = Tables(spark, sf).events.select(F.to_date("ts").cast("string").alias("day"), "event_type")
     return A.count_by(ev, ["day", "event_type"])
 
 
-@register("a2_distinct_by", "SELECT l_suppkey, count(DISTINCT l_partkey) AS n_l_partkey FROM lineitem GROUP BY 1")
+@register("a2_distinct_by", "SELECT l_suppkey, count(DISTINCT l_partkey) AS n_l_partkey FROM lineitem WHERE l_suppkey IS NOT NULL GROUP BY 1")
 def a2(spark, sf):
     return A.distinct_by(Tables(spark, sf).lineitem, "l_suppkey", "l_partkey")
 
@@ -22,7 +23,7 @@ def a2(spark, sf):
 @register("a3_agg_by", """
 SELECT o_custkey, strftime(min(o_orderdate), '%Y-%m-%d') AS first_order, strftime(max(o_orderdate), '%Y-%m-%d') AS last_order,
        round(sum(o_totalprice), 2) AS total, count(o_orderkey) AS n
-FROM orders GROUP BY o_custkey
+FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey
 """)
 def a3(spark, sf):
     out = A.agg_by(Tables(spark, sf).orders, "o_custkey", {
@@ -34,7 +35,7 @@ def a3(spark, sf):
 
 
 @register("a4_mean_by", """
-SELECT l_returnflag, round(avg(l_discount), 9) AS mean_l_discount FROM lineitem GROUP BY 1
+SELECT l_returnflag, round(avg(l_discount), 9) AS mean_l_discount FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY 1
 """)
 def a4(spark, sf):
     out = A.mean_by(Tables(spark, sf).lineitem, "l_returnflag", "l_discount")
@@ -42,7 +43,7 @@ def a4(spark, sf):
 
 
 @register("a5_sum_label_by", """
-SELECT l_orderkey, sum(l_quantity) AS total, (sum(l_quantity) >= 100)::int AS label FROM lineitem GROUP BY 1
+SELECT l_orderkey, sum(l_quantity) AS total, (sum(l_quantity) >= 100)::int AS label FROM lineitem WHERE l_orderkey IS NOT NULL GROUP BY 1
 """)
 def a5(spark, sf):
     return A.sum_label_by(Tables(spark, sf).lineitem, "l_orderkey", "l_quantity", 100)
@@ -50,7 +51,8 @@ def a5(spark, sf):
 
 @register("a6_nested_mean", """
 SELECT l_suppkey, round(avg(s), 6) AS mean_sum_per_order FROM (
-  SELECT l_suppkey, l_orderkey, sum(l_extendedprice) AS s FROM lineitem GROUP BY 1, 2) GROUP BY 1
+  SELECT l_suppkey, l_orderkey, sum(l_extendedprice) AS s FROM lineitem
+  WHERE l_suppkey IS NOT NULL AND l_orderkey IS NOT NULL GROUP BY 1, 2) GROUP BY 1
 """)
 def a6(spark, sf):
     out = A.nested_mean(Tables(spark, sf).lineitem, "l_suppkey", "l_orderkey", "sum", "l_extendedprice",
@@ -59,7 +61,8 @@ def a6(spark, sf):
 
 
 @register("a7_variance_by", """
-SELECT o_orderstatus, o_orderpriority, round(var_pop(o_totalprice), 2) AS var_o_totalprice FROM orders GROUP BY 1, 2
+SELECT o_orderstatus, o_orderpriority, round(var_pop(o_totalprice), 2) AS var_o_totalprice FROM orders
+WHERE o_orderstatus IS NOT NULL AND o_orderpriority IS NOT NULL GROUP BY 1, 2
 """)
 def a7(spark, sf):
     out = A.variance_by(Tables(spark, sf).orders, ["o_orderstatus", "o_orderpriority"], "o_totalprice")
@@ -76,13 +79,17 @@ def a8(spark, sf):
     return out.select("l_suppkey", F.round("q1", 6).alias("q1"), F.round("q3", 6).alias("q3"))
 
 
-@register("a9_crosstab_long", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2")
+@register("a9_crosstab_long", """
+SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders
+WHERE o_orderstatus IS NOT NULL AND o_orderpriority IS NOT NULL GROUP BY 1, 2
+""")
 def a9(spark, sf):
     return A.crosstab_long(Tables(spark, sf).orders, "o_orderstatus", "o_orderpriority")
 
 
 @register("a10_count_positive_by", """
-SELECT l_linestatus, count(*) AS total, sum((l_discount > 0.05)::int)::bigint AS positive FROM lineitem GROUP BY 1
+SELECT l_linestatus, count(*) AS total, sum((l_discount > 0.05)::int)::bigint AS positive FROM lineitem
+WHERE l_linestatus IS NOT NULL GROUP BY 1
 """)
 def a10(spark, sf):
     return A.count_positive_by(Tables(spark, sf).lineitem, "l_linestatus", F.col("l_discount") > 0.05)
@@ -112,7 +119,7 @@ def a12b(spark, sf):
     return A.value_counts(Tables(spark, sf).part, "p_type")
 
 
-@register("a13_first_by", "SELECT o_custkey, min(o_orderpriority) AS o_orderpriority FROM orders GROUP BY 1")
+@register("a13_first_by", "SELECT o_custkey, min(o_orderpriority) AS o_orderpriority FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1")
 def a13(spark, sf):
     return A.first_by(Tables(spark, sf).orders, "o_custkey", "o_orderpriority")
 
@@ -120,7 +127,7 @@ def a13(spark, sf):
 @register("a14_ratio_by", """
 SELECT c.c_nationkey, count(o.o_orderkey) AS numerator, count(DISTINCT o.o_custkey) AS denominator,
        round(count(o.o_orderkey) / count(DISTINCT o.o_custkey), 9) AS orders_per_customer
-FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY 1
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_nationkey IS NOT NULL GROUP BY 1
 """)
 def a14(spark, sf):
     t = Tables(spark, sf)

@@ -57,6 +57,26 @@ def m3(spark, sf):
         "o_orderkey", "feature", "value", "index")
 
 
+@register("m3_sparse_vectors", """
+WITH longf AS (
+  SELECT o_orderkey, year(o_orderdate) AS y, 'o_orderstatus=' || o_orderstatus AS feature, 1.0::double AS value FROM orders
+  UNION ALL SELECT o_orderkey, year(o_orderdate), 'o_orderpriority=' || o_orderpriority, 1.0::double FROM orders
+  UNION ALL SELECT o_orderkey, year(o_orderdate), 'clerk=' || o_custkey, 1.0::double FROM orders
+  UNION ALL SELECT o_orderkey, year(o_orderdate), 'o_totalprice', o_totalprice FROM orders),
+     vocab AS (SELECT feature, (row_number() OVER (ORDER BY feature) - 1)::int AS index
+               FROM (SELECT DISTINCT feature FROM longf WHERE y < 1998))
+SELECT o_orderkey, (SELECT count(*) FROM vocab)::int AS size, index, sum(value) AS value
+FROM longf JOIN vocab USING (feature) WHERE y >= 1998 GROUP BY o_orderkey, index HAVING sum(value) <> 0
+""")
+def m3_sparse(spark, sf):
+    fit, ap = (d.withColumn("clerk", F.col("o_custkey").cast("string")) for d in _fit_apply(Tables(spark, sf)))
+    cols = [*_M3_COLS, "clerk"]
+    vocab = M.feature_vocabulary(M.vectorize(fit, "o_orderkey", cols))
+    rows = M.sparse_rows(M.vectorize(ap, "o_orderkey", cols), vocab, "o_orderkey")
+    cells = rows.select("o_orderkey", "size", F.explode(F.arrays_zip("indices", "values")).alias("c"))
+    return cells.select("o_orderkey", "size", F.col("c.indices").alias("index"), F.col("c.values").alias("value"))
+
+
 @register("m4_lump_top_n", """
 WITH top AS (SELECT p_brand FROM part GROUP BY 1 ORDER BY count(*) DESC, p_brand ASC LIMIT 10)
 SELECT p_partkey, CASE WHEN p_brand IN (SELECT p_brand FROM top) THEN p_brand ELSE 'other' END AS brand_lumped FROM part

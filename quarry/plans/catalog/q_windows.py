@@ -57,3 +57,26 @@ def w4(spark, sf):
     out = A.top_k_wide(li, "l_orderkey", "name", "v", 3)
     return out.select("l_orderkey", *[x for i in (1, 2, 3) for x in (
         F.col(f"name_{i}"), F.round(f"v_{i}", 6).alias(f"v_{i}"))])
+
+
+@register("w4_top_k_wide_intercept", f"""
+WITH s AS (SELECT l_orderkey, l_partkey::varchar AS name, round({_W4_VAL}, 6) AS v FROM lineitem),
+     r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY abs(v) DESC, name ASC, v ASC) AS rk FROM s),
+     w AS (SELECT l_orderkey,
+       max(name) FILTER (WHERE rk = 1) AS name_1, max(v) FILTER (WHERE rk = 1) AS v_1,
+       max(name) FILTER (WHERE rk = 2) AS name_2, max(v) FILTER (WHERE rk = 2) AS v_2 FROM r GROUP BY 1)
+SELECT o_orderkey AS l_orderkey,
+       CASE WHEN o_orderstatus = 'P' THEN 'N/A' ELSE round(o_totalprice, 2)::decimal(38,6)::varchar END AS intercept,
+       CASE WHEN o_orderstatus = 'P' THEN 'N/A' ELSE name_1 END AS name_1,
+       CASE WHEN o_orderstatus = 'P' THEN 'N/A' ELSE v_1::decimal(38,6)::varchar END AS v_1,
+       CASE WHEN o_orderstatus = 'P' THEN 'N/A' ELSE name_2 END AS name_2,
+       CASE WHEN o_orderstatus = 'P' THEN 'N/A' ELSE v_2::decimal(38,6)::varchar END AS v_2
+FROM orders LEFT JOIN w ON l_orderkey = o_orderkey
+""")
+def w4_intercept(spark, sf):
+    t = Tables(spark, sf)
+    rows = t.lineitem.select("l_orderkey", F.col("l_partkey").cast("string").alias("name"), F.round(F.expr(_W4_VAL), 6).alias("v"))
+    # an order's total stands for the bias; partly shipped orders have no match
+    bias = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.lit("Bias").alias("name"), F.round("o_totalprice", 2).alias("v"))
+    matched = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderstatus") != "P").alias("matched"))
+    return A.top_k_wide(rows.unionByName(bias), "l_orderkey", "name", "v", 2, "Bias", matched, digits=6)

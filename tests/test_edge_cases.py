@@ -1,6 +1,9 @@
 """Hand-computed cases: absent classes, constant targets, NULL keys, tiny fractions, cuts of all rows."""
 
+import datetime
+
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from quarry.functions import scalar
@@ -133,3 +136,55 @@ def test_group_features_of_the_target(spark):
     assert (r["a"].mean_age, r["a"].target_member_months, r["a"].split) == (34.5, 14, "train")
     assert r["a"].target_pmpm == 90 / 14 and r["a"].member_months == 12
     assert (r["b"].mean_age, r["b"].target_member_months, r["b"].target_pmpm, r["b"].split) == (None, 0, None, None)
+
+
+def test_null_keys_form_no_group(spark):
+    """C11: rows with a NULL key belong to no group, in every grouped aggregate."""
+    df = spark.createDataFrame([("a", "x", 1.0), ("a", None, 2.0), (None, "x", 3.0), ("b", "y", 5.0)], "k string, j string, v double")
+    one = {tuple(r) for r in aggregates.count_by(df, ["k"]).collect()}
+    assert one == {("a", 2), ("b", 1)}
+    made = [aggregates.distinct_by(df, "k", "v"), aggregates.agg_by(df, "k", {"s": ("sum", "v")}), aggregates.mean_by(df, "k", "v"), aggregates.sum_label_by(df, "k", "v", 2.0),
+            aggregates.nested_mean(df, "k", "j", "sum", "v"), aggregates.variance_by(df, ["k"], "v"), aggregates.quantiles_by(df, "k", "v"), aggregates.count_positive_by(df, "k", F.col("v") > 1),
+            aggregates.first_by(df, "k", "v"), aggregates.ratio_by(df, "k", F.sum("v"), F.count("v"))]
+    for out in made:
+        assert {r["k"] for r in out.collect()} == {"a", "b"}
+    assert {tuple(r) for r in aggregates.crosstab_long(df, "k", "j").collect()} == {("a", "x", 1), ("b", "y", 1)}
+    assert {tuple(r) for r in aggregates.nested_mean(df, "k", "j", "sum", "v", "m").collect()} == {("a", 1.0), ("b", 5.0)}
+
+
+def test_intercept_stands_apart_and_unmatched_entities_have_no_values(spark):
+    df = spark.createDataFrame([(1, "Bias", 9.0), (1, "f", -2.0), (1, "g", 1.5), (2, "Bias", 0.5), (2, "f", 1.0), (3, "Bias", 4.0)], "e int, name string, v double")
+    matched = spark.createDataFrame([(1, True), (2, False), (3, True), (4, True)], "e int, matched boolean")
+    got = {r["e"]: tuple(r)[1:] for r in aggregates.top_k_wide(df, "e", "name", "v", 2, "Bias", matched).collect()}
+    assert got == {1: ("9.00", "f", "-2.00", "g", "1.50"), 2: ("N/A",) * 5, 3: ("4.00", None, None, None, None), 4: (None,) * 5}
+
+
+def test_a_code_listed_twice_keeps_rows_single(spark):
+    df = spark.createDataFrame([("CrossCodeCounter|icd_x-a1",)], "feature string")
+    codes = spark.createDataFrame([("u", "a1", "Zeta"), ("u", "a1", "Alpha")], "url string, code string, name string")
+    systems = spark.createDataFrame([("x-a1", "u"), ("a1", "u")], "short string, url string")
+    assert scalar.display_names(df, "feature", codes, systems).count() == 1
+
+
+def test_sparse_vectors_cost_their_non_zeros(spark):
+    """A million features: a row's vector holds its own alone, and reads back as an ML vector."""
+    vocab = spark.range(1_000_000).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("feature"), F.col("id").cast("int").alias("index"))
+    long = spark.createDataFrame([(1, "f999999", 2.0), (1, "f5", 1.0), (1, "f5", 0.5), (1, "f7", 0.0), (2, "f3", -1.0), (3, "unknown", 1.0)], "row int, feature string, value double")
+    got = {r["row"]: (r["size"], r["indices"], r["values"]) for r in features.sparse_rows(long, vocab, "row").collect()}
+    assert got == {1: (1_000_000, [5, 999_999], [1.5, 2.0]), 2: (1_000_000, [3], [-1.0])}
+    v = {r["row"]: r["features"] for r in features.to_vector(long, vocab, "row").collect()}
+    assert v[1] == Vectors.sparse(1_000_000, {5: 1.5, 999_999: 2.0}) and v[2].size == 1_000_000
+
+
+def test_covered_days_and_months_are_unions_of_intervals(spark):
+    day = datetime.date
+    members = spark.createDataFrame([(1, "g"), (2, "g"), (3, None)], "member int, grp string")
+    claims = spark.createDataFrame([(1, day(2020, 5, 1), 10.0)], "member int, date date, amount double")
+    cover = [(1, day(2019, 1, 1), day(2019, 2, 10)), (1, day(2019, 2, 5), day(2019, 2, 20)), (1, day(2019, 2, 1), day(2019, 2, 3)), (2, day(2018, 1, 1), day(2030, 1, 1)),
+             (2, day(2019, 12, 31), day(2019, 12, 30))]
+    coverage = spark.createDataFrame(cover, "member int, start_date date, end_date date")
+    preds = spark.createDataFrame([(1, 0.5)], "member int, pred double")
+    r = questions.group_features(members, claims, coverage, preds, "member", "grp", "2020-01-01", target=("2020-01-01", "2026-01-01")).collect()
+    assert len(r) == 1
+    assert r[0]["mean_days_covered"] == (51 + 365) / 2 and r[0]["member_months"] == 2 + 12
+    assert (r[0]["members_begin"], r[0]["members_end"], r[0]["target_member_months"], r[0]["target_pmpm"]) == (2, 1, 72, 10.0 / 72)
