@@ -15,14 +15,13 @@ import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.session import cut_lineage
+from quarry.session import cut_lineage, stored
 
 
 def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
@@ -121,6 +120,7 @@ def fit_newton_boosting(df: DataFrame, cols: list[str], label: str, factor: floa
 def fit_threshold_classifiers(df: DataFrame, cols: list[str], y: str, thresholds: list[float], iters: int = 20):
     """One boosted classifier per threshold t on the label y > t."""
     models = {}
+    df = stored(df.select(*dict.fromkeys([*cols, y])))  # read by every fit
     for t in thresholds:
         lab = df.withColumn("_lab", (F.col(y) > t).cast("double"))
         models[t] = fit_boosted_classifier(lab, cols, "_lab", iters=iters)
@@ -132,6 +132,7 @@ def fit_kmeans(df: DataFrame, features: str | list[str], k: int, seed: int = 42,
     """Returns (model, labelled frame, centres table, training cost)."""
     data = df if isinstance(features, str) else assemble(df, features)
     fcol = features if isinstance(features, str) else "features"
+    data = stored(data)  # every iteration reads it again
     model = KMeans(featuresCol=fcol, k=k, seed=seed, maxIter=max_iter, predictionCol="cluster").fit(data)
     centres = _table(df.sparkSession, [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
                      "cluster int, centre array<double>")
@@ -140,15 +141,69 @@ def fit_kmeans(df: DataFrame, features: str | list[str], k: int, seed: int = 42,
 
 # L8
 def kmeans_sweep(df: DataFrame, features: str, ks: list[int], seed: int = 42) -> DataFrame:
-    """(k, cost, silhouette) per k; silhouette is Spark's squared-Euclidean one."""
-    data = cut_lineage(df.select(features))
-    ev = ClusteringEvaluator(featuresCol=features, predictionCol="cluster", metricName="silhouette",
-                             distanceMeasure="squaredEuclidean")
-    rows = []
-    for k in ks:
-        model = KMeans(featuresCol=features, k=k, seed=seed, predictionCol="cluster").fit(data)
-        rows.append((k, float(model.summary.trainingCost), float(ev.evaluate(model.transform(data)))))
-    return _table(df.sparkSession, rows, "k int, cost double, silhouette double")
+    """(k, cost, silhouette) per k; silhouette is Spark's squared-Euclidean one.
+
+    Besides the fits, the rows are read twice however many k there are: one pass assigns
+    each row under every model and adds up moments by (k, cluster), the other scores it under every model."""
+    data = stored(df.select(F.col(features)))
+    models = {k: KMeans(featuresCol=features, k=k, seed=seed, predictionCol="cluster").fit(data) for k in ks}
+    scores = silhouettes(data, features, {k: np.stack(m.clusterCenters()) for k, m in models.items()})
+    costs = _table(df.sparkSession, [(k, float(m.summary.trainingCost)) for k, m in models.items()], "k int, cost double")
+    return costs.join(scores, "k").select("k", "cost", "silhouette")
+
+
+def silhouettes(df: DataFrame, features: str, centres: dict[int, np.ndarray]) -> DataFrame:
+    """(k, silhouette): the mean silhouette of all rows under each of several sets of centres.
+
+    The moments (count, mean vector, mean squared norm) are a row a cluster, bounded by the sets.
+    """
+    x = df.select(vector_to_array(features).alias("x"))
+    first = np.cumsum([0, *[len(c) for c in centres.values()]])
+    whole = np.concatenate(list(centres.values()))
+
+    def assigned(v: np.ndarray) -> list[np.ndarray]:
+        d = (v ** 2).sum(axis=1)[:, None] - 2 * v @ whole.T + (whole ** 2).sum(axis=1)
+        return [d[:, lo:hi].argmin(axis=1) + lo for lo, hi in zip(first[:-1], first[1:], strict=True)]
+
+    def add(parts):
+        n, total, norm = np.zeros(len(whole)), np.zeros(whole.shape), np.zeros(len(whole))
+        for part in parts:
+            if len(part):
+                v = np.stack(part["x"].to_numpy())
+                for at in assigned(v):
+                    np.add.at(n, at, 1)
+                    np.add.at(total, at, v)
+                    np.add.at(norm, at, (v ** 2).sum(axis=1))
+        yield pd.DataFrame({"at": np.arange(len(whole)), "n": n, "total": list(total), "norm": norm})
+
+    d = whole.shape[1]
+    moments = x.mapInPandas(add, "at int, n double, total array<double>, norm double")
+    rows = moments.groupBy("at").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("total")[i]) for i in range(d)]).alias("total"), F.sum("norm").alias("norm"))
+    found = {r["at"]: r for r in rows.collect()}
+    n = np.array([found[i]["n"] if i in found else 0.0 for i in range(len(whole))])
+    mean = np.stack([np.array(found[i]["total"]) if i in found else np.zeros(d) for i in range(len(whole))]) / np.maximum(n, 1)[:, None]
+    norm = np.array([found[i]["norm"] if i in found else 0.0 for i in range(len(whole))]) / np.maximum(n, 1)
+
+    def score(parts):
+        total, count = np.zeros(len(centres)), 0
+        for part in parts:
+            if len(part):
+                v = np.stack(part["x"].to_numpy())
+                far = np.maximum((v ** 2).sum(axis=1)[:, None] - 2 * v @ mean.T + norm, 0)
+                far[:, n == 0] = np.inf
+                count += len(v)
+                for j, at in enumerate(assigned(v)):
+                    own = far[np.arange(len(v)), at] * n[at] / np.maximum(n[at] - 1, 1)
+                    rest = far[:, first[j]:first[j + 1]].copy()
+                    rest[np.arange(len(v)), at - first[j]] = np.inf
+                    other = rest.min(axis=1)
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        s = (other - own) / np.maximum(own, other)
+                    total[j] += np.where((n[at] <= 1) | ~np.isfinite(other) | (np.maximum(own, other) == 0), 0.0, s).sum()
+        yield pd.DataFrame({"k": list(centres), "total": total, "n": count})
+
+    sums = x.mapInPandas(score, "k int, total double, n long")
+    return sums.groupBy("k").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("silhouette"))
 
 
 def row_silhouette(df: DataFrame, features: str, cluster: str = "cluster", name: str = "silhouette") -> DataFrame:
@@ -203,6 +258,35 @@ def grid_search(df: DataFrame, cols: list[str], label: str, estimator, grid: dic
     return model, _table(df.sparkSession, rows, "params string, metric double")
 
 
+def rotation_search(df: DataFrame, cols: list[str], label: str, estimator, grid: dict, period: str, metric: str = "rmse",
+                    parallelism: int = 4) -> DataFrame:
+    """(setting, <parameters>, rotation, metric): each setting of the grid, fitted on all periods but one and
+    tested on that one, for every period.
+
+    Periods become folds of one stored table, read by all fits; ``parallelism`` fits run at a
+    time. Results are told by (setting, rotation), whatever the order in which fits end."""
+    from itertools import product
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
+    folds = stored(assemble(block_folds(df.select(*cols, label, period), period), cols).select("fold", "features", label))
+    rotations = sorted(r[0] for r in folds.select("fold").distinct().collect())
+    names = list(grid)
+    settings = list(product(*[grid[n] for n in names]))
+    ev = (BinaryClassificationEvaluator(labelCol=label, metricName=metric) if metric in ("areaUnderROC", "areaUnderPR")
+          else RegressionEvaluator(labelCol=label, metricName=metric))
+
+    def fit(task: tuple[int, int]) -> tuple:
+        i, rotation = task
+        params = {estimator.getParam(n): v for n, v in zip(names, settings[i], strict=True)}
+        model = estimator.fit(folds.where(F.col("fold") != rotation), params)
+        return i, *[float(v) for v in settings[i]], int(rotation), float(ev.evaluate(model.transform(folds.where(F.col("fold") == rotation))))
+
+    with ThreadPool(parallelism) as pool:
+        rows = pool.map(fit, [(i, r) for i in range(len(settings)) for r in rotations], chunksize=1)
+    return _table(df.sparkSession, rows, "setting int, " + ", ".join(f"{n} double" for n in names) + ", rotation int, metric double")
+
+
 def block_folds(df: DataFrame, period: str, name: str = "fold") -> DataFrame:
     """Time-block rotation: the fold id is the (dense) rank of the period."""
     from pyspark.sql import Window

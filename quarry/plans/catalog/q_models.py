@@ -6,6 +6,7 @@ by features/settings, or a per-row score table over the whole input.
 """
 
 from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.operators import metrics as T
@@ -118,14 +119,45 @@ def l8b(spark, sf):
 @register("l9_grid_search_block_cv")
 def l9(spark, sf):
     from pyspark.ml.classification import LogisticRegression
-    li = L.block_folds(_li(Tables(spark, sf)), "ship_year")
-    folds = li.select("fold").distinct().count()
+    years = _li(Tables(spark, sf))
+    li = L.block_folds(years, "ship_year")
+    folds = len(years.select("ship_year").distinct().collect())  # one row a year
     est = LogisticRegression(featuresCol="features", labelCol="returned", maxIter=20)
     _, table = L.grid_search(li.withColumn("fold", F.col("fold").cast("int")), LI_FEATS, "returned", est,
                              {"regParam": [0.01, 0.1]}, folds=folds, fold_col="fold")
     return table
 
 
+_L9_GRID = [m * 10.0 ** e for e in range(-3, 6) for m in range(1, 10)]
+
+
+@register("l9_rotation_search", """
+WITH p AS (SELECT year(o_orderdate) AS y, dense_rank() OVER (ORDER BY year(o_orderdate)) - 1 AS period, o_totalprice / 1000 AS t,
+                  CASE o_orderpriority[1] WHEN '1' THEN 1.0 WHEN '2' THEN 2.0 ELSE 3.0 END + (o_custkey % 7) AS x FROM orders),
+     d AS (SELECT period % 3 AS fold, x, t FROM p),
+     grid AS (SELECT ((e + 3) * 9 + m - 1)::int AS setting, m * pow(10.0, e) AS l FROM range(-3, 6) a(e), range(1, 10) b(m)),
+     fit AS (SELECT r.fold AS rotation, avg(x) AS mx, avg(t) AS mt, covar_pop(t, x) AS c, var_pop(x) AS v, stddev_pop(t) AS st
+             FROM (SELECT DISTINCT fold FROM d) r JOIN d ON d.fold <> r.fold GROUP BY 1),
+     held AS (SELECT fold AS rotation, count(*) AS n, avg(x) AS hx, avg(t) AS ht, var_pop(x) AS vx, var_pop(t) AS vt, covar_pop(t, x) AS ch FROM d GROUP BY 1),
+     w AS (SELECT *, c / (v + l / st) AS slope  -- the fit scales the label, not its penalty
+             FROM fit JOIN held USING (rotation), grid)
+SELECT setting, rotation::int AS rotation, round(l, 6) AS "regParam",
+       round(sqrt(vt - 2 * slope * ch + slope * slope * vx + pow(ht - mt - slope * (hx - mx), 2)), 4) AS metric
+FROM w
+""")
+def l9_rotation(spark, sf):
+    from pyspark.ml.regression import LinearRegression
+    o = Tables(spark, sf).orders
+    years = o.select(F.year("o_orderdate").alias("y")).distinct().withColumn(
+        "period", F.pmod(F.dense_rank().over(Window.orderBy("y")) - 1, F.lit(3)))  # one row a year
+    first = F.substring("o_orderpriority", 1, 1)
+    x = F.when(first == "1", 1.0).when(first == "2", 2.0).otherwise(3.0) + F.col("o_custkey") % 7
+    rows = o.withColumn("y", F.year("o_orderdate")).join(years, "y").select((F.col("o_totalprice") / 1000).alias("t"), x.alias("x"), "period")
+    est = LinearRegression(featuresCol="features", labelCol="t", solver="normal", standardization=False)
+    out = L.rotation_search(rows, ["x"], "t", est, {"regParam": _L9_GRID}, "period")
+    return out.select("setting", "rotation", F.round("regParam", 6).alias("regParam"), F.round("metric", 4).alias("metric"))
+
+
 @register("l9_grid_search_kfold")
 def l9b(spark, sf):
     from pyspark.ml.classification import LogisticRegression
