@@ -34,10 +34,10 @@ def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 # L1
 def fit_logistic(df: DataFrame, cols: list[str], label: str, reg: float = 0.01, weight: str | None = None,
-                 max_iter: int = 100):
+                 max_iter: int = 100, tol: float = 1e-6):
     """L2-regularised logistic regression; returns (model, ranked coefficient table)."""
     lr = LogisticRegression(featuresCol="features", labelCol=label, regParam=reg, elasticNetParam=0.0,
-                            maxIter=max_iter, **({"weightCol": weight} if weight else {}))
+                            maxIter=max_iter, tol=tol, **({"weightCol": weight} if weight else {}))
     model = lr.fit(assemble(df, cols))
     coefs = [(c, float(v), abs(float(v))) for c, v in zip(cols, model.coefficients.toArray())]
     coefs.sort(key=lambda r: (-r[2], r[0]))
@@ -48,9 +48,9 @@ def fit_logistic(df: DataFrame, cols: list[str], label: str, reg: float = 0.01,
 
 # L2
 def fit_forest(df: DataFrame, cols: list[str], label: str, kind: str = "classification", trees: int = 50,
-               depth: int = 5, seed: int = 42, weight: str | None = None):
+               depth: int = 5, seed: int = 42, weight: str | None = None, bootstrap: bool = True):
     cls = RandomForestClassifier if kind == "classification" else RandomForestRegressor
-    est = cls(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed,
+    est = cls(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed, bootstrap=bootstrap,
               **({"weightCol": weight} if weight else {}))
     return est.fit(assemble(df, cols))
 

@@ -17,7 +17,7 @@ from quarry.plans.catalog.registry import REGISTRY
 # importing the family modules fills REGISTRY
 from quarry.plans.catalog import (  # noqa: F401,E402
     q_sources, q_profile, q_clean, q_functions, q_joins, q_aggregates, q_windows,
-    q_distributions, q_outliers, q_questions, q_features, q_models, q_metrics)
+    q_distributions, q_outliers, q_questions, q_features, q_models, q_metrics, q_closed_forms)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
