@@ -9,6 +9,7 @@ checkpoint in the cluster's shared checkpoint folder.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.session import cut_lineage, stored
+from quarry.sources.io import scratch_path
 
 
 def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
@@ -56,7 +58,7 @@ def fit_forest(df: DataFrame, cols: list[str], label: str, kind: str = "classifi
 
 
 # L3
-def fit_boosted_classifier(df: DataFrame, cols: list[str], label: str, iters: int = 30, depth: int = 4,
+def fit_boosted_classifier(df: DataFrame, cols: list[str], label: str, iters: int = 250, depth: int = 4,
                            rate: float = 0.1, seed: int = 42, weight: str | None = None):
     est = GBTClassifier(featuresCol="features", labelCol=label, maxIter=iters, maxDepth=depth, stepSize=rate,
                         seed=seed, **({"weightCol": weight} if weight else {}))
@@ -64,7 +66,7 @@ def fit_boosted_classifier(df: DataFrame, cols: list[str], label: str, iters: in
 
 
 # L4
-def fit_boosted_regressor(df: DataFrame, cols: list[str], label: str, iters: int = 30, depth: int = 4,
+def fit_boosted_regressor(df: DataFrame, cols: list[str], label: str, iters: int = 100, depth: int = 4,
                           rate: float = 0.1, validation: str | None = None, tol: float = 0.01, seed: int = 42):
     """Boosted trees; with ``validation`` (a boolean column) training stops early
     when the validation error stops improving by ``tol``."""
@@ -76,10 +78,10 @@ def fit_boosted_regressor(df: DataFrame, cols: list[str], label: str, iters: int
 
 # L5
 class NewtonBoostModel:
-    """base + rate * sum(tree predictions)."""
+    """base + rate * sum(tree predictions); ``losses`` has (training, validation) loss by round."""
 
-    def __init__(self, cols, base, rate, trees):
-        self.cols, self.base, self.rate, self.trees = cols, base, rate, trees
+    def __init__(self, cols, base, rate, trees, losses=()):
+        self.cols, self.base, self.rate, self.trees, self.losses = cols, base, rate, trees, list(losses)
 
     def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         cur = assemble(df, self.cols).withColumn(out, F.lit(self.base))
@@ -89,35 +91,59 @@ class NewtonBoostModel:
         return cur.drop("features")
 
 
-def fit_newton_boosting(df: DataFrame, cols: list[str], label: str, factor: float = 4.0, rounds: int = 10,
-                        rate: float = 0.3, depth: int = 3, checkpoint_every: int = 3) -> NewtonBoostModel:
+def _bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, bucketed and sorted by ``key``: tables bucketed alike join without a shuffle."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"quarry_{name}_{uuid.uuid4().hex}"
+    # one file a bucket
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", scratch_path(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
+def fit_newton_boosting(df: DataFrame, cols: list[str], label: str, factor: float = 4.0, rounds: int = 250,
+                        rate: float = 0.3, depth: int = 3, validation: str | None = None, patience: int = 10,
+                        tol: float = 0.0) -> NewtonBoostModel:
     """Gradient boosting with the asymmetric squared loss
     L = factor * r^2 if r = y - p > 0 else r^2 (under-prediction costs more).
 
     Each round fits a weighted regression tree to the Newton target
     -g/h (= r for this loss) with weight h (2*factor or 2), so every leaf
-    value is the Newton step sum(-g)/sum(h). Lineage is cut with a reliable
-    checkpoint every few rounds.
+    value is the Newton step sum(-g)/sum(h). The rows are written once; a round writes
+    their margins alone (row, prediction so far), bucketed like the rows, so
+    neither is shuffled again and no plan grows with the rounds.
+
+    With ``validation`` (a boolean column) those rows are not trained on, and training stops
+    when their mean loss has not fallen by more than ``tol`` (a share of the best) for ``patience`` rounds; the
+    trees up to the best round stay.
     """
-    data = assemble(df.select(*cols, F.col(label).cast("double").alias("_y")), cols)
-    base = data.agg(F.avg("_y")).first()[0]
-    cur = data.withColumn("_p", F.lit(float(base)))
-    trees = []
+    held = F.coalesce(F.col(validation), F.lit(False)) if validation else F.lit(False)
+    data = assemble(df.select(*cols, F.col(label).cast("double").alias("_y"), held.alias("_held")), cols).select("features", "_y", "_held")
+    rows = _bucketed(stored(data.withColumn("_row", F.monotonically_increasing_id())), "_row", "rows")
+    base = float(rows.where(~F.col("_held")).agg(F.avg("_y")).first()[0])
+    margins = _bucketed(rows.select("_row", F.lit(base).alias("_p")), "_row", "margins")
+    r = F.col("_y") - F.col("_p")
+    loss = F.when(r > 0, F.lit(factor) * r * r).otherwise(r * r)
+    trees, losses, best, best_at = [], [], math.inf, 0
     for i in range(rounds):
-        r = F.col("_y") - F.col("_p")
-        step = cur.withColumns({"_r": r, "_h": F.when(r > 0, F.lit(2.0 * factor)).otherwise(F.lit(2.0))})
+        step = rows.join(margins, "_row").withColumns({"_r": r, "_h": F.when(r > 0, F.lit(2.0 * factor)).otherwise(F.lit(2.0))})
         tree = DecisionTreeRegressor(featuresCol="features", labelCol="_r", weightCol="_h", maxDepth=depth,
-                                     predictionCol="_step").fit(step)
+                                     predictionCol="_step").fit(step.where(~F.col("_held")))
         trees.append(tree)
-        cur = tree.transform(step).withColumn("_p", F.col("_p") + F.lit(rate) * F.col("_step")).drop(
-            "_r", "_h", "_step")
-        if (i + 1) % checkpoint_every == 0:
-            cur = cut_lineage(cur)
-    return NewtonBoostModel(cols, float(base), rate, trees)
+        moved = tree.transform(step).select("_row", (F.col("_p") + F.lit(rate) * F.col("_step")).alias("_p"))
+        margins = _bucketed(moved, "_row", "margins")
+        by = rows.join(margins, "_row").agg(F.avg(F.when(~F.col("_held"), loss)), F.avg(F.when(F.col("_held"), loss))).first()
+        losses.append(tuple(by))
+        if validation and by[1] is not None:
+            if by[1] < best * (1 - tol):
+                best, best_at = by[1], i + 1
+            elif i + 1 - best_at >= patience:
+                break
+    return NewtonBoostModel(cols, base, rate, trees[:best_at] if validation and best_at else trees, losses)
 
 
 # L6
-def fit_threshold_classifiers(df: DataFrame, cols: list[str], y: str, thresholds: list[float], iters: int = 20):
+def fit_threshold_classifiers(df: DataFrame, cols: list[str], y: str, thresholds: list[float], iters: int = 250):
     """One boosted classifier per threshold t on the label y > t."""
     models = {}
     df = stored(df.select(*dict.fromkeys([*cols, y])))  # read by every fit

@@ -54,6 +54,39 @@ def test_newton_boosting_beats_constant(spark):
     assert boosted < const
 
 
+def test_newton_boosting_stores_margins_alone_and_stops_early(spark):
+    from quarry.operators import models as L
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").withColumn("held", F.col("l_linenumber") == 1)
+    feats = ["l_quantity", "l_discount", "l_tax"]
+    kept, whole = [], L._bucketed
+    L._bucketed = lambda df, key, name: kept.append((name, whole(df, key, name))) or kept[-1][1]
+    try:
+        model = L.fit_newton_boosting(li, feats, "l_extendedprice", factor=2.0, rounds=4, rate=0.5)
+        early = L.fit_newton_boosting(li, feats, "l_extendedprice", rounds=250, rate=1.0, validation="held", patience=2, tol=0.2)
+    finally:
+        L._bucketed = whole
+    train = [a for a, _ in model.losses]
+    assert len(model.trees) == 4 and all(a > b for a, b in zip(train, train[1:]))
+    assert len(early.trees) < len(early.losses) < 250 and all(v is not None for _, v in early.losses)
+    assert all(t.columns == ["_row", "_p"] for name, t in kept if name == "margins")
+    joined = kept[0][1].join(kept[1][1].hint("merge"), "_row")
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_silhouettes_of_many_k_equal_spark_and_read_the_rows_twice(spark):
+    import numpy as np
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+    from quarry.operators import models as L
+    emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").select(array_to_vector(F.col("embedding").cast("array<double>")).alias("vec"))
+    fitted = {k: KMeans(featuresCol="vec", k=k, seed=1, maxIter=3, predictionCol="cluster").fit(emb) for k in (2, 5, 11)}
+    got = {r["k"]: r["silhouette"] for r in L.silhouettes(emb, "vec", {k: np.stack(m.clusterCenters()) for k, m in fitted.items()}).collect()}
+    ev = ClusteringEvaluator(featuresCol="vec", predictionCol="cluster")
+    for k, m in fitted.items():
+        assert abs(got[k] - ev.evaluate(m.transform(emb))) < 1e-9
+
+
 def test_kmeans_sweep_cost_decreases(spark):
     rows = _q(spark, "l8_kmeans_sweep").orderBy("k").collect()
     assert rows[0]["cost"] >= rows[-1]["cost"] and all(-1 <= r["silhouette"] <= 1 for r in rows)
