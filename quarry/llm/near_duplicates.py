@@ -271,7 +271,9 @@ def keep_one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     column = lambda c: F.col(f"`{c}`")
     rows = docs.select(F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_doc"), row_key(doc_id, text).alias("_row"),
                        column(doc_id).cast("long").alias("_id"), F.md5(column(text).cast("binary")).alias("_print")).join(kept, "_row")
-    stay = rows.where("_n = 0").select("_doc").unionByName(rows.where("_n > 0").dropDuplicates(["_row", "_id", "_print"]).select("_doc"))
+    # one pass, grouped as it was joined: a row without words is a group of its own
+    rows = rows.withColumn("_own", F.when(F.col("_n") == 0, F.monotonically_increasing_id()))
+    stay = rows.dropDuplicates(["_row", "_id", "_print", "_own"])
     return stay.select(*[F.col("_doc")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])
 
 
