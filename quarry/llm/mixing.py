@@ -19,8 +19,8 @@ Every block drawn (a source, the first hash digits, a pass) is a slot of its
 source's exact block quota.  The slots of all sources go down a binary tree: each
 node gives a random half of its slots to either child, so a child's counts by
 source follow the multivariate hypergeometric distribution.  The half is where the
-count by the digits of a random key ends, found like a cut, so no level ranks a node's slots
-in one task.  The leaves are the output shards.  They get disjoint permuted blocks, and rows are shuffled within their
+count by the first digits of a random key ends; only the slots of those digits are ranked, so
+no level ranks a node's slots in one task.  The leaves are the output shards.  They get disjoint permuted blocks, and rows are shuffled within their
 shard by a second hash.
 
 Tables that leave the row level are bounded: one row a source, and 16 ** digits
@@ -115,14 +115,20 @@ def _numbered(made: DataFrame, plan: DataFrame, text: Column, digits: int) -> Da
 def _shards(drawn: DataFrame, levels: int, seed: str, digits: int) -> DataFrame:
     """(_src, block, shards) from the slots (_src, block, times): the leaf of each slot, by pass."""
     slots = drawn.select("_src", "block", F.explode(F.sequence(F.lit(0), F.col("times").cast("int") - 1)).alias("pass"), F.lit(0).alias("node"))
+    node = W.partitionBy("node")
     for level in range(levels):
         draw = F.md5(F.concat_ws("|", F.lit(f"{seed}|{level}"), "_src", "block", "pass").cast("binary"))
-        slots = stored(slots.withColumn("draw", draw))
-        drawn = slots.select(F.col("node").cast("string").alias("_src"), F.col("draw").alias("_key"), F.lit(1).cast("long").alias("_size"))
-        halves = drawn.groupBy("_src").agg(F.expr("count(*) div 2").alias("rest"))
-        middle = _cut(drawn, halves.where("rest > 0"), digits).select(F.col("_src").cast("int").alias("node"), "cut")
+        slots = stored(slots.withColumns({"draw": draw, "digit": F.substring(draw, 1, digits)}))
+        # the digits at which half of a node's slots end, then the slots of those digits alone
+        held = slots.groupBy("node", "digit").agg(F.count("*").alias("held"))
+        held = held.withColumns({"before": F.sum("held").over(node.orderBy("digit")) - F.col("held"), "rest": F.expr("sum(held) over (partition by node) div 2")})
+        middle = held.where((F.col("before") < F.col("rest")) & (F.col("rest") <= F.col("before") + F.col("held")))
+        # at most 2 ** levels nodes: a proven bound
+        middle = F.broadcast(middle.select("node", "digit", (F.col("rest") - F.col("before")).alias("nth")))
+        inside = slots.join(middle, ["node", "digit"]).withColumn("at", F.row_number().over(node.orderBy("draw")))
+        cut = F.broadcast(inside.where("at = nth").select("node", F.col("draw").alias("cut")))
         # one slot more in the second half of an odd number; a lone slot goes there
-        slots = slots.join(cut_lineage(middle), "node", "left").select(
+        slots = slots.join(cut, "node", "left").select(
             "_src", "block", "pass", (2 * F.col("node") + F.coalesce((F.col("draw") > F.col("cut")).cast("int"), F.lit(1))).alias("node"))
     return slots.groupBy("_src", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "node"))), lambda x: x["node"]).alias("shards"))
 
