@@ -1,11 +1,19 @@
 """7. Secret scans with structural confirmation.
 
-Three base patterns are reported as they stand.  The method then takes every
-run of base64 or hex characters and every armoured block as a candidate, decodes it
-and parses what is inside: a signed token's header must be a JSON object that
-names an algorithm, a DER key must have nested lengths that fill it exactly, an
-OpenSSH key must start with its length-prefixed fields.  Only what parses is
-reported as a further span (kinds jwt, pem, der, ssh).
+Three base patterns are reported as they stand.  The method then decodes every run
+of 16 or more hex or base64 characters (both alphabets, with the lines that continue
+it) and parses what is inside; armoured blocks and dotted tokens are read likewise.
+Only what parses is reported as a further span:
+
+* jwt: a signed token; its header is a JSON object that names an algorithm;
+* pem: an armoured private key, with or without header lines, or its encoding as a whole;
+* der: a key whose nested lengths fill it exactly, at the end of a run or line;
+* ssh: an OpenSSH public or private key, by its length-prefixed fields.
+
+A run may also hold any of these in encoded form, once.  A span goes from the run's or
+line's start to the end of what it holds; der and ssh spans within a pem span are left out.
+Continued lines have one width, but for the first and a shorter last one, so that each
+is decoded a bounded number of times.  The work is linear in the text's length.
 
 Null and empty texts have no spans.  Spans are in code points, end exclusive.
 Whole texts are scanned; repeated rows are judged alike.
@@ -15,9 +23,11 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,11 +42,27 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "ssh")
 
-_JWT = re.compile(rb"eyJ[A-Za-z0-9_-]+={0,2}\.[A-Za-z0-9_-]+={0,2}\.[A-Za-z0-9_-]*={0,2}")
-_PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]+)-----END \1-----")
-_DER_B64 = re.compile(rb"(?<![A-Za-z0-9+/_-])M[A-P][A-Za-z0-9+/]{30,}={0,2}")
-_DER_HEX = re.compile(rb"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}")
+#: Characters that a run or a wrapped line must have (a last line may be shorter), and decoded bytes of a key at least.
+LEAST_RUN, LEAST_KEY = 16, 24
+
+_BREAK = rb"(?:\r?\n|(?:\\r)?\\n)[ \t]*"
+_LONG = re.compile(rb"[A-Za-z0-9+/_-]{16,}")
+
+
+def _runs(alphabet: bytes) -> tuple[re.Pattern, re.Pattern]:
+    """Runs with the lines that continue them, and the lines of one."""
+    return re.compile(rb"[%b]{%d,}(?:%b[%b]+)*" % (alphabet, LEAST_RUN, _BREAK, alphabet)), re.compile(rb"(?:%b)?([%b]+)" % (_BREAK, alphabet))
+
+
+#: (runs, lines, bits of a character, characters in place of + and /)
+ENCODINGS = [(*_runs(rb"0-9A-Fa-f"), 4, None), (*_runs(rb"A-Za-z0-9+/"), 6, None), (*_runs(rb"A-Za-z0-9_-"), 6, b"-_")]
+
+_DOTTED = re.compile(rb"[A-Za-z0-9_.=-]{16,}")
+_PART = re.compile(rb"[A-Za-z0-9_-]+={0,2}")
+_SIGNATURE = re.compile(rb"[A-Za-z0-9_-]*={0,2}")
+_BEGIN = re.compile(rb"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
 _SSH = re.compile(rb"(?:ssh-(?:rsa|dss|ed25519)|ecdsa-sha2-nistp\d{3}) (AAAA[A-Za-z0-9+/]{16,}={0,2})")
+_OPENSSH = b"openssh-key-v1\0"
 
 
 def _decoded(text: bytes, url: bool = False) -> bytes | None:
@@ -95,19 +121,147 @@ def is_ssh_key(data: bytes | None) -> bool:
     return bool(data) and at == len(data) and len(fields) >= 2 and re.match(rb"ssh-|ecdsa-", fields[0]) is not None
 
 
+def openssh_length(data: bytes) -> int | None:
+    """Bytes of the OpenSSH private key that ``data`` starts with, or None: cipher,
+    kdf and its options, as many public keys as it says, and the private part."""
+    at, keys = len(_OPENSSH), None
+    if not data.startswith(_OPENSSH):
+        return None
+    fields = 0
+    while keys is None or fields < 3 + keys + 1:
+        if fields == 3 and keys is None:
+            keys, at = int.from_bytes(data[at:at + 4], "big"), at + 4
+            continue
+        at += 4 + int.from_bytes(data[at:at + 4], "big")
+        fields += 1
+        if at > len(data):
+            return None
+    return at if keys else None
+
+
+def der_length(data: bytes) -> int | None:
+    """Bytes of the DER key that ``data`` starts with, or None."""
+    if len(data) < LEAST_KEY or data[0] != 0x30:
+        return None
+    n = data[1] & 0x7F if data[1] & 0x80 else 0
+    size = 2 + n + (int.from_bytes(data[2:2 + n], "big") if n else data[1])
+    return size if n <= 4 and LEAST_KEY <= size <= len(data) and is_der_key(data[:size]) else None
+
+
 def is_signed_token(token: bytes) -> bool:
     """header.payload.signature, the first two base64url JSON objects, ``alg`` named."""
     parts = token.split(b".")
     try:
         header, body = (json.loads(_decoded(p, url=True) or b"") for p in parts[:2])
-    except (ValueError, UnicodeDecodeError):
+    except (ValueError, UnicodeDecodeError, RecursionError):
         return False
     return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(body, dict)
 
 
 def _is_pem(body: bytes) -> bool:
-    data = _decoded(body.replace(b"\\n", b""))
-    return bool(data) and (is_der_key(data) or data.startswith(b"openssh-key-v1\0"))
+    """Base64 lines that hold a key; with header lines that say so, an encrypted one (whole cipher blocks)."""
+    lines = body.replace(b"\\r", b"").replace(b"\\n", b"\n").split(b"\n")
+    data = _decoded(b"".join(x for x in lines if b":" not in x))
+    if not data:
+        return False
+    if any(x.strip().startswith(b"Proc-Type:") and b"ENCRYPTED" in x for x in lines):
+        return len(data) >= LEAST_KEY and len(data) % 8 == 0
+    return is_der_key(data) or data.startswith(_OPENSSH)
+
+
+def _tokens(raw: bytes) -> list[tuple[int, int, str]]:
+    found = []
+    for m in _DOTTED.finditer(raw) if b"eyJ" in raw else ():
+        parts, at, k = m.group().split(b"."), m.start(), 0
+        while k + 2 < len(parts):
+            head = parts[k].find(b"eyJ")
+            if head >= 0 and _PART.fullmatch(parts[k], head) and _PART.fullmatch(parts[k + 1]) and is_signed_token(parts[k][head:] + b"." + parts[k + 1]):
+                end = at + len(parts[k]) + len(parts[k + 1]) + 2 + _SIGNATURE.match(parts[k + 2]).end()
+                found.append((at + head, end, "jwt"))
+                at, k = at + sum(len(p) + 1 for p in parts[k:k + 3]), k + 3
+            else:
+                at, k = at + len(parts[k]) + 1, k + 1
+    return found
+
+
+def _armoured(raw: bytes) -> list[tuple[int, int, str]]:
+    found = []
+    for m in _BEGIN.finditer(raw) if b"PRIVATE KEY-----" in raw else ():
+        end, last = raw.find(b"-----", m.end()), b"-----END " + m.group(1) + b"-----"
+        if end >= 0 and raw.startswith(last, end) and _is_pem(raw[m.end():end]):
+            found.append((m.start(), end + len(last), "pem"))
+    return found
+
+
+def _held(data: bytes, nested: int) -> tuple[int, int, bool, str] | None:
+    """(first byte, end, whether it must end a line, kind) of what decoded ``data`` holds, or None."""
+    if n := der_length(data):
+        return 0, n, True, "der"
+    if n := openssh_length(data):
+        return 0, n, True, "ssh"
+    inner = structures(data, nested - 1) if nested else []
+    return (inner[0][0], max(e for _, e, _ in inner), False, inner[0][2]) if inner else None
+
+
+def _encoded(raw: bytes, nested: int) -> list[tuple[int, int, str]]:
+    """What the runs of ``raw`` hold in encoded form."""
+    found = []
+    for runs, line, bits, other in ENCODINGS if _LONG.search(raw) else ():
+        for run in runs.finditer(raw):
+            lines = [m.span(1) for m in line.finditer(raw, run.start(), run.end())]
+            ends = list(accumulate(e - s for s, e in lines))  # in characters, breaks left out
+            widths = [e - s for s, e in lines]
+            k = fresh = 0
+            while k < len(lines):
+                # a line as wide as the one before stands alone; others have the lines of one width after them, and a shorter last one
+                last = k + 1
+                if last < len(lines) and (k == fresh or widths[k] != widths[k - 1]):
+                    while last < len(lines) and widths[last] == widths[k + 1]:
+                        last += 1
+                    last += last < len(lines) and widths[last] < widths[k + 1]
+                for stop in (last, k + 1) if last > k + 1 else (last,):
+                    held = _held(_bytes(b"".join(raw[s:e] for s, e in lines[k:stop]), bits, other), nested)
+                    if not held:
+                        continue
+                    first, end, whole, kind = held
+                    before = ends[k] - widths[k]
+                    at = bisect.bisect_left(ends, before - (-end * 8 // bits))
+                    if whole and ends[at] != before - (-end * 8 // bits):
+                        continue
+                    close = lines[at][1]
+                    if bits == 6:
+                        close += len(raw[close:close + 2]) - len(raw[close:close + 2].lstrip(b"="))
+                    found.append((lines[bisect.bisect_right(ends, before + first * 8 // bits)][0], close, kind))
+                    k, fresh = at, at + 1
+                    break
+                k += 1
+    return found
+
+
+def _bytes(text: bytes, bits: int, other: bytes | None) -> bytes:
+    if bits == 4:
+        return bytes.fromhex(text[:len(text) // 2 * 2].decode())
+    text = text[:len(text) - (len(text) % 4 == 1)]
+    return base64.b64decode(text + b"=" * (-len(text) % 4), altchars=other)
+
+
+def structures(raw: bytes, nested: int = 1) -> list[tuple[int, int, str]]:
+    """The spans in bytes of all that parses, encoded ``nested`` times more at most, by start and then kind."""
+    blocks = _armoured(raw)
+    found = _tokens(raw) + _encoded(raw, nested)
+    if b" AAAA" in raw:
+        found += [(m.start(), m.end(), "ssh") for m in _SSH.finditer(raw) if is_ssh_key(_decoded(m.group(1)))]
+    starts = [s for s, _, _ in blocks]
+
+    def outside(span):
+        k = bisect.bisect_right(starts, span[0]) - 1
+        return k < 0 or span[1] > blocks[k][1]
+
+    return sorted(blocks + [x for x in set(found) if outside(x)], key=_order)
+
+
+def _order(span: tuple[int, int, str]):
+    return span[0], KINDS.index(span[2]), span[1]
 
 
 def byte_spans(raw: bytes) -> list[tuple[int, int, str]]:
@@ -119,17 +273,7 @@ def byte_spans(raw: bytes) -> list[tuple[int, int, str]]:
     if b"AKIA" in raw:
         found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(raw) if m.end() - m.start() >= 18]
     found += [(m.start(), m.end(), "hex") for m in HEX.finditer(raw)]
-    if b"eyJ" in raw:
-        found += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(raw) if is_signed_token(m.group())]
-    if b"PRIVATE KEY-----" in raw:
-        found += [(m.start(), m.end(), "pem") for m in _PEM.finditer(raw) if _is_pem(m.group(2))]
-    found += [(m.start(), m.end(), "der") for m in _DER_B64.finditer(raw) if is_der_key(_decoded(m.group()))]
-    for m in _DER_HEX.finditer(raw):
-        if len(m.group()) % 2 == 0 and is_der_key(bytes.fromhex(m.group().decode())):
-            found.append((m.start(), m.end(), "der"))
-    if b" AAAA" in raw:
-        found += [(m.start(), m.end(), "ssh") for m in _SSH.finditer(raw) if is_ssh_key(_decoded(m.group(1)))]
-    return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
+    return sorted(found + structures(raw), key=_order)
 
 
 def text_spans(raw: bytes) -> list[tuple[int, int, str]]:

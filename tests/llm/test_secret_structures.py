@@ -1,0 +1,134 @@
+"""The spans that op7's method adds: every encoded form of a key, a brute-force decoder, and its cost."""
+
+import base64
+import random
+import re
+import time
+
+import pytest
+
+from quarry.llm import secrets_scan
+
+
+def tlv(tag, body):
+    n = len(body)
+    return bytes([tag]) + (bytes([n]) if n < 128 else b"\x82" + n.to_bytes(2, "big")) + body
+
+
+def fields(*parts):
+    return b"".join(len(p).to_bytes(4, "big") + p for p in parts)
+
+
+def wrap(text, width, line_break="\n"):
+    return line_break.join(text[i:i + width] for i in range(0, len(text), width))
+
+
+def b64(data):
+    return base64.b64encode(data).decode()
+
+
+def armour(body, head=""):
+    return f"-----BEGIN RSA PRIVATE KEY-----\n{head}{wrap(body, 64)}\n-----END RSA PRIVATE KEY-----"
+
+
+rng = random.Random(7)
+DER = tlv(0x30, tlv(2, b"\0") + tlv(2, rng.randbytes(257)) + tlv(2, b"\1\0\1"))
+URL = base64.urlsafe_b64encode(DER).decode()
+ED25519 = tlv(0x30, tlv(2, b"\0") + tlv(0x30, tlv(6, b"\x2b\x65\x70")) + tlv(4, tlv(4, rng.randbytes(32))))
+OPENSSH = b"openssh-key-v1\0" + fields(b"none", b"none", b"") + b"\0\0\0\1" + fields(rng.randbytes(51), rng.randbytes(136))
+PEM = armour(b64(DER))
+ENCRYPTED = armour(b64(rng.randbytes(320)), "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C3D\n\n")
+JWT = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.c2ln"
+
+FORMS = {
+    "der": [b64(DER), URL, wrap(b64(DER), 64), wrap(URL, 76, "\r\n"), wrap(b64(DER), 64, "\\n"), wrap(b64(DER), 64, "\n    "), DER.hex(), DER.hex().upper(),
+            wrap(DER.hex(), 60), b64(b64(DER).encode()), b64(ED25519)],
+    "ssh": [b64(OPENSSH), wrap(b64(OPENSSH), 70), OPENSSH.hex(), "ssh-ed25519 " + b64(fields(b"ssh-ed25519", rng.randbytes(32)))],
+    "pem": [PEM, PEM.replace("\n", "\\n"), ENCRYPTED, b64(PEM.encode() + b"\n"), wrap(b64(PEM.encode() + b"\n"), 76), PEM.encode().hex(), b64(ENCRYPTED.encode())],
+    "jwt": [JWT, b64(b"token " + JWT.encode() + b" of a user"), JWT.split(".")[0] + "." + JWT.split(".")[1] + "."],
+}
+
+
+def added(text):
+    return [x for x in secrets_scan.text_spans(text.encode()) if x[2] not in ("assign", "access", "hex")]
+
+
+@pytest.mark.parametrize("kind, form", [(k, f) for k, forms in FORMS.items() for f in forms])
+def test_every_form_is_found_whole(kind, form):
+    for before, after in (("", ""), ("é, the key: ", "\nEnd of it, and more"), ("é\n", "\n\nword"), ("x = '", "' # done")):
+        assert added(before + form + after) == [(len(before), len(before) + len(form), kind)]
+
+
+def test_several_keys_and_lines_of_one_width():
+    keys = [b64(tlv(0x30, tlv(2, b"\0") + tlv(0x30, tlv(6, b"\x2b\x65\x70")) + tlv(4, tlv(4, rng.randbytes(32))))) for _ in range(3)]
+    other = b64(rng.randbytes(48))
+    text = "\n".join([other, keys[0], other, keys[1], keys[2], "tail"])
+    assert added(text) == [(m, m + 64, "der") for m in (65, 195, 260)]
+    text = "\n".join([wrap(b64(DER), 64), wrap(b64(DER), 64), PEM])
+    assert [k for _, _, k in added(text)] == ["der", "der", "pem"]
+
+
+@pytest.mark.parametrize("damage", ["short", "long", "byte", "odd"])
+def test_what_does_not_parse_is_left(damage):
+    broken = {"short": DER[:-3], "long": DER + b"abc", "byte": b"\x31" + DER[1:], "odd": DER[:4] + b"\xff" + DER[5:]}[damage]
+    for text in (b64(broken), wrap(b64(broken), 64), broken.hex(), armour(b64(broken)), b64(b64(broken).encode())):
+        assert added(f"key: {text}\nend") == []
+    assert added("a" * 500 + "\n" + "-" * 500 + " /usr/lib/python/site-packages/some_long_name/and-more/of_it\n" * 5) == []
+    assert added(f"{JWT.split('.')[0]}.bm90IGpzb24.c2ln e30.e30.e30") == []
+
+
+def test_nested_once_only():
+    assert added(b64(b64(DER).encode())) and not added(b64(b64(b64(DER).encode()).encode()))
+
+
+def brute(text):
+    """Keys in one maximal run of one line, by decoding each run as a whole."""
+    found = set()
+    for alphabet, decode in (("0-9A-Fa-f", bytes.fromhex), ("A-Za-z0-9+/", lambda t: base64.b64decode(t + "===")), ("A-Za-z0-9_-", lambda t: base64.urlsafe_b64decode(t + "==="))):
+        for m in re.finditer(f"[{alphabet}]{{32,}}", text):
+            if len(m.group()) % 2 if alphabet == "0-9A-Fa-f" else len(m.group()) % 4 == 1:
+                continue  # no whole number of bytes
+            data = decode(m.group())
+            end = m.end() + (len(re.match("={0,2}", text[m.end():]).group()) if alphabet != "0-9A-Fa-f" else 0)
+            if len(data) >= 24 and secrets_scan.is_der_key(data):
+                found.add((m.start(), end, "der"))
+            if data.startswith(b"openssh-key-v1\0") and secrets_scan.openssh_length(data) == len(data):
+                found.add((m.start(), end, "ssh"))
+    return sorted(found)
+
+
+def test_against_brute_force():
+    local = random.Random(3)
+    total = 0
+    for _ in range(300):
+        parts = []
+        for _ in range(local.randint(1, 12)):
+            key = tlv(0x30, tlv(2, local.randbytes(local.randint(1, 40))) + tlv(2, local.randbytes(local.randint(20, 60))))
+            key = key if local.random() < 0.6 else key[:-1] if local.random() < 0.5 else OPENSSH
+            parts.append(local.choice([b64(key), base64.urlsafe_b64encode(key).decode(), key.hex(), b64(local.randbytes(40)), "word", "a_long-word/" * 3, "é", "0x"]))
+        text = "".join(p + local.choice([" ", ", ", " = ", "; ", "/", "-"]) for p in parts)
+        assert added(text) == brute(text)
+        total += len(brute(text))
+    assert total > 200
+
+
+@pytest.mark.parametrize("text", ["eyJ" * 350_000, "eyJ." * 250_000, "MIIE" * 250_000, ("M" + "IIE" * 21 + "\n") * 16_000, "-----BEGIN PRIVATE KEY-----" * 40_000,
+                                  "30" * 500_000, "MIIEpAIBAAKCAQEA\nMIIEpAIBAAKCAQEAA\n" * 30_000])
+def test_cost_is_linear(text):
+    start = time.process_time()
+    assert added(text) == []
+    assert time.process_time() - start < 10
+
+
+def test_deep_json_is_no_token():
+    deep = base64.urlsafe_b64encode(b'{"a":' * 100_000).decode().rstrip("=")
+    assert added(f"{deep}.{deep}.x") == []
+
+
+def test_report_and_redaction(spark):
+    texts = [None, "", f"a {b64(OPENSSH)} b", f"key:\n{wrap(URL, 64)}\nend", ENCRYPTED, "clean"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets_scan.secret_report(docs).collect()}
+    assert got[2] == f"ssh:2:{2 + len(b64(OPENSSH))}" and got[4].startswith("pem:0:") and (got[0], got[1], got[5]) == ("", "", "")
+    clean = {r.doc_id: r.text for r in secrets_scan.redact_secrets(docs).collect()}
+    assert clean == {0: None, 1: "", 2: "a [secret] b", 3: "key:\n[secret]\nend", 4: "[secret]", 5: "clean"}
