@@ -13,8 +13,12 @@ that show what those may lack (comments, sidebars, pages without such marks).
 
 Text: character references decoded, white space inside a block turned into one
 space, blocks trimmed and joined in page order by one space.  Scripts, styles,
-templates, comments and the head are no text.  Unclosed and stray tags are repaired
-as browsers do in the simple cases; a tag cut off by the page's end is dropped.
+templates, drawings, comments and the head are no text; formulas and what an
+``object`` holds are text of the block around them.  Unclosed and stray tags are repaired
+as browsers do in the simple cases; a tag cut off by the page's end is dropped.  A tag
+ends at its first ``>`` outside quotes; a quote that no white space, ``/`` or ``>`` follows
+where it closes is taken as a stray one.  ``svg`` ends where it closes itself, or at the
+end tag that matches; an unclosed ``svg``, ``template``, ``noscript`` or ``select`` holds nothing.
 Null and empty pages give an empty text; a page of bare text is judged by its
 root.  Repeated rows give equal texts; other columns do not matter.
 """
@@ -35,13 +39,18 @@ SAMPLE = 300
 
 # HTML element names by what they do.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"iframe", "noembed", "noframes", "noscript", "script", "style", "svg", "template", "textarea", "title", "xmp", "math", "select", "object", "head"}
+RAW = {"iframe", "noembed", "noframes", "noscript", "script", "style", "svg", "template", "textarea", "title", "xmp", "select", "head", "annotation", "annotation-xml"}
+#: Of these, those whose content is markup: without an end tag they hold nothing.
+NO_RAW = {"svg", "template", "noscript", "select", "annotation", "annotation-xml"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark",
-          "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+          "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "object",
+          "math", "menclose", "merror", "mfenced", "mfrac", "mi", "mmultiscripts", "mn", "mo", "mover", "mpadded", "mphantom", "mroot", "mrow", "ms", "mspace", "msqrt",
+          "mstyle", "msub", "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder", "munderover", "semantics"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "dl", "table", "article", "section", "div", "main", "body", "nav", "aside", "footer", "header", "form", "blockquote"}
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"(?=[\s/>]|\Z)|'[^']*'(?=[\s/>]|\Z)|["'])*)(?:>|\Z)""", re.S)
+_SVG = re.compile(r"<(/?)svg\b([^>]*)>", re.I)
 _NAMED = re.compile(r"""\b(?:class|id|role|itemprop|aria-label|data-main)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _BAD = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|side-?bar\w*|foot\w*|breadcrumb\w*|cookie\w*|consent|notice\w*|popup|modal|"
                   r"share|sharing|social\w*|related|recommend\w*|newsletter|subscri\w*|signup|login|search\w*|widget\w*|pagination|pager|toolbar|masthead|topbar|copyright|legal|disclaimer|alert\w*|outbrain|taboola|tags?|byline-share)(?=$|[\s_-])", re.I)
@@ -56,6 +65,21 @@ FEATURES = 1 + len(GROUPS) + 1 + 3 + 7
 KINDS = 4
 
 
+_END = {tag: re.compile(rf"</{tag}\s*>" if tag != "head" else r"</head\s*>|(?=<body\b)", re.I) for tag in RAW}
+
+
+def _svg_ends(s: str) -> dict[int, int]:
+    """Where the drawings that start at the keys end, those within them left out."""
+    ends, open_at = {}, []
+    for m in _SVG.finditer(s):
+        if not m.group(1):
+            if not m.group(2).endswith("/"):
+                open_at.append(m.start())
+        elif open_at:
+            ends[open_at.pop()] = m.end()
+    return ends
+
+
 class Page:
     """The block elements of a page and its runs of text."""
 
@@ -71,6 +95,7 @@ class Page:
         stack: list[tuple[str, int]] = [("#page", 0)]  # (tag, node); an inline tag has its block's node
         parts: list[str] = []
         linked = 0
+        drawings, unclosed = None, set()
 
         def flush():
             nonlocal linked
@@ -116,10 +141,21 @@ class Page:
                     flush()
                 continue
             if tag in RAW:
-                end = re.compile(rf"</{tag}\s*>" if tag != "head" else r"</head\s*>|(?=<body\b)", re.I).search(s, at)
-                if tag != "head" or end:
-                    at = end.end() if end else len(s)
-                    flush() if tag not in ("svg", "math", "script", "style") else None
+                if tag == "svg":
+                    drawings = _svg_ends(s) if drawings is None else drawings
+                    end = drawings.get(m.start())
+                else:
+                    end = None if tag in unclosed else _END[tag].search(s, at)
+                    if end is None:
+                        unclosed.add(tag)  # nor from any later place
+                    else:
+                        end = end.end()
+                if end is not None:
+                    at = end
+                elif tag != "head" and tag not in NO_RAW:
+                    at = len(s)
+                if tag not in ("svg", "script", "style", "head", "annotation", "annotation-xml") or tag == "head" and end is not None:
+                    flush()
                 continue
             if tag == "br":
                 parts.append(" ")
