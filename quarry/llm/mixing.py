@@ -38,7 +38,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quarry.llm.scan import stored
-from quarry.session import cut_lineage
 
 # Fixed values of the contract.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -106,7 +105,7 @@ def _numbered(made: DataFrame, plan: DataFrame, text: Column, digits: int) -> Da
     made = made.withColumn("_tied", F.when(F.col("_key") == F.col("cut"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
     rows = stored(made.where("_tied is not null").select("_src", F.col("_tied").alias("_key"), "_size"))
     ends = _cut(rows, plan.where("cut is not null").select("_src", F.col("cut_rest").alias("rest")), digits)
-    made = made.join(cut_lineage(ends.select("_src", F.col("cut").alias("tied"), F.col("cut_rest").alias("tied_rest"))), "_src", "left")
+    made = made.join(stored(ends.select("_src", F.col("cut").alias("tied"), F.col("cut_rest").alias("tied_rest"))), "_src", "left")
     at = F.coalesce(F.col("_tied") == F.col("tied"), F.lit(False))
     nth = F.row_number().over(W.partitionBy("_src").orderBy(F.to_json("_doc")))
     return made.where(~at).withColumn("_nth", F.lit(1)).unionByName(made.where(at).withColumn("_nth", nth))
@@ -144,15 +143,16 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     plan = targets(rows.groupBy("source", "_src").agg(F.sum("_size").alias("source_size")), weights, share, ceiling)
     words = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0).cast("long")
-    plan = cut_lineage(plan.withColumns({"passes": passes, "rest": words - passes * F.col("source_size")})
-                       .select("_src", "source_size", "target", "passes", "rest"))
-    plan = cut_lineage(plan.join(_cut(rows, plan.where("rest > 0"), digits), "_src", "left"))
+    # stored tables have a measured size: Spark broadcasts them to the texts below its threshold, and else splits hot sources
+    plan = stored(plan.withColumns({"passes": passes, "rest": words - passes * F.col("source_size")})
+                  .select("_src", "source_size", "target", "passes", "rest"))
+    plan = stored(plan.join(_cut(rows, plan.where("rest > 0"), digits), "_src", "left"))
 
     block = F.substring("_key", 1, digits)
     last = F.coalesce((block <= F.substring("cut", 1, digits)).cast("int"), F.lit(0))
     drawn = (rows.select("_src", block.alias("_key")).distinct().join(plan, "_src")
              .select("_src", F.col("_key").alias("block"), (F.col("passes") + last).alias("times")).where("times > 0"))
-    shards = cut_lineage(_shards(drawn, levels, seed, digits))
+    shards = stored(_shards(drawn, levels, seed, digits))
 
     made = keyed(docs, doc_id, text, source, seed).drop("source").join(plan, "_src")
     part = F.floor(F.col("_size") * F.col("cut_rest") / F.greatest("cut_words", F.lit(1)))
