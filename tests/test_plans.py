@@ -1,5 +1,7 @@
 """Plan shape and skew checks: the properties the operators are designed for."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from quarry.operators import ordered
 from quarry.operators.clean import keep_one
 from quarry.operators.ordered import quantiles
+from quarry.session import cut_lineage, stored
 from tests.conftest import SF_SMALL
 
 SF_MEDIUM = "/root/testdata/sf0.01"
@@ -200,3 +203,22 @@ def test_rows_without_a_score_rank_nowhere(spark):
     assert average_precision(df, "y", "s").first()[0] == pytest.approx(0.5 * 1 + 0.5 * 2 / 3)
     assert roc_auc(df, "y", "s").first()[0] == 0.5
     assert pr_curve(df, "y", "s").count() == 3
+
+
+@pytest.mark.parametrize("cut", [cut_lineage, stored])
+def test_a_cut_leaves_no_shuffle_files(spark, cut):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    def shuffled():
+        return {f for f in blocks.getAllFiles().mkString("\n").split("\n") if f.endswith(".data") and "shuffle_" in f}
+    before, setting = shuffled(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    counts = spark.range(20_000).groupBy((F.col("id") % 5_000).alias("key")).agg(F.count("*").alias("n"))
+    got = cut(counts)
+    for _ in range(100):  # files go shortly after the job
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert got.count() == counts.count() == 5_000 and got.where("n <> 4").count() == 0
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    counts.collect()
+    assert shuffled() - before  # the files of a plain query are its frame's
