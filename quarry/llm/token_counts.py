@@ -1,7 +1,7 @@
 """9. Token counts from distinct pre-tokens, without materialising ids.
 
 1. A scan cuts every whole text into pre-tokens and writes *blocks*: some
-   documents (about ``block_bytes`` of text) with the block's distinct pre-tokens
+   documents (about ``block_bytes`` of text, ``block_rows`` documents at most) with the block's distinct pre-tokens
    once, and for each document the places of its pre-tokens in that list with
    their frequencies.  A pre-token is never repeated inside a block.
 2. The lists are dealt and sorted by pre-token (one row for a block and pre-token,
@@ -11,7 +11,7 @@
    are summed.
 
 So the shuffles carry a block's vocabulary, not its text.  A block is bounded by
-``block_bytes`` plus one document; a pre-token in all blocks has one row a block.
+``block_bytes`` plus one document and by ``block_rows``; a pre-token in all blocks has one row a block.
 
 Pre-tokens are those of the tokenizer's byte-level rule; a special string in a
 text is one token, as by the library's default.  Null and empty texts have no
@@ -38,8 +38,8 @@ from quarry.llm.scan import as_id, scan, small_batches, stored
 
 # Fixed value: the byte-level pre-token rule.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Bytes of text in a block.
-BLOCK_BYTES = 32 << 20
+#: Bytes of text in a block, and its documents: many null or empty texts fill no block by their bytes.
+BLOCK_BYTES, BLOCK_ROWS = 32 << 20, 1 << 18
 
 
 class PreTokens:
@@ -109,7 +109,7 @@ def _summed(packed: bytes, pieces: np.ndarray, step: int = 1 << 20) -> np.ndarra
 
 
 def pretoken_blocks(docs: DataFrame, tokenizer_json: str, doc_id: str = "doc_id", text: str = "text",
-                    block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                    block_bytes: int = BLOCK_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Blocks of documents: ids, sizes, distinct pre-tokens, and packed for each document
     the places of its pre-tokens in that list with their frequencies."""
     small_batches(docs.sparkSession)
@@ -134,7 +134,7 @@ def pretoken_blocks(docs: DataFrame, tokenizer_json: str, doc_id: str = "doc_id"
                 places.append(np.fromiter((place.setdefault(p, len(place)) for p in found), np.int32, len(found)))
                 times.append(np.fromiter(found.values(), np.int32, len(found)))
                 held += sizes[-1]
-                if held >= block_bytes:
+                if held >= block_bytes or len(ids) >= block_rows:
                     yield row()
                     ids, sizes, place, places, times, held = fresh()
         if ids:
@@ -169,11 +169,11 @@ def count_pieces(listed: DataFrame, tokenizer_json: str) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_id", text: str = "text",
-                 limit: int = 1024, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                 limit: int = 1024, block_bytes: int = BLOCK_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Per document: n_bytes, n_tokens, and whether the tokens exceed ``limit``."""
     with open(tokenizer_file, encoding="utf-8") as f:  # the driver's file goes to the workers with the task
         tokenizer_json = f.read()
-    blocks = stored(pretoken_blocks(docs, tokenizer_json, doc_id, text, block_bytes)
+    blocks = stored(pretoken_blocks(docs, tokenizer_json, doc_id, text, block_bytes, block_rows)
                     .withColumn("block", F.monotonically_increasing_id()))
     listed = blocks.select("block", F.posexplode("pre").alias("place", "pre"))
     counted = count_pieces(listed, tokenizer_json).withColumnRenamed("block", "in_block")

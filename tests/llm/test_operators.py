@@ -206,6 +206,16 @@ def test_token_counts(spark):
         assert (got[i]["n_bytes"], got[i]["n_tokens"], got[i]["over_limit"]) == (len((x or "").encode()), n, n > 1024)
 
 
+def test_blocks_of_empty_texts_are_bounded_by_rows(spark):
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path("byte_bpe_50k.json")
+    df = table(spark, ["", None, "two words"] * 40).coalesce(1)
+    blocks = token_counts.pretoken_blocks(df, open(path, encoding="utf-8").read(), block_rows=25).collect()
+    assert [len(b["doc_ids"]) for b in blocks] == [25, 25, 25, 25, 20]
+    got = rows(token_counts.token_counts(df, path, block_rows=25))
+    assert sorted(r["doc_id"] for r in got) == list(range(120)) and {r["n_tokens"] for r in got if r["doc_id"] % 3 < 2} == {0}
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(400, 16)).astype("f4")
