@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 import quarry
 from quarry.llm.words import BATCH_BYTES, BATCH_ROWS
-from quarry.session import ensure_checkpoint_dir
+from quarry.session import stored as stored  # the operators import it from here
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -89,16 +88,6 @@ def scan_rows(df: DataFrame, text: str, make: Callable[[], Callable], carried: t
     return df.mapInArrow(run, df.schema)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as a Parquet table in the shared checkpoint folder and read
-    again: a cut of lineage that keeps column pruning.  The folder is the cluster's
-    scratch space; what lies there may go when the session has ended."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _arrow(kind: str) -> pa.DataType:
     if kind.startswith("array<"):
         return pa.list_(_arrow(kind[6:-1]))
