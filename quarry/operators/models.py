@@ -22,6 +22,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomFor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators.features import anova_f, select_k_best
 from quarry.session import cut_lineage, stored
 from quarry.sources.io import scratch_path
 
@@ -331,6 +332,16 @@ def sweep(df: DataFrame, values: list, fit, score) -> DataFrame:
     return _table(df.sparkSession, rows, "value string, score double")
 
 
+def sweep_feature_counts(df: DataFrame, features: list[str], label: str, counts: list[int], fit, score) -> DataFrame:
+    """(value, score): for each of ``counts``, ``fit(data, columns)`` on that many features, the best by
+    ANOVA F (ties by name), and ``score(model, data, columns)``.  F scores are made once, on the
+    stored input; features are columns, so their ranking is bounded by the schema."""
+    data = cut_lineage(df)
+    ranked = [r["feature"] for r in select_k_best(anova_f(data, features, label), max(counts)).collect()]
+    rows = [(str(k), float(score(fit(data, ranked[:k]), data, ranked[:k]))) for k in counts]
+    return _table(df.sparkSession, rows, "value string, score double")
+
+
 # L11
 def importance_table(model, names: list[str], n: int | None = None, relative: bool = True) -> DataFrame:
     """Ranked feature importances, top n, scaled so the maximum is 100."""

@@ -173,6 +173,46 @@ def l10_penalty(spark, sf):
     return out.withColumn("score", F.round("score", 6))
 
 
+@register("l10_sweep_feature_count", _ROWS + """,
+l AS (UNPIVOT (SELECT returned, b, q FROM d) ON b, q INTO NAME feature VALUE x),
+g AS (SELECT feature, returned, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM l GROUP BY ALL),
+f AS (SELECT feature, (SELECT count(*) FROM d) AS n_all, count(*) AS k, sum(n * m) / sum(n) AS mean, sum(n * v) AS ssw FROM g GROUP BY 1),
+r AS (SELECT feature, (sum(n * (m - mean) ** 2) / (any_value(k) - 1)) / (any_value(ssw) / (any_value(n_all) - any_value(k))) AS score
+      FROM g JOIN f USING (feature) GROUP BY 1),
+best AS (SELECT arg_max(feature, score) AS feature FROM r),
+s AS (SELECT var_pop(b) AS vb, var_pop(q) AS vq, var_pop(returned) AS vt, covar_pop(b, q) AS bq, covar_pop(b, returned) AS bt, covar_pop(q, returned) AS qt FROM d)
+SELECT '1' AS value, round(sqrt(vt - CASE feature WHEN 'b' THEN bt * bt / vb ELSE qt * qt / vq END), 6) AS score FROM s, best
+UNION ALL SELECT '2', round(sqrt(vt - (bt * bt * vq - 2 * bt * qt * bq + qt * qt * vb) / (vb * vq - bq * bq)), 6) FROM s
+""")
+def l10_feature_count(spark, sf):
+    from pyspark.ml.evaluation import RegressionEvaluator
+    ev = RegressionEvaluator(labelCol="returned", metricName="rmse")
+
+    def fit(data, cols):
+        return LinearRegression(labelCol="returned", solver="normal").fit(L.assemble(data, cols))
+    out = L.sweep_feature_counts(_rows(spark, sf).select("returned", "b", "q"), ["q", "b"], "returned", [1, 2], fit,
+                                 lambda m, data, cols: ev.evaluate(m.transform(L.assemble(data, cols))))
+    return out.withColumn("score", F.round("score", 6))
+
+
+@register("l10_sweep_leaf_size", _ROWS + """,
+g AS (SELECT b, count(*) AS n, var_pop(price) AS v FROM d GROUP BY 1),
+s AS (SELECT min(n) AS least, sum(n * v) / sum(n) AS inside, (SELECT var_pop(price) FROM d) AS whole FROM g)
+SELECT l::varchar AS value, round(sqrt(CASE WHEN least >= l THEN inside ELSE whole END), 6) AS score
+FROM s, (SELECT unnest([1, 1000, 20000, 1000000]) AS l)
+""")
+def l10_leaf_size(spark, sf):
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.regression import DecisionTreeRegressor
+    ev = RegressionEvaluator(labelCol="price", metricName="rmse")
+
+    def fit(data, least):
+        return DecisionTreeRegressor(labelCol="price", maxDepth=1, minInstancesPerNode=least).fit(data)
+    df = L.assemble(_rows(spark, sf).select("price", "b"), ["b"])
+    out = L.sweep(df, [1, 1000, 20000, 1000000], fit, lambda m: ev.evaluate(m.transform(df)))
+    return out.withColumn("score", F.round("score", 6))
+
+
 @register("l11_importance_of_one_split", "SELECT 1 AS rank, 'b' AS feature, 1.0::double AS importance, 100.0::double AS relative UNION ALL SELECT 2, 'zero', 0.0, 0.0")
 def l11_one(spark, sf):
     df = _rows(spark, sf).withColumn("zero", F.lit(0.0))
