@@ -49,7 +49,7 @@ KEPT = {"s": {0: 1}, "u": {0: 2, 1: 2, 3: 2}, "a": {2: 3}}
 #: Costs and edits (letter and initial by turns) at the end of a conversation.
 END = (0, 2 * INSERT, INSERT, 0)
 END_EDITS = ("", "IuIa", "Ia", "")
-SPACES = r"\t\n\x0b\x0c\r "
+SPACES = "\t\n\x0b\x0c\r "
 ROLES = {"u": "user", "a": "assistant"}
 SOLVED = "context string, marks string, state int, cost long, edits string, leaves int"
 
@@ -215,7 +215,8 @@ def ordered(turns: DataFrame, conv_id: str, turn: str, role: str, text: str) ->
 
 def marked(rows: DataFrame) -> DataFrame:
     """(conv, turn, at, initial, fault, mark) of ordered rows."""
-    end = F.expr(f"right(trim(TRAILING '{SPACES}' FROM text), 1)")
+    # as a literal: SQL text knows no \x escapes and would trim the letters of them
+    end = F.right(F.rtrim("text", F.lit(SPACES)), F.lit(1))
     narrow = rows.select("conv", "turn", "at", "role", F.md5(F.col("text").cast("binary")).alias("hash"), end.alias("end"))
     # the first of equal turns, by its own place: no join on a turn that many share
     first = narrow.where("end <> ''").groupBy("conv", "role", "hash").agg(F.min("at").alias("at")).select("at", F.lit(True).alias("first"))

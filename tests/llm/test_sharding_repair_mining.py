@@ -163,6 +163,15 @@ def test_repair_equals_brute_force(spark, piece):
     assert got == {c: expected(v) for c, v in by.items()}
 
 
+def test_only_white_space_is_passed_over_at_a_text_s_end(spark):
+    ends = [*"xbc0\\tnrvf", "\x0b", "\x0c", "\x0b.", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\x00", "\t", "\r\n "]
+    texts = [t for e in ends for t in (e, f"Hi.{e}", f"Hi{e}", f"Hi.{e} \x0c")] + ["bc", "0", "x0bc", "b0x. c"]
+    rows = [(i // 4, i % 4, ("user", "assistant")[i % 2], x) for i, x in enumerate(texts)]
+    df = spark.createDataFrame([(*r, 1, "c", 2, "m", "k") for r in rows], TURNS)
+    got = {r[0]: tuple(r)[1:] for r in conversation_repair.repair_report(df).collect()}
+    assert got == {c: expected(damage([r for r in rows if r[0] == c])) for c in {r[0] for r in rows}}
+
+
 def test_repair_query_on_its_whole_table(spark):
     df = Tables(spark, "/root/testdata/sf0.001").conversations
     got = {r[0]: tuple(r)[1:] for r in conversation_repair.repair_report(df).collect()}
