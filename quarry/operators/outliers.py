@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.ordered import count_below, quantiles, quantiles_of
 from quarry.semantics import safe_div, with_scalar
+from quarry.session import stored
 
 
 # O1
@@ -62,9 +63,12 @@ def quantile_bins(df: DataFrame, col: str, n: int, name: str = "qbin", method: s
 # O4
 def segment_outliers(df: DataFrame, segment: str | list[str], col: str, p: float = 0.25,
                      flag: str = "low_outlier", method: str = "exact") -> DataFrame:
-    """Flag rows below their segment's p-quantile (segment quantiles joined back)."""
+    """Flag rows below their segment's p-quantile (segment quantiles joined back).
+
+    The quantiles are stored, so the plan knows their size: few segments are broadcast, and no
+    task gets all rows of a segment to sort."""
     keys = [segment] if isinstance(segment, str) else list(segment)
-    q = quantiles(df, col, {"_seg_q": p}, by=keys, method=method)
+    q = stored(quantiles(df, col, {"_seg_q": p}, by=keys, method=method))
     out = df.join(q, keys, "left")
     return out.withColumn(flag, (F.col(col) < F.col("_seg_q")).cast("int")).withColumnRenamed("_seg_q", "segment_q")
 
