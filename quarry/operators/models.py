@@ -456,7 +456,8 @@ def isolation_forest(df: DataFrame, key: str, cols: list[str], trees: int = 50,
     2. Trees are grown per tree id with ``applyInPandas`` (numpy on <= a few
        hundred rows), emitted as node rows.
     3. The forest (trees x nodes, bounded by trees * 2 * sample) is collected
-       and broadcast; rows are scored by a vectorised pandas UDF.
+       and broadcast; rows are scored by a vectorised pandas UDF, once: where a quantile
+       of the scores is wanted, they are stored.
     """
     spark = df.sparkSession
     x = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).na.fill(0.0, cols)
@@ -500,42 +501,43 @@ def isolation_forest(df: DataFrame, key: str, cols: list[str], trees: int = 50,
     schema = "tree int, node int, feature int, threshold double, left int, right int, size long"
     forest_df = sampled.groupBy("tree").applyInPandas(grow, schema)
     forest = forest_df.toPandas()  # bounded: trees * (2 * sample) nodes
-    sizes = sampled.groupBy("tree").count().toPandas()
-    psi = float(sizes["count"].mean()) if len(sizes) else float(sample)
+    sizes = forest[forest["node"] == 0]["size"]
+    psi = float(sizes.mean()) if len(sizes) else float(sample)
     norm = _c(psi)
-    arrays = {t: g.sort_values("node")[["feature", "threshold", "left", "right", "size"]].to_numpy()
-              for t, g in forest.groupby("tree")}
-    bc = spark.sparkContext.broadcast(arrays)
+
+    def walkable(g: pd.DataFrame) -> tuple:
+        """(feature, threshold, left, right, path length at a leaf, steps) by node; a leaf leads to itself."""
+        g = g.sort_values("node")
+        leaf = (g["feature"] < 0).to_numpy()
+        own = np.arange(len(g))
+        left, right = (np.where(leaf, own, g[c].to_numpy()).astype(np.int64) for c in ("left", "right"))
+        depth = np.zeros(len(g))
+        for i in own[~leaf]:  # a node comes before its children
+            depth[[left[i], right[i]]] = depth[i] + 1
+        length = np.where(leaf, depth + np.array([_c(v) for v in g["size"]]), 0.0)
+        return np.where(leaf, 0, g["feature"].to_numpy()).astype(np.int64), g["threshold"].to_numpy(), left, right, length, int(depth.max())
+
+    bc = spark.sparkContext.broadcast([walkable(g) for _, g in forest.groupby("tree")])
 
     @F.pandas_udf("double")
-    def path_score(vecs: pd.Series) -> pd.Series:
-        pts = np.stack(vecs.to_numpy()).astype(float) if len(vecs) else np.zeros((0, d))
-        total = np.zeros(len(pts))
-        for nodes in bc.value.values():
-            cur = np.zeros(len(pts), dtype=np.int64)
-            depth = np.zeros(len(pts))
-            active = np.ones(len(pts), dtype=bool)
-            while active.any():
-                feat = nodes[cur, 0].astype(np.int64)
-                leaf = feat < 0
-                done = active & leaf
-                if done.any():
-                    total[done] += depth[done] + np.array([_c(s) for s in nodes[cur[done], 4]])
-                active &= ~leaf
-                if not active.any():
-                    break
-                ai = np.where(active)[0]
-                go_left = pts[ai, feat[ai]] < nodes[cur[ai], 1]
-                cur[ai] = np.where(go_left, nodes[cur[ai], 2], nodes[cur[ai], 3]).astype(np.int64)
-                depth[ai] += 1
+    def path_score(rows: pd.DataFrame) -> pd.Series:
+        pts = np.ascontiguousarray(rows.to_numpy(dtype=float)).ravel()
+        first = np.arange(len(rows)) * d
+        total = np.zeros(len(rows))
+        for feature, threshold, left, right, length, steps in bc.value:
+            cur = np.zeros(len(rows), dtype=np.int64)
+            for _ in range(steps):
+                cur = np.where(pts[first + feature[cur]] < threshold[cur], left[cur], right[cur])
+            total += length[cur]
         mean_h = total / max(len(bc.value), 1)
-        return pd.Series(-np.power(2.0, -mean_h / norm) if norm > 0 else np.full(len(pts), -0.5))
+        return pd.Series(-np.power(2.0, -mean_h / norm) if norm > 0 else np.full(len(rows), -0.5))
 
-    scored = x.withColumn("_s", path_score(F.array(*[F.col(c) for c in cols])))
+    scored = x.withColumn("_s", path_score(F.struct(*[F.col(c) for c in cols])))
     offset = F.lit(-0.5)
     if contamination is not None:
         from quarry.operators.ordered import quantiles
         from quarry.semantics import with_scalar
+        scored = stored(scored)
         scored = with_scalar(scored, quantiles(scored, "_s", {"cut": contamination}), "_c")
         offset = F.col("_c.cut")
     scored = scored.withColumn("anomaly_score", F.col("_s") - offset)

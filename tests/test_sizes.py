@@ -23,3 +23,11 @@ def test_few_segments_are_broadcast_whatever_the_estimate(spark):
     assert got.pop(None) is None and got == pytest.approx({s: np.quantile(v, 0.25) for s, v in values.items()})
 
 
+def test_isolation_forest_scores_rows_once(spark):
+    df = spark.range(3000).select("id", F.rand(1).alias("a"), F.when(F.col("id") == 7, 9.0).otherwise(F.rand(2)).alias("b"))
+    out = models.isolation_forest(session.stored(df), "id", ["a", "b"], trees=20, contamination=0.05)
+    assert "ArrowEvalPython" not in plan_of(out)
+    rows = {r["id"]: r for r in out.collect()}
+    assert len(rows) == 3000 and rows[7]["anomaly_label"] == -1 and sum(r["anomaly_label"] == -1 for r in rows.values()) == 150
+
+
