@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quarry.plans import questions as B
 from quarry.plans.catalog.registry import Tables, register
+from quarry.session import dealt
 
 # events stand-ins: view = ad exposure, signup = install, purchase = checkout;
 # user_id is both uid and device_id; value >= 100 is a direct purchase.
@@ -188,9 +189,11 @@ FROM t JOIN pc USING (l_suppkey) JOIN pm USING (l_suppkey)
 """)
 def b7(spark, sf):
     t = Tables(spark, sf)
-    c = t.lineitem.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").join(
+    n = t.lineitem.count()
+    li = dealt(t.lineitem.select("l_suppkey", "l_orderkey", "l_partkey", "l_extendedprice", "l_discount"), "l_orderkey", n=n)
+    c = li.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").join(
         t.part.select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey")
-    out = B.provider_features(c, "l_suppkey", "l_orderkey", "o_custkey", "p_type", "l_extendedprice", "l_discount")
+    out = B.provider_features(c, "l_suppkey", "l_orderkey", "o_custkey", "p_type", "l_extendedprice", "l_discount", n=n)
     return _r(_r(out, ["cost_per_claim", "cost_per_member"]),
               ["mean_score", "procedures_per_claim", "procedures_per_member", "claims_per_member"], 9)
 

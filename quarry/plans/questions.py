@@ -16,7 +16,7 @@ from quarry.operators.clean import keep_group_min, keep_one
 from quarry.operators.joins import flag_member
 from quarry.operators.ordered import quantiles
 from quarry.semantics import floor_days, safe_div, with_scalar
-from quarry.session import stored
+from quarry.session import dealt, stored
 
 
 # B1
@@ -115,25 +115,28 @@ def lagged_encoding(feat: DataFrame, target: DataFrame, keysets: dict[str, list[
 
 # B7
 def provider_features(claims: DataFrame, provider: str, claim: str, member: str, procedure: str, charge: str,
-                      score: str | None = None) -> DataFrame:
+                      score: str | None = None, n: int | None = None) -> DataFrame:
     """Seven provider columns (+ mean score) from a cascade of distinct levels.
 
     Procedures are distinct codes in a claim or of a member; claims per member
     is the mean over a provider's members of their distinct claims there. Rows are
     collapsed once to (provider, member, claim, code); coarser levels come from finer ones,
-    each aggregated before its shuffle, so no row is expanded per distinct count.
+    so no row is expanded per distinct count.  Rows are dealt by what the levels of a claim, and those of a
+    member, have in common, in parts that do not grow with the table.  ``n``: about how many claims rows there are, if known.
     """
     # stored: each coarser level prunes other columns, so none could share the exchange of another
-    base = stored(claims.groupBy(provider, member, claim, procedure).agg(
+    base = stored(dealt(claims, provider, member, claim, n=n).groupBy(provider, member, claim, procedure).agg(
         F.sum(charge).alias("_cost"), *([F.sum(score).alias("_s"), F.count(score).alias("_sn")] if score else [])))
     known = lambda c, name: F.count(c).alias(name)
-    claim_codes = base.groupBy(provider, claim, procedure).agg(F.sum("_cost").alias("_cost"))
+    n = base.count()
+    by_claim, by_member = dealt(base, provider, claim, n=n), dealt(base, provider, member, n=n)
+    claim_codes = by_claim.groupBy(provider, claim, procedure).agg(F.sum("_cost").alias("_cost"))
     per_claim = claim_codes.groupBy(provider, claim).agg(known(procedure, "_codes"), F.sum("_cost").alias("_cost"))
     c = per_claim.groupBy(provider).agg(
         known(claim, "unique_claims"), F.avg("_codes").alias("procedures_per_claim"), F.avg("_cost").alias("cost_per_claim"))
-    member_codes = base.groupBy(provider, member, procedure).agg(F.lit(1).alias("_1")).groupBy(provider).agg(known(procedure, "_pairs"))
+    member_codes = by_member.groupBy(provider, member, procedure).agg(F.lit(1).alias("_1")).groupBy(provider).agg(known(procedure, "_pairs"))
     sums = [F.sum("_s").alias("_s"), F.sum("_sn").alias("_sn")] if score else []
-    member_claims = base.groupBy(provider, member, claim).agg(F.sum("_cost").alias("_cost"), *sums)
+    member_claims = by_member.groupBy(provider, member, claim).agg(F.sum("_cost").alias("_cost"), *sums)
     per_member = member_claims.groupBy(provider, member).agg(known(claim, "_claims"), F.sum("_cost").alias("_cost"), *sums)
     m = per_member.groupBy(provider).agg(
         known(member, "unique_members"), F.count(F.lit(1)).alias("_members"), F.avg("_cost").alias("cost_per_member"),

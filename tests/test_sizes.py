@@ -13,6 +13,19 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.fixture
+def small_parts(monkeypatch):
+    monkeypatch.setattr(session, "PART_ROWS", 50)
+
+
+def test_dealt_bounds_the_rows_of_a_part_and_keeps_them_all(spark):
+    df = spark.range(10_000).coalesce(1).withColumn("k", F.col("id") % 7)
+    assert session.dealt(df, rows=10_000) is df
+    parts = session.dealt(df, rows=100).groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) >= 100 and sum(r[1] for r in parts) == 10_000 and max(r[1] for r in parts) <= 200
+    assert session.dealt(df, "k", rows=100).select("k", F.spark_partition_id()).distinct().count() == 7
+
+
 def test_few_segments_are_broadcast_whatever_the_estimate(spark):
     df = spark.range(20_000).select("id", (F.col("id") % 3).alias("seg"), F.sqrt("id").alias("x"))
     df = session.stored(df.withColumn("seg", F.when(F.col("id") != 5, F.col("seg"))))
@@ -31,3 +44,15 @@ def test_isolation_forest_scores_rows_once(spark):
     assert len(rows) == 3000 and rows[7]["anomaly_label"] == -1 and sum(r["anomaly_label"] == -1 for r in rows.values()) == 150
 
 
+def test_provider_features_deal_claims_by_what_their_levels_share(spark, small_parts):
+    rows = [(i % 4, i % 50, i % 9, f"p{i % 3}", float(i), 1.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "prov int, claim int, mem int, code string, cost double, s double")
+    out = questions.provider_features(df, "prov", "claim", "mem", "code", "cost", "s")
+    assert plan_of(out).count("REPARTITION_BY_NUM") >= 2
+    got = {r["prov"]: r for r in out.collect()}
+    for p in range(4):
+        own = [r for r in rows if r[0] == p]
+        claims, mems = {r[1] for r in own}, {r[2] for r in own}
+        assert (got[p]["unique_claims"], got[p]["unique_members"]) == (len(claims), len(mems))
+        assert got[p]["cost_per_claim"] == pytest.approx(sum(r[4] for r in own) / len(claims))
+        assert got[p]["claims_per_member"] == pytest.approx(len({(r[1], r[2]) for r in own}) / len(mems))
