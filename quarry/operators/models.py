@@ -9,7 +9,6 @@ checkpoint in the cluster's shared checkpoint folder.
 from __future__ import annotations
 
 import math
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -23,8 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.features import anova_f, select_k_best
-from quarry.session import cut_lineage, stored
-from quarry.sources.io import scratch_path
+from quarry.session import cut_lineage, dealt, stored
 
 
 def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
@@ -78,6 +76,10 @@ def fit_boosted_regressor(df: DataFrame, cols: list[str], label: str, iters: int
 
 
 # L5
+#: Rounds between two stored tables of margins.
+KEEP = 8
+
+
 class NewtonBoostModel:
     """base + rate * sum(tree predictions); ``losses`` has (training, validation) loss by round."""
 
@@ -92,14 +94,11 @@ class NewtonBoostModel:
         return cur.drop("features")
 
 
-def _bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, bucketed and sorted by ``key``: tables bucketed alike join without a shuffle."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = f"quarry_{name}_{uuid.uuid4().hex}"
-    # one file a bucket
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", scratch_path(spark, name)).saveAsTable(table)
-    return spark.table(table)
+def _moved(df: DataFrame, trees: list, rate: float) -> DataFrame:
+    """``df`` with the margin ``_p`` moved by each of ``trees``."""
+    for t in trees:
+        df = t.setPredictionCol("_step").transform(df).withColumn("_p", F.col("_p") + F.lit(rate) * F.col("_step")).drop("_step")
+    return df
 
 
 def fit_newton_boosting(df: DataFrame, cols: list[str], label: str, factor: float = 4.0, rounds: int = 250,
@@ -110,30 +109,32 @@ def fit_newton_boosting(df: DataFrame, cols: list[str], label: str, factor: floa
 
     Each round fits a weighted regression tree to the Newton target
     -g/h (= r for this loss) with weight h (2*factor or 2), so every leaf
-    value is the Newton step sum(-g)/sum(h). The rows are written once; a round writes
-    their margins alone (row, prediction so far), bucketed like the rows, so
-    neither is shuffled again and no plan grows with the rounds.
+    value is the Newton step sum(-g)/sum(h). Rows and margins (predictions so far) are one stored
+    table, written anew every ``KEEP`` rounds; the trees since are applied as it is read.  So
+    nothing is joined, and no plan grows with the rounds.
 
     With ``validation`` (a boolean column) those rows are not trained on, and training stops
     when their mean loss has not fallen by more than ``tol`` (a share of the best) for ``patience`` rounds; the
     trees up to the best round stay.
     """
     held = F.coalesce(F.col(validation), F.lit(False)) if validation else F.lit(False)
-    data = assemble(df.select(*cols, F.col(label).cast("double").alias("_y"), held.alias("_held")), cols).select("features", "_y", "_held")
-    rows = _bucketed(stored(data.withColumn("_row", F.monotonically_increasing_id())), "_row", "rows")
-    base = float(rows.where(~F.col("_held")).agg(F.avg("_y")).first()[0])
-    margins = _bucketed(rows.select("_row", F.lit(base).alias("_p")), "_row", "margins")
+    data = stored(df.select(*cols, F.col(label).cast("double").alias("_y"), held.alias("_held")))
+    base, n = data.where(~F.col("_held")).agg(F.avg("_y"), F.count(F.lit(1))).first()
+    base, names = float(base), [*dict.fromkeys(cols), "_y", "_held", "_p"]
+    kept, since = data.withColumn("_p", F.lit(base)), []
+    now = lambda: _moved(assemble(kept, cols), since, rate)
     r = F.col("_y") - F.col("_p")
     loss = F.when(r > 0, F.lit(factor) * r * r).otherwise(r * r)
     trees, losses, best, best_at = [], [], math.inf, 0
     for i in range(rounds):
-        step = rows.join(margins, "_row").withColumns({"_r": r, "_h": F.when(r > 0, F.lit(2.0 * factor)).otherwise(F.lit(2.0))})
+        step = now().where(~F.col("_held")).select("features", r.alias("_r"), F.when(r > 0, F.lit(2.0 * factor)).otherwise(F.lit(2.0)).alias("_h"))
         tree = DecisionTreeRegressor(featuresCol="features", labelCol="_r", weightCol="_h", maxDepth=depth,
-                                     predictionCol="_step").fit(step.where(~F.col("_held")))
+                                     predictionCol="_step").fit(dealt(step, n=n))
         trees.append(tree)
-        moved = tree.transform(step).select("_row", (F.col("_p") + F.lit(rate) * F.col("_step")).alias("_p"))
-        margins = _bucketed(moved, "_row", "margins")
-        by = rows.join(margins, "_row").agg(F.avg(F.when(~F.col("_held"), loss)), F.avg(F.when(F.col("_held"), loss))).first()
+        since.append(tree)
+        if len(since) == KEEP:
+            kept, since = stored(now().select(*names)), []
+        by = now().agg(F.avg(F.when(~F.col("_held"), loss)), F.avg(F.when(F.col("_held"), loss))).first()
         losses.append(tuple(by))
         if validation and by[1] is not None:
             if by[1] < best * (1 - tol):

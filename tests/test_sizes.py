@@ -44,6 +44,16 @@ def test_isolation_forest_scores_rows_once(spark):
     assert len(rows) == 3000 and rows[7]["anomaly_label"] == -1 and sum(r["anomaly_label"] == -1 for r in rows.values()) == 150
 
 
+def test_newton_boosting_gives_the_same_with_few_and_many_stored_margins(spark, monkeypatch):
+    df = session.stored(spark.range(600).select((F.col("id") % 13).cast("double").alias("x"), (F.col("id") % 5 + F.col("id") % 13).cast("double").alias("y"), (F.col("id") % 4 == 0).alias("v")))
+    got = []
+    for keep in (2, 100):
+        monkeypatch.setattr(models, "KEEP", keep)
+        got.append(models.fit_newton_boosting(df, ["x"], "y", rounds=7, validation="v").losses)
+    assert len(got[0]) == 7 and np.allclose(got[0], got[1])
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("quarry_")]
+
+
 def test_provider_features_deal_claims_by_what_their_levels_share(spark, small_parts):
     rows = [(i % 4, i % 50, i % 9, f"p{i % 3}", float(i), 1.0) for i in range(400)]
     df = spark.createDataFrame(rows, "prov int, claim int, mem int, code string, cost double, s double")
