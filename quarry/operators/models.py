@@ -33,6 +33,11 @@ def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def _narrow(df: DataFrame, cols: list[str], *others: str | None) -> DataFrame:
+    """The columns that a fit reads.  Trees hold their rows as objects, some 250 bytes each, so fits of trees have them dealt."""
+    return df.select(*dict.fromkeys([*cols, *[c for c in others if c]]))
+
+
 # L1
 def fit_logistic(df: DataFrame, cols: list[str], label: str, reg: float = 0.01, weight: str | None = None,
                  max_iter: int = 100, tol: float = 1e-6):
@@ -53,7 +58,7 @@ def fit_forest(df: DataFrame, cols: list[str], label: str, kind: str = "classifi
     cls = RandomForestClassifier if kind == "classification" else RandomForestRegressor
     est = cls(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed, bootstrap=bootstrap,
               **({"weightCol": weight} if weight else {}))
-    return est.fit(assemble(df, cols))
+    return est.fit(assemble(dealt(_narrow(df, cols, label, weight)), cols))
 
 
 # L3
@@ -61,7 +66,7 @@ def fit_boosted_classifier(df: DataFrame, cols: list[str], label: str, iters: in
                            rate: float = 0.1, seed: int = 42, weight: str | None = None):
     est = GBTClassifier(featuresCol="features", labelCol=label, maxIter=iters, maxDepth=depth, stepSize=rate,
                         seed=seed, **({"weightCol": weight} if weight else {}))
-    return est.fit(assemble(df, cols))
+    return est.fit(assemble(dealt(_narrow(df, cols, label, weight)), cols))
 
 
 # L4
@@ -72,7 +77,7 @@ def fit_boosted_regressor(df: DataFrame, cols: list[str], label: str, iters: int
     kw = {"validationIndicatorCol": validation, "validationTol": tol} if validation else {}
     est = GBTRegressor(featuresCol="features", labelCol=label, maxIter=iters, maxDepth=depth, stepSize=rate,
                        seed=seed, **kw)
-    return est.fit(assemble(df, cols))
+    return est.fit(assemble(dealt(_narrow(df, cols, label, validation)), cols))
 
 
 # L5

@@ -44,6 +44,16 @@ def test_isolation_forest_scores_rows_once(spark):
     assert len(rows) == 3000 and rows[7]["anomaly_label"] == -1 and sum(r["anomaly_label"] == -1 for r in rows.values()) == 150
 
 
+def test_fits_of_trees_get_their_rows_dealt(spark, small_parts, monkeypatch):
+    seen = []
+    monkeypatch.setattr(models, "assemble", lambda df, cols, out="features", real=models.assemble: seen.append(plan_of(df)) or real(df, cols, out))
+    df = spark.range(1000).coalesce(1).select((F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 2).cast("double").alias("y"))
+    for fit in (models.fit_forest, lambda *a: models.fit_boosted_classifier(*a, iters=2), lambda *a: models.fit_boosted_regressor(*a, iters=2)):
+        fit(df, ["x"], "y")
+    assert len(seen) == 3 and all("REPARTITION_BY_NUM" in p for p in seen)
+    assert models.sweep(df, [1], lambda d, v: d, lambda d: len(d.groupBy(F.spark_partition_id()).count().collect())).first()["score"] >= 20
+
+
 def test_newton_boosting_gives_the_same_with_few_and_many_stored_margins(spark, monkeypatch):
     df = session.stored(spark.range(600).select((F.col("id") % 13).cast("double").alias("x"), (F.col("id") % 5 + F.col("id") % 13).cast("double").alias("y"), (F.col("id") % 4 == 0).alias("v")))
     got = []
