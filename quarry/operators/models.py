@@ -333,7 +333,7 @@ def block_folds(df: DataFrame, period: str, name: str = "fold") -> DataFrame:
 # L10
 def sweep(df: DataFrame, values: list, fit, score) -> DataFrame:
     """Fit once per setting value on one stored input; one (value, score) row each."""
-    data = cut_lineage(df)
+    data = cut_lineage(dealt(df))
     rows = [(str(v), float(score(fit(data, v)))) for v in values]
     return _table(df.sparkSession, rows, "value string, score double")
 
@@ -342,7 +342,7 @@ def sweep_feature_counts(df: DataFrame, features: list[str], label: str, counts:
     """(value, score): for each of ``counts``, ``fit(data, columns)`` on that many features, the best by
     ANOVA F (ties by name), and ``score(model, data, columns)``.  F scores are made once, on the
     stored input; features are columns, so their ranking is bounded by the schema."""
-    data = cut_lineage(df)
+    data = cut_lineage(dealt(df))
     ranked = [r["feature"] for r in select_k_best(anova_f(data, features, label), max(counts)).collect()]
     rows = [(str(k), float(score(fit(data, ranked[:k]), data, ranked[:k]))) for k in counts]
     return _table(df.sparkSession, rows, "value string, score double")
