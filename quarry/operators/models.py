@@ -9,6 +9,7 @@ checkpoint in the cluster's shared checkpoint folder.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.features import anova_f, select_k_best
 from quarry.session import cut_lineage, dealt, stored
+from quarry.sources.io import scratch_path
 
 
 def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
@@ -106,6 +108,16 @@ def _moved(df: DataFrame, trees: list, rate: float) -> DataFrame:
     return df
 
 
+def _bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, bucketed and sorted by ``key``: tables bucketed alike join without a shuffle."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"quarry_{name}_{uuid.uuid4().hex}"
+    # one file a bucket
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", scratch_path(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
 def fit_newton_boosting(df: DataFrame, cols: list[str], label: str, factor: float = 4.0, rounds: int = 250,
                         rate: float = 0.3, depth: int = 3, validation: str | None = None, patience: int = 10,
                         tol: float = 0.0) -> NewtonBoostModel:
@@ -114,20 +126,21 @@ def fit_newton_boosting(df: DataFrame, cols: list[str], label: str, factor: floa
 
     Each round fits a weighted regression tree to the Newton target
     -g/h (= r for this loss) with weight h (2*factor or 2), so every leaf
-    value is the Newton step sum(-g)/sum(h). Rows and margins (predictions so far) are one stored
-    table, written anew every ``KEEP`` rounds; the trees since are applied as it is read.  So
-    nothing is joined, and no plan grows with the rounds.
+    value is the Newton step sum(-g)/sum(h). The rows are written once; every ``KEEP`` rounds
+    their margins alone (row, prediction so far) are, bucketed like the rows, so
+    neither is shuffled for their join and no plan grows with the rounds.  The trees since
+    are applied as rows are read.
 
     With ``validation`` (a boolean column) those rows are not trained on, and training stops
     when their mean loss has not fallen by more than ``tol`` (a share of the best) for ``patience`` rounds; the
     trees up to the best round stay.
     """
     held = F.coalesce(F.col(validation), F.lit(False)) if validation else F.lit(False)
-    data = stored(df.select(*cols, F.col(label).cast("double").alias("_y"), held.alias("_held")))
-    base, n = data.where(~F.col("_held")).agg(F.avg("_y"), F.count(F.lit(1))).first()
-    base, names = float(base), [*dict.fromkeys(cols), "_y", "_held", "_p"]
-    kept, since = data.withColumn("_p", F.lit(base)), []
-    now = lambda: _moved(assemble(kept, cols), since, rate)
+    data = assemble(df.select(*cols, F.col(label).cast("double").alias("_y"), held.alias("_held")), cols).select("features", "_y", "_held")
+    rows = _bucketed(stored(data.withColumn("_row", F.monotonically_increasing_id())), "_row", "rows")
+    base, n = rows.where(~F.col("_held")).agg(F.avg("_y"), F.count(F.lit(1))).first()
+    base, margins, since = float(base), None, []
+    now = lambda: _moved(rows.join(margins, "_row") if margins is not None else rows.withColumn("_p", F.lit(base)), since, rate)
     r = F.col("_y") - F.col("_p")
     loss = F.when(r > 0, F.lit(factor) * r * r).otherwise(r * r)
     trees, losses, best, best_at = [], [], math.inf, 0
@@ -138,7 +151,7 @@ def fit_newton_boosting(df: DataFrame, cols: list[str], label: str, factor: floa
         trees.append(tree)
         since.append(tree)
         if len(since) == KEEP:
-            kept, since = stored(now().select(*names)), []
+            margins, since = _bucketed(now().select("_row", "_p"), "_row", "margins"), []
         by = now().agg(F.avg(F.when(~F.col("_held"), loss)), F.avg(F.when(F.col("_held"), loss))).first()
         losses.append(tuple(by))
         if validation and by[1] is not None:
