@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import cut_lineage
+from quarry.session import stored
 
 
 def _settled(pairs: DataFrame) -> bool:
@@ -23,9 +23,9 @@ def components(links: DataFrame) -> DataFrame:
     a number of rounds that grows as the logarithm of the nodes.  Each step groups by a
     node with ``min`` alone, which combines before the shuffle, and joins back, so
     a node with very many links is split by the skewed join.  Every round is
-    written to the checkpoint folder.
+    stored: read again in a few tasks, however many wrote it.
     """
-    pairs = cut_lineage(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    pairs = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while not _settled(pairs):
         # large star: every larger neighbour of a node goes to the smallest one around it
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -34,7 +34,7 @@ def components(links: DataFrame) -> DataFrame:
         # small star: every smaller neighbour of a node, and itself, to the smallest one
         low = pairs.groupBy("a").agg(F.min("b").alias("low"))
         joined = pairs.join(low, "a")
-        pairs = cut_lineage(joined.select(F.col("b").alias("a"), F.col("low").alias("b")).union(low.select("a", F.col("low").alias("b")))
+        pairs = stored(joined.select(F.col("b").alias("a"), F.col("low").alias("b")).union(low.select("a", F.col("low").alias("b")))
                             .where("a <> b").distinct())
     star = pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return star.union(pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -90,9 +90,12 @@ def _cut(rows: DataFrame, rest: DataFrame, digits: int) -> DataFrame:
     cut = rest.select("_src", F.col("rest").alias("cut_rest"))
     for known, n in ((0, digits), (digits, 2 * digits), (2 * digits, 3 * digits), (3 * digits, 32)):
         at = (coarse if n <= 3 * digits else rows).withColumn("cut", F.substring("_key", 1, n))
-        if known:  # the block found so far alone
-            at = at.withColumn("_at", F.substring("_key", 1, known)).join(cut.select("_src", F.col("cut").alias("_at")), ["_src", "_at"], "left_semi")
-        sums = at.groupBy("_src", "cut").agg(F.sum("_size").alias("cut_words")).join(cut.select("_src", "cut_rest"), "_src")
+        if known:  # the block found so far alone, one a source; what is left there comes with it: a plan reads each cut once
+            found = cut.select("_src", F.col("cut").alias("_at"), "cut_rest")
+            at = at.withColumn("_at", F.substring("_key", 1, known)).join(found, ["_src", "_at"])
+            sums = at.groupBy("_src", "cut", "cut_rest").agg(F.sum("_size").alias("cut_words"))
+        else:
+            sums = at.groupBy("_src", "cut").agg(F.sum("_size").alias("cut_words")).join(cut, "_src")
         sums = sums.withColumn("before", F.sum("cut_words").over(order) - F.col("cut_words"))
         cut = (sums.where((F.col("before") < F.col("cut_rest")) & (F.col("cut_rest") <= F.col("before") + F.col("cut_words")))
                .select("_src", "cut", (F.col("cut_rest") - F.col("before")).alias("cut_rest"), "cut_words"))

@@ -40,7 +40,6 @@ from pyspark.sql import functions as F
 from quarry.llm.components import components
 from quarry.llm.scan import as_id, scan, stored
 from quarry.llm.words import NON_SPACE, Texts, chunks, lowered, mix64, run_hashes, words
-from quarry.session import cut_lineage
 
 WIDTH, NUMERATOR, DENOMINATOR = 3, 85, 100
 ROWS = 8
@@ -229,21 +228,21 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     texts = (docs.select(row_key(doc_id, text).alias("id"), F.col(text).alias("text"))
              .join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
 
-    tried = cut_lineage(members.where("id <> hub").withColumnsRenamed({"hub": "a", "id": "b", "hub_n": "n_a", "n": "n_b"})
+    tried = stored(members.where("id <> hub").withColumnsRenamed({"hub": "a", "id": "b", "hub_n": "n_a", "n": "n_b"})
                         .where(_sized(share)).select("a", "b").distinct())
-    links = cut_lineage(verified(tried, texts, width, share))
+    links = stored(verified(tried, texts, width, share))
     merged = components(links)
 
     # what is left: members of one bucket in different components; buckets that share members are a family
     left = (members.join(merged, members.id == merged.node, "left")
             .select("bucket", "id", F.coalesce("component", "id").alias("component")))
     counts = left.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("first"))
-    left = cut_lineage(left.join(counts.where("low < high"), "bucket").select("id", "component", "first").distinct())
+    left = stored(left.join(counts.where("low < high"), "bucket").select("id", "component", "first").distinct())
     families = components(left.select(F.col("first").alias("a"), F.col("id").alias("b"))).withColumnsRenamed({"node": "id", "component": "family"})
     keys = signed.select(F.col("row").alias("id"), "bands").join(families.select("id"), "id", "left_semi").dropDuplicates(["id"])
     rest = left.select("id", "component").distinct().join(families, "id").join(keys, "id").join(texts, "id")
-    more = cut_lineage(across(rest, width, share))
-    merged = cut_lineage(components(links.union(more)))
+    more = stored(across(rest, width, share))
+    merged = stored(components(links.union(more)))
 
     found = classes.join(merged, "node", "left").select("print", "rep", "node", F.coalesce("component", "node").alias("component"))
     least = found.groupBy("component").agg(F.min("rep").alias("component_id"), F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("x"))

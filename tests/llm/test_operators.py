@@ -370,3 +370,30 @@ def test_empty_tables(spark):
                decontaminate.decontamination_report(none, bench), quality.quality_report(none, labels)):
         assert df.count() == 0
     assert decontaminate.decontamination_report(table(spark, ODD), bench).where("n_hit > 0").count() == 0
+
+
+def test_the_mix_reads_each_cut_once(spark):
+    rows = spark.createDataFrame([(f"s{i % 2}", f"{i * 7919 % 5003:032x}", i % 5 + 1) for i in range(200)], "_src string, _key string, _size long")
+    rest = spark.createDataFrame([("s0", 90), ("s1", 1)], "_src string, rest long")
+    made = mixing._cut(rows, rest, 2)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"\bJoin ", plan)) == 4  # one a level, not all of the levels before for each use
+    for r in made.collect():
+        before = sum(x["_size"] for x in rows.collect() if x["_src"] == r["_src"] and x["_key"] < r["cut"])
+        assert r["cut_rest"] == {"s0": 90, "s1": 1}[r["_src"]] - before and 0 < r["cut_rest"] <= r["cut_words"]
+    assert made.count() == 2
+
+
+def test_components_are_read_in_few_tasks(spark):
+    setting = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in setting}
+    try:
+        for k, v in setting.items():
+            spark.conf.set(k, v)
+        made = components(spark.createDataFrame([(i, i + 1) for i in range(0, 400, 2)], "a long, b long"))
+        star = made.where("node <> component")
+        assert star.rdd.getNumPartitions() < 60
+        assert {(r.node, r.component) for r in made.collect()} == {(i, i - i % 2) for i in range(400)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
