@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.features import anova_f, select_k_best
-from quarry.session import cut_lineage, dealt, stored
+from quarry.operators.metrics import binned_roc_auc
+from quarry.session import cut_lineage, dealt, freed_shuffles, stored
 from quarry.sources.io import scratch_path
 
 
@@ -287,23 +288,91 @@ def row_silhouette(df: DataFrame, features: str, cluster: str = "cluster", name:
 # L9
 def grid_search(df: DataFrame, cols: list[str], label: str, estimator, grid: dict, folds: int = 3,
                 fold_col: str | None = None, metric: str = "areaUnderROC", seed: int = 42):
-    """k-fold (or given fold column, e.g. time blocks) cross-validated grid search."""
+    """k-fold (or given fold column, e.g. time blocks) cross-validated grid search.
+
+    The rows are written once, by fold, and every fit reads the folds it is trained on; nothing but the
+    estimator's own blocks is held in memory.  Areas under ROC of all settings and folds are made in one
+    job, binned like ``BinaryClassificationEvaluator``'s; other metrics come from Spark's evaluators."""
+    from itertools import product
+    from multiprocessing.pool import ThreadPool
+
     from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
     b = ParamGridBuilder()
     for p, vals in grid.items():
         b = b.addGrid(getattr(estimator, p), vals)
+    settings = b.build()
     ev = (BinaryClassificationEvaluator(labelCol=label, metricName=metric) if metric in ("areaUnderROC", "areaUnderPR")
           else RegressionEvaluator(labelCol=label, metricName=metric))
     kw = {"foldCol": fold_col, "numFolds": folds} if fold_col else {"numFolds": folds, "seed": seed}
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=b.build(), evaluator=ev, parallelism=2, **kw)
-    # every fold and setting re-reads the input
-    model = cv.fit(cut_lineage(assemble(df, cols)))
-    rows = [(str({p.name: v for p, v in pm.items()}), float(m)) for pm, m in zip(model.getEstimatorParamMaps(),
-                                                                                  model.avgMetrics)]
+    cv = CrossValidator(estimator=estimator, estimatorParamMaps=settings, evaluator=ev, parallelism=2, **kw)
+    data = _stored_by_fold(df, cols, folds, fold_col, seed)
+    parts = [(data.where(F.col("_fold") != i), data.where(F.col("_fold") == i)) for i in range(folds)]
+
+    def fit(task: tuple[int, int]) -> tuple:
+        i, j = task
+        model = estimator.fit(parts[i][0], settings[j])
+        return model, None if metric == "areaUnderROC" else float(ev.evaluate(model.transform(parts[i][1])))
+
+    tasks = list(product(range(folds), range(len(settings))))
+    with ThreadPool(cv.getParallelism()) as pool:
+        fits = dict(zip(tasks, pool.map(fit, tasks, chunksize=1), strict=True))
+    if metric == "areaUnderROC":
+        found = _areas(parts, [[fits[i, j][0] for j in range(len(settings))] for i in range(folds)], label)
+    else:
+        found = {t: m for t, (_, m) in fits.items()}
+    by_fold = np.array([[found[i, j] for j in range(len(settings))] for i in range(folds)])
+    metrics = [float(m) for m in by_fold.mean(axis=0)]
+    best = settings[int(np.argmax(metrics) if ev.isLargerBetter() else np.argmin(metrics))]
+    model = cv._copyValues(CrossValidatorModel(estimator.fit(data, best), metrics, [], [float(m) for m in by_fold.std(axis=0)]))
+    rows = [(str({p.name: v for p, v in pm.items()}), m) for pm, m in zip(settings, metrics, strict=True)]
     return model, _table(df.sparkSession, rows, "params string, metric double")
 
 
+def _stored_by_fold(df: DataFrame, cols: list[str], folds: int, fold_col: str | None, seed: int) -> DataFrame:
+    """``df`` with features and ``_fold``, in a folder for each fold; random folds are those of ``CrossValidator``."""
+    spark = df.sparkSession
+    if fold_col:
+        fold = F.col(fold_col).cast("int")
+    else:
+        df = df.withColumn("_rand", F.rand(seed))
+        fold = sum((F.when(F.col("_rand") >= i / folds, 1).otherwise(0) for i in range(1, folds)), F.lit(0))
+    data = assemble(dealt(df.withColumn("_fold", fold).drop("_rand")), cols)
+    path = scratch_path(spark, "folds")
+    with freed_shuffles(spark):
+        data.write.partitionBy("_fold").parquet(path)
+    data = spark.read.schema(data.schema).parquet(path)
+    if fold_col:
+        seen = {r[0] for r in data.select("_fold").distinct().collect()}
+        if wrong := [f for f in seen if f is None or not 0 <= f < folds]:
+            raise ValueError(f"Fold number must be in range [0, {folds}), but got {wrong[0]}")
+        for i in range(folds):
+            if not seen - {i}:
+                raise ValueError(f"The training data at fold {i} is empty.")
+            if i not in seen:
+                raise ValueError(f"The validation data at fold {i} is empty.")
+    return data
+
+
+def _areas(parts: list[tuple[DataFrame, DataFrame]], models: list[list], label: str) -> dict[tuple[int, int], float]:
+    """Area under ROC by (fold, setting): each fold's held-out rows are read once and scored by all its models."""
+    every = None
+    for i, (_, held) in enumerate(parts):
+        cur = held
+        for j, m in enumerate(models[i]):
+            scored = m.transform(cur)
+            s = F.col("rawPrediction")
+            if scored.schema["rawPrediction"].dataType.typeName() != "double":
+                s = vector_to_array(s)[1]
+            cur = scored.select(*cur.columns, s.alias(f"_s{j}"))
+        scores = F.explode(F.array(*[F.struct(F.lit(j).alias("setting"), F.col(f"_s{j}").alias("score")) for j in range(len(models[i]))]))
+        rows = cur.select(F.lit(i).alias("fold"), label, scores.alias("_s")).select("fold", "_s.setting", "_s.score", label)
+        every = rows if every is None else every.unionByName(rows)
+    areas = {(r["fold"], r["setting"]): r["auc"] for r in binned_roc_auc(every, label, "score", ["fold", "setting"]).collect()}
+    # without rows the curve is the diagonal
+    return {(i, j): areas.get((i, j), 0.5) for i in range(len(parts)) for j in range(len(models[i]))}
+
+
 def rotation_search(df: DataFrame, cols: list[str], label: str, estimator, grid: dict, period: str, metric: str = "rmse",
                     parallelism: int = 4) -> DataFrame:
     """(setting, <parameters>, rotation, metric): each setting of the grid, fitted on all periods but one and
@@ -340,7 +409,7 @@ def block_folds(df: DataFrame, period: str, name: str = "fold") -> DataFrame:
     # single ranking task over the distinct periods is fine
     periods = df.select(period).distinct()
     ids = periods.withColumn(name, (F.dense_rank().over(Window.orderBy(period)) - 1).cast("int"))
-    return df.join(ids, period)
+    return df.join(F.broadcast(ids), period)
 
 
 # L10

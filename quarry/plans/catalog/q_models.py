@@ -123,7 +123,7 @@ def l9(spark, sf):
     li = L.block_folds(years, "ship_year")
     folds = len(years.select("ship_year").distinct().collect())  # one row a year
     est = LogisticRegression(featuresCol="features", labelCol="returned", maxIter=20)
-    _, table = L.grid_search(li.withColumn("fold", F.col("fold").cast("int")), LI_FEATS, "returned", est,
+    _, table = L.grid_search(li.select(*LI_FEATS, "returned", F.col("fold").cast("int")), LI_FEATS, "returned", est,
                              {"regParam": [0.01, 0.1]}, folds=folds, fold_col="fold")
     return table
 
@@ -162,7 +162,7 @@ def l9_rotation(spark, sf):
 def l9b(spark, sf):
     from pyspark.ml.classification import LogisticRegression
     est = LogisticRegression(featuresCol="features", labelCol="returned", maxIter=20)
-    _, table = L.grid_search(_li(Tables(spark, sf)), LI_FEATS, "returned", est, {"regParam": [0.01, 0.1]}, folds=3)
+    _, table = L.grid_search(_li(Tables(spark, sf)).select(*LI_FEATS, "returned"), LI_FEATS, "returned", est, {"regParam": [0.01, 0.1]}, folds=3)
     return table
 
 

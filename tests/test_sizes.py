@@ -78,3 +78,60 @@ def test_provider_features_deal_claims_by_what_their_levels_share(spark, small_p
         assert (got[p]["unique_claims"], got[p]["unique_members"]) == (len(claims), len(mems))
         assert got[p]["cost_per_claim"] == pytest.approx(sum(r[4] for r in own) / len(claims))
         assert got[p]["claims_per_member"] == pytest.approx(len({(r[1], r[2]) for r in own}) / len(mems))
+
+
+def _graded(spark, n):
+    df = spark.range(n).select((F.col("id") % 4).cast("int").alias("fold"), F.rand(3).alias("x"), F.rand(4).alias("z"))
+    return session.stored(df.withColumn("y", (F.col("x") + F.rand(5) > 1).cast("double")))
+
+
+def test_binned_areas_are_those_of_the_evaluator_whatever_the_parts(spark, monkeypatch):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    from quarry.operators import metrics
+    df = session.stored(_graded(spark, 9000).select("fold", "y", F.when(F.col("fold") == 1, 0.5).otherwise(F.round("x", 4)).alias("s")))
+    for rows in (500, 100_000):
+        monkeypatch.setattr(metrics, "PART_ROWS", rows)
+        got = {r["fold"]: r["auc"] for r in metrics.binned_roc_auc(df, "y", "s", ["fold"]).collect()}
+        assert len(got) == 4 and got[1] == 0.5
+        for i, v in got.items():
+            ev = BinaryClassificationEvaluator(rawPredictionCol="s", labelCol="y")
+            assert v == pytest.approx(ev.evaluate(df.where(F.col("fold") == i).coalesce(1)), abs=1e-12)
+    one = df.where("fold = 0")
+    assert metrics.binned_roc_auc(one.withColumn("y", F.lit(0.0)), "y", "s", ["fold"]).first()["auc"] == 0
+    assert metrics.binned_roc_auc(one.withColumn("y", F.lit(1.0)), "y", "s", ["fold"]).first()["auc"] == 1
+
+
+@pytest.mark.parametrize("fold_col", ["fold", None])
+def test_grid_search_gives_the_cross_validator_s_metrics_and_caches_no_fold(spark, fold_col, monkeypatch):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    df = _graded(spark, 2000).coalesce(1)
+    est = LogisticRegression(labelCol="y", maxIter=5)
+    grid = ParamGridBuilder().addGrid(est.regParam, [0.01, 0.5]).build()
+    kw = {"foldCol": fold_col} if fold_col else {"seed": 42}
+    want = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol="y"),
+                          numFolds=4, **kw).fit(models.assemble(df, ["x", "z"]))
+    cached = []
+    monkeypatch.setattr(type(df), "cache", lambda d: cached.append(d) or d)
+    model, table = models.grid_search(df, ["x", "z"], "y", est, {"regParam": [0.01, 0.5]}, folds=4, fold_col=fold_col)
+    assert not cached
+    assert model.avgMetrics == pytest.approx(want.avgMetrics, abs=1e-9) and model.stdMetrics == pytest.approx(want.stdMetrics, abs=1e-9)
+    assert np.allclose(model.bestModel.coefficients.toArray(), want.bestModel.coefficients.toArray())
+    assert [r["metric"] for r in table.collect()] == model.avgMetrics
+
+
+def test_grid_search_refuses_folds_without_rows_or_out_of_range(spark):
+    from pyspark.ml.classification import LogisticRegression
+    df, est = _graded(spark, 200), LogisticRegression(labelCol="y", maxIter=2)
+    for folds, word in ((3, "range"), (5, "validation data at fold 4")):
+        with pytest.raises(ValueError, match=word):
+            models.grid_search(df, ["x"], "y", est, {"regParam": [0.1]}, folds=folds, fold_col="fold")
+
+
+def test_block_folds_do_not_shuffle_the_rows_by_period(spark):
+    df = session.stored(spark.range(1000).select("id", (F.col("id") % 3).alias("p")))
+    out = models.block_folds(df, "p")
+    assert "SortMergeJoin" not in plan_of(out) and "BroadcastHashJoin" in plan_of(out)
+    assert {(r["p"], r["fold"]) for r in out.collect()} == {(0, 0), (1, 1), (2, 2)}
