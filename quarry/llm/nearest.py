@@ -38,7 +38,7 @@ from quarry.llm.scan import scan, small_batches, stored
 TABLES, HASHES, PROBES = 16, 1, 8
 K = 20
 #: Bytes of a shard and of a chunk at most, and of the copies that a round sends if they are more than twice the table.
-SHARD_BYTES, CHUNK_BYTES, ROUND_BYTES = 64 << 20, 48 << 20, 1 << 30
+SHARD_BYTES, CHUNK_BYTES, ROUND_BYTES = 40 << 20, 24 << 20, 1 << 30
 #: Vectors in a shard at least, unless ``cell`` is given; shards for each core, if there are vectors enough.
 LEAST_SHARD, SHARDS_A_CORE = 4096, 4
 #: From so many pairs on there are rounds: the first one has a part of the shards, and each four times as many as were done after the one before.
@@ -225,12 +225,14 @@ class Best:
         # the query itself may be among the best, and an id with all its vectors
         self.enough = (k + 1) * int(np.unique(c_ids, return_counts=True)[1].max())
         self.error = (q.shape[1] + 8) * 2.0 ** -24
-        self.top = np.abs(c).max().astype(np.float64)
+        self.top = np.float64(max(c.max(), -c.min()))
         self.norm = max(np.linalg.norm(c[a:a + 4096] / self.top, axis=1).max() for a in range(0, len(c), 4096))
-        self.q_top = np.abs(q).max(axis=1).astype(np.float64)
-        unit = q / self.q_top[:, None]
-        self.q_norm = np.linalg.norm(unit, axis=1)
-        self.unit = (unit / self.q_norm[:, None]).astype(np.float32)
+        self.q_top = np.maximum(q.max(axis=1), -q.min(axis=1)).astype(np.float64)
+        self.q_norm, self.unit = np.empty(len(q)), np.empty(q.shape, np.float32)
+        for a in range(0, len(q), 4096):
+            unit = q[a:a + 4096] / self.q_top[a:a + 4096, None]
+            self.q_norm[a:a + 4096] = np.linalg.norm(unit, axis=1)
+            self.unit[a:a + 4096] = unit / self.q_norm[a:a + 4096, None]
         self.least = self._rough(np.arange(len(q)), least) - np.float32(2 * self.error)
         self.found, self.waiting, self.n = [np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32)], [], 0
 
